@@ -5,23 +5,45 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollbook.llm import bpe, langid, scratch, tokenfile, urlfilter
+from rollbook.llm import bpe, decontam, langid, neardup, scratch, tokenfile, toxicity, urlfilter, warc
 from rollbook.llm.wordcode import default_vocabulary
 from rollbook.session import table
 
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 END_ID = 2
+WARC_DATE = "2024-01-01T00:00:00Z"
 
 
 def id_remainder(id_col: str, n: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % n
 
 
+def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.responses(table(spark, sf_dir, "pages"), date=WARC_DATE)
+    return warc.derivatives(found).withColumnRenamed("id", "page_id")
+
+
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("first_id").alias("component_id"), (F.col("id") == F.col("first_id")).alias("kept"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(RULES, urlfilter.RULES_SCHEMA)
     return urlfilter.filter_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = id_remainder("doc_id", 5) == 0
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").where(~held_out))
+    return model.score(docs).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch.new_path(spark, "tokens")
     return tokenfile.token_file(table(spark, sf_dir, "documents"), path, default_vocabulary(), end_id=END_ID)
@@ -52,7 +74,11 @@ SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM cut LEFT
 
 def queries() -> dict:
     return {
+        "op1_warc_derivatives": op1_warc_derivatives,
+        "op3_near_duplicates": op3_near_duplicates,
         "op4_url_filter": op4_url_filter,
+        "op5_decontaminate": op5_decontaminate,
+        "op6_toxicity": op6_toxicity,
         "op7_token_file": op7_token_file,
         "op8_language": op8_language,
         "op10_bpe": op10_bpe,
