@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollbook.llm import bpe, decontam, langid, neardup, scratch, tokenfile, toxicity, urlfilter, warc
+from rollbook.llm import bpe, decontam, langid, neardup, scratch, sketch, tokenfile, toxicity, urlfilter, warc
 from rollbook.llm.wordcode import default_vocabulary
 from rollbook.session import table
 
@@ -23,6 +23,10 @@ def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derivatives(found).withColumnRenamed("id", "page_id")
 
 
+def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
     return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("first_id").alias("component_id"), (F.col("id") == F.col("first_id")).alias("kept"))
@@ -75,6 +79,7 @@ SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM cut LEFT
 def queries() -> dict:
     return {
         "op1_warc_derivatives": op1_warc_derivatives,
+        "op2_document_fingerprints": op2_document_fingerprints,
         "op3_near_duplicates": op3_near_duplicates,
         "op4_url_filter": op4_url_filter,
         "op5_decontaminate": op5_decontaminate,
