@@ -5,9 +5,9 @@ A query module offers ``QUERIES``: name -> (function of (spark, sf_dir), SQL or
 
 from __future__ import annotations
 
-from rollbook.plans import votes
+from rollbook.plans import coverage, members, texts, timelines, votes
 
-MODULES = (votes,)
+MODULES = (votes, members, timelines, coverage, texts)
 
 
 def queries() -> dict:
