@@ -41,7 +41,7 @@ def headers(found: DataFrame) -> DataFrame:
 
 
 def _names(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit("([^\\s\\u3000]+(?:[\\s\\u3000][^\\s\\u3000君]+)?)君(?=[\\s\\u3000]|$)"), 1)
+    return F.regexp_extract_all(text, F.lit("([^\\s\\u3000君]+(?:[\\s\\u3000][^\\s\\u3000君]+)?)君(?=[\\s\\u3000]|$)"), 1)
 
 
 def attendees(header_lines: DataFrame) -> DataFrame:
