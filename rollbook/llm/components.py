@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.llm.scratch import cut
 
 
+def merge_join(left: DataFrame, right: DataFrame, on: Column | str, how: str = "inner") -> DataFrame:
+    """A join that stays a shuffle, however small a round's tables get: what a round broadcasts would stay with the driver."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node`` and ``comp`` (the smallest node reachable) of each node that has a link.
 
@@ -19,10 +24,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     both = cut(links.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x <> y").unionAll(links.select(F.col(b), F.col(a)).where(F.col(a) != F.col(b))).distinct())
     labels = cut(both.groupBy("x").agg(F.min("y").alias("least")).select(F.col("x").alias("node"), F.least("x", "least").alias("comp")))
     while True:
-        heard = both.join(labels, F.col("y") == F.col("node")).groupBy("x").agg(F.min("comp").alias("heard"))
-        lower = labels.join(heard, F.col("node") == F.col("x"), "left").select("node", F.col("comp").alias("old"), F.least("comp", "heard").alias("comp"))
+        heard = merge_join(both, labels, F.col("y") == F.col("node")).groupBy("x").agg(F.min("comp").alias("heard"))
+        lower = merge_join(labels, heard, F.col("node") == F.col("x"), "left").select("node", F.col("comp").alias("old"), F.least("comp", "heard").alias("comp"))
         root = lower.select(F.col("node").alias("root"), F.col("comp").alias("above"))
-        moved = cut(lower.join(root, F.col("comp") == F.col("root"), "left").select("node", "old", F.least("comp", "above").alias("comp")))
+        moved = cut(merge_join(lower, root, F.col("comp") == F.col("root"), "left").select("node", "old", F.least("comp", "above").alias("comp")))
         labels = moved.select("node", "comp")
         if not moved.where("comp <> old").limit(1).count():
             return labels

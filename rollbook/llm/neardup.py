@@ -4,13 +4,13 @@ Each distinct shingle set is posted under its coordinate-value pairs. Two sets
 that agree in ``least`` of ``coordinates`` places must share one of the rarest
 ``coordinates - least + 1`` of either (prefix); so the ``least - 1`` most
 frequent pairs of a set are skipped: they only count towards agreement and
-never bring sets together. Sets that agree often enough are confirmed on their
-full shingle sets.
+never bring sets together. This is done twice: a short signature of every set
+drops those that agree with no other in enough places, and a long one of the
+rest, with a sharper threshold, makes the lists. Sets that agree often enough
+are confirmed on their full shingle sets.
 
-Long lists are not expanded into pairs. A round compares a list's members with
-one of them; members that land in one component need no more comparing. What
-is left after a few rounds outside a list's largest component is compared with
-the whole list, so no link between components is lost.
+Long lists are not expanded into pairs (see ``linking``), and no link between
+components is lost.
 """
 
 from __future__ import annotations
@@ -20,18 +20,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollbook.llm.components import components
+from rollbook.llm.components import merge_join
+from rollbook.llm.linking import link
 from rollbook.llm.scratch import cut
-from rollbook.llm.words import Words, blocks, distinct, least_of_each, shingle_hashes
+from rollbook.llm.words import Words, blocks, distinct, least_of_each, mix, shingle_hashes
 
-# At Jaccard 0.8 a pair agrees in fewer than 15 of 32 coordinates about once in 100,000.
-COORDINATES, LEAST = 32, 15
-SHORT_LIST = 40  # lists up to this long are expanded into pairs
-ROUNDS = 3
+# (coordinates, least): at Jaccard 0.8 a pair agrees in fewer about once in 100,000 (short) and 40,000 (long).
+SHORT, LONG = (32, 15), (192, 131)
 SEND_NODES = 1_000_000  # up to so many ids are sent to every task instead of shuffling the texts
 
 
@@ -44,10 +43,15 @@ def _sets(texts: list[str | None], width: int):
             yield at + i, hashlib.blake2b(own.tobytes(), digest_size=16).digest(), own
 
 
+def row_key(id_col: str, text_col: str) -> list[Column]:
+    """``h1`` and ``h2``: 128 bits of id and text, by which a row is found again."""
+    return [F.xxhash64(id_col, text_col).alias("h1"), F.xxhash64(text_col, F.lit(7), id_col).alias("h2")]
+
+
 def signatures(docs: DataFrame, *, id_col: str, text_col: str, width: int, coordinates: int) -> DataFrame:
-    """``uid`` of each row, its id, size and key of its shingle set, and the signature (empty for an empty set)."""
-    source = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), F.col(text_col).alias("_text"))
-    schema = T.StructType([T.StructField("uid", T.LongType()), T.StructField("id", docs.schema[id_col].dataType), T.StructField("n", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("sig", T.ArrayType(T.LongType()))])
+    """``uid`` of each row, its id and row key, size and key of its shingle set, and the signature (empty for an empty set)."""
+    source = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), F.col(text_col).alias("_text"), *row_key(id_col, text_col))
+    schema = T.StructType([T.StructField("uid", T.LongType()), T.StructField("id", docs.schema[id_col].dataType), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("n", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("sig", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -63,18 +67,23 @@ def signatures(docs: DataFrame, *, id_col: str, text_col: str, width: int, coord
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sigs])]).astype(np.int32)
             values = np.concatenate(sigs) if sigs else np.zeros(0, np.int64)
             counts = np.concatenate(n) if n else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), batch.column(4), pa.array(counts), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=schema.names)
 
     return source.mapInArrow(run, schema)
 
 
-def _full_sets(docs: DataFrame, wanted: DataFrame, *, id_col: str, text_col: str, width: int) -> DataFrame:
-    """``node`` and its whole shingle set, for ``wanted`` (node, id, key)."""
+def _texts_of(docs: DataFrame, wanted: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
+    """``_text`` of the rows with a wanted id."""
     source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     ids = wanted.select(F.col("id").alias("_want")).distinct()
     if wanted.count() <= SEND_NODES:
         ids = F.broadcast(ids)
-    source = source.join(ids, F.col("_id").eqNullSafe(F.col("_want")), "left_semi").select("_text")
+    return source.join(ids, F.col("_id").eqNullSafe(F.col("_want")), "left_semi").select("_text")
+
+
+def _full_sets(docs: DataFrame, wanted: DataFrame, *, id_col: str, text_col: str, width: int) -> DataFrame:
+    """``node`` and its whole shingle set, for ``wanted`` (node, id, key)."""
+    source = _texts_of(docs, wanted, id_col=id_col, text_col=text_col)
     schema = T.StructType([T.StructField("_key", T.BinaryType()), T.StructField("hashes", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,102 +96,98 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, *, id_col: str, text_col: str
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], names=schema.names)
 
-    return source.mapInArrow(run, schema).join(wanted.select("node", "key"), F.col("_key") == F.col("key")).select("node", "hashes")
+    return merge_join(source.mapInArrow(run, schema), wanted.select("node", "key"), F.col("_key") == F.col("key")).select("node", "hashes")
+
+
+def _long_signatures(docs: DataFrame, wanted: DataFrame, *, id_col: str, text_col: str, width: int, coordinates: int) -> DataFrame:
+    """``node``, the signature as ``tokens``, and 16 bits of each coordinate as ``code``, for ``wanted`` (node, id, key)."""
+    schema = T.StructType([T.StructField("_key", T.BinaryType()), T.StructField("tokens", T.ArrayType(T.LongType())), T.StructField("code", T.ArrayType(T.ShortType(), False))])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                keys, sigs = [], []
+                for _, held in blocks(whole.column(0).slice(at, 500).to_pylist()):
+                    hashes, begins = distinct(*shingle_hashes(Words(held), width))
+                    sigs.append(least_of_each(hashes, begins, coordinates, seed=1))
+                    keys += [hashlib.blake2b(hashes[begins[i] : begins[i + 1]].tobytes(), digest_size=16).digest() for i in range(len(held))]
+                sig = np.concatenate(sigs)
+                ends = pa.array(np.arange(0, sig.size + 1, coordinates, dtype=np.int32))
+                # a value counts in its own coordinate alone
+                own = mix(sig + np.arange(coordinates, dtype=np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.ListArray.from_arrays(ends, pa.array(own.ravel().view(np.int64))), pa.ListArray.from_arrays(ends, pa.array((sig.ravel() >> np.uint64(32)).astype(np.uint16).view(np.int16)))], names=schema.names)
 
-class _Search:
-    """Links between the nodes (distinct shingle sets) of one run."""
+    found = _texts_of(docs, wanted, id_col=id_col, text_col=text_col).mapInArrow(run, schema)
+    return merge_join(found, wanted.select("node", "key"), F.col("_key") == F.col("key")).select("node", "tokens", "code").dropDuplicates(["node"])
 
-    def __init__(self, docs: DataFrame, nodes: DataFrame, posts: DataFrame, *, id_col: str, text_col: str, width: int, percent: int, least: int):
-        self.docs, self.nodes, self.posts = docs, nodes, posts
-        self.id_col, self.text_col, self.width, self.percent, self.least = id_col, text_col, width, percent, least
 
-    def close_in_size(self) -> Column:
-        """Sets of very unequal size can't reach the threshold."""
-        return (F.col("na") * 100 >= F.col("nb") * self.percent) & (F.col("nb") * 100 >= F.col("na") * self.percent)
+def agree(least: int):
+    """Whether two codes agree in at least ``least`` places."""
+    return lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x) >= least
 
-    def agreeing(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) that agree in enough coordinates, counted over whole signatures."""
-        one = self.nodes.select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
-        two = self.nodes.select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
-        return pairs.join(one, "a").join(two, "b").where(F.size(F.array_intersect("ta", "tb")) >= self.least).select("a", "b")
 
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """Pairs whose full sets reach the threshold, written once."""
+def _ranked(posts: DataFrame, least: int) -> DataFrame:
+    """``node`` and its (df, token) pairs that other nodes have too, rarest first; nodes with fewer than ``least`` are left out."""
+    shared = posts.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").withColumnRenamed("token", "_token")
+    return merge_join(posts, shared, F.col("token") == F.col("_token")).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ranked")).where(F.size("ranked") >= least)
+
+
+def _confirmed(docs: DataFrame, nodes: DataFrame, *, id_col: str, text_col: str, width: int, percent: int):
+    """Keeps pairs whose full sets reach the threshold, and writes them once."""
+
+    def run(pairs: DataFrame) -> DataFrame:
         pairs = cut(pairs)
-        named = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
-        wanted = cut(self.nodes.select("node", "id", "key").join(named, "node", "left_semi"))
-        sets = _full_sets(self.docs, wanted, id_col=self.id_col, text_col=self.text_col, width=self.width)
-        one, two = sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb"))
-        both = pairs.join(one, "a").join(two, "b").withColumn("both", F.size(F.array_intersect("ha", "hb")))
-        return cut(both.where(F.col("both") * 100 >= (F.size("ha") + F.size("hb") - F.col("both")) * self.percent).select("a", "b").distinct())
-
-    def short_lists(self) -> DataFrame:
-        light = self.posts.where(F.col("df") <= SHORT_LIST)
-        one = light.select("token", F.col("node").alias("a"), F.col("n").alias("na"))
-        two = light.select("token", F.col("node").alias("b"), F.col("n").alias("nb"))
-        return one.join(two, "token").where((F.col("a") < F.col("b")) & self.close_in_size()).select("a", "b").distinct()
-
-    def star(self, lists: DataFrame, turn: int) -> DataFrame:
-        """Each list's members against one of them that stands outside the list's largest component."""
-        place = F.struct(F.xxhash64("node", F.lit(turn)), "node", "n", "comp")
-        hubs = lists.where("rest").groupBy("token").agg(F.min(place).alias("hub")).select("token", "hub.*").toDF("token", "_", "a", "na", "hub_comp")
-        pairs = lists.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), "comp").join(hubs, "token")
-        return pairs.where((F.col("comp") != F.col("hub_comp")) & self.close_in_size()).select("a", "b").distinct()
-
-    def remaining(self, lists: DataFrame) -> DataFrame:
-        """All members outside their list's largest component against all members of other components."""
-        signed = self.nodes.select("node", "tokens")
-        one = lists.where("rest").join(signed, "node").select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("tokens").alias("ta"))
-        two = lists.join(signed, "node").select(F.col("token").alias("token_b"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("rest").alias("rb"), F.col("tokens").alias("tb"))
-        enough = (F.col("token") == F.col("token_b")) & (F.col("ca") != F.col("cb")) & self.close_in_size() & (~F.col("rb") | (F.col("a") < F.col("b"))) & (F.size(F.array_intersect("ta", "tb")) >= self.least)
-        return one.join(two, enough).select("a", "b").distinct()
-
-    def open_lists(self, found: DataFrame) -> DataFrame:
-        """Long lists that are not yet of one component: token, node, n, comp, and whether the member is outside the list's largest."""
-        long = self.posts.where(F.col("df") > SHORT_LIST)
-        known = found.select(F.col("node").alias("_node"), F.col("comp").alias("_comp"))
-        members = long.join(known, F.col("node") == F.col("_node"), "left").select("token", "node", "n", F.coalesce("_comp", "node").alias("comp"))
-        sizes = members.groupBy("token", "comp").agg(F.count("*").alias("size"))
-        most = sizes.groupBy("token").agg(F.max_by("comp", F.struct("size", "comp")).alias("largest"), F.count("*").alias("kinds")).where("kinds > 1").withColumnRenamed("token", "_token")
-        return cut(members.join(most, F.col("token") == F.col("_token")).select("token", "node", "n", "comp", (F.col("comp") != F.col("largest")).alias("rest")))
-
-
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, coordinates: int = COORDINATES, least: int = LEAST) -> DataFrame:
+        named = pairs.select(F.col("a").alias("_named")).unionAll(pairs.select("b")).distinct()
+        wanted = cut(merge_join(nodes.select("node", "id", "key"), named, F.col("node") == F.col("_named"), "left_semi"))
+        sets = _full_sets(docs, wanted, id_col=id_col, text_col=text_col, width=width)
+        one, two = sets.select(F.col("node").alias("_a"), F.col("hashes").alias("ha")), sets.select(F.col("node").alias("_b"), F.col("hashes").alias("hb"))
+        both = merge_join(merge_join(pairs, one, F.col("a") == F.col("_a")), two, F.col("b") == F.col("_b")).withColumn("both", F.size(F.array_intersect("ha", "hb")))
+        return cut(both.where(F.col("both") * 100 >= (F.size("ha") + F.size("hb") - F.col("both")) * percent).select("a", "b").distinct())
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, short: tuple[int, int] = SHORT, long: tuple[int, int] = LONG) -> DataFrame:
     """Every row with the component of its near-duplicates.
 
     Two rows are linked where 100 * |both sets| >= ``percent`` * |either set|,
     over their distinct ``width``-word shingles (all words if fewer). Rows:
-    ``uid`` (the row's own), ``id``, ``n`` (set size), ``first_id`` (smallest
+    ``uid`` (the row's own), ``id``, ``h1`` and ``h2`` (its key), ``n`` (set size), ``first_id`` (smallest
     id of the component, nulls last), ``first`` (whether the row itself is the
     component's first: smallest id, then smallest uid). Null, empty and
     wordless texts have no shingles and stand alone; equal sets are one node,
     whatever their number; equal ids are told apart by ``uid``.
     """
-    base = cut(signatures(docs, id_col=id_col, text_col=text_col, width=width, coordinates=coordinates))
-    classes = cut(base.where("n > 0").groupBy("key").agg(F.min("uid").alias("node")))
+    base = cut(signatures(docs, id_col=id_col, text_col=text_col, width=width, coordinates=short[0]))
+    classes = base.where("n > 0").groupBy("key").agg(F.min("uid").alias("node"))
     heads = base.join(classes.select("node"), F.col("uid") == F.col("node")).select("node", "id", "key", "n", "sig")
-    posts = heads.select("node", F.explode("sig").alias("token"))
-    shared = posts.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").withColumnRenamed("token", "_token")
-    listed = posts.join(shared, F.col("token") == F.col("_token")).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ranked")).where(F.size("ranked") >= least)
-    nodes = cut(heads.drop("sig").join(listed, "node").select("*", F.transform("ranked", lambda x: x["token"]).alias("tokens")))
-    prefix = cut(nodes.select("node", "n", F.inline(F.slice("ranked", F.lit(1), F.size("ranked") - (least - 1)))))
-    search = _Search(docs, nodes, prefix, id_col=id_col, text_col=text_col, width=width, percent=percent, least=least)
-
-    links = search.confirmed(search.agreeing(search.short_lists()))
-    found = components(links)
-    for turn in range(ROUNDS + 1):
-        lists = search.open_lists(found)
-        if not lists.limit(1).count():
-            break
-        pairs = search.agreeing(search.star(lists, turn)) if turn < ROUNDS else search.remaining(lists)
-        links = cut(links.unionAll(search.confirmed(pairs)))
-        found = components(links)
-
-    members = base.select("uid", "id", "n", "key").join(classes.withColumnRenamed("key", "_key"), F.col("key") == F.col("_key"), "left")
+    likely = _ranked(heads.select("node", F.explode("sig").alias("token")), short[1]).select(F.col("node").alias("_node"))
+    nodes = cut(merge_join(heads.drop("sig"), likely, F.col("node") == F.col("_node")).drop("_node"))
+    signed = cut(_long_signatures(docs, nodes, id_col=id_col, text_col=text_col, width=width, coordinates=long[0]))
+    listed = _ranked(signed.select("node", F.explode("tokens").alias("token")), long[1]).withColumnRenamed("node", "_node")
+    weight = F.aggregate("ranked", F.lit(0).cast("long"), lambda sum_, x: sum_ + x["df"])
+    prefix = F.slice("ranked", F.lit(1), F.size("ranked") - (long[1] - 1))
+    posts = cut(merge_join(nodes, listed, F.col("node") == F.col("_node")).select("node", "n", weight.alias("weight"), F.inline(prefix)))
+    confirmed = _confirmed(docs, nodes, id_col=id_col, text_col=text_col, width=width, percent=percent)
+    _, found = link(posts, confirmed, percent=percent, codes=signed.select("node", "code"), alike=agree(long[1]))
+
+    members = base.select("uid", "id", "h1", "h2", "n", "key").join(classes.withColumnRenamed("key", "_key"), F.col("key") == F.col("_key"), "left")
     known = found.withColumnRenamed("node", "_node")
-    placed = members.join(known, F.col("node") == F.col("_node"), "left").select("uid", "id", "n", F.coalesce("comp", "node", F.when(F.col("n") == 0, -F.col("uid") - 1)).alias("comp"))
+    placed = members.join(known, F.col("node") == F.col("_node"), "left").select("uid", "id", "h1", "h2", "n", F.coalesce("comp", "node", F.when(F.col("n") == 0, -F.col("uid") - 1)).alias("comp"))
     placed = cut(placed)
     order = F.struct(F.col("id").isNull(), "id", "uid")
     firsts = placed.groupBy("comp").agg(F.min(order).alias("least")).withColumnRenamed("comp", "_comp")
-    return placed.join(firsts, F.col("comp") == F.col("_comp")).select("uid", "id", "n", F.col("least.id").alias("first_id"), (F.col("uid") == F.col("least.uid")).alias("first"))
+    return placed.join(firsts, F.col("comp") == F.col("_comp")).select("uid", "id", "h1", "h2", "n", F.col("least.id").alias("first_id"), (F.col("uid") == F.col("least.uid")).alias("first"))
+
+
+def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """The first row of each component of near-duplicates, with all its columns; rows without words all stay.
+
+    Of rows equal in id and text one stays.
+    """
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, width=width, percent=percent)
+    kept = found.where("first").select(F.col("h1").alias("_k1"), F.col("h2").alias("_k2"))
+    keyed = docs.select("*", *[k.alias("_" + n) for k, n in zip(row_key(id_col, text_col), ("h1", "h2"), strict=True)])
+    held = merge_join(keyed, kept, (F.col("_h1") == F.col("_k1")) & (F.col("_h2") == F.col("_k2")), "left_semi")
+    once = held.withColumn("_nth", F.row_number().over(Window.partitionBy("_h1", "_h2").orderBy("_h1")))
+    return once.where("_nth = 1").select(*docs.columns)
