@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollbook.llm import bpe, decontam, langid, neardup, scratch, sketch, tokenfile, toxicity, urlfilter, warc
+from rollbook.llm import bpe, decontam, langid, neardup, passages, scratch, sketch, tokenfile, toxicity, urlfilter, warc
 from rollbook.llm.wordcode import default_vocabulary
 from rollbook.session import table
 
@@ -60,6 +60,12 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document that loses text to an earlier one, and for each that it loses it to."""
+    found = passages.removed(table(spark, sf_dir, "documents")).where("_spans > 0")
+    return found.select("doc_id", F.explode("_keepers").alias("first_doc_id"), F.col("_spans").alias("n_repeats"), (F.length("text") - F.length("_clean")).alias("chars_removed"), F.sha2("_clean", 256).alias("clean_sha256"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), default_vocabulary())
 
@@ -86,6 +92,7 @@ def queries() -> dict:
         "op6_toxicity": op6_toxicity,
         "op7_token_file": op7_token_file,
         "op8_language": op8_language,
+        "op9_repeated_passages": op9_repeated_passages,
         "op10_bpe": op10_bpe,
     }
 
