@@ -27,8 +27,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id",
 
     ``rules``: host, path, verdict. A rule fits its host and all subdomains
     where the URL's path starts with the rule's path. Each URL becomes
-    host-suffix and path-prefix expressions (paths cut at the lengths that
-    rules have), which meet the rules by the first ``prefix_hex`` digits of
+    host-suffix and path-prefix expressions (as many labels and letters as rules
+    have), which meet the rules by the first ``prefix_hex`` digits of
     their SHA-256; the full digest then confirms. The longest rule wins; of
     equally long ones the longer host, and of one rule given twice, block.
     Distinct URLs are judged once, so a hot URL costs no more than a rare one.
@@ -44,14 +44,17 @@ def filter_urls(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id",
     ).withColumn("r_prefix", F.substring("r_digest", 1, prefix_hex))
     if rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES:
         rule = F.broadcast(rule)
-    # one number for each length that a rule's path has: grows with the longest path, not with the rules
-    lengths = [r[0] for r in rules.select(F.length("path")).distinct().collect() if r[0] is not None]
-    wanted = F.array(*[F.lit(n) for n in sorted(lengths)]).cast("array<int>")
+    # one number for each length that a rule's path has, and for each number of labels of its host: they grow with the longest, not with the rules
+    def lengths(c: Column) -> Column:
+        found = [r[0] for r in rules.select(c).distinct().collect() if r[0] is not None]
+        return F.array(*[F.lit(n) for n in sorted(found)]).cast("array<int>")
+
+    path_lengths, host_labels = lengths(F.length("path")), lengths(F.size(F.split("host", r"\.")))
 
     urls = pages.select(F.col(url_col).alias("_url")).distinct().select("_url", host.alias("_host"), path.alias("_path"))
     labels = F.split("_host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    starts = F.transform(F.filter(wanted, lambda n: n <= F.length("_path")), lambda n: F.substr("_path", F.lit(1), n))
+    suffixes = F.transform(F.filter(host_labels, lambda n: n <= F.size(labels)), lambda n: F.array_join(F.slice(labels, F.size(labels) - n + 1, n), "."))
+    starts = F.transform(F.filter(path_lengths, lambda n: n <= F.length("_path")), lambda n: F.substr("_path", F.lit(1), n))
     spread = (
         urls.withColumn("_suffix", F.explode(suffixes)).withColumn("_start", F.explode(starts))
         .withColumn("_digest", F.sha2(F.concat_ws("\n", "_suffix", "_start"), 256))
