@@ -21,7 +21,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     moves. Every round is written to the shared folder, so a lost executor
     costs one round at most. No links: no rows.
     """
-    both = cut(links.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x <> y").unionAll(links.select(F.col(b), F.col(a)).where(F.col(a) != F.col(b))).distinct())
+    ways = F.array(F.struct(F.col(a).alias("x"), F.col(b).alias("y")), F.struct(F.col(b).alias("x"), F.col(a).alias("y")))
+    both = cut(links.where(F.col(a) != F.col(b)).select(F.inline(ways)).distinct())
     labels = cut(both.groupBy("x").agg(F.min("y").alias("least")).select(F.col("x").alias("node"), F.least("x", "least").alias("comp")))
     while True:
         heard = merge_join(both, labels, F.col("y") == F.col("node")).groupBy("x").agg(F.min("comp").alias("heard"))
@@ -29,5 +30,5 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         root = lower.select(F.col("node").alias("root"), F.col("comp").alias("above"))
         moved = cut(merge_join(lower, root, F.col("comp") == F.col("root"), "left").select("node", "old", F.least("comp", "above").alias("comp")))
         labels = moved.select("node", "comp")
-        if not moved.where("comp <> old").limit(1).count():
+        if moved.where("comp <> old").isEmpty():
             return labels

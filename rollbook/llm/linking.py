@@ -30,27 +30,27 @@ Pairs = Callable[[DataFrame], DataFrame]
 Alike = Callable[[Column, Column], Column]
 
 
-def close_in_size(percent: int) -> Column:
-    """Sets of very unequal size can't reach the threshold."""
-    return (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
+def may_reach(percent: int) -> Column:
+    """Whether sets a and b can reach the threshold: no more than ``s`` of a set's ``n`` members are in any other set."""
+    return F.least("sa", "sb") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
 
 
 def _short(posts: DataFrame, percent: int) -> DataFrame:
     light = posts.where(F.col("df") <= SHORT_LIST)
-    one = light.select("token", F.col("node").alias("a"), F.col("n").alias("na"))
-    two = light.select(F.col("token").alias("token_b"), F.col("node").alias("b"), F.col("n").alias("nb"))
-    return merge_join(one, two, F.col("token") == F.col("token_b")).where((F.col("a") < F.col("b")) & close_in_size(percent)).select("a", "b")
+    one = light.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"))
+    two = light.select(F.col("token").alias("token_b"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"))
+    return merge_join(one, two, (F.col("token") == F.col("token_b")) & (F.col("a") < F.col("b")) & may_reach(percent)).select("a", "b")
 
 
 def _star(lists: DataFrame, turn: int, percent: int) -> DataFrame:
     """Each list's members against hubs from outside the list's largest component."""
-    hub = F.struct("node", "n", "comp")
+    hub = F.struct("node", "n", "s", "comp")
     chosen = [F.max_by(hub, F.struct("weight", "node")), *[F.min_by(hub, F.xxhash64("node", F.lit(turn * HUBS + i))) for i in range(HUBS)]]
     hubs = lists.where("rest").groupBy("token").agg(F.array_distinct(F.array(*chosen)).alias("hubs"))
-    members = lists.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), "comp")
-    pairs = merge_join(members, hubs.withColumnRenamed("token", "token_b"), F.col("token") == F.col("token_b")).select("b", "nb", "comp", F.inline("hubs"))
-    pairs = pairs.toDF("b", "nb", "comp", "a", "na", "hub_comp")
-    return pairs.where((F.col("comp") != F.col("hub_comp")) & close_in_size(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    members = lists.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"), "comp")
+    pairs = merge_join(members, hubs.withColumnRenamed("token", "token_b"), F.col("token") == F.col("token_b")).select("b", "nb", "sb", "comp", F.inline("hubs"))
+    pairs = pairs.toDF("b", "nb", "sb", "comp", "a", "na", "sa", "hub_comp")
+    return pairs.where((F.col("comp") != F.col("hub_comp")) & may_reach(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def _remaining(lists: DataFrame, percent: int, codes: DataFrame | None, alike: Alike | None) -> DataFrame:
@@ -59,21 +59,21 @@ def _remaining(lists: DataFrame, percent: int, codes: DataFrame | None, alike: A
         lists = merge_join(lists, codes.select(F.col("node").alias("_node"), "code"), F.col("node") == F.col("_node")).drop("_node")
     else:
         lists = lists.withColumn("code", F.lit(None))
-    one = lists.where("rest").select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("code").alias("code_a"))
-    two = lists.select(F.col("token").alias("token_b"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("rest").alias("rb"), F.col("code").alias("code_b"))
-    fits = (F.col("token") == F.col("token_b")) & (F.col("ca") != F.col("cb")) & close_in_size(percent) & (~F.col("rb") | (F.col("a") < F.col("b")))
+    one = lists.where("rest").select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"), F.col("comp").alias("ca"), F.col("code").alias("code_a"))
+    two = lists.select(F.col("token").alias("token_b"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"), F.col("comp").alias("cb"), F.col("rest").alias("rb"), F.col("code").alias("code_b"))
+    fits = (F.col("token") == F.col("token_b")) & (F.col("ca") != F.col("cb")) & may_reach(percent) & (~F.col("rb") | (F.col("a") < F.col("b")))
     if alike is not None:
         fits = fits & alike(F.col("code_a"), F.col("code_b"))
     return merge_join(one, two, fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def _open_lists(long: DataFrame, found: DataFrame) -> DataFrame:
-    """Long lists that are not yet of one component: token, node, n, weight, comp, and whether the member is outside the list's largest."""
+    """Long lists that are not yet of one component: token, node, n, s, weight, comp, and whether the member is outside the list's largest."""
     known = found.select(F.col("node").alias("_node"), F.col("comp").alias("_comp"))
-    members = merge_join(long, known, F.col("node") == F.col("_node"), "left").select("token", "node", "n", "weight", F.coalesce("_comp", "node").alias("comp"))
+    members = merge_join(long, known, F.col("node") == F.col("_node"), "left").select("token", "node", "n", "s", "weight", F.coalesce("_comp", "node").alias("comp"))
     sizes = members.groupBy("token", "comp").agg(F.count("*").alias("size"))
     most = sizes.groupBy("token").agg(F.max_by("comp", F.struct("size", "comp")).alias("largest"), F.count("*").alias("kinds")).where("kinds > 1").withColumnRenamed("token", "_token")
-    return merge_join(members, most, F.col("token") == F.col("_token")).select("token", "node", "n", "weight", "comp", (F.col("comp") != F.col("largest")).alias("rest"))
+    return merge_join(members, most, F.col("token") == F.col("_token")).select("token", "node", "n", "s", "weight", "comp", (F.col("comp") != F.col("largest")).alias("rest"))
 
 
 def _agreeing(pairs: DataFrame, codes: DataFrame | None, alike: Alike | None) -> DataFrame:
@@ -87,8 +87,9 @@ def _agreeing(pairs: DataFrame, codes: DataFrame | None, alike: Alike | None) ->
 def link(posts: DataFrame, confirmed: Pairs, *, percent: int, codes: DataFrame | None = None, alike: Alike | None = None) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) that join all of each component, and the component of each linked node.
 
-    ``posts``: token, node, n (the size of the node's set), weight and df
-    (nodes under the token), with each node once under a token. ``codes``
+    ``posts``: token, node, n (the size of the node's set), s (how many of its
+    members other sets may have), weight and df (nodes under the token), with
+    each node once under a token. ``codes``
     (node, code) and ``alike`` (of two codes) thin pairs out cheaply;
     ``confirmed`` writes those that hold.
     """

@@ -6,7 +6,9 @@ that agree in ``least`` of ``coordinates`` places must share one of the rarest
 frequent pairs of a set are skipped: they only count towards agreement and
 never bring sets together. This is done twice: a short signature of every set
 drops those that agree with no other in enough places, and a long one of the
-rest, with a sharper threshold, makes the lists. Sets that agree often enough
+rest, with a sharper threshold, makes the lists. Two sets can only reach the
+threshold if enough of their shingles are in other sets at all, which drops
+edited copies that are too far from everything. Sets that agree often enough
 are confirmed on their full shingle sets.
 
 Long lists are not expanded into pairs (see ``linking``), and no link between
@@ -34,15 +36,6 @@ SHORT, LONG = (32, 15), (192, 131)
 SEND_NODES = 1_000_000  # up to so many ids are sent to every task instead of shuffling the texts
 
 
-def _sets(texts: list[str | None], width: int):
-    """(index, key, hashes) of each text's shingle set; the key is a digest of the whole set."""
-    for at, held in blocks(texts):
-        hashes, begins = distinct(*shingle_hashes(Words(held), width))
-        for i in range(len(held)):
-            own = hashes[begins[i] : begins[i + 1]]
-            yield at + i, hashlib.blake2b(own.tobytes(), digest_size=16).digest(), own
-
-
 def row_key(id_col: str, text_col: str) -> list[Column]:
     """``h1`` and ``h2``: 128 bits of id and text, by which a row is found again."""
     return [F.xxhash64(id_col, text_col).alias("h1"), F.xxhash64(text_col, F.lit(7), id_col).alias("h2")]
@@ -81,44 +74,28 @@ def _texts_of(docs: DataFrame, wanted: DataFrame, *, id_col: str, text_col: str)
     return source.join(ids, F.col("_id").eqNullSafe(F.col("_want")), "left_semi").select("_text")
 
 
-def _full_sets(docs: DataFrame, wanted: DataFrame, *, id_col: str, text_col: str, width: int) -> DataFrame:
-    """``node`` and its whole shingle set, for ``wanted`` (node, id, key)."""
-    source = _texts_of(docs, wanted, id_col=id_col, text_col=text_col)
-    schema = T.StructType([T.StructField("_key", T.BinaryType()), T.StructField("hashes", T.ArrayType(T.LongType()))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                keys, sets = [], []
-                for _, key, own in _sets(whole.column(0).slice(at, 500).to_pylist(), width):
-                    keys.append(key)
-                    sets.append(own.view(np.int64))
-                ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], names=schema.names)
-
-    return merge_join(source.mapInArrow(run, schema), wanted.select("node", "key"), F.col("_key") == F.col("key")).select("node", "hashes")
-
-
 def _long_signatures(docs: DataFrame, wanted: DataFrame, *, id_col: str, text_col: str, width: int, coordinates: int) -> DataFrame:
-    """``node``, the signature as ``tokens``, and 16 bits of each coordinate as ``code``, for ``wanted`` (node, id, key)."""
-    schema = T.StructType([T.StructField("_key", T.BinaryType()), T.StructField("tokens", T.ArrayType(T.LongType())), T.StructField("code", T.ArrayType(T.ShortType(), False))])
+    """``node``, the signature as ``tokens``, 16 bits of each coordinate as ``code``, and the whole set as ``hashes``, for ``wanted`` (node, id, key)."""
+    schema = T.StructType([T.StructField("_key", T.BinaryType()), T.StructField("tokens", T.ArrayType(T.LongType())), T.StructField("code", T.ArrayType(T.ShortType(), False)), T.StructField("hashes", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
-                keys, sigs = [], []
+                keys, sigs, sets, sizes = [], [], [], [np.zeros(1, np.int64)]
                 for _, held in blocks(whole.column(0).slice(at, 500).to_pylist()):
                     hashes, begins = distinct(*shingle_hashes(Words(held), width))
                     sigs.append(least_of_each(hashes, begins, coordinates, seed=1))
+                    sets.append(hashes)
+                    sizes.append(np.diff(begins))
                     keys += [hashlib.blake2b(hashes[begins[i] : begins[i + 1]].tobytes(), digest_size=16).digest() for i in range(len(held))]
                 sig = np.concatenate(sigs)
                 ends = pa.array(np.arange(0, sig.size + 1, coordinates, dtype=np.int32))
                 # a value counts in its own coordinate alone
                 own = mix(sig + np.arange(coordinates, dtype=np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.ListArray.from_arrays(ends, pa.array(own.ravel().view(np.int64))), pa.ListArray.from_arrays(ends, pa.array((sig.ravel() >> np.uint64(32)).astype(np.uint16).view(np.int16)))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.ListArray.from_arrays(ends, pa.array(own.ravel().view(np.int64))), pa.ListArray.from_arrays(ends, pa.array((sig.ravel() >> np.uint64(32)).astype(np.uint16).view(np.int16))), pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(sizes)).astype(np.int32)), pa.array(np.concatenate(sets).view(np.int64)))], names=schema.names)
 
     found = _texts_of(docs, wanted, id_col=id_col, text_col=text_col).mapInArrow(run, schema)
-    return merge_join(found, wanted.select("node", "key"), F.col("_key") == F.col("key")).select("node", "tokens", "code").dropDuplicates(["node"])
+    return merge_join(found, wanted.select("node", "key"), F.col("_key") == F.col("key")).select("node", "tokens", "code", "hashes").dropDuplicates(["node"])
 
 
 def agree(least: int):
@@ -132,21 +109,25 @@ def _ranked(posts: DataFrame, least: int) -> DataFrame:
     return merge_join(posts, shared, F.col("token") == F.col("_token")).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ranked")).where(F.size("ranked") >= least)
 
 
-def _confirmed(docs: DataFrame, nodes: DataFrame, *, id_col: str, text_col: str, width: int, percent: int):
-    """Keeps pairs whose full sets reach the threshold, and writes them once."""
+def _confirmed(sets: DataFrame, percent: int):
+    """Keeps pairs whose full sets (node, hashes) reach the threshold, and writes them once."""
+    one, two = sets.select(F.col("node").alias("_a"), F.col("hashes").alias("ha")), sets.select(F.col("node").alias("_b"), F.col("hashes").alias("hb"))
+    both = F.size(F.array_intersect("ha", "hb"))
 
     def run(pairs: DataFrame) -> DataFrame:
-        pairs = cut(pairs)
-        named = pairs.select(F.col("a").alias("_named")).unionAll(pairs.select("b")).distinct()
-        wanted = cut(merge_join(nodes.select("node", "id", "key"), named, F.col("node") == F.col("_named"), "left_semi"))
-        sets = _full_sets(docs, wanted, id_col=id_col, text_col=text_col, width=width)
-        one, two = sets.select(F.col("node").alias("_a"), F.col("hashes").alias("ha")), sets.select(F.col("node").alias("_b"), F.col("hashes").alias("hb"))
-        both = merge_join(merge_join(pairs, one, F.col("a") == F.col("_a")), two, F.col("b") == F.col("_b")).withColumn("both", F.size(F.array_intersect("ha", "hb")))
-        return cut(both.where(F.col("both") * 100 >= (F.size("ha") + F.size("hb") - F.col("both")) * percent).select("a", "b").distinct())
+        held = merge_join(pairs, one, F.col("a") == F.col("_a"))
+        enough = both * 100 >= (F.size("ha") + F.size("hb") - both) * percent
+        return cut(merge_join(held, two, (F.col("b") == F.col("_b")) & enough).select("a", "b").distinct())
 
     return run
 
 
+def _shared_sizes(sets: DataFrame) -> DataFrame:
+    """``_of`` and how many members of its set (node, hashes) no other set has, for sets with any such."""
+    held = sets.select("node", F.explode("hashes").alias("h")).groupBy("h").agg(F.min("node").alias("_of"), F.max("node").alias("_last"))
+    return held.where("_of = _last").groupBy("_of").agg(F.count("*").alias("_alone"))
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, short: tuple[int, int] = SHORT, long: tuple[int, int] = LONG) -> DataFrame:
     """Every row with the component of its near-duplicates.
 
@@ -167,9 +148,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     listed = _ranked(signed.select("node", F.explode("tokens").alias("token")), long[1]).withColumnRenamed("node", "_node")
     weight = F.aggregate("ranked", F.lit(0).cast("long"), lambda sum_, x: sum_ + x["df"])
     prefix = F.slice("ranked", F.lit(1), F.size("ranked") - (long[1] - 1))
-    posts = cut(merge_join(nodes, listed, F.col("node") == F.col("_node")).select("node", "n", weight.alias("weight"), F.inline(prefix)))
-    confirmed = _confirmed(docs, nodes, id_col=id_col, text_col=text_col, width=width, percent=percent)
-    _, found = link(posts, confirmed, percent=percent, codes=signed.select("node", "code"), alike=agree(long[1]))
+    shared = merge_join(nodes.select("node", "n"), _shared_sizes(signed), F.col("node") == F.col("_of"), "left").select("node", "n", (F.col("n") - F.coalesce("_alone", F.lit(0))).alias("s"))
+    fit = shared.where(F.col("s") * 100 >= F.col("n") * percent)
+    posts = merge_join(fit, listed, F.col("node") == F.col("_node")).select("node", "n", "s", weight.alias("weight"), F.inline(prefix))
+    df = posts.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").withColumnRenamed("token", "_token")
+    posts = cut(merge_join(posts.drop("df"), df, F.col("token") == F.col("_token")).select("token", "node", "n", "s", "weight", "df"))
+    _, found = link(posts, _confirmed(signed.select("node", "hashes"), percent), percent=percent, codes=signed.select("node", "code"), alike=agree(long[1]))
 
     members = base.select("uid", "id", "h1", "h2", "n", "key").join(classes.withColumnRenamed("key", "_key"), F.col("key") == F.col("_key"), "left")
     known = found.withColumnRenamed("node", "_node")

@@ -81,7 +81,7 @@ def test_components(spark):
 
 def test_long_lists_lose_no_link(spark):
     n = linking.SHORT_LIST * 3
-    posts = spark.createDataFrame([("t", i, 10, 0, n) for i in range(n)], "token string, node long, n long, weight long, df long")
+    posts = spark.createDataFrame([("t", i, 10, 10, 0, n) for i in range(n)], "token string, node long, n long, s long, weight long, df long")
     # only nodes of the same remainder are alike: a star from one hub finds one of seven components
     links, found = linking.link(posts, lambda pairs: pairs.where("a % 7 = b % 7"), percent=80)
     assert {r.node: r.comp for r in found.collect()} == {i: i % 7 for i in range(n)}
