@@ -9,6 +9,7 @@ its white-space-free pieces put together, and pieces can be remembered.
 from __future__ import annotations
 
 import json
+import re
 from array import array
 from collections.abc import Callable
 from unicodedata import is_normalized, normalize
@@ -19,6 +20,9 @@ import regex
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 WORD_END = "</w>"
+# The same word pattern where all letters are ASCII and lower-case.
+ASCII_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+"
+_CONTROL = re.compile(r"[\x00-\x20]")
 
 
 def default_vocabulary() -> str:
@@ -54,50 +58,61 @@ class Vocabulary:
 class PieceCoder:
     """Ids of whole texts from a function that codes one word, given in the byte alphabet.
 
-    Remembers pieces and words up to ``most`` entries each, then starts afresh:
-    memory stays bounded whatever the vocabulary of the corpus.
+    Remembers pieces and words in two generations of up to ``most`` entries
+    each: when the young one is full it becomes the old one, and what is met
+    again moves to the young. Frequent words stay, and memory is bounded
+    whatever the vocabulary of the corpus.
     """
 
-    def __init__(self, vocabulary: Vocabulary, code_word: Callable[[str], list[int]], most: int = 250_000):
+    def __init__(self, vocabulary: Vocabulary, code_word: Callable[[str], list[int]], most: int = 300_000):
         self.special = vocabulary.special
         self.code_word, self.most = code_word, most
         self.letters = byte_alphabet()
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
         self.word_pattern = regex.compile(WORDS)
+        self.ascii_words = re.compile(ASCII_WORDS)
         self.space = regex.compile(SPACE)
         self.cut_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def _word(self, word: str) -> bytes:
         got = self.words.get(word)
         if got is None:
-            if len(self.words) >= self.most:
-                self.words.clear()
-            letters = self.letters
-            got = array("I", self.code_word("".join([letters[b] for b in word.encode("utf-8", "replace")]))).tobytes()
+            got = self.old_words.get(word)
+            if got is None:
+                letters = self.letters
+                spelt = word if word.isascii() and word.isalnum() else "".join([letters[b] for b in word.encode("utf-8", "replace")])
+                got = array("I", self.code_word(spelt)).tobytes()
             if len(word) < 64:
+                if len(self.words) >= self.most:
+                    self.old_words, self.words = self.words, {}
                 self.words[word] = got
         return got
 
     def _plain(self, piece: str) -> bytes:
-        if not piece.isascii():
-            if not is_normalized("NFC", piece):
-                piece = normalize("NFC", piece)
-            # each letter is lower-cased on its own: no final sigma
-            piece = piece.replace("Σ", "σ")
-        return b"".join(map(self._word, self.word_pattern.findall(piece.lower())))
+        if piece.isascii():
+            low = piece.lower()
+            if low.isalpha():
+                return self._word(low)
+            return b"".join(map(self._word, (self.word_pattern if _CONTROL.search(low) else self.ascii_words).findall(low)))
+        if not is_normalized("NFC", piece):
+            piece = normalize("NFC", piece)
+        # each letter is lower-cased on its own: no final sigma
+        return b"".join(map(self._word, self.word_pattern.findall(piece.replace("Σ", "σ").lower())))
 
     def _piece(self, piece: str) -> bytes:
-        got = self.pieces.get(piece)
+        got = self.old_pieces.get(piece)
         if got is None:
-            if len(self.pieces) >= self.most:
-                self.pieces.clear()
             if self.cut_special and "<" in piece:
                 got = b"".join(array("I", [self.special[x]]).tobytes() if x in self.special else self._plain(x) for x in self.cut_special.split(piece) if x)
             else:
                 got = self._plain(piece)
-            if len(piece) < 64:
-                self.pieces[piece] = got
+        if len(piece) < 64:
+            if len(self.pieces) >= self.most:
+                self.old_pieces, self.pieces = self.pieces, {}
+            self.pieces[piece] = got
         return got
 
     def encode(self, text: str | None) -> bytes:
@@ -109,5 +124,5 @@ class PieceCoder:
             pieces = [p for p in self.space.split(text) if p]
         else:
             pieces = text.split()
-        known = self.pieces
-        return b"".join([known.get(p) or self._piece(p) for p in pieces])
+        known = self.pieces.get
+        return b"".join([known(p) or self._piece(p) for p in pieces])
