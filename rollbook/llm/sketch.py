@@ -98,16 +98,16 @@ def _buckets(docs: DataFrame, id_col: str) -> tuple[Column, list]:
     return found, borders
 
 
-def with_next(docs: DataFrame, columns: list[str], *, id_col: str) -> DataFrame:
-    """``docs`` with a struct ``next`` of ``columns`` of the document with the next id, the first after the last.
+def with_next(docs: DataFrame, columns: dict[str, Column], *, id_col: str) -> DataFrame:
+    """``docs`` with ``columns``, and a struct ``next`` of those of the document with the next id, the first after the last.
 
     One shuffle, by runs of consecutive ids; a run's last document gets the
     next run's first from a second reading of those border documents alone.
     Null ids come first; rows with equal ids follow each other by text hash.
     """
     bucket, borders = _buckets(docs, id_col)
-    order = F.struct(*[F.col(c) for c in columns])
-    rows = docs.withColumn("_bucket", bucket).withColumn("_extra", F.lit(0))
+    order, tie = F.struct(*[F.col(c) for c in columns]), F.xxhash64(*[c for c in docs.columns if c != id_col])
+    rows = docs.withColumns({"_tie": tie, "_bucket": bucket, "_extra": F.lit(0)}).withColumns(columns)
     least = F.coalesce(F.min(F.when(F.col(id_col).isNull(), F.lit(True))), F.lit(False)).alias("nulls"), F.min(id_col).alias("id")
     first = docs.agg(*least).first()
     spark = docs.sparkSession
@@ -115,11 +115,12 @@ def with_next(docs: DataFrame, columns: list[str], *, id_col: str) -> DataFrame:
     heads = [(i, b) for i, b in enumerate(borders)] + [(len(borders), None if first.nulls else first.id)]
     id_type = docs.schema[id_col].dataType.simpleString()
     ahead = spark.createDataFrame(heads, f"_run int, _border {id_type}")
-    firsts = docs.join(F.broadcast(ahead), F.col(id_col).eqNullSafe(F.col("_border"))).groupBy("_run").agg(F.min_by(order, F.xxhash64(*columns)).alias("_own"))
-    extra = firsts.select("_own.*", F.col("_run").alias("_bucket"), F.lit(1).alias("_extra"))
+    whole = F.struct(*[F.col(c) for c in docs.columns])
+    firsts = docs.join(F.broadcast(ahead), F.col(id_col).eqNullSafe(F.col("_border"))).groupBy("_run").agg(F.min_by(whole, tie).alias("_own"))
+    extra = firsts.select("_own.*", F.col("_run").alias("_bucket"), F.lit(1).alias("_extra")).withColumns({"_tie": tie, **columns})
     both = rows.unionByName(extra, allowMissingColumns=True)
-    run = Window.partitionBy("_bucket").orderBy("_extra", F.col(id_col).asc_nulls_first(), F.xxhash64(*columns))
-    return both.withColumn("next", F.lead(order).over(run)).where("_extra = 0").drop("_bucket", "_extra")
+    run = Window.partitionBy("_bucket").orderBy("_extra", F.col(id_col).asc_nulls_first(), "_tie")
+    return both.withColumn("next", F.lead(order).over(run)).where("_extra = 0").drop("_bucket", "_extra", "_tie")
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, fraction: int = FRACTION) -> DataFrame:
@@ -135,8 +136,8 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     repeated rows, equal ids (ordered by text hash) and null ids (first) are
     all kept; other columns of ``docs`` are left out; no rows give no rows.
     """
-    own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("sketch", sketch(F.col("text"), width=width, fraction=fraction))
-    rows = with_next(own, ["text", "sketch"], id_col="id")
+    own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = with_next(own, {"text": F.col("text"), "sketch": sketch(F.col("text"), width=width, fraction=fraction)}, id_col="id")
     quarter = F.floor(F.length("text") / 4).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), F.length("text") - quarter), F.substr(F.col("next.text"), F.lit(1), quarter))
     rows = rows.withColumn("edited", edited).withColumn("edited_sketch", sketch(F.col("edited"), width=width, fraction=fraction))
