@@ -4,10 +4,11 @@ A paragraph is a line of a text. Long lines are looked at again in passages of
 ``PASSAGE`` words, so that a passage set in the midst of different words is
 found too: of any ``EVERY`` neighbouring places, the one with the least hash
 begins a passage, so two copies of ``PASSAGE + EVERY - 1`` words or more share
-at least one. Each unit (paragraph or passage) has a short MinHash signature
-cut into bands; units that share a band are joined, their exact Jaccard
-likeness is verified, and links are gathered into components. Of a component,
-the document with the least id keeps its text; the others lose it.
+at least one. Each paragraph has a short MinHash signature cut into bands;
+paragraphs that share a band are joined, their exact Jaccard likeness is
+verified, and links are gathered into components. A passage has so few
+shingles that its one band is the whole set: equal passages are one. Of a
+component, the document with the least id keeps its text; the others lose it.
 """
 
 from __future__ import annotations
@@ -34,7 +35,6 @@ SHORTEST = 24  # words in the shortest unit: briefer lines repeat innocently
 PASSAGE, EVERY = 24, 27  # words; two copies of 50 words share a passage
 ROWS = 2  # coordinates in a band: at the threshold a band is shared with probability 0.64
 BANDS = 4  # bands of a line: 0.98 of pairs at the threshold share one
-PASSAGE_BANDS = 2  # bands of a passage, of which a repeated text has several
 
 LINE_END = re.compile("\n")
 
@@ -66,7 +66,7 @@ def _lines(words: Words, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return which[keep], firsts[keep], ends[keep]
 
 
-def _unit_spans(words: Words, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _unit_spans(words: Words, texts: int, passages: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Text, first word, end word and whether it is a passage of each unit of a block."""
     which, firsts, ends = _lines(words, texts)
     long = ends - firsts >= SHORTEST
@@ -74,7 +74,7 @@ def _unit_spans(words: Words, texts: int) -> tuple[np.ndarray, np.ndarray, np.nd
     h = words.hashes
     grams = mix(h[:-2] * np.uint64(3) + h[1:-1] * np.uint64(5) + h[2:]) if len(h) > 2 else np.zeros(0, np.uint64)
     for t, a, z in zip(which[long], firsts[long], ends[long], strict=True):
-        if z - a > PASSAGE:
+        if passages and z - a > PASSAGE:
             at = a + _least_places(grams[a : z - PASSAGE + 1], EVERY)
             out.append((np.full(len(at), t), at, at + PASSAGE, np.ones(len(at), bool)))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
@@ -105,11 +105,11 @@ UNITS = T.StructType([
 ])
 
 
-def _units(texts: list[str | None]):
-    """(text, words, spans, sets, node) of the units of a few texts at a time, each kind of content once a text."""
+def _units(texts: list[str | None], passages: bool = True):
+    """(first text, words, spans, sets, node) of the units of a few texts at a time, lines before passages."""
     for at, held in blocks(texts):
         words = Words(held)
-        which, firsts, ends, passage = _unit_spans(words, len(held))
+        which, firsts, ends, passage = _unit_spans(words, len(held), passages)
         if len(which):
             hashes, begins = _unit_sets(words, firsts, ends)
             # the set's hashes are well mixed, so their sum tells sets apart
@@ -127,12 +127,13 @@ def units(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
             for low in range(0, whole.num_rows, 500):
                 batch = whole.slice(low, 500)
                 for at, words, which, firsts, ends, passage, hashes, begins, node in _units(batch.column(2).to_pylist()):
-                    sig = least_of_each(hashes, begins, BANDS * ROWS)
-                    bands = np.zeros((len(which), BANDS), np.uint64)
+                    lines = int((~passage).sum())  # they stand before the passages
+                    sig = least_of_each(hashes[: begins[lines]], begins[: lines + 1], BANDS * ROWS)
+                    bands = np.zeros((lines, BANDS), np.uint64)
                     for b in range(BANDS):
                         bands[:, b] = mix(mix(sig[:, b * ROWS] + np.uint64(b)) + sig[:, b * ROWS + 1])
-                    held = np.where(passage, PASSAGE_BANDS, BANDS)
-                    bands = bands[np.arange(BANDS) < held[:, None]].view(np.int64)
+                    held = np.where(passage, 0, BANDS)
+                    bands = bands.ravel().view(np.int64)
                     places = pa.array(which + at)
                     base = words.first[which]
                     yield pa.RecordBatch.from_arrays([
@@ -154,10 +155,10 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, *, id_col: str, text_col: str)
         for whole in batches:
             for low in range(0, whole.num_rows, 200):
                 batch = whole.slice(low, 200)
-                wanted_of = batch.column(1).to_pylist()
+                wanted_of = [set(x) for x in batch.column(1).to_pylist()]
                 nodes, sets = [], []
-                for at, _, which, _, _, _, hashes, begins, node in _units(batch.column(0).to_pylist()):
-                    sought = np.unique(np.concatenate([np.array(x, np.int64) for x in wanted_of]))
+                for at, _, which, _, _, _, hashes, begins, node in _units(batch.column(0).to_pylist(), passages=False):
+                    sought = np.unique(np.concatenate([np.fromiter(x, np.int64, len(x)) for x in wanted_of]))
                     for i in np.flatnonzero(np.isin(node, sought)):
                         if node[i] in wanted_of[which[i] + at]:
                             nodes.append(node[i])
@@ -175,11 +176,11 @@ def _confirmed(docs: DataFrame, holders: DataFrame, *, id_col: str, text_col: st
     def run(pairs: DataFrame) -> DataFrame:
         pairs = cut(pairs)
         named = pairs.select(F.col("a").alias("_named")).unionAll(pairs.select("b")).distinct()
-        wanted = merge_join(holders, named, F.col("node") == F.col("_named"), "left_semi").groupBy("node").agg(F.min("h").alias("h"))
-        sets = cut(_sets_of(docs, wanted, id_col=id_col, text_col=text_col).dropDuplicates(["node"]))
+        wanted = merge_join(holders, named, F.col("node") == F.col("_named"), "left_semi")
+        sets = _sets_of(docs, wanted, id_col=id_col, text_col=text_col)
         one, two = sets.select(F.col("node").alias("_a"), F.col("hashes").alias("ha")), sets.select(F.col("node").alias("_b"), F.col("hashes").alias("hb"))
         both = merge_join(merge_join(pairs, one, F.col("a") == F.col("_a")), two, F.col("b") == F.col("_b")).withColumn("both", F.size(F.array_intersect("ha", "hb")))
-        return cut(both.where(F.col("both") * 100 >= (F.size("ha") + F.size("hb") - F.col("both")) * percent).select("a", "b"))
+        return cut(both.where(F.col("both") * 100 >= (F.size("ha") + F.size("hb") - F.col("both")) * percent).select("a", "b").distinct())
 
     return run
 
@@ -189,30 +190,33 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     Rows: ``id``, ``h`` (hash of id and text), ``start`` and ``end`` (words of
     the whole text), ``passage`` and ``first_id``, the id of the document that
-    keeps the unit's component: the smallest, nulls last. Repeats within a
-    text, lines under ``SHORTEST`` words, and null and empty texts have none;
+    keeps the unit's component: the smallest, null where all are null. Repeats
+    within a text or among texts of one id, lines under ``SHORTEST`` words, and null and empty texts have none;
     rows equal in id and text count as one document.
     """
     spark = docs.sparkSession
     path = scratch.new_path(spark, "units")
     units(docs, id_col=id_col, text_col=text_col).write.parquet(path)
     found = spark.read.parquet(path)
-    holder = F.struct(F.col("id").isNull().alias("none"), "id", "h")
-    # each node under each of its bands once, whatever the number of its copies
-    posts = found.select("node", "n", F.explode("bands").alias("token")).distinct()
+    # each line under each of its bands once, whatever the number of its copies
+    lines = found.where("NOT passage").groupBy("node").agg(F.min("n").alias("n"), F.min("h").alias("h"), F.min_by("bands", "h").alias("bands"))
+    lines = cut(lines)
+    posts = lines.select("node", "n", F.explode("bands").alias("token"))
     shared = posts.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").withColumnRenamed("token", "_token")
-    posts = cut(merge_join(posts, shared, F.col("token") == F.col("_token")).select("token", "node", "n", "df", F.lit(0).cast("long").alias("weight")))
-    confirmed = _confirmed(docs, found.select("node", "h"), id_col=id_col, text_col=text_col, percent=percent)
+    posts = cut(merge_join(posts, shared, F.col("token") == F.col("_token")).select("token", "node", "n", F.col("n").alias("s"), "df", F.lit(0).cast("long").alias("weight")))
+    confirmed = _confirmed(docs, lines.select("node", "h"), id_col=id_col, text_col=text_col, percent=percent)
     _, linked = link(posts, confirmed, percent=percent)
 
-    first = found.groupBy("node").agg(F.min(holder).alias("first"), F.max(holder).alias("last"))
+    # documents are told apart by h; the least id keeps the text, and among null ids the least h
+    first = found.groupBy("node").agg(F.min("id").alias("keeper"), F.min("h").alias("h0"), F.max("h").alias("h1"))
     known = linked.select(F.col("node").alias("_node"), "comp")
-    placed = merge_join(first, known, F.col("node") == F.col("_node"), "left").select("node", "first", "last", "comp")
-    of_comp = placed.where("comp is not null").groupBy("comp").agg(F.min("first").alias("comp_first")).withColumnRenamed("comp", "_comp")
-    placed = merge_join(placed, of_comp, F.col("comp") == F.col("_comp"), "left").select(F.col("node").alias("_node"), F.coalesce("comp_first", "first").alias("keeper"), "last")
-    several = placed.where("last <> keeper").select("_node", "keeper")
+    of_comp = merge_join(first, known, F.col("node") == F.col("_node")).groupBy("comp").agg(F.min("keeper").alias("keeper"), F.min("h0").alias("h0"))
+    of_linked = merge_join(known, of_comp.withColumnRenamed("comp", "_comp"), F.col("comp") == F.col("_comp")).select("_node", "keeper", "h0")
+    alone = merge_join(first.where("h0 <> h1"), linked.select(F.col("node").alias("_linked")), F.col("node") == F.col("_linked"), "left_anti")
+    several = alone.select(F.col("node").alias("_node"), "keeper", "h0").unionAll(of_linked)
     hit = merge_join(found.select("id", "h", "start", "end", "passage", "node"), several, F.col("node") == F.col("_node"))
-    return hit.where(~holder.eqNullSafe(F.col("keeper"))).select("id", "h", "start", "end", "passage", F.col("keeper.id").alias("first_id"))
+    keeps = F.col("id").eqNullSafe(F.col("keeper")) & (F.col("id").isNotNull() | (F.col("h") == F.col("h0")))
+    return hit.where(~keeps).select("id", "h", "start", "end", "passage", F.col("keeper").alias("first_id"))
 
 
 def _cut_out(text: str, spans: list[tuple[int, int]]) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -26,9 +27,17 @@ def new_path(spark: SparkSession, kind: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder, so that later jobs read it and lost executors cost no rerun."""
+    """``df`` written once to the shared folder, so that later jobs read it and lost executors cost no rerun.
+
+    What earlier rounds hold (plans in the driver, shuffle files on the
+    executors' disks) goes when the driver collects its garbage, so that is
+    done here: in a loop it would otherwise pile up.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
