@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 from rollbook.llm import scratch
 from rollbook.llm.components import merge_join
 from rollbook.llm.linking import link
+from rollbook.llm.neardup import _confirmed as confirmed, _shared_sizes as shared_sizes
 from rollbook.llm.scratch import cut
 from rollbook.llm.words import Words, blocks, distinct, least_of_each, mix, shingle_hashes
 
@@ -170,19 +171,22 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, *, id_col: str, text_col: str)
     return source.mapInArrow(run, schema)
 
 
-def _confirmed(docs: DataFrame, holders: DataFrame, *, id_col: str, text_col: str, percent: int):
-    """Keeps pairs of units whose sets reach the threshold, and writes them once."""
+def _line_links(docs: DataFrame, lines: DataFrame, *, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """The component of each line (node, n, h, bands) that is like another: joined by bands, verified on whole sets."""
+    posts = lines.select("node", "n", F.explode("bands").alias("token"))
 
-    def run(pairs: DataFrame) -> DataFrame:
-        pairs = cut(pairs)
-        named = pairs.select(F.col("a").alias("_named")).unionAll(pairs.select("b")).distinct()
-        wanted = merge_join(holders, named, F.col("node") == F.col("_named"), "left_semi")
-        sets = _sets_of(docs, wanted, id_col=id_col, text_col=text_col)
-        one, two = sets.select(F.col("node").alias("_a"), F.col("hashes").alias("ha")), sets.select(F.col("node").alias("_b"), F.col("hashes").alias("hb"))
-        both = merge_join(merge_join(pairs, one, F.col("a") == F.col("_a")), two, F.col("b") == F.col("_b")).withColumn("both", F.size(F.array_intersect("ha", "hb")))
-        return cut(both.where(F.col("both") * 100 >= (F.size("ha") + F.size("hb") - F.col("both")) * percent).select("a", "b").distinct())
+    def listed(posts: DataFrame) -> DataFrame:
+        shared = posts.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").withColumnRenamed("token", "_token")
+        return merge_join(posts, shared, F.col("token") == F.col("_token")).drop("_token")
 
-    return run
+    posts = cut(listed(posts).drop("df"))
+    met = posts.select(F.col("node").alias("_met")).distinct()
+    wanted = merge_join(lines.select("node", "h"), met, F.col("node") == F.col("_met"), "left_semi")
+    sets = cut(_sets_of(docs, wanted, id_col=id_col, text_col=text_col).dropDuplicates(["node"]))
+    # lines that share too few shingles with all others can't be like any
+    sized = merge_join(posts, shared_sizes(sets), F.col("node") == F.col("_of"), "left").withColumn("s", F.col("n") - F.coalesce("_alone", F.lit(0))).where(F.col("s") * 100 >= F.col("n") * percent)
+    posts = cut(listed(sized.select("token", "node", "n", "s")).withColumn("weight", F.col("s")))
+    return link(posts, confirmed(sets, percent), percent=percent)[1]
 
 
 def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -201,11 +205,7 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     # each line under each of its bands once, whatever the number of its copies
     lines = found.where("NOT passage").groupBy("node").agg(F.min("n").alias("n"), F.min("h").alias("h"), F.min_by("bands", "h").alias("bands"))
     lines = cut(lines)
-    posts = lines.select("node", "n", F.explode("bands").alias("token"))
-    shared = posts.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").withColumnRenamed("token", "_token")
-    posts = cut(merge_join(posts, shared, F.col("token") == F.col("_token")).select("token", "node", "n", F.col("n").alias("s"), "df", F.lit(0).cast("long").alias("weight")))
-    confirmed = _confirmed(docs, lines.select("node", "h"), id_col=id_col, text_col=text_col, percent=percent)
-    _, linked = link(posts, confirmed, percent=percent)
+    linked = _line_links(docs, lines, id_col=id_col, text_col=text_col, percent=percent)
 
     # documents are told apart by h; the least id keeps the text, and among null ids the least h
     first = found.groupBy("node").agg(F.min("id").alias("keeper"), F.min("h").alias("h0"), F.max("h").alias("h1"))
