@@ -21,7 +21,7 @@ from rollbook.llm.components import components, merge_join
 from rollbook.llm.scratch import cut
 
 SHORT_LIST = 40  # lists up to this long are expanded into pairs
-HUBS = 2  # chosen by hash in each round, beside the heaviest member
+HUBS = 2  # chosen by hash in each round but the first, beside the heaviest member
 ROUNDS = 2  # of hubs, at most
 FEW_PAIRS = 50  # for each member of an open list: so many pairs are compared without another round
 LEAST_PAIRS = 20_000_000  # and so many in any case: they are thinned out before they are shuffled
@@ -43,9 +43,13 @@ def _short(posts: DataFrame, percent: int) -> DataFrame:
 
 
 def _star(lists: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Each list's members against hubs from outside the list's largest component."""
+    """Each list's members against hubs from outside the list's largest component.
+
+    The first round takes the heaviest alone: it is the same in most lists of
+    a group, so the group's pairs stay about as many as its members.
+    """
     hub = F.struct("node", "n", "s", "comp")
-    chosen = [F.max_by(hub, F.struct("weight", "node")), *[F.min_by(hub, F.xxhash64("node", F.lit(turn * HUBS + i))) for i in range(HUBS)]]
+    chosen = [F.max_by(hub, F.struct("weight", "node")), *[F.min_by(hub, F.xxhash64("node", F.lit(turn * HUBS + i))) for i in range(HUBS if turn else 0)]]
     hubs = lists.where("rest").groupBy("token").agg(F.array_distinct(F.array(*chosen)).alias("hubs"))
     members = lists.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"), "comp")
     pairs = merge_join(members, hubs.withColumnRenamed("token", "token_b"), F.col("token") == F.col("token_b")).select("b", "nb", "sb", "comp", F.inline("hubs"))
