@@ -1,8 +1,8 @@
 """Substring dedup: paragraphs that repeat across documents, by MinHash banding.
 
-A paragraph is a line of a text. Long lines are looked at again in passages of
-``PASSAGE`` words, so that a passage set in the midst of different words is
-found too: of any ``EVERY`` neighbouring places, the one with the least hash
+A paragraph is a line of a text. Texts are looked at again in passages of
+``PASSAGE`` words, whatever their line breaks, so that a passage set in the midst
+of different words or wrapped otherwise is found too: of any ``EVERY`` neighbouring places, the one with the least hash
 begins a passage, so two copies of ``PASSAGE + EVERY - 1`` words or more share
 at least one. Each paragraph has a short MinHash signature cut into bands;
 paragraphs that share a band are joined, their exact Jaccard likeness is
@@ -74,8 +74,8 @@ def _unit_spans(words: Words, texts: int, passages: bool) -> tuple[np.ndarray, n
     out = [(which[long], firsts[long], ends[long], np.zeros(int(long.sum()), bool))]
     h = words.hashes
     grams = mix(h[:-2] * np.uint64(3) + h[1:-1] * np.uint64(5) + h[2:]) if len(h) > 2 else np.zeros(0, np.uint64)
-    for t, a, z in zip(which[long], firsts[long], ends[long], strict=True):
-        if passages and z - a > PASSAGE:
+    for t, (a, z) in enumerate(zip(words.first[:texts], words.first[1 : texts + 1], strict=True)):
+        if passages and z - a >= PASSAGE:
             at = a + _least_places(grams[a : z - PASSAGE + 1], EVERY)
             out.append((np.full(len(at), t), at, at + PASSAGE, np.ones(len(at), bool)))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))

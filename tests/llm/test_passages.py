@@ -68,3 +68,12 @@ def test_cutting_out():
     assert cut("a b c\nd e f\ng h", [(3, 6)]) == "a b c\ng h"
     assert cut("a b c\nd e f", [(0, 3)]) == "d e f"
     assert cut("a b c", [(0, 2), (1, 3)]) == ""
+
+
+def test_passages_run_over_line_breaks(spark):
+    shared = words(60, "b")
+    wrapped = ["\n".join(" ".join(shared[i : i + n]) for i in range(0, 60, n)) for n in (9, 13)]
+    docs = spark.createDataFrame([(1, line(30) + "\n" + wrapped[0] + "\n" + line(30)), (2, line(40) + " " + wrapped[1] + " " + line(50)), (3, line(80))], "doc_id long, text string")
+    got = {r.doc_id: r for r in passages.removed(docs).collect()}
+    assert got[1]._spans == got[3]._spans == 0 and got[2]._keepers == [1]
+    assert len(got[2]._clean) < len(got[2].text)
