@@ -7,8 +7,9 @@ begins a passage, so two copies of ``PASSAGE + EVERY - 1`` words or more share
 at least one. Each paragraph has a short MinHash signature cut into bands;
 paragraphs that share a band are joined, their exact Jaccard likeness is
 verified, and links are gathered into components. A passage has so few
-shingles that its one band is the whole set: equal passages are one. Of a
-component, the document with the least id keeps its text; the others lose it.
+shingles that its one band is the whole set: equal passages are one, and each
+is widened, word by word, to all that its text and the keeper's have in common
+around it. Of a component, the document with the least id keeps its text; the others lose it.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,6 +36,7 @@ PERCENT = 80  # likeness of paragraphs that are copies
 SHORTEST = 24  # words in the shortest unit: briefer lines repeat innocently
 PASSAGE, EVERY = 24, 27  # words; two copies of 50 words share a passage
 ROWS = 2  # coordinates in a band: at the threshold a band is shared with probability 0.64
+REACH = 64  # words on either side of a found passage that are held against the keeper's text
 BANDS = 4  # bands of a line: 0.98 of pairs at the threshold share one
 
 LINE_END = re.compile("\n")
@@ -208,28 +210,135 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     linked = _line_links(docs, lines, id_col=id_col, text_col=text_col, percent=percent)
 
     # documents are told apart by h; the least id keeps the text, and among null ids the least h
-    first = found.groupBy("node").agg(F.min("id").alias("keeper"), F.min("h").alias("h0"), F.max("h").alias("h1"))
+    keeps = F.col("id").eqNullSafe(F.col("keeper")) & (F.col("id").isNotNull() | (F.col("h") == F.col("h0")))
+    first = found.where("NOT passage").groupBy("node").agg(F.min("id").alias("keeper"), F.min("h").alias("h0"), F.max("h").alias("h1"))
     known = linked.select(F.col("node").alias("_node"), "comp")
     of_comp = merge_join(first, known, F.col("node") == F.col("_node")).groupBy("comp").agg(F.min("keeper").alias("keeper"), F.min("h0").alias("h0"))
     of_linked = merge_join(known, of_comp.withColumnRenamed("comp", "_comp"), F.col("comp") == F.col("_comp")).select("_node", "keeper", "h0")
     alone = merge_join(first.where("h0 <> h1"), linked.select(F.col("node").alias("_linked")), F.col("node") == F.col("_linked"), "left_anti")
     several = alone.select(F.col("node").alias("_node"), "keeper", "h0").unionAll(of_linked)
-    hit = merge_join(found.select("id", "h", "start", "end", "passage", "node"), several, F.col("node") == F.col("_node"))
-    keeps = F.col("id").eqNullSafe(F.col("keeper")) & (F.col("id").isNotNull() | (F.col("h") == F.col("h0")))
-    return hit.where(~keeps).select("id", "h", "start", "end", "passage", F.col("keeper").alias("first_id"))
+    hit = merge_join(found.where("NOT passage").select("id", "h", "start", "end", "node"), several, F.col("node") == F.col("_node"))
+    of_lines = hit.where(~keeps).select("id", "h", "start", "end", F.lit(False).alias("passage"), F.col("keeper").alias("first_id"))
+
+    seeds = found.where("passage").select("id", "h", "start", "end", "node")
+    shared = seeds.groupBy("node").agg(F.min("h").alias("h0"), F.max("h").alias("h1")).where("h0 <> h1").select(F.col("node").alias("_node"))
+    held = cut(merge_join(seeds, shared, F.col("node") == F.col("_node")).drop("_node"))
+    return of_lines.unionAll(_widened(docs, _runs(held), id_col=id_col, text_col=text_col, percent=percent))
+
+
+def _runs(held: DataFrame) -> DataFrame:
+    """Found passages (id, h, start, end, node) that follow one another in the same way in the keeper's text, as one.
+
+    Rows: the document, the words ``start`` to ``end`` of its text, the
+    keeper's ``keeper`` and ``kh``, and where the run begins in its text (``at``).
+    """
+    order = F.struct(F.col("id").isNull(), F.col("id").alias("id"), F.col("h").alias("h"), F.col("start").alias("start"))
+    first = held.groupBy(F.col("node").alias("_node")).agg(F.min(order).alias("first"))
+    hit = merge_join(held, first, F.col("node") == F.col("_node")).select("id", "h", "start", "end", F.col("first.id").alias("keeper"), F.col("first.h").alias("kh"), F.col("first.start").alias("at"))
+    hit = hit.where(~(F.col("id").eqNullSafe(F.col("keeper")) & (F.col("id").isNotNull() | (F.col("h") == F.col("kh")))))
+    by_way = Window.partitionBy("h", "id", "kh", F.col("start") - F.col("at")).orderBy("start")
+    apart = F.coalesce(F.col("start") > F.lag("end").over(by_way), F.lit(True))
+    numbered = hit.withColumn("_new", apart.cast("int")).withColumn("_run", F.sum("_new").over(by_way.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy("id", "h", "keeper", "kh", (F.col("start") - F.col("at")).alias("_way"), "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("at").alias("at")).drop("_way", "_run")
+
+
+def _around(docs: DataFrame, runs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
+    """16 bits of each of the ``REACH`` words before and after each run in its keeper's text (kh, at, size)."""
+    asked = runs.select("kh", "at", (F.col("end") - F.col("start")).alias("size")).distinct()
+    asked = asked.groupBy("kh").agg(F.collect_list(F.struct("at", "size")).alias("asked"))
+    source = docs.select(F.xxhash64(id_col, text_col).alias("_h"), F.col(text_col).alias("_text"))
+    source = merge_join(source, asked, F.col("_h") == F.col("kh")).select("_text", "kh", "asked")
+    schema = T.StructType([T.StructField("_kh", T.LongType()), T.StructField("_at", T.IntegerType()), T.StructField("_size", T.IntegerType()), T.StructField("before", T.BinaryType()), T.StructField("after", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for low in range(0, whole.num_rows, 200):
+                batch = whole.slice(low, 200)
+                out = [[] for _ in schema]
+                for text, kh, asked in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    w = _short_hashes(text)
+                    for x in asked:
+                        a, z = x["at"], x["at"] + x["size"]
+                        for held, value in zip(out, (kh, a, x["size"], w[max(0, a - REACH) : a].tobytes(), w[z : z + REACH].tobytes()), strict=True):
+                            held.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=schema.names)
+
+    return source.mapInArrow(run, schema).dropDuplicates(["_kh", "_at", "_size"])
+
+
+def _short_hashes(text: str) -> np.ndarray:
+    return (Words([text.encode("utf-8", "replace")]).hashes >> np.uint64(48)).astype(np.uint16)
+
+
+def _same(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the run that both begin with."""
+    n = min(len(a), len(b))
+    apart = np.flatnonzero(a[:n] != b[:n])
+    return int(apart[0]) if len(apart) else n
+
+
+def _blocks(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
+    """What both have in common from their beginnings: (words of ``a`` and of ``b`` passed over, length of the run)."""
+    return [(0, 0, _same(a, b))]
+
+
+def _widest(left: list[tuple[int, int, int]], right: list[tuple[int, int, int]], size: int, percent: int) -> tuple[int, int]:
+    """How many words to the left and right of a run of ``size`` the passage reaches."""
+    return left[0][2], right[0][2]
+
+
+def _widened(docs: DataFrame, runs: DataFrame, *, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """Runs as the whole passages that their documents and the keepers' have in common."""
+    runs = cut(runs)
+    around = _around(docs, runs, id_col=id_col, text_col=text_col)
+    on = (F.col("kh") == F.col("_kh")) & (F.col("at") == F.col("_at")) & (F.col("end") - F.col("start") == F.col("_size"))
+    by_doc = merge_join(runs, around, on).groupBy("h", "id").agg(F.collect_list(F.struct("start", "end", "keeper", "before", "after")).alias("runs"))
+    source = docs.select(F.xxhash64(id_col, text_col).alias("_h"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    source = merge_join(source, by_doc, (F.col("_h") == F.col("h")) & F.col("_id").eqNullSafe(F.col("id"))).select("id", "h", "_text", "runs")
+    names = ["id", "h", "start", "end", "passage", "first_id"]
+    id_type = source.schema["id"].dataType
+    schema = T.StructType([T.StructField(n, t) for n, t in zip(names, (id_type, T.LongType(), T.IntegerType(), T.IntegerType(), T.BooleanType(), id_type), strict=True)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for low in range(0, whole.num_rows, 200):
+                batch = whole.slice(low, 200)
+                which, keepers, starts, ends = [], [], [], []
+                for i, (text, runs) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                    w = _short_hashes(text)
+                    spans: dict = {}
+                    for x in runs:
+                        a, z = x["start"], x["end"]
+                        before, after = np.frombuffer(x["before"], np.uint16), np.frombuffer(x["after"], np.uint16)
+                        left, right = _widest(_blocks(w[max(0, a - 2 * REACH) : a][::-1], before[::-1]), _blocks(w[z : z + 2 * REACH], after), z - a, percent)
+                        if left + right + z - a >= PASSAGE:
+                            spans.setdefault(x["keeper"], []).append((a - left, z + right))
+                    for keeper, of_keeper in spans.items():
+                        for a, z in _merged(of_keeper):
+                            which.append(i), keepers.append(keeper), starts.append(a), ends.append(z)
+                if which:
+                    at = pa.array(which)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array([True] * len(which)), pa.array(keepers, batch.column(0).type)], names=names)
+
+    return source.mapInArrow(run, schema)
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans that touch as one."""
+    out: list[list[int]] = []
+    for a, z in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], z)
+        else:
+            out.append([a, z])
+    return [(a, z) for a, z in out]
 
 
 def _cut_out(text: str, spans: list[tuple[int, int]]) -> str:
     """``text`` without the words of ``spans``; lines left without a word go with their line end."""
     words = list(re.finditer(r"[^\x20\x09-\x0D]+", text))
-    places = []
-    for a, z in sorted(spans):
-        if places and a <= places[-1][1]:
-            places[-1][1] = max(places[-1][1], z)
-        else:
-            places.append([a, z])
     out, at = [], 0
-    for a, z in places:
+    for a, z in _merged(spans):
         out.append(text[at : words[a].start()])
         at = words[z].start() if z < len(words) else len(text)
         if z < len(words) and "\n" in text[words[z - 1].end() : at] and out[-1] and not out[-1].endswith("\n"):

@@ -77,3 +77,17 @@ def test_passages_run_over_line_breaks(spark):
     got = {r.doc_id: r for r in passages.removed(docs).collect()}
     assert got[1]._spans == got[3]._spans == 0 and got[2]._keepers == [1]
     assert len(got[2]._clean) < len(got[2].text)
+
+
+def test_no_word_of_a_repeat_is_left(spark):
+    rows, shared = [], {}
+    for n in (50, 51, 55, 60, 77, 120, 200):
+        shared[n] = words(n, "q")
+        rows += [(n, line(RNG.randrange(1, 60)) + " " + " ".join(shared[n]) + " " + line(45)), (1000 + n, line(RNG.randrange(1, 60)) + " " + " ".join(shared[n]) + " " + line(35))]
+    for r in passages.removed(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        if r.doc_id < 1000:
+            assert r._clean == r.text and r._spans == 0
+        else:
+            planted = set(shared[r.doc_id - 1000])
+            assert r._clean.split() == [w for w in r.text.split() if w not in planted]
+            assert r._spans == 1 and r._keepers == [r.doc_id - 1000]
