@@ -1,15 +1,20 @@
 """Substring dedup: paragraphs that repeat across documents, by MinHash banding.
 
-A paragraph is a line of a text. Texts are looked at again in passages of
-``PASSAGE`` words, whatever their line breaks, so that a passage set in the midst
-of different words or wrapped otherwise is found too: of any ``EVERY`` neighbouring places, the one with the least hash
-begins a passage, so two copies of ``PASSAGE + EVERY - 1`` words or more share
-at least one. Each paragraph has a short MinHash signature cut into bands;
-paragraphs that share a band are joined, their exact Jaccard likeness is
-verified, and links are gathered into components. A passage has so few
-shingles that its one band is the whole set: equal passages are one, and each
-is widened, word by word, to all that its text and the keeper's have in common
-around it. Of a component, the document with the least id keeps its text; the others lose it.
+A paragraph is a line of a text. Each has a short MinHash signature cut into
+bands; paragraphs that share a band are joined, their exact Jaccard likeness is
+verified, and links are gathered into components.
+
+Texts are looked at again whatever their line breaks, so that a passage set in
+the midst of different words or wrapped otherwise is found too. Of any ``EVERY``
+neighbouring places, the one with the least hash begins a seed of ``SEED``
+words, so texts that share ``SEED + EVERY - 1`` words in a row share a seed; two
+passages of 50 words or more within the threshold do, as no more edits fit. A
+seed is widened to the passage around it, over edits, and the passage's
+Jaccard likeness is verified. Seeds whose first document has them among other
+words are sought again by all runs of ``SEED + EVERY - 1`` words that hold them.
+
+Of a component or a seed, the document with the least id keeps its text; the
+others lose it.
 """
 
 from __future__ import annotations
@@ -34,7 +39,9 @@ from rollbook.llm.words import Words, blocks, distinct, least_of_each, mix, shin
 WIDTH = 5  # words in a shingle
 PERCENT = 80  # likeness of paragraphs that are copies
 SHORTEST = 24  # words in the shortest unit: briefer lines repeat innocently
-PASSAGE, EVERY = 24, 27  # words; two copies of 50 words share a passage
+PASSAGE = 24  # words in the shortest repeat within other words
+SEED, EVERY = 12, 14  # words; two texts that share 25 words in a row share a seed
+GAP = 12  # words that an edit within a passage may change at most
 ROWS = 2  # coordinates in a band: at the threshold a band is shared with probability 0.64
 REACH = 64  # words on either side of a found passage that are held against the keeper's text
 BANDS = 4  # bands of a line: 0.98 of pairs at the threshold share one
@@ -77,9 +84,9 @@ def _unit_spans(words: Words, texts: int, passages: bool) -> tuple[np.ndarray, n
     h = words.hashes
     grams = mix(h[:-2] * np.uint64(3) + h[1:-1] * np.uint64(5) + h[2:]) if len(h) > 2 else np.zeros(0, np.uint64)
     for t, (a, z) in enumerate(zip(words.first[:texts], words.first[1 : texts + 1], strict=True)):
-        if passages and z - a >= PASSAGE:
-            at = a + _least_places(grams[a : z - PASSAGE + 1], EVERY)
-            out.append((np.full(len(at), t), at, at + PASSAGE, np.ones(len(at), bool)))
+        if passages and z - a >= SEED:
+            at = a + _least_places(grams[a : z - SEED + 1], EVERY)
+            out.append((np.full(len(at), t), at, at + SEED, np.ones(len(at), bool)))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -220,14 +227,52 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     hit = merge_join(found.where("NOT passage").select("id", "h", "start", "end", "node"), several, F.col("node") == F.col("_node"))
     of_lines = hit.where(~keeps).select("id", "h", "start", "end", F.lit(False).alias("passage"), F.col("keeper").alias("first_id"))
 
-    seeds = found.where("passage").select("id", "h", "start", "end", "node")
+    held = _in_several(found.where("passage").select("id", "h", "start", "end", "node"))
+    wide = _widened(docs, _runs(held), id_col=id_col, text_col=text_col, percent=percent)
+    # the first document may hold a seed among other words than those that later ones share
+    failed = wide.where("NOT passage").select(F.col("h").alias("_h"), F.col("start").alias("a"), F.col("end").alias("z"))
+    doubtful = merge_join(held, failed, (F.col("h") == F.col("_h")) & F.col("start").between(F.col("a"), F.col("z"))).select(F.col("node").alias("_node")).distinct()
+    again = merge_join(held, doubtful, F.col("node") == F.col("_node"), "left_semi")
+    held = _in_several(_windows_of(docs, again, id_col=id_col, text_col=text_col))
+    wider = _widened(docs, _runs(held), id_col=id_col, text_col=text_col, percent=percent)
+    return of_lines.unionAll(wide.where("passage")).unionAll(wider.where("passage"))
+
+
+def _in_several(seeds: DataFrame) -> DataFrame:
+    """Those of the seeds (id, h, start, end, node) that more than one document has."""
     shared = seeds.groupBy("node").agg(F.min("h").alias("h0"), F.max("h").alias("h1")).where("h0 <> h1").select(F.col("node").alias("_node"))
-    held = cut(merge_join(seeds, shared, F.col("node") == F.col("_node")).drop("_node"))
-    return of_lines.unionAll(_widened(docs, _runs(held), id_col=id_col, text_col=text_col, percent=percent))
+    return cut(merge_join(seeds, shared, F.col("node") == F.col("_node")).drop("_node"))
+
+
+def _windows_of(docs: DataFrame, seeds: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
+    """All runs of ``SEED + EVERY - 1`` words that hold one of the seeds (id, h, start), as seeds in their turn."""
+    size = SEED + EVERY - 1
+    asked = seeds.groupBy("h").agg(F.collect_set("start").alias("starts"))
+    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("_h"), F.col(text_col).alias("_text"))
+    source = merge_join(source, asked, F.col("_h") == F.col("h")).select("id", "h", "_text", "starts")
+    schema = seeds.select("id", "h", "start", "end", "node").schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for low in range(0, whole.num_rows, 200):
+                batch = whole.slice(low, 200)
+                which, places, nodes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+                for i, (text, starts) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                    h = Words([text.encode("utf-8", "replace")]).hashes
+                    at = np.unique(np.array(starts)[:, None] - np.arange(EVERY))
+                    at = at[(at >= 0) & (at + size <= len(h))]
+                    node = np.zeros(len(at), np.uint64)
+                    for k in range(size):
+                        node = mix(node * np.uint64(3) + h[at + k])
+                    which.append(np.full(len(at), i)), places.append(at), nodes.append(node)
+                rows, at = pa.array(np.concatenate(which)), np.concatenate(places).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(at), pa.array(at + np.int32(size)), pa.array(np.concatenate(nodes).view(np.int64))], names=schema.names)
+
+    return cut(source.mapInArrow(run, schema))
 
 
 def _runs(held: DataFrame) -> DataFrame:
-    """Found passages (id, h, start, end, node) that follow one another in the same way in the keeper's text, as one.
+    """Found seeds (id, h, start, end, node) that follow one another in the same way in the keeper's text, as one.
 
     Rows: the document, the words ``start`` to ``end`` of its text, the
     keeper's ``keeper`` and ``kh``, and where the run begins in its text (``at``).
@@ -278,17 +323,54 @@ def _same(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def _blocks(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
-    """What both have in common from their beginnings: (words of ``a`` and of ``b`` passed over, length of the run)."""
-    return [(0, 0, _same(a, b))]
+    """What both have in common from their beginnings: (words of ``a`` and of ``b`` passed over, length of the run).
+
+    After each run, the nearest place where ``WIDTH`` words agree again goes on.
+    """
+    i = j = _same(a, b)
+    out = [(0, 0, i)]
+    while True:
+        x, y = a[i : i + GAP + WIDTH], b[j : j + GAP + WIDTH]
+        if min(len(x), len(y)) < WIDTH:
+            return out
+        equal = x[:, None] == y[None, :]
+        n, m = len(x) - WIDTH + 1, len(y) - WIDTH + 1
+        again = equal[:n, :m].copy()
+        for k in range(1, WIDTH):
+            again &= equal[k : k + n, k : k + m]
+        places = np.argwhere(again)
+        if not len(places):
+            return out
+        over_a, over_b = min(places.tolist(), key=lambda p: (p[0] + p[1], abs(p[0] - p[1])))
+        run = _same(a[i + over_a :], b[j + over_b :])
+        out.append((over_a, over_b, run))
+        i, j = i + over_a + run, j + over_b + run
+
+
+def _reached(blocks: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Words of either text and shared shingles, with ever more of the blocks after the first."""
+    out = [(blocks[0][2], blocks[0][2], 0)]
+    for over_a, over_b, run in blocks[1:]:
+        a, b, shared = out[-1]
+        out.append((a + over_a + run, b + over_b + run, shared + run - WIDTH + 1))
+    return out
 
 
 def _widest(left: list[tuple[int, int, int]], right: list[tuple[int, int, int]], size: int, percent: int) -> tuple[int, int]:
-    """How many words to the left and right of a run of ``size`` the passage reaches."""
-    return left[0][2], right[0][2]
+    """How many words to the left and right of a run of ``size`` the widest passage reaches whose shingles are enough alike."""
+    own = size + left[0][2] + right[0][2] - WIDTH + 1
+    best = (left[0][2], right[0][2])
+    for la, lb, ls in _reached(left):
+        for ra, rb, rs in _reached(right):
+            both = own + ls + rs
+            either = (la + size + ra - WIDTH + 1) + (lb + size + rb - WIDTH + 1) - both
+            if la + ra > sum(best) and both * 100 >= either * percent:
+                best = (la, ra)
+    return best
 
 
 def _widened(docs: DataFrame, runs: DataFrame, *, id_col: str, text_col: str, percent: int) -> DataFrame:
-    """Runs as the whole passages that their documents and the keepers' have in common."""
+    """Runs as the whole passages of ``PASSAGE`` words or more that their documents and the keepers' have in common, edits included; shorter ones as they are, with ``passage`` false."""
     runs = cut(runs)
     around = _around(docs, runs, id_col=id_col, text_col=text_col)
     on = (F.col("kh") == F.col("_kh")) & (F.col("at") == F.col("_at")) & (F.col("end") - F.col("start") == F.col("_size"))
@@ -303,7 +385,7 @@ def _widened(docs: DataFrame, runs: DataFrame, *, id_col: str, text_col: str, pe
         for whole in batches:
             for low in range(0, whole.num_rows, 200):
                 batch = whole.slice(low, 200)
-                which, keepers, starts, ends = [], [], [], []
+                which, keepers, starts, ends, whole_ones = [], [], [], [], []
                 for i, (text, runs) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
                     w = _short_hashes(text)
                     spans: dict = {}
@@ -311,16 +393,16 @@ def _widened(docs: DataFrame, runs: DataFrame, *, id_col: str, text_col: str, pe
                         a, z = x["start"], x["end"]
                         before, after = np.frombuffer(x["before"], np.uint16), np.frombuffer(x["after"], np.uint16)
                         left, right = _widest(_blocks(w[max(0, a - 2 * REACH) : a][::-1], before[::-1]), _blocks(w[z : z + 2 * REACH], after), z - a, percent)
-                        if left + right + z - a >= PASSAGE:
-                            spans.setdefault(x["keeper"], []).append((a - left, z + right))
-                    for keeper, of_keeper in spans.items():
+                        enough = left + right + z - a >= PASSAGE
+                        spans.setdefault((x["keeper"], enough), []).append((a - left, z + right) if enough else (a, z))
+                    for (keeper, enough), of_keeper in spans.items():
                         for a, z in _merged(of_keeper):
-                            which.append(i), keepers.append(keeper), starts.append(a), ends.append(z)
+                            which.append(i), keepers.append(keeper), starts.append(a), ends.append(z), whole_ones.append(enough)
                 if which:
                     at = pa.array(which)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array([True] * len(which)), pa.array(keepers, batch.column(0).type)], names=names)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(whole_ones), pa.array(keepers, batch.column(0).type)], names=names)
 
-    return source.mapInArrow(run, schema)
+    return cut(source.mapInArrow(run, schema))
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

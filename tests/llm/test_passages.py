@@ -1,10 +1,13 @@
 import random
+import re
+import string
 
 from pyspark.sql import functions as F
 
 from rollbook.llm import passages
 
 RNG = random.Random(3)
+UPPER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 
 
 def words(n, tag):
@@ -91,3 +94,47 @@ def test_no_word_of_a_repeat_is_left(spark):
             planted = set(shared[r.doc_id - 1000])
             assert r._clean.split() == [w for w in r.text.split() if w not in planted]
             assert r._spans == 1 and r._keepers == [r.doc_id - 1000]
+
+
+def test_edited_passages_go(spark):
+    rows, shared = [], {}
+    for k, (n, kind) in enumerate((n, kind) for n in (50, 60, 61, 100, 140) for kind in ("other", "less", "more")):
+        held = words(n, "e")
+        edits = [n // 2] if n < 100 else [n // 3, 2 * n // 3]
+        near = [w if i not in edits else {"other": "x", "less": "", "more": w + " x"}[kind] for i, w in enumerate(held)]
+        shared[k + 1] = {*held, "x"}
+        rows += [(k + 1, line(40) + " " + " ".join(held) + " " + line(45)), (1001 + k, line(33) + " " + " ".join(w for w in near if w) + " " + line(35))]
+    # nothing is widened over more than the threshold allows
+    far = words(24, "f") + words(24, "g")
+    rows += [(500, line(40) + " " + " ".join(far)), (501, line(50) + " " + " ".join(far[:24] + words(12, "h") + far[24:]) + " " + line(30))]
+    got = {r.doc_id: r for r in passages.removed(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, of_k in shared.items():
+        assert got[k]._spans == 0 and got[1000 + k]._keepers == [k]
+        assert got[1000 + k]._clean.split() == [w for w in got[1000 + k].text.split() if w not in of_k]
+    assert got[501]._clean.split() == [w for w in got[501].text.split() if w not in set(far)]
+
+
+def test_no_run_of_fifty_words_stays_in_two_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    split = {i: [w.translate(UPPER) for w in re.findall(r"[^\x20\x09-\x0D]+", t)] for i, t in texts.items()}
+    gone = {i: [False] * len(w) for i, w in split.items()}
+    for r in passages.repeats(docs).collect():
+        gone[r.id][r.start : r.end] = [True] * (r.end - r.start)
+    assert any(map(any, gone.values()))
+    held = {}
+    for i, w in split.items():
+        for a in range(len(w) - 49):
+            if not any(gone[i][a : a + 50]):
+                assert held.setdefault(tuple(w[a : a + 50]), i) == i
+
+
+def test_a_seed_elsewhere_hides_no_passage(spark):
+    shared = words(60, "k")
+    # each piece of 20 words stands in some earlier document by itself
+    rows = [(i, line(30) + " " + " ".join(shared[i * 4 : i * 4 + 20]) + " " + line(30)) for i in range(11)]
+    rows += [(100 + i, line(30) + " " + " ".join(shared) + " " + line(30)) for i in range(3)]
+    got = {r.doc_id: r for r in passages.removed(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i]._spans == 0 for i in [*range(11), 100])
+    for i in (101, 102):
+        assert got[i]._keepers == [100] and got[i]._clean.split() == [w for w in got[i].text.split() if w not in set(shared)]
