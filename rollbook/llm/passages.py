@@ -44,7 +44,7 @@ SEED, EVERY = 12, 14  # words; two texts that share 25 words in a row share a se
 GAP = 12  # words that an edit within a passage may change at most
 ROWS = 2  # coordinates in a band: at the threshold a band is shared with probability 0.64
 REACH = 64  # words on either side of a found passage that are held against the keeper's text
-BANDS = 4  # bands of a line: 0.98 of pairs at the threshold share one
+BANDS = 10  # bands of a line: of pairs at the threshold, all but one in 27,000 share one
 
 LINE_END = re.compile("\n")
 

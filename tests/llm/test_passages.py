@@ -138,3 +138,15 @@ def test_a_seed_elsewhere_hides_no_passage(spark):
     assert all(got[i]._spans == 0 for i in [*range(11), 100])
     for i in (101, 102):
         assert got[i]._keepers == [100] and got[i]._clean.split() == [w for w in got[i].text.split() if w not in set(shared)]
+
+
+def test_lines_at_the_threshold_share_a_band(spark):
+    rows = []
+    for i in range(1000):
+        # 45 words, 41 shingles; the first word or words changed: (41 - 4) / (41 + 4) is 0.82
+        held = words(45, "t")
+        rows += [(i, " ".join(held)), (10000 + i, " ".join(words(4, "t") + held[4:]))]
+    found = passages.units(spark.createDataFrame(rows, "doc_id long, text string"), id_col="doc_id", text_col="text").where("NOT passage")
+    bands = found.select((F.col("id") % 10000).alias("pair"), "id", F.explode("bands").alias("band"))
+    met = bands.groupBy("pair", "band").agg(F.countDistinct("id").alias("docs")).where("docs = 2").select("pair").distinct().count()
+    assert met >= 998
