@@ -225,39 +225,43 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     alone = merge_join(first.where("h0 <> h1"), linked.select(F.col("node").alias("_linked")), F.col("node") == F.col("_linked"), "left_anti")
     several = alone.select(F.col("node").alias("_node"), "keeper", "h0").unionAll(of_linked)
     hit = merge_join(found.where("NOT passage").select("id", "h", "start", "end", "node"), several, F.col("node") == F.col("_node"))
-    of_lines = hit.where(~keeps).select("id", "h", "start", "end", F.lit(False).alias("passage"), F.col("keeper").alias("first_id"))
+    of_lines = cut(hit.where(~keeps).select("id", "h", "start", "end", F.lit(False).alias("passage"), F.col("keeper").alias("first_id")))
+    del lines, linked, first, known, of_comp, of_linked, alone, several, hit  # and their tables
 
-    held = _in_several(found.where("passage").select("id", "h", "start", "end", "node"))
+    ids = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("_h")).distinct()
+    held = _in_several(found.where("passage").select("h", "start", "node"), ids, SEED)
+    scratch.drop_path(spark, path)
     wide = _widened(docs, _runs(held), id_col=id_col, text_col=text_col, percent=percent)
     # the first document may hold a seed among other words than those that later ones share
     failed = wide.where("NOT passage").select(F.col("h").alias("_h"), F.col("start").alias("a"), F.col("end").alias("z"))
     doubtful = merge_join(held, failed, (F.col("h") == F.col("_h")) & F.col("start").between(F.col("a"), F.col("z"))).select(F.col("node").alias("_node")).distinct()
     again = merge_join(held, doubtful, F.col("node") == F.col("_node"), "left_semi")
-    held = _in_several(_windows_of(docs, again, id_col=id_col, text_col=text_col))
+    held = _in_several(_windows_of(docs, again, id_col=id_col, text_col=text_col), ids, SEED + EVERY - 1)
     wider = _widened(docs, _runs(held), id_col=id_col, text_col=text_col, percent=percent)
     return of_lines.unionAll(wide.where("passage")).unionAll(wider.where("passage"))
 
 
-def _in_several(seeds: DataFrame) -> DataFrame:
-    """Those of the seeds (id, h, start, end, node) that more than one document has."""
+def _in_several(seeds: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """Those of the seeds (h, start, node) of ``size`` words that more than one document has, with the document's id and the seed's end."""
     shared = seeds.groupBy("node").agg(F.min("h").alias("h0"), F.max("h").alias("h1")).where("h0 <> h1").select(F.col("node").alias("_node"))
-    return cut(merge_join(seeds, shared, F.col("node") == F.col("_node")).drop("_node"))
+    held = cut(merge_join(seeds, shared, F.col("node") == F.col("_node")).drop("_node"))
+    return cut(merge_join(held, ids, F.col("h") == F.col("_h")).select("id", "h", "start", (F.col("start") + size).cast("int").alias("end"), "node"))
 
 
 def _windows_of(docs: DataFrame, seeds: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
     """All runs of ``SEED + EVERY - 1`` words that hold one of the seeds (id, h, start), as seeds in their turn."""
     size = SEED + EVERY - 1
     asked = seeds.groupBy("h").agg(F.collect_set("start").alias("starts"))
-    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("_h"), F.col(text_col).alias("_text"))
-    source = merge_join(source, asked, F.col("_h") == F.col("h")).select("id", "h", "_text", "starts")
-    schema = seeds.select("id", "h", "start", "end", "node").schema
+    source = docs.select(F.xxhash64(id_col, text_col).alias("_h"), F.col(text_col).alias("_text"))
+    source = merge_join(source, asked, F.col("_h") == F.col("h")).select("h", "_text", "starts")
+    schema = seeds.select("h", "start", "node").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for low in range(0, whole.num_rows, 200):
                 batch = whole.slice(low, 200)
                 which, places, nodes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-                for i, (text, starts) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                for i, (text, starts) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                     h = Words([text.encode("utf-8", "replace")]).hashes
                     at = np.unique(np.array(starts)[:, None] - np.arange(EVERY))
                     at = at[(at >= 0) & (at + size <= len(h))]
@@ -266,7 +270,7 @@ def _windows_of(docs: DataFrame, seeds: DataFrame, *, id_col: str, text_col: str
                         node = mix(node * np.uint64(3) + h[at + k])
                     which.append(np.full(len(at), i)), places.append(at), nodes.append(node)
                 rows, at = pa.array(np.concatenate(which)), np.concatenate(places).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(at), pa.array(at + np.int32(size)), pa.array(np.concatenate(nodes).view(np.int64))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), pa.array(at), pa.array(np.concatenate(nodes).view(np.int64))], names=schema.names)
 
     return cut(source.mapInArrow(run, schema))
 
@@ -375,6 +379,7 @@ def _widened(docs: DataFrame, runs: DataFrame, *, id_col: str, text_col: str, pe
     around = _around(docs, runs, id_col=id_col, text_col=text_col)
     on = (F.col("kh") == F.col("_kh")) & (F.col("at") == F.col("_at")) & (F.col("end") - F.col("start") == F.col("_size"))
     by_doc = merge_join(runs, around, on).groupBy("h", "id").agg(F.collect_list(F.struct("start", "end", "keeper", "before", "after")).alias("runs"))
+    by_doc = cut(by_doc)
     source = docs.select(F.xxhash64(id_col, text_col).alias("_h"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     source = merge_join(source, by_doc, (F.col("_h") == F.col("h")) & F.col("_id").eqNullSafe(F.col("id"))).select("id", "h", "_text", "runs")
     names = ["id", "h", "start", "end", "passage", "first_id"]
