@@ -5,16 +5,18 @@ bands; paragraphs that share a band are joined, their exact Jaccard likeness is
 verified, and links are gathered into components.
 
 Texts are looked at again whatever their line breaks, so that a passage set in
-the midst of different words or wrapped otherwise is found too. Of any ``EVERY``
-neighbouring places, the one with the least hash begins a seed of ``SEED``
-words, so texts that share ``SEED + EVERY - 1`` words in a row share a seed; two
-passages of 50 words or more within the threshold do, as no more edits fit. A
-seed is widened to the passage around it, over edits, and the passage's
+the midst of different words or wrapped otherwise is found too: every window of
+``SEED + EVERY - 1`` words is a paragraph as well, with one band of one
+coordinate, the least hash of its ``SEED``-word shingles. Neighbouring windows
+mostly have the same one, so a text is posted under one seed for every nine
+words or so. Texts that share ``SEED + EVERY - 1`` words in a row share a seed;
+two passages of 50 words or more within the threshold do, as no more edits fit.
+A seed is widened to the passage around it, over edits, and the passage's
 Jaccard likeness is verified. Seeds whose first document has them among other
-words are sought again by all runs of ``SEED + EVERY - 1`` words that hold them.
+words are sought again by all windows that hold them.
 
 Of a component or a seed, the document with the least id keeps its text; the
-others lose it.
+others lose it. Texts equal as a whole are told by their hash alone.
 """
 
 from __future__ import annotations
@@ -25,236 +27,259 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rollbook.llm import scratch
 from rollbook.llm.components import merge_join
 from rollbook.llm.linking import link
-from rollbook.llm.neardup import _confirmed as confirmed, _shared_sizes as shared_sizes
+from rollbook.llm.neardup import SEND_NODES, _confirmed as confirmed, _shared_sizes as shared_sizes
 from rollbook.llm.scratch import cut
-from rollbook.llm.words import Words, blocks, distinct, least_of_each, mix, shingle_hashes
+from rollbook.llm.words import Runs, Words, blocks, distinct, mix
 
 WIDTH = 5  # words in a shingle
 PERCENT = 80  # likeness of paragraphs that are copies
-SHORTEST = 24  # words in the shortest unit: briefer lines repeat innocently
+SHORTEST = 24  # words in the shortest line that is a paragraph: briefer ones repeat innocently
 PASSAGE = 24  # words in the shortest repeat within other words
-SEED, EVERY = 12, 14  # words; two texts that share 25 words in a row share a seed
+SEED, EVERY = 8, 17  # words; two texts that share 24 words in a row share a seed
 GAP = 12  # words that an edit within a passage may change at most
 ROWS = 2  # coordinates in a band: at the threshold a band is shared with probability 0.64
 REACH = 64  # words on either side of a found passage that are held against the keeper's text
 BANDS = 10  # bands of a line: of pairs at the threshold, all but one in 27,000 share one
 
-LINE_END = re.compile("\n")
+SEEDS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("node", T.LongType())]))
+LINES = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("node", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]))
 
 
-def _least_places(values: np.ndarray, span: int) -> np.ndarray:
-    """The places that hold the least value of some ``span`` neighbouring ones (the first of equals)."""
+def _least_places(values: np.ndarray, first: np.ndarray, ends: np.ndarray, span: int) -> np.ndarray:
+    """The places that hold the least value of some ``span`` neighbouring ones (the first of equals), within each run from ``first`` to ``ends``."""
     n = len(values)
-    if n <= span:
-        return np.array([int(values.argmin())]) if n else np.zeros(0, np.int64)
+    if not n:
+        return np.zeros(0, np.int64)
     bits = np.uint64(max(1, int(n).bit_length()))
     held = (values >> bits << bits) | np.arange(n, dtype=np.uint64)
     least, have = held, 1
-    while have * 2 <= span:
+    while have * 2 <= min(span, n):
         least = np.minimum(least[:-have], least[have:])
         have *= 2
-    rest = span - have
+    rest = min(span, n) - have
     if rest:
         least = np.minimum(least[:-rest], least[rest:])
-    return np.unique(least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-
-
-def _lines(words: Words, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text, first word and end word of each line of a block."""
-    breaks = np.flatnonzero(words.data == 10)
-    cuts = np.unique(np.concatenate([words.first, np.searchsorted(words.starts, breaks)]))
-    firsts, ends = cuts[:-1], cuts[1:]
-    which = np.searchsorted(words.first, firsts, side="right") - 1
-    keep = (ends > firsts) & (which < texts)
-    return which[keep], firsts[keep], ends[keep]
-
-
-def _unit_spans(words: Words, texts: int, passages: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text, first word, end word and whether it is a passage of each unit of a block."""
-    which, firsts, ends = _lines(words, texts)
-    long = ends - firsts >= SHORTEST
-    out = [(which[long], firsts[long], ends[long], np.zeros(int(long.sum()), bool))]
-    h = words.hashes
-    grams = mix(h[:-2] * np.uint64(3) + h[1:-1] * np.uint64(5) + h[2:]) if len(h) > 2 else np.zeros(0, np.uint64)
-    for t, (a, z) in enumerate(zip(words.first[:texts], words.first[1 : texts + 1], strict=True)):
-        if passages and z - a >= SEED:
-            at = a + _least_places(grams[a : z - SEED + 1], EVERY)
-            out.append((np.full(len(at), t), at, at + SEED, np.ones(len(at), bool)))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-
-
-def _spread(values: np.ndarray, firsts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Runs of ``values``, one after the other, and where each begins."""
-    begins = np.concatenate([[0], np.cumsum(sizes)])
-    at = np.arange(begins[-1]) - np.repeat(begins[:-1] - firsts, sizes)
-    return values[at], begins
-
-
-def _unit_sets(words: Words, firsts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each unit's distinct shingle hashes, sorted, and where each begins."""
-    whole = np.zeros(0, np.uint64)
-    if len(words.hashes) >= WIDTH:
-        # shingles of the whole block at each word; a unit holds those that lie inside it
-        one = Words.__new__(Words)
-        one.hashes, one.first = words.hashes, np.array([0, len(words.hashes)])
-        whole, _ = shingle_hashes(one, WIDTH)
-    values, begins = _spread(whole, firsts, ends - firsts - WIDTH + 1)
-    return distinct(values, begins)
-
-
-UNITS = T.StructType([
-    T.StructField("h", T.LongType()), T.StructField("passage", T.BooleanType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()),
-    T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())),
-])
-
-
-def _units(texts: list[str | None], passages: bool = True):
-    """(first text, words, spans, sets, node) of the units of a few texts at a time, lines before passages."""
-    for at, held in blocks(texts):
-        words = Words(held)
-        which, firsts, ends, passage = _unit_spans(words, len(held), passages)
-        if len(which):
-            hashes, begins = _unit_sets(words, firsts, ends)
-            # the set's hashes are well mixed, so their sum tells sets apart
-            node = mix(np.add.reduceat(hashes, begins[:-1]) + np.diff(begins).astype(np.uint64)).view(np.int64)
-            yield at, words, which, firsts, ends, passage, hashes, begins, node
+    # windows that begin in a run and end in it
+    mark = np.zeros(n + 1, np.int32)
+    long = ends - first >= span
+    np.add.at(mark, first[long], 1)
+    np.add.at(mark, ends[long] - span + 1, -1)
+    found = [least[np.cumsum(mark)[: len(least)] > 0]]
+    brief = ~long & (ends > first)
+    found.append(np.array([held[a:z].min() for a, z in zip(first[brief], ends[brief], strict=True)], np.uint64))
+    places = np.concatenate(found) & ((np.uint64(1) << bits) - np.uint64(1))
+    return np.unique(places).astype(np.int64)
+
+
+class Units:
+    """Lines and seeds of a block of texts; words are counted through the block."""
+
+    def __init__(self, texts: list[bytes], seeds: bool = True):
+        self.words = words = Words(texts)
+        self.runs = Runs(words.hashes)
+        breaks = np.flatnonzero(words.data == 10)
+        cuts = np.unique(np.concatenate([words.first, np.searchsorted(words.starts, breaks)]))
+        firsts, ends = cuts[:-1], cuts[1:]
+        long = ends - firsts >= SHORTEST
+        self.firsts, self.ends = firsts[long], ends[long]
+        self.line_text = np.searchsorted(words.first, self.firsts, side="right") - 1
+        # an empty text begins where the next one does; the last of equal beginnings holds the words
+        self.line_node = self.runs.spans(self.firsts, self.ends).view(np.int64)
+        self.shingles = self.runs.all(WIDTH)
+        if seeds:
+            nodes = self.runs.all(SEED)
+            first, upto = words.first[:-1], np.maximum(words.first[1:] - SEED + 1, words.first[:-1])
+            self.seeds = _least_places(nodes, np.minimum(first, len(nodes)), np.minimum(upto, len(nodes)), EVERY)
+            self.seed_node = nodes[self.seeds].view(np.int64)
+            self.seed_text = np.searchsorted(words.first, self.seeds, side="right") - 1
+
+    def bands(self) -> np.ndarray:
+        """The bands of each line."""
+        out = np.zeros((len(self.firsts), BANDS), np.uint64)
+        if len(self.firsts):
+            edges = np.stack([self.firsts, self.ends - WIDTH + 1], 1).ravel()
+            values = np.append(self.shingles, np.uint64(0xFFFFFFFFFFFFFFFF))
+            for b in range(BANDS):
+                two = []
+                for c in (2 * b, 2 * b + 1):
+                    salt = mix(np.array([c + 1], np.uint64))[0]
+                    x = (values ^ salt) * (mix(np.array([salt], np.uint64))[0] | np.uint64(1))
+                    x ^= x >> np.uint64(32)
+                    x *= np.uint64(0xBF58476D1CE4E5B9)
+                    x[-1] = np.uint64(0xFFFFFFFFFFFFFFFF)
+                    two.append(np.minimum.reduceat(x, edges)[::2])
+                out[:, b] = mix(mix(two[0] + np.uint64(b)) + two[1])
+        return out.view(np.int64)
+
+
+def _lists(which: np.ndarray, texts: int) -> pa.Array:
+    """Where each text's entries begin and end, as offsets."""
+    return pa.array(np.searchsorted(which, np.arange(texts + 1)).astype(np.int32))
 
 
 def units(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
-    """The id, ``h`` (hash of id and text) and one row for each unit of each text: word span, content hash, set size and bands."""
-    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("h"), F.col(text_col).alias("_text"))
-    schema = T.StructType([source.schema["id"], *UNITS.fields])
+    """One row for each document: id, ``t`` (hash of the text), ``words``, its ``seeds`` (start, node) and its ``lines`` (start, end, node, bands)."""
+    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("_text"))
+    schema = T.StructType([source.schema["id"], T.StructField("t", T.LongType()), T.StructField("words", T.IntegerType()), T.StructField("seeds", SEEDS), T.StructField("lines", LINES)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for low in range(0, whole.num_rows, 500):
                 batch = whole.slice(low, 500)
-                for at, words, which, firsts, ends, passage, hashes, begins, node in _units(batch.column(2).to_pylist()):
-                    lines = int((~passage).sum())  # they stand before the passages
-                    sig = least_of_each(hashes[: begins[lines]], begins[: lines + 1], BANDS * ROWS)
-                    bands = np.zeros((lines, BANDS), np.uint64)
-                    for b in range(BANDS):
-                        bands[:, b] = mix(mix(sig[:, b * ROWS] + np.uint64(b)) + sig[:, b * ROWS + 1])
-                    held = np.where(passage, 0, BANDS)
-                    bands = bands.ravel().view(np.int64)
-                    places = pa.array(which + at)
-                    base = words.first[which]
+                for at, held in blocks(batch.column(2).to_pylist()):
+                    u, n = Units(held), len(held)
+                    base = u.words.first
+                    seeds = pa.StructArray.from_arrays([pa.array((u.seeds - base[u.seed_text]).astype(np.int32)), pa.array(u.seed_node)], ["start", "node"])
+                    own = base[u.line_text]
+                    bands = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(u.firsts) + 1, BANDS, dtype=np.int32)), pa.array(u.bands().ravel()))
+                    lines = pa.StructArray.from_arrays([pa.array((u.firsts - own).astype(np.int32)), pa.array((u.ends - own).astype(np.int32)), pa.array(u.line_node), bands], ["start", "end", "node", "bands"])
                     yield pa.RecordBatch.from_arrays([
-                        batch.column(0).take(places), batch.column(1).take(places), pa.array(passage), pa.array((firsts - base).astype(np.int32)), pa.array((ends - base).astype(np.int32)),
-                        pa.array(node), pa.array(np.diff(begins)), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(held)]).astype(np.int32)), pa.array(bands)),
+                        batch.column(0).slice(at, n), batch.column(1).slice(at, n), pa.array(np.diff(base).astype(np.int32)),
+                        pa.ListArray.from_arrays(_lists(u.seed_text, n), seeds), pa.ListArray.from_arrays(_lists(u.line_text, n), lines),
                     ], names=schema.names)
 
     return source.mapInArrow(run, schema)
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
-    """``node`` and whole shingle set of the ``wanted`` (node, h) units, read again from the documents that hold them."""
-    keys = wanted.groupBy("h").agg(F.collect_list("node").alias("nodes"))
-    source = docs.select(F.xxhash64(id_col, text_col).alias("_h"), F.col(text_col).alias("_text"))
-    source = merge_join(source, keys, F.col("_h") == F.col("h")).select("_text", "nodes")
+def _texts_of(docs: DataFrame, keys: DataFrame, *, text_col: str, others: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of ``docs`` as ``row`` with ``_t``, the hash of their text, that are among ``keys`` (t), and the others.
+
+    Up to ``SEND_NODES`` keys are sent to every task, so that the other texts
+    are never shuffled; with more of them all rows are among the first, and
+    the join that follows parts them.
+    """
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(text_col).alias("_t"))
+    known = cut(keys.select(F.col("t").alias("_known")).distinct())
+    if known.count() > SEND_NODES:
+        return keyed, None
+    on = F.col("_t") == F.col("_known")
+    return keyed.join(F.broadcast(known), on, "left_semi"), keyed.join(F.broadcast(known), on, "left_anti") if others else None
+
+
+def _sets_of(docs: DataFrame, wanted: DataFrame, *, text_col: str) -> DataFrame:
+    """``node`` and whole shingle set of the ``wanted`` (node, t) lines, read again from the documents that hold them."""
+    keys = cut(wanted.groupBy("t").agg(F.collect_list("node").alias("nodes")))
+    held, _ = _texts_of(docs, keys, text_col=text_col)
+    source = merge_join(held, keys, F.col("_t") == F.col("t")).select(F.col("row")[text_col].alias("_text"), "nodes")
     schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("hashes", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for low in range(0, whole.num_rows, 200):
                 batch = whole.slice(low, 200)
-                wanted_of = [set(x) for x in batch.column(1).to_pylist()]
-                nodes, sets = [], []
-                for at, _, which, _, _, _, hashes, begins, node in _units(batch.column(0).to_pylist(), passages=False):
-                    sought = np.unique(np.concatenate([np.fromiter(x, np.int64, len(x)) for x in wanted_of]))
-                    for i in np.flatnonzero(np.isin(node, sought)):
-                        if node[i] in wanted_of[which[i] + at]:
-                            nodes.append(node[i])
-                            sets.append(hashes[begins[i] : begins[i + 1]].view(np.int64))
-                if nodes:
-                    ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.array(nodes)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], names=schema.names)
+                asked = [np.array(x, np.int64) for x in batch.column(1).to_pylist()]
+                for at, held in blocks(batch.column(0).to_pylist()):
+                    u = Units(held, seeds=False)
+                    mine = np.flatnonzero(np.isin(u.line_node, np.concatenate(asked[at : at + len(held)])))
+                    mine = np.array([i for i in mine if u.line_node[i] in asked[u.line_text[i] + at]], np.int64)
+                    if len(mine):
+                        sizes = u.ends[mine] - u.firsts[mine] - WIDTH + 1
+                        begins = np.concatenate([[0], np.cumsum(sizes)])
+                        values = u.shingles[np.arange(begins[-1]) - np.repeat(begins[:-1] - u.firsts[mine], sizes)]
+                        hashes, begins = distinct(values, begins)
+                        yield pa.RecordBatch.from_arrays([pa.array(u.line_node[mine]), pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.array(hashes.view(np.int64)))], names=schema.names)
 
     return source.mapInArrow(run, schema)
 
 
-def _line_links(docs: DataFrame, lines: DataFrame, *, id_col: str, text_col: str, percent: int) -> DataFrame:
-    """The component of each line (node, n, h, bands) that is like another: joined by bands, verified on whole sets."""
-    posts = lines.select("node", "n", F.explode("bands").alias("token"))
-
+def _line_links(docs: DataFrame, lines: DataFrame, *, text_col: str, percent: int) -> DataFrame:
+    """The component of each line (node, t, bands) that is like another: joined by bands, verified on whole sets."""
     def listed(posts: DataFrame) -> DataFrame:
         shared = posts.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").withColumnRenamed("token", "_token")
         return merge_join(posts, shared, F.col("token") == F.col("_token")).drop("_token")
 
-    posts = cut(listed(posts).drop("df"))
+    posts = cut(listed(lines.select("node", F.explode("bands").alias("token"))).drop("df"))
     met = posts.select(F.col("node").alias("_met")).distinct()
-    wanted = merge_join(lines.select("node", "h"), met, F.col("node") == F.col("_met"), "left_semi")
-    sets = cut(_sets_of(docs, wanted, id_col=id_col, text_col=text_col).dropDuplicates(["node"]))
+    wanted = cut(merge_join(lines.select("node", "t"), met, F.col("node") == F.col("_met"), "left_semi"))
+    sets = cut(_sets_of(docs, wanted, text_col=text_col).dropDuplicates(["node"]))
     # lines that share too few shingles with all others can't be like any
-    sized = merge_join(posts, shared_sizes(sets), F.col("node") == F.col("_of"), "left").withColumn("s", F.col("n") - F.coalesce("_alone", F.lit(0))).where(F.col("s") * 100 >= F.col("n") * percent)
-    posts = cut(listed(sized.select("token", "node", "n", "s")).withColumn("weight", F.col("s")))
+    sizes = merge_join(sets.select("node", F.size("hashes").cast("long").alias("n")), shared_sizes(sets), F.col("node") == F.col("_of"), "left").select(F.col("node").alias("_node"), "n", (F.col("n") - F.coalesce("_alone", F.lit(0))).alias("s"))
+    sized = merge_join(posts, sizes.where(F.col("s") * 100 >= F.col("n") * percent), F.col("node") == F.col("_node")).select("token", "node", "n", "s")
+    posts = cut(listed(sized).withColumn("weight", F.col("s")))
     return link(posts, confirmed(sets, percent), percent=percent)[1]
 
 
+def _own(keeper: str) -> Column:
+    """Whether a document (id, t) keeps the text itself: it has the keeper's id, and among null ids its text."""
+    return F.col("id").eqNullSafe(F.col(f"{keeper}.id")) & (F.col("id").isNotNull() | (F.col("t") == F.col(f"{keeper}.t")))
+
+
+def _order() -> Column:
+    """Documents by id, nulls last, then by their texts' hashes."""
+    return F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("t").alias("t"))
+
+
+def _of_lines(docs: DataFrame, found: DataFrame, *, text_col: str, percent: int) -> DataFrame:
+    """Repeated lines (id, t, start, end, passage, first_id)."""
+    held = found.select("id", "t", F.inline("lines"))
+    # each line under each of its bands once, whatever the number of its copies
+    lines = cut(held.groupBy("node").agg(F.min("t").alias("t"), F.min_by("bands", "t").alias("bands"), F.max("t").alias("t1"), F.min(_order()).alias("first")))
+    linked = _line_links(docs, lines.select("node", "t", "bands"), text_col=text_col, percent=percent)
+    known = linked.select(F.col("node").alias("_node"), "comp")
+    of_comp = merge_join(lines.select("node", "first"), known, F.col("node") == F.col("_node")).groupBy("comp").agg(F.min("first").alias("first"))
+    of_linked = merge_join(known, of_comp.withColumnRenamed("comp", "_comp"), F.col("comp") == F.col("_comp")).select("_node", "first")
+    alone = merge_join(lines.where("t <> t1").select("node", "first"), linked.select(F.col("node").alias("_linked")), F.col("node") == F.col("_linked"), "left_anti")
+    several = alone.select(F.col("node").alias("_node"), "first").unionAll(of_linked)
+    hit = merge_join(held.select("id", "t", "start", "end", "node"), several, F.col("node") == F.col("_node"))
+    return cut(hit.where(~_own("first")).select("id", "t", "start", "end", F.lit(False).alias("passage"), F.col("first.id").alias("first_id")))
+
+
+def _of_copies(found: DataFrame) -> DataFrame:
+    """Whole texts of ``PASSAGE`` words or more that an earlier document has as they are."""
+    texts = found.where(F.col("words") >= PASSAGE).select("id", "t", "words")
+    first = texts.groupBy(F.col("t").alias("_t")).agg(F.min(_order()).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    hit = merge_join(texts, first, F.col("t") == F.col("_t")).where(~_own("first"))
+    return cut(hit.select("id", "t", F.lit(0).alias("start"), F.col("words").alias("end"), F.lit(True).alias("passage"), F.col("first.id").alias("first_id")).distinct())
+
+
 def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """Units of texts that an earlier document holds as well.
 
-    Rows: ``id``, ``h`` (hash of id and text), ``start`` and ``end`` (words of
-    the whole text), ``passage`` and ``first_id``, the id of the document that
-    keeps the unit's component: the smallest, null where all are null. Repeats
-    within a text or among texts of one id, lines under ``SHORTEST`` words, and null and empty texts have none;
-    rows equal in id and text count as one document.
+    Rows: ``id``, ``t`` (hash of the text), ``start`` and ``end`` (words of
+    the whole text), ``passage`` (false for whole lines) and ``first_id``, the
+    id of the document that keeps the unit's component: the smallest, null
+    where all are null. Repeats within a text or among texts of one id,
+    passages under ``PASSAGE`` words, and null and empty texts have none; rows
+    equal in id and text count as one document.
     """
     spark = docs.sparkSession
+    docs = docs.select(id_col, text_col)
     path = scratch.new_path(spark, "units")
     units(docs, id_col=id_col, text_col=text_col).write.parquet(path)
     found = spark.read.parquet(path)
-    # each line under each of its bands once, whatever the number of its copies
-    lines = found.where("NOT passage").groupBy("node").agg(F.min("n").alias("n"), F.min("h").alias("h"), F.min_by("bands", "h").alias("bands"))
-    lines = cut(lines)
-    linked = _line_links(docs, lines, id_col=id_col, text_col=text_col, percent=percent)
-
-    # documents are told apart by h; the least id keeps the text, and among null ids the least h
-    keeps = F.col("id").eqNullSafe(F.col("keeper")) & (F.col("id").isNotNull() | (F.col("h") == F.col("h0")))
-    first = found.where("NOT passage").groupBy("node").agg(F.min("id").alias("keeper"), F.min("h").alias("h0"), F.max("h").alias("h1"))
-    known = linked.select(F.col("node").alias("_node"), "comp")
-    of_comp = merge_join(first, known, F.col("node") == F.col("_node")).groupBy("comp").agg(F.min("keeper").alias("keeper"), F.min("h0").alias("h0"))
-    of_linked = merge_join(known, of_comp.withColumnRenamed("comp", "_comp"), F.col("comp") == F.col("_comp")).select("_node", "keeper", "h0")
-    alone = merge_join(first.where("h0 <> h1"), linked.select(F.col("node").alias("_linked")), F.col("node") == F.col("_linked"), "left_anti")
-    several = alone.select(F.col("node").alias("_node"), "keeper", "h0").unionAll(of_linked)
-    hit = merge_join(found.where("NOT passage").select("id", "h", "start", "end", "node"), several, F.col("node") == F.col("_node"))
-    of_lines = cut(hit.where(~keeps).select("id", "h", "start", "end", F.lit(False).alias("passage"), F.col("keeper").alias("first_id")))
-    del lines, linked, first, known, of_comp, of_linked, alone, several, hit  # and their tables
-
-    ids = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("_h")).distinct()
-    held = _in_several(found.where("passage").select("h", "start", "node"), ids, SEED)
+    copies = _of_copies(found)
+    of_lines = _of_lines(docs, found, text_col=text_col, percent=percent)
+    held = _in_several(found.select("id", "t", F.inline("seeds")))
     scratch.drop_path(spark, path)
-    wide = _widened(docs, _runs(held), id_col=id_col, text_col=text_col, percent=percent)
+    wide = _widened(docs, _runs(held, SEED), id_col=id_col, text_col=text_col, percent=percent)
     # the first document may hold a seed among other words than those that later ones share
-    failed = wide.where("NOT passage").select(F.col("h").alias("_h"), F.col("start").alias("a"), F.col("end").alias("z"))
-    doubtful = merge_join(held, failed, (F.col("h") == F.col("_h")) & F.col("start").between(F.col("a"), F.col("z"))).select(F.col("node").alias("_node")).distinct()
-    again = merge_join(held, doubtful, F.col("node") == F.col("_node"), "left_semi")
-    held = _in_several(_windows_of(docs, again, id_col=id_col, text_col=text_col), ids, SEED + EVERY - 1)
-    wider = _widened(docs, _runs(held), id_col=id_col, text_col=text_col, percent=percent)
-    return of_lines.unionAll(wide.where("passage")).unionAll(wider.where("passage"))
+    failed = wide.where("NOT passage").select(F.col("t").alias("_t"), F.col("start").alias("a"), F.col("end").alias("z"))
+    doubtful = merge_join(held, failed, (F.col("t") == F.col("_t")) & F.col("start").between(F.col("a"), F.col("z"))).select(F.col("node").alias("_node")).distinct()
+    again = cut(merge_join(held, doubtful, F.col("node") == F.col("_node"), "left_semi"))
+    wider = _widened(docs, _runs(_in_several(_windows_of(docs, again, text_col=text_col)), SEED + EVERY - 1), id_col=id_col, text_col=text_col, percent=percent)
+    return copies.unionAll(of_lines).unionAll(wide.where("passage")).unionAll(wider.where("passage"))
 
 
-def _in_several(seeds: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """Those of the seeds (h, start, node) of ``size`` words that more than one document has, with the document's id and the seed's end."""
-    shared = seeds.groupBy("node").agg(F.min("h").alias("h0"), F.max("h").alias("h1")).where("h0 <> h1").select(F.col("node").alias("_node"))
-    held = cut(merge_join(seeds, shared, F.col("node") == F.col("_node")).drop("_node"))
-    return cut(merge_join(held, ids, F.col("h") == F.col("_h")).select("id", "h", "start", (F.col("start") + size).cast("int").alias("end"), "node"))
+def _in_several(seeds: DataFrame) -> DataFrame:
+    """Those of the seeds (id, t, start, node) that more than one text has."""
+    shared = seeds.groupBy("node").agg(F.min("t").alias("t0"), F.max("t").alias("t1")).where("t0 <> t1").select(F.col("node").alias("_node"))
+    return cut(merge_join(seeds, shared, F.col("node") == F.col("_node")).drop("_node"))
 
 
-def _windows_of(docs: DataFrame, seeds: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
-    """All runs of ``SEED + EVERY - 1`` words that hold one of the seeds (id, h, start), as seeds in their turn."""
+def _windows_of(docs: DataFrame, seeds: DataFrame, *, text_col: str) -> DataFrame:
+    """All windows of ``SEED + EVERY - 1`` words that hold one of the seeds (id, t, start), as seeds in their turn."""
     size = SEED + EVERY - 1
-    asked = seeds.groupBy("h").agg(F.collect_set("start").alias("starts"))
-    source = docs.select(F.xxhash64(id_col, text_col).alias("_h"), F.col(text_col).alias("_text"))
-    source = merge_join(source, asked, F.col("_h") == F.col("h")).select("h", "_text", "starts")
-    schema = seeds.select("h", "start", "node").schema
+    asked = cut(seeds.groupBy("t").agg(F.collect_set("start").alias("starts")))
+    held, _ = _texts_of(docs, asked, text_col=text_col)
+    source = merge_join(held, asked, F.col("_t") == F.col("t")).select("t", F.col("row")[text_col].alias("_text"), "starts")
+    schema = seeds.select("t", "start", "node").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -262,57 +287,55 @@ def _windows_of(docs: DataFrame, seeds: DataFrame, *, id_col: str, text_col: str
                 batch = whole.slice(low, 200)
                 which, places, nodes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
                 for i, (text, starts) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                    h = Words([text.encode("utf-8", "replace")]).hashes
+                    runs = Runs(Words([text.encode("utf-8", "replace")]).hashes)
                     at = np.unique(np.array(starts)[:, None] - np.arange(EVERY))
-                    at = at[(at >= 0) & (at + size <= len(h))]
-                    node = np.zeros(len(at), np.uint64)
-                    for k in range(size):
-                        node = mix(node * np.uint64(3) + h[at + k])
-                    which.append(np.full(len(at), i)), places.append(at), nodes.append(node)
-                rows, at = pa.array(np.concatenate(which)), np.concatenate(places).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), pa.array(at), pa.array(np.concatenate(nodes).view(np.int64))], names=schema.names)
+                    at = at[(at >= 0) & (at + size <= runs.n)]
+                    which.append(np.full(len(at), i)), places.append(at), nodes.append(runs.spans(at, at + size))
+                rows = pa.array(np.concatenate(which))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), pa.array(np.concatenate(places).astype(np.int32)), pa.array(np.concatenate(nodes).view(np.int64))], names=schema.names)
 
-    return cut(source.mapInArrow(run, schema))
+    of_texts = cut(source.mapInArrow(run, schema).dropDuplicates(["t", "start"]))
+    ids = seeds.select("id", F.col("t").alias("_t")).distinct()
+    return merge_join(of_texts, ids, F.col("t") == F.col("_t")).select("id", "t", "start", "node")
 
 
-def _runs(held: DataFrame) -> DataFrame:
-    """Found seeds (id, h, start, end, node) that follow one another in the same way in the keeper's text, as one.
+def _runs(held: DataFrame, size: int) -> DataFrame:
+    """Found seeds (id, t, start, node) of ``size`` words that follow one another in the same way in the keeper's text, as one.
 
-    Rows: the document, the words ``start`` to ``end`` of its text, the
-    keeper's ``keeper`` and ``kh``, and where the run begins in its text (``at``).
+    Rows: the document, the words ``start`` to ``end`` of its text, the keeper's
+    ``keeper`` and ``kt``, and the words ``at`` to ``upto`` of its text.
     """
-    order = F.struct(F.col("id").isNull(), F.col("id").alias("id"), F.col("h").alias("h"), F.col("start").alias("start"))
-    first = held.groupBy(F.col("node").alias("_node")).agg(F.min(order).alias("first"))
-    hit = merge_join(held, first, F.col("node") == F.col("_node")).select("id", "h", "start", "end", F.col("first.id").alias("keeper"), F.col("first.h").alias("kh"), F.col("first.start").alias("at"))
-    hit = hit.where(~(F.col("id").eqNullSafe(F.col("keeper")) & (F.col("id").isNotNull() | (F.col("h") == F.col("kh")))))
-    by_way = Window.partitionBy("h", "id", "kh", F.col("start") - F.col("at")).orderBy("start")
-    apart = F.coalesce(F.col("start") > F.lag("end").over(by_way), F.lit(True))
+    first = held.groupBy(F.col("node").alias("_node")).agg(F.min(F.struct(_order().alias("doc"), F.col("start"))).alias("first"))
+    hit = merge_join(held, first, F.col("node") == F.col("_node")).where(~_own("first.doc"))
+    hit = hit.select("id", "t", "start", F.col("first.doc.id").alias("keeper"), F.col("first.doc.t").alias("kt"), (F.col("start") - F.col("first.start")).alias("way"))
+    by_way = Window.partitionBy("t", "id", "kt", "way").orderBy("start")
+    apart = F.coalesce(F.col("start") > F.lag("start").over(by_way) + size, F.lit(True))
     numbered = hit.withColumn("_new", apart.cast("int")).withColumn("_run", F.sum("_new").over(by_way.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy("id", "h", "keeper", "kh", (F.col("start") - F.col("at")).alias("_way"), "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("at").alias("at")).drop("_way", "_run")
+    runs = numbered.groupBy("t", "id", "kt", "way", "_run").agg(F.min("keeper").alias("keeper"), F.min("start").alias("start"), (F.max("start") + size).cast("int").alias("end"))
+    return runs.select("id", "t", "keeper", "kt", "start", "end", (F.col("start") - F.col("way")).cast("int").alias("at"), (F.col("end") - F.col("way")).cast("int").alias("upto"))
 
 
-def _around(docs: DataFrame, runs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
-    """16 bits of each of the ``REACH`` words before and after each run in its keeper's text (kh, at, size)."""
-    asked = runs.select("kh", "at", (F.col("end") - F.col("start")).alias("size")).distinct()
-    asked = asked.groupBy("kh").agg(F.collect_list(F.struct("at", "size")).alias("asked"))
-    source = docs.select(F.xxhash64(id_col, text_col).alias("_h"), F.col(text_col).alias("_text"))
-    source = merge_join(source, asked, F.col("_h") == F.col("kh")).select("_text", "kh", "asked")
-    schema = T.StructType([T.StructField("_kh", T.LongType()), T.StructField("_at", T.IntegerType()), T.StructField("_size", T.IntegerType()), T.StructField("before", T.BinaryType()), T.StructField("after", T.BinaryType())])
+def _around(docs: DataFrame, runs: DataFrame, *, text_col: str) -> DataFrame:
+    """16 bits of each of the ``REACH`` words before and after each place where a run begins or ends in its keeper's text; a text has as many places as words at most."""
+    places = runs.select(F.col("kt").alias("t"), F.explode(F.array("at", "upto")).alias("place"))
+    asked = cut(places.groupBy("t").agg(F.collect_set("place").alias("places")))
+    held, _ = _texts_of(docs, asked, text_col=text_col)
+    source = merge_join(held, asked, F.col("_t") == F.col("t")).select(F.col("row")[text_col].alias("_text"), "t", "places")
+    schema = T.StructType([T.StructField("_kt", T.LongType()), T.StructField("_place", T.IntegerType()), T.StructField("before", T.BinaryType()), T.StructField("after", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for low in range(0, whole.num_rows, 200):
                 batch = whole.slice(low, 200)
                 out = [[] for _ in schema]
-                for text, kh, asked in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for text, t, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     w = _short_hashes(text)
-                    for x in asked:
-                        a, z = x["at"], x["at"] + x["size"]
-                        for held, value in zip(out, (kh, a, x["size"], w[max(0, a - REACH) : a].tobytes(), w[z : z + REACH].tobytes()), strict=True):
+                    for p in places:
+                        for held, value in zip(out, (t, p, w[max(0, p - REACH) : p].tobytes(), w[p : p + REACH].tobytes()), strict=True):
                             held.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=schema.names)
 
-    return source.mapInArrow(run, schema).dropDuplicates(["_kh", "_at", "_size"])
+    return cut(source.mapInArrow(run, schema).dropDuplicates(["_kt", "_place"]))
 
 
 def _short_hashes(text: str) -> np.ndarray:
@@ -376,15 +399,15 @@ def _widest(left: list[tuple[int, int, int]], right: list[tuple[int, int, int]],
 def _widened(docs: DataFrame, runs: DataFrame, *, id_col: str, text_col: str, percent: int) -> DataFrame:
     """Runs as the whole passages of ``PASSAGE`` words or more that their documents and the keepers' have in common, edits included; shorter ones as they are, with ``passage`` false."""
     runs = cut(runs)
-    around = _around(docs, runs, id_col=id_col, text_col=text_col)
-    on = (F.col("kh") == F.col("_kh")) & (F.col("at") == F.col("_at")) & (F.col("end") - F.col("start") == F.col("_size"))
-    by_doc = merge_join(runs, around, on).groupBy("h", "id").agg(F.collect_list(F.struct("start", "end", "keeper", "before", "after")).alias("runs"))
-    by_doc = cut(by_doc)
-    source = docs.select(F.xxhash64(id_col, text_col).alias("_h"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    source = merge_join(source, by_doc, (F.col("_h") == F.col("h")) & F.col("_id").eqNullSafe(F.col("id"))).select("id", "h", "_text", "runs")
-    names = ["id", "h", "start", "end", "passage", "first_id"]
+    around = _around(docs, runs, text_col=text_col)
+    begins = merge_join(runs, around.select("_kt", "_place", "before"), (F.col("kt") == F.col("_kt")) & (F.col("at") == F.col("_place"))).drop("_kt", "_place")
+    both = merge_join(begins, around.select("_kt", "_place", "after"), (F.col("kt") == F.col("_kt")) & (F.col("upto") == F.col("_place")))
+    by_doc = cut(both.groupBy("t", "id").agg(F.collect_list(F.struct("start", "end", "keeper", "before", "after")).alias("runs")))
+    held, _ = _texts_of(docs, by_doc, text_col=text_col)
+    source = merge_join(held, by_doc, (F.col("_t") == F.col("t")) & F.col("row")[id_col].eqNullSafe(F.col("id"))).select("id", "t", F.col("row")[text_col].alias("_text"), "runs")
+    names = ["id", "t", "start", "end", "passage", "first_id"]
     id_type = source.schema["id"].dataType
-    schema = T.StructType([T.StructField(n, t) for n, t in zip(names, (id_type, T.LongType(), T.IntegerType(), T.IntegerType(), T.BooleanType(), id_type), strict=True)])
+    schema = T.StructType([T.StructField(n, k) for n, k in zip(names, (id_type, T.LongType(), T.IntegerType(), T.IntegerType(), T.BooleanType(), id_type), strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -434,26 +457,39 @@ def _cut_out(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join(out)
 
 
-def removed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+def _freed(docs: DataFrame, *, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """``row`` (all columns of ``docs``), ``clean``, ``spans`` and ``keepers`` of each row of ``docs``."""
+    id_type = docs.schema[id_col].dataType
+    found = repeats(docs, id_col=id_col, text_col=text_col, percent=percent)
+    by_doc = cut(found.groupBy("t", "id").agg(F.collect_set(F.struct("start", "end")).alias("places"), F.array_sort(F.collect_set("first_id")).alias("keepers")))
+    held, others = _texts_of(docs, by_doc, text_col=text_col, others=True)
+    both = merge_join(held, by_doc, (F.col("_t") == F.col("t")) & F.col("row")[id_col].eqNullSafe(F.col("id")), "left")
+
+    @F.pandas_udf("struct<clean:string,spans:int>")
+    def clean(texts: pd.Series, places: pd.Series) -> pd.DataFrame:
+        spans = [[] if p is None else _merged([(x["start"], x["end"]) for x in p]) for p in places]
+        return pd.DataFrame({"clean": [_cut_out(t, s) if s else t for t, s in zip(texts, spans, strict=True)], "spans": [len(s) for s in spans]})
+
+    text, none = F.col("row")[text_col], F.array().cast(T.ArrayType(id_type))
+    done = both.select("row", clean(text, F.col("places")).alias("done"), F.coalesce("keepers", none).alias("keepers")).select("row", "done.clean", "done.spans", "keepers")
+    return done if others is None else done.unionAll(others.select("row", text.alias("clean"), F.lit(0).alias("spans"), none.alias("keepers")))
+
+
+def removed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, added: tuple[str, str, str] = ("_clean", "_spans", "_keepers")) -> DataFrame:
     """Rows of ``docs``, each with its text freed of repeats, their number and the ids that keep them.
 
-    All columns are kept; added are ``_clean`` (the text left), ``_spans``
-    (number of repeated units) and ``_keepers`` (sorted ids, null left out).
-    Documents without repeats have their text as it is, 0 and an empty list.
+    All columns are kept, whatever their names; those ``added`` after them hold
+    the text left, the number of repeated passages and the sorted ids that keep
+    them (null left out). Documents without repeats have their text as it is, 0
+    and an empty list.
     """
-    id_type = docs.schema[id_col].dataType
-    found = repeats(docs, id_col=id_col, text_col=text_col, percent=percent)
-    by_doc = found.groupBy("h", "id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_places"), F.array_sort(F.collect_set("first_id")).alias("_keepers"))
-    by_doc = by_doc.select(F.col("h").alias("_h"), F.col("id").alias("_id"), "_places", "_keepers")
-    keyed = docs.withColumn("_key", F.xxhash64(id_col, text_col))
-    both = merge_join(keyed, by_doc, (F.col("_key") == F.col("_h")) & F.col(id_col).eqNullSafe(F.col("_id")), "left")
-
-    @F.pandas_udf(T.StringType())
-    def clean(texts: pd.Series, places: pd.Series) -> pd.Series:
-        return texts.combine(places, lambda t, p: t if p is None or t is None else _cut_out(t, [(x["start"], x["end"]) for x in p]))
-
-    return both.select(
-        *[F.col(c) for c in docs.columns],
-        F.when(F.col("_places").isNull(), F.col(text_col)).otherwise(clean(F.col(text_col), F.col("_places"))).alias("_clean"),
-        F.coalesce(F.size("_places"), F.lit(0)).alias("_spans"), F.coalesce("_keepers", F.array().cast(T.ArrayType(id_type))).alias("_keepers"),
-    )
+    if taken := set(added) & set(docs.columns):
+        raise ValueError(f"columns to add are there already: {sorted(taken)}")
+    freed = _freed(docs, id_col=id_col, text_col=text_col, percent=percent)
+    return freed.select(*[F.col("row")[c].alias(c) for c in docs.columns], *[F.col(c).alias(a) for c, a in zip(("clean", "spans", "keepers"), added, strict=True)])
+
+
+def cleaned(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """Rows and columns of ``docs`` as they are, but for the text, which is freed of repeats."""
+    freed = _freed(docs, id_col=id_col, text_col=text_col, percent=percent)
+    return freed.select(*[(F.col("clean") if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])

@@ -62,7 +62,7 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each document that loses text to an earlier one, and for each that it loses it to."""
-    found = passages.removed(table(spark, sf_dir, "documents")).where("_spans > 0")
+    found = passages.removed(table(spark, sf_dir, "documents").select("doc_id", "text")).where("_spans > 0")
     return found.select("doc_id", F.explode("_keepers").alias("first_doc_id"), F.col("_spans").alias("n_repeats"), (F.length("text") - F.length("_clean")).alias("chars_removed"), F.sha2("_clean", 256).alias("clean_sha256"))
 
 

@@ -4,19 +4,22 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where the cluster names none."""
+    """The cluster's shared folder. Local mode, where driver and tasks are one process, gets one of its own; a cluster that names none is an error."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
     own = "file://" + tempfile.mkdtemp(prefix="spark-")
     spark.sparkContext.setCheckpointDir(own)
     return own
@@ -26,17 +29,24 @@ def new_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+GC_SECONDS = 5.0  # least time between two collections of the driver's garbage
+_last = 0.0
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder, so that later jobs read it and lost executors cost no rerun.
 
     What earlier rounds hold (plans in the driver, shuffle files on the
     executors' disks) goes when the driver collects its garbage, so that is
-    done here: in a loop it would otherwise pile up.
+    done here every few seconds: in a loop it would otherwise pile up.
     """
+    global _last
     shared_dir(df.sparkSession)
     out = df.checkpoint(eager=True)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    if time.monotonic() - _last > GC_SECONDS:
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+        _last = time.monotonic()
     return out
 
 

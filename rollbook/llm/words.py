@@ -109,3 +109,25 @@ def blocks(texts: list[str | None], most: int = BLOCK):
         size += len(b) + 1
     if held:
         yield first, held
+
+
+class Runs:
+    """Hashes of runs of words from the hashes of single ones: as a rolling hash, so any run takes one step."""
+
+    _up = _down = np.zeros(0, np.uint64)
+
+    def __init__(self, hashes: np.ndarray):
+        self.n = len(hashes)
+        if len(Runs._up) < self.n + 1:
+            Runs._up, Runs._down = _powers(max(BLOCK // 4, self.n + 1))
+        self.sums = np.zeros(self.n + 1, np.uint64)
+        np.cumsum(hashes * Runs._up[: self.n], out=self.sums[1:])
+
+    def all(self, width: int) -> np.ndarray:
+        """The hash of each run of ``width`` words."""
+        m = max(0, self.n - width + 1)
+        return mix((self.sums[width : width + m] - self.sums[:m]) * Runs._down[:m] + np.uint64(width))
+
+    def spans(self, firsts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The hash of each run from ``firsts`` to ``ends``."""
+        return mix((self.sums[ends] - self.sums[firsts]) * Runs._down[firsts] + (ends - firsts).astype(np.uint64))

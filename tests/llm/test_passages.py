@@ -62,7 +62,7 @@ def test_every_copy_of_fifty_words_shares_a_passage(spark):
     for n in range(50, 62):
         shared = line(n, "p")
         docs = spark.createDataFrame([(1, line(RNG.randrange(80)) + " " + shared + " " + line(70)), (2, line(RNG.randrange(80)) + " " + shared + " " + line(50))], "doc_id long, text string")
-        found = passages.units(docs, id_col="doc_id", text_col="text").where("passage").groupBy("node").agg(F.countDistinct("id").alias("docs")).where("docs = 2")
+        found = passages.units(docs, id_col="doc_id", text_col="text").select("id", F.inline("seeds")).groupBy("node").agg(F.countDistinct("id").alias("docs")).where("docs = 2")
         assert found.count() > 0
 
 
@@ -146,7 +146,7 @@ def test_lines_at_the_threshold_share_a_band(spark):
         # 45 words, 41 shingles; the first word or words changed: (41 - 4) / (41 + 4) is 0.82
         held = words(45, "t")
         rows += [(i, " ".join(held)), (10000 + i, " ".join(words(4, "t") + held[4:]))]
-    found = passages.units(spark.createDataFrame(rows, "doc_id long, text string"), id_col="doc_id", text_col="text").where("NOT passage")
+    found = passages.units(spark.createDataFrame(rows, "doc_id long, text string"), id_col="doc_id", text_col="text").select("id", F.inline("lines"))
     bands = found.select((F.col("id") % 10000).alias("pair"), "id", F.explode("bands").alias("band"))
     met = bands.groupBy("pair", "band").agg(F.countDistinct("id").alias("docs")).where("docs = 2").select("pair").distinct().count()
     assert met >= 998
