@@ -26,8 +26,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Paragraphs and passages that an earlier document holds are cut out of the text; every document stays."""
-    clean = passages.removed(docs)
-    return clean.withColumns({"text": F.col("_clean"), "n_chars": F.length("_clean").cast(docs.schema["n_chars"].dataType)}).select(*docs.columns)
+    clean = passages.cleaned(docs)
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
