@@ -153,7 +153,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     posts = merge_join(fit, listed, F.col("node") == F.col("_node")).select("node", "n", "s", weight.alias("weight"), F.inline(prefix))
     df = posts.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").withColumnRenamed("token", "_token")
     posts = cut(merge_join(posts.drop("df"), df, F.col("token") == F.col("_token")).select("token", "node", "n", "s", "weight", "df"))
-    _, found = link(posts, _confirmed(signed.select("node", "hashes"), percent), percent=percent, codes=signed.select("node", "code"), alike=agree(long[1]))
+    _, found = link(posts, signed.select("node", "hashes"), _confirmed(signed.select("node", "hashes"), percent), percent=percent, codes=signed.select("node", "code"), alike=agree(long[1]))
 
     members = base.select("uid", "id", "h1", "h2", "n", "key").join(classes.withColumnRenamed("key", "_key"), F.col("key") == F.col("_key"), "left")
     known = found.withColumnRenamed("node", "_node")

@@ -203,7 +203,7 @@ def _line_links(docs: DataFrame, lines: DataFrame, *, text_col: str, percent: in
     sizes = merge_join(sets.select("node", F.size("hashes").cast("long").alias("n")), shared_sizes(sets), F.col("node") == F.col("_of"), "left").select(F.col("node").alias("_node"), "n", (F.col("n") - F.coalesce("_alone", F.lit(0))).alias("s"))
     sized = merge_join(posts, sizes.where(F.col("s") * 100 >= F.col("n") * percent), F.col("node") == F.col("_node")).select("token", "node", "n", "s")
     posts = cut(listed(sized).withColumn("weight", F.col("s")))
-    return link(posts, confirmed(sets, percent), percent=percent)[1]
+    return link(posts, sets, confirmed(sets, percent), percent=percent)[1]
 
 
 def _own(keeper: str) -> Column:

@@ -51,6 +51,9 @@ def fixture_rows():
     # one long list: every text a near copy of one, each different
     words = [f"h{i}" for i in range(150)]
     rows += [(1000 + i, noisy(words, 3, rng)) for i in range(90)]
+    # copies with words left out and changed, some within the threshold of the original, some of each other alone
+    words = [f"k{i}" for i in range(120)]
+    rows += [(3000 + i, noisy([w for w in words if rng.random() > i % 7 / 100], i % 4, rng)) for i in range(150)]
     # a common beginning, different endings: long lists of many components
     rows += [(2000 + i, " ".join(words[:60] + [f"t{i // 2}u{j}" for j in range(20)])) for i in range(120)]
     rng.shuffle(rows)
@@ -83,5 +86,6 @@ def test_long_lists_lose_no_link(spark):
     n = linking.SHORT_LIST * 3
     posts = spark.createDataFrame([("t", i, 10, 10, 0, n) for i in range(n)], "token string, node long, n long, s long, weight long, df long")
     # only nodes of the same remainder are alike: a star from one hub finds one of seven components
-    links, found = linking.link(posts, lambda pairs: pairs.where("a % 7 = b % 7"), percent=80)
+    none = spark.createDataFrame([], "node long, hashes array<long>")
+    links, found = linking.link(posts, none, lambda pairs: pairs.where("a % 7 = b % 7"), percent=80)
     assert {r.node: r.comp for r in found.collect()} == {i: i % 7 for i in range(n)}
