@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -342,58 +343,83 @@ def _short_hashes(text: str) -> np.ndarray:
     return (Words([text.encode("utf-8", "replace")]).hashes >> np.uint64(48)).astype(np.uint16)
 
 
-def _same(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the run that both begin with."""
-    n = min(len(a), len(b))
-    apart = np.flatnonzero(a[:n] != b[:n])
-    return int(apart[0]) if len(apart) else n
+# Places at which two texts may agree again, as words passed over in either: the nearest first.
+_AGAIN = np.array(sorted(((p, q) for p in range(GAP + 1) for q in range(GAP + 1)), key=lambda x: (x[0] + x[1], abs(x[0] - x[1]), x[0])))
+_PAD = 2 * GAP + 2 * WIDTH  # words of no text behind each row
 
 
-def _blocks(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
-    """What both have in common from their beginnings: (words of ``a`` and of ``b`` passed over, length of the run).
-
-    After each run, the nearest place where ``WIDTH`` words agree again goes on.
-    """
-    i = j = _same(a, b)
-    out = [(0, 0, i)]
-    while True:
-        x, y = a[i : i + GAP + WIDTH], b[j : j + GAP + WIDTH]
-        if min(len(x), len(y)) < WIDTH:
-            return out
-        equal = x[:, None] == y[None, :]
-        n, m = len(x) - WIDTH + 1, len(y) - WIDTH + 1
-        again = equal[:n, :m].copy()
-        for k in range(1, WIDTH):
-            again &= equal[k : k + n, k : k + m]
-        places = np.argwhere(again)
-        if not len(places):
-            return out
-        over_a, over_b = min(places.tolist(), key=lambda p: (p[0] + p[1], abs(p[0] - p[1])))
-        run = _same(a[i + over_a :], b[j + over_b :])
-        out.append((over_a, over_b, run))
-        i, j = i + over_a + run, j + over_b + run
-
-
-def _reached(blocks: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Words of either text and shared shingles, with ever more of the blocks after the first."""
-    out = [(blocks[0][2], blocks[0][2], 0)]
-    for over_a, over_b, run in blocks[1:]:
-        a, b, shared = out[-1]
-        out.append((a + over_a + run, b + over_b + run, shared + run - WIDTH + 1))
+def _rows(values: np.ndarray, firsts: np.ndarray, sizes: np.ndarray, width: int, step: int, none: int) -> np.ndarray:
+    """For each place of ``firsts`` the ``sizes`` words from it on, forwards or backwards, as a row of ``width`` filled up with ``none``."""
+    k = np.arange(width + _PAD)
+    at = firsts[:, None] + step * k
+    out = values[np.clip(at, 0, max(0, len(values) - 1))].astype(np.int32) if len(values) else np.zeros(at.shape, np.int32)
+    out[k >= sizes[:, None]] = none
     return out
 
 
-def _widest(left: list[tuple[int, int, int]], right: list[tuple[int, int, int]], size: int, percent: int) -> tuple[int, int]:
-    """How many words to the left and right of a run of ``size`` the widest passage reaches whose shingles are enough alike."""
-    own = size + left[0][2] + right[0][2] - WIDTH + 1
-    best = (left[0][2], right[0][2])
-    for la, lb, ls in _reached(left):
-        for ra, rb, rs in _reached(right):
-            both = own + ls + rs
-            either = (la + size + ra - WIDTH + 1) + (lb + size + rb - WIDTH + 1) - both
-            if la + ra > sum(best) and both * 100 >= either * percent:
-                best = (la, ra)
-    return best
+def _same(equal: np.ndarray) -> np.ndarray:
+    """Length of the run of true values that each row begins with."""
+    return np.where(equal.all(1), equal.shape[1], equal.argmin(1))
+
+
+def _reached(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """How far each row of ``a`` and ``b`` have words in common from their beginnings, with ever more edits.
+
+    Returns words of either and shared shingles (rows x edits), and which of
+    these there are. After each run, the nearest place where ``WIDTH`` words
+    agree again goes on; an edit passes over ``GAP`` words at most.
+    """
+    n = len(a)
+    width = min(a.shape[1], b.shape[1])
+    i = _same(a[:, :width] == b[:, :width])
+    j, shared = i.copy(), np.zeros(n, np.int64)
+    reached = [(i, j, shared, np.ones(n, bool))]
+    live = np.arange(n)
+    span = np.arange(GAP + WIDTH)
+    while len(live):
+        x = np.take_along_axis(a[live], np.minimum(i[live, None] + span, a.shape[1] - 1), 1)
+        y = np.take_along_axis(b[live], np.minimum(j[live, None] + span, b.shape[1] - 1), 1)
+        equal = x[:, :, None] == y[:, None, :]
+        again = equal[:, : GAP + 1, : GAP + 1].copy()
+        for k in range(1, WIDTH):
+            again &= equal[:, k : k + GAP + 1, k : k + GAP + 1]
+        ranked = again[:, _AGAIN[:, 0], _AGAIN[:, 1]]
+        on = ranked.any(1)
+        over = _AGAIN[ranked[on].argmax(1)]
+        live = live[on]
+        if not len(live):
+            break
+        ni, nj = i[live] + over[:, 0], j[live] + over[:, 1]
+        far = np.arange(width)
+        x = np.take_along_axis(a[live], np.minimum(ni[:, None] + far, a.shape[1] - 1), 1)
+        y = np.take_along_axis(b[live], np.minimum(nj[:, None] + far, b.shape[1] - 1), 1)
+        run = _same(x == y)
+        i, j, shared, there = i.copy(), j.copy(), shared.copy(), np.zeros(n, bool)
+        i[live], j[live], shared[live], there[live] = ni + run, nj + run, shared[live] + run - WIDTH + 1, True
+        reached.append((i, j, shared, there))
+    return tuple(np.stack(x, 1) for x in zip(*reached, strict=True))
+
+
+def _widest(left: tuple, right: tuple, size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many words to the left and right of runs of ``size`` the widest passages reach whose shingles are enough alike."""
+    (la, lb, ls, lt), (ra, rb, rs, rt) = left, right
+    own = (size + la[:, 0] + ra[:, 0] - WIDTH + 1)[:, None, None]
+    both = own + ls[:, :, None] + rs[:, None, :]
+    a, b = la[:, :, None] + ra[:, None, :], lb[:, :, None] + rb[:, None, :]
+    either = a + b + 2 * (size - WIDTH + 1)[:, None, None] - both
+    fits = lt[:, :, None] & rt[:, None, :] & (both * 100 >= either * percent)
+    fits[:, 0, 0] = True
+    best = np.where(fits, a, -1).reshape(len(size), -1).argmax(1)
+    at = np.arange(len(size))
+    return la[at, best // ra.shape[1]], ra[at, best % ra.shape[1]]
+
+
+def _slices(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of a column of packed words, and where each row begins and how many it has."""
+    packed = column.cast(pa.large_binary())
+    offsets = np.frombuffer(packed.buffers()[1], np.int64)[packed.offset : packed.offset + len(packed) + 1]
+    words = np.frombuffer(packed.buffers()[2] or b"", np.uint16)
+    return words, offsets[:-1] // 2, np.diff(offsets) // 2
 
 
 def _widened(docs: DataFrame, runs: DataFrame, *, id_col: str, text_col: str, percent: int) -> DataFrame:
@@ -411,24 +437,38 @@ def _widened(docs: DataFrame, runs: DataFrame, *, id_col: str, text_col: str, pe
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for low in range(0, whole.num_rows, 200):
-                batch = whole.slice(low, 200)
-                which, keepers, starts, ends, whole_ones = [], [], [], [], []
-                for i, (text, runs) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                    w = _short_hashes(text)
-                    spans: dict = {}
-                    for x in runs:
-                        a, z = x["start"], x["end"]
-                        before, after = np.frombuffer(x["before"], np.uint16), np.frombuffer(x["after"], np.uint16)
-                        left, right = _widest(_blocks(w[max(0, a - 2 * REACH) : a][::-1], before[::-1]), _blocks(w[z : z + 2 * REACH], after), z - a, percent)
-                        enough = left + right + z - a >= PASSAGE
-                        spans.setdefault((x["keeper"], enough), []).append((a - left, z + right) if enough else (a, z))
-                    for (keeper, enough), of_keeper in spans.items():
-                        for a, z in _merged(of_keeper):
-                            which.append(i), keepers.append(keeper), starts.append(a), ends.append(z), whole_ones.append(enough)
-                if which:
+            for low in range(0, whole.num_rows, 50):
+                batch = whole.slice(low, 50)
+                texts = [_short_hashes(t) for t in batch.column(2).to_pylist()]
+                words = np.concatenate(texts)
+                base = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+                runs = batch.column(3).flatten()
+                of = np.repeat(np.arange(len(texts)), pc.list_value_length(batch.column(3)).to_numpy())
+                start, end = (runs.field(k).to_numpy() for k in ("start", "end"))
+                kept = [np.zeros((2, 0), np.int64)]
+                # a bounded number of runs at a time
+                for at in range(0, len(of), 2000):
+                    part = slice(at, at + 2000)
+                    a, z, first, last = start[part], end[part], base[of[part]], base[of[part] + 1]
+                    before, b0, bn = _slices(runs.field("before").slice(at, len(a)))
+                    after, a0, an = _slices(runs.field("after").slice(at, len(a)))
+                    own_left = _rows(words, first + a - 1, np.minimum(a, 2 * REACH), 2 * REACH, -1, -1)
+                    own_right = _rows(words, first + z, np.minimum(last - first - z, 2 * REACH), 2 * REACH, 1, -1)
+                    left = _reached(own_left, _rows(before, b0 + bn - 1, bn, REACH, -1, -2))
+                    right = _reached(own_right, _rows(after, a0, an, REACH, 1, -2))
+                    kept.append(np.stack(_widest(left, right, (z - a).astype(np.int64), percent)))
+                left, right = np.concatenate(kept, 1)
+                enough = left + right + end - start >= PASSAGE
+                begins, ends = np.where(enough, start - left, start), np.where(enough, end + right, end)
+                keepers = runs.field("keeper").to_pylist()
+                spans: dict = {}
+                for row in zip(of.tolist(), keepers, enough.tolist(), begins.tolist(), ends.tolist(), strict=True):
+                    spans.setdefault(row[:3], []).append(row[3:])
+                found = [(i, a, z, e, k) for (i, k, e), of_keeper in spans.items() for a, z in _merged(of_keeper)]
+                if found:
+                    which, starts, stops, whole_ones, keeps = zip(*found, strict=True)
                     at = pa.array(which)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(whole_ones), pa.array(keepers, batch.column(0).type)], names=names)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(starts, pa.int32()), pa.array(stops, pa.int32()), pa.array(whole_ones), pa.array(keeps, batch.column(0).type)], names=names)
 
     return cut(source.mapInArrow(run, schema))
 
