@@ -6,6 +6,7 @@ import hashlib
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -129,20 +130,24 @@ def encode_documents(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(sent.value)
         numerals = bpe.numerals
-        for batch in batches:
-            counts, coded, decoded, all_ids, all_texts = [], [], [], [], []
-            for text in batch.column(1).to_pylist():
-                ids = bpe.encode(text)
-                back = bpe.decode(ids)
-                counts.append(len(ids))
-                coded.append(hashlib.sha256(" ".join([numerals[i] for i in ids]).encode()).hexdigest())
-                decoded.append(hashlib.sha256(back.encode()).hexdigest())
+        for whole in batches:
+            # a few texts at a time: their ids take several times the room of the texts
+            for at in range(0, whole.num_rows, 200):
+                batch = whole.slice(at, 200)
+                counts, digests, back, ids = [], [], [], []
+                for text in batch.column(1).to_pylist():
+                    own = bpe.coder.encode(text)
+                    listed = array("I", own).tolist()
+                    decoded = bpe.decode(listed)
+                    counts.append(len(listed))
+                    digests.append((hashlib.sha256(" ".join([numerals[i] for i in listed]).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
+                    if with_ids:
+                        ids.append(own)
+                        back.append(decoded)
+                columns = [batch.column(0), pa.array(counts, pa.int64()), *[pa.array(x, pa.string()) for x in zip(*digests, strict=True)]]
                 if with_ids:
-                    all_ids.append(ids)
-                    all_texts.append(back)
-            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())]
-            if with_ids:
-                columns += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(all_texts, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
+                    ends = pa.array(np.cumsum([0, *counts]).astype(np.int32))
+                    columns += [pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(ids), np.int32))), pa.array(back, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
 
     return source.mapInArrow(run, T.StructType(fields))

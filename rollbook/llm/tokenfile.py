@@ -50,7 +50,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, *, end_id: int, id
 
     Files are in ascending id order, each sorted. Null and empty texts have
     the end id alone; null ids come first; rows with equal ids are all kept,
-    ordered by text. One shuffle, by ranges of the id.
+    ordered by a hash of the text. One shuffle, by ranges of the id.
     """
     sent = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
     source = docs.select(id_col, text_col)
@@ -69,26 +69,21 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, *, end_id: int, id
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.arange(place, place + n)), pa.array(np.diff(ends)), ids], names=schema.names)
                 place += n
 
-    ordered = source.repartitionByRange(id_col, text_col).sortWithinPartitions(id_col, text_col)
+    # a hash parts the rows of one id, so that whole texts are no part of the ranges' sample
+    ordered = source.repartitionByRange(F.col(id_col), F.xxhash64(text_col)).sortWithinPartitions(F.col(id_col), F.xxhash64(text_col))
     ordered.mapInArrow(run, schema).write.options(**LAYOUT).parquet(path)
 
 
-def read_starts(spark: SparkSession, path: str, *, id_col: str = "doc_id") -> DataFrame:
-    """File, place and start (ids of all documents before it) of each document, from the length columns alone.
-
-    A total for each file is summed first; the running sum over files is over
-    one row a file, that within a file over its own rows.
-    """
-    rows = spark.read.parquet(path).select("*", F.col("_metadata.file_name").alias("file")).select("file", "place", "n_tokens")
-    totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("total"))
-    # Spark numbers a write's files by partition, so names sort in id order
-    before = totals.select("file", (F.sum("total").over(Window.orderBy("file")) - F.col("total")).alias("before"))
-    inside = F.sum("n_tokens").over(Window.partitionBy("file").orderBy("place")) - F.col("n_tokens")
-    return rows.withColumn("inside", inside).join(F.broadcast(before), "file").select("file", "place", (F.col("before") + F.col("inside")).alias("start"))
+def read_totals(spark: SparkSession, path: str) -> DataFrame:
+    """``file`` and ``before`` (ids of all files before it) of each file, from the length column alone: one row a file."""
+    totals = spark.read.parquet(path).select("n_tokens", F.col("_metadata.file_name").alias("file")).groupBy("file").agg(F.sum("n_tokens").alias("total"))
+    # Spark numbers a write's files by partition
+    number = F.regexp_extract("file", r"^part-(\d+)", 1).cast("int")
+    return totals.select("file", (F.sum("total").over(Window.orderBy(number)) - F.col("total")).alias("before"))
 
 
 def read_documents(spark: SparkSession, path: str, *, id_col: str = "doc_id") -> DataFrame:
-    """Each document as read back: id, start, n_tokens and ids_crc32, the CRC-32 of its ids as little-endian 32-bit integers."""
+    """Each document as read back: id, file, place in it, n_tokens and ids_crc32, the CRC-32 of its ids as little-endian 32-bit integers."""
     source = spark.read.parquet(path).select("*", F.col("_metadata.file_name").alias("file")).select(id_col, "file", "place", "ids")
     schema = T.StructType([source.schema[0], T.StructField("file", T.StringType()), T.StructField("place", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType())])
 
@@ -110,5 +105,8 @@ def token_file(docs: DataFrame, path: str, vocabulary: str, *, end_id: int, id_c
     """
     spark = docs.sparkSession
     write_tokens(docs, path, vocabulary, end_id=end_id, id_col=id_col, text_col=text_col)
-    back = read_documents(spark, path, id_col=id_col)
-    return back.join(read_starts(spark, path, id_col=id_col), ["file", "place"]).select(id_col, "start", "n_tokens", "ids_crc32")
+    inside = F.sum("n_tokens").over(Window.partitionBy("file").orderBy("place")) - F.col("n_tokens")
+    back = read_documents(spark, path, id_col=id_col).withColumn("inside", inside)
+    # one row a file, and a file holds many documents: small enough to send
+    both = back.join(F.broadcast(read_totals(spark, path)), "file")
+    return both.select(id_col, (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")

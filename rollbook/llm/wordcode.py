@@ -20,6 +20,7 @@ import regex
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 WORD_END = "</w>"
+ENTRY = 190  # bytes that an entry of a dictionary takes besides its letters and ids
 # The same word pattern where all letters are ASCII and lower-case.
 ASCII_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+"
 _CONTROL = re.compile(r"[\x00-\x20]")
@@ -58,15 +59,16 @@ class Vocabulary:
 class PieceCoder:
     """Ids of whole texts from a function that codes one word, given in the byte alphabet.
 
-    Remembers pieces and words in two generations of up to ``most`` entries
+    Remembers pieces and words in two generations of about ``room`` bytes
     each: when the young one is full it becomes the old one, and what is met
     again moves to the young. Frequent words stay, and memory is bounded
     whatever the vocabulary of the corpus.
     """
 
-    def __init__(self, vocabulary: Vocabulary, code_word: Callable[[str], list[int]], most: int = 300_000):
+    def __init__(self, vocabulary: Vocabulary, code_word: Callable[[str], list[int]], room: int = 32 << 20):
         self.special = vocabulary.special
-        self.code_word, self.most = code_word, most
+        self.code_word, self.room = code_word, room
+        self.words_left = self.pieces_left = room
         self.letters = byte_alphabet()
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
@@ -86,8 +88,9 @@ class PieceCoder:
                 spelt = word if word.isascii() and word.isalnum() else "".join([letters[b] for b in word.encode("utf-8", "replace")])
                 got = array("I", self.code_word(spelt)).tobytes()
             if len(word) < 64:
-                if len(self.words) >= self.most:
-                    self.old_words, self.words = self.words, {}
+                self.words_left -= ENTRY + len(word) + len(got)
+                if self.words_left < 0:
+                    self.old_words, self.words, self.words_left = self.words, {}, self.room
                 self.words[word] = got
         return got
 
@@ -110,8 +113,9 @@ class PieceCoder:
             else:
                 got = self._plain(piece)
         if len(piece) < 64:
-            if len(self.pieces) >= self.most:
-                self.old_pieces, self.pieces = self.pieces, {}
+            self.pieces_left -= ENTRY + len(piece) + len(got)
+            if self.pieces_left < 0:
+                self.old_pieces, self.pieces, self.pieces_left = self.pieces, {}, self.room
             self.pieces[piece] = got
         return got
 

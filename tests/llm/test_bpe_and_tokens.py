@@ -2,12 +2,13 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from rollbook.llm import bpe, scratch, tokenfile
+from rollbook.llm import bpe, registry, scratch, tokenfile
 from rollbook.llm.wordcode import default_vocabulary, read_vocabulary
 
 TEXT = read_vocabulary(default_vocabulary())
@@ -67,3 +68,49 @@ def test_token_files_round_trip(spark):
     assert kept.where("doc_id = 3").select("ids").first()[0] == [*expected(ROWS[0][1]), 2]
     empty = tokenfile.token_file(docs.limit(0), scratch.new_path(spark, "tokens"), default_vocabulary(), end_id=2)
     assert empty.count() == 0
+
+
+def test_whole_table_equals_the_library(spark):
+    rows = sorted((r.doc_id, r.text or "") for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect())
+    coded = {i: LIB.encode(t, add_special_tokens=False) for i, t in rows}
+    start, want = 0, {}
+    for i, _ in rows:
+        want[i] = (start, len(coded[i].ids) + 1, zlib.crc32(np.array([*coded[i].ids, 2], "<u4").tobytes()))
+        start += len(coded[i].ids) + 1
+    assert {r.doc_id: tuple(r)[1:] for r in registry.op7_token_file(spark, "/root/testdata/sf0.001").collect()} == want
+    for r in registry.op10_bpe(spark, "/root/testdata/sf0.001").collect():
+        ids = coded[r.doc_id].ids
+        assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(LIB.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_layout_of_token_files(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"word{i % 7} and {i} more " * 40) for i in range(6000)], "doc_id long, text string").coalesce(1)
+    path = f"file://{tmp_path}/tokens"
+    tokenfile.write_tokens(docs, path, default_vocabulary(), end_id=2)
+    seen = 0
+    for file in tmp_path.glob("tokens/*.parquet"):
+        meta = pq.ParquetFile(file).metadata
+        for g in range(meta.num_row_groups):
+            for c in range(meta.num_columns):
+                chunk = meta.row_group(g).column(c)
+                assert chunk.has_offset_index and chunk.compression == "ZSTD"
+                if chunk.path_in_schema.startswith("ids"):
+                    assert {"RLE_DICTIONARY", "DELTA_BINARY_PACKED"} & set(chunk.encodings)
+                    seen += chunk.num_values
+                else:
+                    assert chunk.has_column_index
+    assert seen == spark.read.parquet(path).selectExpr("sum(n_tokens)").first()[0]
+    # lengths alone leave the ids unread, and a range of ids is pushed to the pages
+    plan = spark.read.parquet(path).where("doc_id BETWEEN 10 AND 12").select("n_tokens")._jdf.queryExecution().toString()
+    assert "ids" not in plan.split("ReadSchema: ")[1].split("\n")[0] and "GreaterThanOrEqual(doc_id,10)" in plan
+
+
+def test_caches_stay_within_their_room():
+    coder = bpe.Bpe(TEXT).coder
+    coder.room = coder.words_left = coder.pieces_left = 20_000
+    for i in range(2000):
+        text = f"piece{i} word{i % 9}."
+        assert np.frombuffer(coder.encode(text), np.uint32).tolist() == expected(text)
+        held = [*coder.words, *coder.old_words, *coder.pieces, *coder.old_pieces]
+        assert len(held) * 190 < 4 * 21_000
