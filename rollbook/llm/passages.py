@@ -203,7 +203,10 @@ def _line_links(docs: DataFrame, lines: DataFrame, *, text_col: str, percent: in
     # lines that share too few shingles with all others can't be like any
     sizes = merge_join(sets.select("node", F.size("hashes").cast("long").alias("n")), shared_sizes(sets), F.col("node") == F.col("_of"), "left").select(F.col("node").alias("_node"), "n", (F.col("n") - F.coalesce("_alone", F.lit(0))).alias("s"))
     sized = merge_join(posts, sizes.where(F.col("s") * 100 >= F.col("n") * percent), F.col("node") == F.col("_node")).select("token", "node", "n", "s")
-    posts = cut(listed(sized).withColumn("weight", F.col("s")))
+    posts = cut(listed(sized))
+    # the commoner a line's bands, the more typical it is of a group of copies
+    weights = posts.groupBy(F.col("node").alias("_node")).agg(F.sum("df").alias("weight"))
+    posts = cut(merge_join(posts, weights, F.col("node") == F.col("_node")).drop("_node"))
     return link(posts, sets, confirmed(sets, percent), percent=percent)[1]
 
 
