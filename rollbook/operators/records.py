@@ -7,6 +7,8 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+
+from rollbook.session import written
 from pyspark.sql import types as T
 
 
@@ -46,15 +48,15 @@ def unlisted(rows: DataFrame, listed: DataFrame, by: Sequence[str]) -> DataFrame
 def in_era(rows: DataFrame, eras: DataFrame, *, date: str, name: str, era_name: str, since: str, until: str) -> DataFrame:
     """``rows`` with ``known``: whether the list in force on the date has the name; null where no list covers the date."""
     covered = eras.select(F.col(since).alias("_s"), F.col(until).alias("_u")).distinct()
-    own = rows.join(F.broadcast(covered), (F.col("_s") <= F.col(date)) & (F.col("_u").isNull() | (F.col(date) < F.col("_u"))), "left")
+    own = rows.join(covered, (F.col("_s") <= F.col(date)) & (F.col("_u").isNull() | (F.col(date) < F.col("_u"))), "left")
     names = eras.select(F.col(since).alias("_s2"), F.col(era_name).alias("_n"), F.lit(True).alias("_hit"))
-    both = own.join(F.broadcast(names), (F.col("_s") == F.col("_s2")) & (F.col(name) == F.col("_n")), "left")
+    both = own.join(names, (F.col("_s") == F.col("_s2")) & (F.col(name) == F.col("_n")), "left")
     return both.withColumn("known", F.when(F.col("_s").isNotNull(), F.coalesce("_hit", F.lit(False)))).select(*rows.columns, "known")
 
 
 def mapped(rows: DataFrame, legend: DataFrame, *, mark: str, by: Sequence[str] = ()) -> DataFrame:
     """``rows`` with ``mapped``, what the legend says of the mark; null for a mark it lacks, which itself stays."""
-    return rows.join(F.broadcast(legend.select(*by, F.col(mark), "mapped")), [*by, mark], "left")
+    return rows.join(legend.select(*by, F.col(mark), "mapped"), [*by, mark], "left")
 
 
 def unmatched_rollup(rows: DataFrame, by: Sequence[str], record: str) -> DataFrame:
@@ -91,7 +93,7 @@ def differences(a: DataFrame, b: DataFrame) -> DataFrame:
 def newest(rows: DataFrame, session: str, n: int) -> DataFrame:
     """Rows of the ``n`` newest sessions; these alone are sent to the tasks."""
     top = rows.select(F.col(session).alias("_s")).distinct().orderBy(F.desc("_s")).limit(n)
-    return rows.join(F.broadcast(top), F.col(session) == F.col("_s"), "left_semi")
+    return rows.join(top, F.col(session) == F.col("_s"), "left_semi")
 
 
 def natural_key(c: Column) -> list[Column]:
@@ -100,13 +102,22 @@ def natural_key(c: Column) -> list[Column]:
 
 
 def reachable(links: DataFrame, start: DataFrame, *, src: str, dst: str) -> DataFrame:
-    """Pages reached from the start pages and in how many steps at least, by breadth-first rounds; small crawls only."""
-    spark = links.sparkSession
-    links.select(F.col(src).alias("src"), F.col(dst).alias("dst")).createOrReplaceTempView("_links")
-    start.toDF("page").createOrReplaceTempView("_start")
-    return spark.sql("""
-        WITH RECURSIVE walk(page, steps) AS (SELECT page, 0 FROM _start UNION ALL SELECT l.dst, w.steps + 1 FROM walk w JOIN _links l ON l.src = w.page WHERE w.steps < 50)
-        SELECT page, min(steps) AS steps FROM walk GROUP BY page""")
+    """Pages reached from the start pages and in how many steps at least.
+
+    Breadth-first: each round follows the links of the pages found last, leaves
+    out pages met before, and is written to the shared folder; it ends when
+    nothing new is found, however far or round about the links lead. Null pages
+    are none.
+    """
+    ways = links.select(F.col(src).alias("_src"), F.col(dst).alias("page")).where("_src IS NOT NULL AND page IS NOT NULL").distinct()
+    found = last = written(start.toDF("page").where("page IS NOT NULL").distinct().withColumn("steps", F.lit(0)))
+    steps = 0
+    while not last.isEmpty():
+        steps += 1
+        met = ways.join(last.select(F.col("page").alias("_from")), F.col("_src") == F.col("_from")).select("page").distinct()
+        last = written(met.join(found.select("page"), "page", "left_anti").withColumn("steps", F.lit(steps)))
+        found = found.unionAll(last)
+    return found
 
 
 def ordered_names(rows: DataFrame, by: Sequence[str], name: str) -> DataFrame:

@@ -114,12 +114,12 @@ def _bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").where("l_partkey < 50").groupBy("l_partkey").agg(geometry.cluster(F.collect_list("l_quantity")).alias("c"))
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(geometry.cluster(F.collect_list("l_quantity")).alias("c"))
     return lines.select("l_partkey", F.posexplode("c").alias("pos", "centre")).select("l_partkey", "pos", F.round("centre", 4).alias("centre"))
 
 
 CLUSTERS = """
-WITH RECURSIVE v AS (SELECT l_partkey, l_quantity AS q, row_number() OVER (PARTITION BY l_partkey ORDER BY l_quantity) AS i FROM lineitem WHERE l_partkey < 50),
+WITH RECURSIVE v AS (SELECT l_partkey, l_quantity AS q, row_number() OVER (PARTITION BY l_partkey ORDER BY l_quantity) AS i FROM lineitem),
 walk(l_partkey, i, pos, centre) AS (SELECT l_partkey, i, 0, q FROM v WHERE i = 1
   UNION ALL SELECT v.l_partkey, v.i, CASE WHEN abs(w.centre - v.q) <= 1.5 THEN w.pos ELSE w.pos + 1 END, CASE WHEN abs(w.centre - v.q) <= 1.5 THEN (w.centre + v.q) / 2 ELSE v.q END
   FROM walk w JOIN v ON v.l_partkey = w.l_partkey AND v.i = w.i + 1)
@@ -138,7 +138,7 @@ def _wildcards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     parts = table(spark, sf_dir, "part")
-    asked = parts.where("p_partkey % 5 = 0").selectExpr("p_partkey", "p_brand", "if(p_partkey % 2 = 0, concat(substring(p_name, 1, 2), '_', substring(p_name, 4)), concat('_', substring_index(p_name, ' ', -1))) AS pattern")
+    asked = parts.selectExpr("p_partkey", "p_brand", "if(p_partkey % 2 = 0, concat(substring(p_name, 1, 2), '_', substring(p_name, 4)), concat('_', substring_index(p_name, ' ', -1))) AS pattern")
     names = parts.select(F.col("p_brand").alias("_b"), F.col("p_name").alias("name")).distinct()
     tier = F.when(F.like("name", F.col("pattern")), 1).when(F.like("name", F.concat(F.lit("%"), F.col("pattern"))), 2)
     hits = asked.join(names, F.col("p_brand") == F.col("_b")).withColumn("tier", tier).where("tier IS NOT NULL")
@@ -241,7 +241,7 @@ QUERIES = {
     "cluster_1d": (_clusters, CLUSTERS),
     "zip_union": (_zip_union, """SELECT o_custkey, string_agg(DISTINCT lpad(CAST(s_nationkey AS varchar), 2, '0'), ',' ORDER BY lpad(CAST(s_nationkey AS varchar), 2, '0')) AS nations
       FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1"""),
-    "wildcard_tier_match": (_wildcards, """WITH asked AS (SELECT p_partkey, p_brand, CASE WHEN p_partkey % 2 = 0 THEN substr(p_name, 1, 2) || '_' || substr(p_name, 4) ELSE '_' || split_part(p_name, ' ', -1) END AS pattern FROM part WHERE p_partkey % 5 = 0),
+    "wildcard_tier_match": (_wildcards, """WITH asked AS (SELECT p_partkey, p_brand, CASE WHEN p_partkey % 2 = 0 THEN substr(p_name, 1, 2) || '_' || substr(p_name, 4) ELSE '_' || split_part(p_name, ' ', -1) END AS pattern FROM part),
       names AS (SELECT DISTINCT p_brand, p_name AS name FROM part),
       hits AS (SELECT p_partkey, name, CASE WHEN name LIKE pattern THEN 1 WHEN name LIKE '%' || pattern THEN 2 END AS tier FROM asked JOIN names USING (p_brand)),
       best AS (SELECT *, min(tier) OVER (PARTITION BY p_partkey) AS best FROM hits WHERE tier IS NOT NULL)

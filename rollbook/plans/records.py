@@ -44,7 +44,7 @@ def _legend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where("l_suppkey % 9 = 0 AND l_quantity > 45").selectExpr("l_suppkey", "l_linestatus", "lpad(CAST(l_orderkey AS string), 8, '0') AS call")
+    rows = table(spark, sf_dir, "lineitem").selectExpr("l_suppkey", "l_linestatus", "lpad(CAST(l_orderkey AS string), 8, '0') AS call")
     return records.unmatched_rollup(rows, ["l_suppkey", "l_linestatus"], "call")
 
 
@@ -122,7 +122,7 @@ QUERIES = {
       k AS (SELECT day, p_type, CASE WHEN day >= '1995-01-01' THEN EXISTS (SELECT 1 FROM e WHERE since <= day AND (until IS NULL OR day < until) AND kind = p_type) END AS known FROM r)
       SELECT p_type, known, count(*) AS lines, min(day) AS first_day FROM k GROUP BY ALL"""),
     "legend_map": (_legend, "SELECT l_returnflag, CASE l_returnflag WHEN 'A' THEN '賛成' WHEN 'R' THEN '反対' END AS mapped, count(*) AS votes FROM lineitem GROUP BY ALL"),
-    "unmatched_rollup": (_rollup, """WITH r AS (SELECT l_suppkey, l_linestatus, lpad(CAST(l_orderkey AS varchar), 8, '0') AS call FROM lineitem WHERE l_suppkey % 9 = 0 AND l_quantity > 45)
+    "unmatched_rollup": (_rollup, """WITH r AS (SELECT l_suppkey, l_linestatus, lpad(CAST(l_orderkey AS varchar), 8, '0') AS call FROM lineitem )
       SELECT l_suppkey, l_linestatus, count(*) AS records, string_agg(DISTINCT call, ',' ORDER BY call) AS record_ids FROM r GROUP BY ALL"""),
     "drop_reasons": (_reasons, """SELECT split_part(url, '://', 1) AS site, CASE WHEN NOT contains(url, '/en/') THEN 'not-a-session' WHEN contains(url, '?') THEN 'not-a-candidate' WHEN NOT contains(html, '<a ') THEN 'no-vote-link' ELSE 'taken' END AS reason,
       count(*) AS candidates FROM pages GROUP BY ALL"""),

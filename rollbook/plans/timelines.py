@@ -63,8 +63,8 @@ def _stance(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _unanimous(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A part's mark if its large lines agree, else that of its brand and size."""
     parts = table(spark, sf_dir, "part").selectExpr("p_partkey", "concat(p_brand, '/', p_size) AS title")
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity >= 48").select("l_partkey", "l_returnflag")
-    titled = lines.where("l_partkey % 3 = 0").join(parts, F.col("l_partkey") == F.col("p_partkey")).select("title", "l_returnflag")
+    lines = table(spark, sf_dir, "lineitem").selectExpr("l_partkey", "if(l_quantity >= 48, l_returnflag, NULL) AS l_returnflag")
+    titled = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).select("title", "l_returnflag")
     found = resolve.match_with_fallback(parts, lines.withColumnRenamed("l_partkey", "p_partkey"), titled, id_col="p_partkey", title="title", value="l_returnflag")
     return found.select("p_partkey", F.col("l_returnflag").alias("decision"))
 
@@ -92,22 +92,22 @@ def _fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _streak(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").where("event_type IN ('error', 'click', 'view')")
+    rows = table(spark, sf_dir, "events")
     return ordering.leading_streak(rows, ["user_id"], [F.desc("ts"), F.desc("event_id")], F.col("event_type").isin("error", "click"))
 
 
 def _spine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    daily = table(spark, sf_dir, "events").where("user_id % 40 = 7").groupBy(F.to_date("ts").alias("day")).agg(F.count_if(F.col("event_type") == "error").alias("errors"))
+    daily = table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count_if(F.col("event_type") == "error").alias("errors"))
     return ordering.day_spine(daily, day="day", value="errors", first="2023-12-28", last="2024-02-02").select(F.date_format("day", "yyyy-MM-dd").alias("day"), "errors")
 
 
 def _state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    daily = table(spark, sf_dir, "events").where("user_id % 40 = 7").groupBy(F.to_date("ts").alias("day")).agg(F.count_if(F.col("event_type") == "error").alias("errors"))
+    daily = table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count_if(F.col("event_type") == "error").alias("errors"))
     return ordering.activity_state(ordering.day_spine(daily, day="day", value="errors", first="2023-12-28", last="2024-02-02"), value="errors")
 
 
 SPINE = """
-daily AS (SELECT CAST(ts AS date) AS day, count(*) FILTER (event_type = 'error') AS errors FROM events WHERE user_id % 40 = 7 GROUP BY 1),
+daily AS (SELECT CAST(ts AS date) AS day, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1),
 spine AS (SELECT CAST(unnest(generate_series(DATE '2023-12-28', DATE '2024-02-02', INTERVAL 1 DAY)) AS date) AS day)
 """
 
@@ -122,9 +122,9 @@ QUERIES = {
         FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)
       SELECT sess || '-' || n_regionkey AS bill, c_custkey AS member, CAST(nation AS varchar) AS grp, CASE WHEN f > o THEN 'yes' ELSE 'no' END AS stance, true AS estimated
       FROM tally JOIN nation ON nation = n_nationkey JOIN customer ON c_nationkey = nation AND 1993 + c_custkey % 5 <= sess AND sess <= 1996 + c_custkey % 5 WHERE f <> o"""),
-    "unanimous_decision": (_unanimous, """WITH parts AS (SELECT p_partkey, p_brand || '/' || p_size AS title FROM part), lines AS (SELECT l_partkey, l_returnflag FROM lineitem WHERE l_quantity >= 48),
+    "unanimous_decision": (_unanimous, """WITH parts AS (SELECT p_partkey, p_brand || '/' || p_size AS title FROM part), lines AS (SELECT l_partkey, CASE WHEN l_quantity >= 48 THEN l_returnflag END AS l_returnflag FROM lineitem),
       one AS (SELECT l_partkey AS p_partkey, max(l_returnflag) AS v FROM lines GROUP BY 1 HAVING count(DISTINCT l_returnflag) = 1),
-      two AS (SELECT title, max(l_returnflag) AS v FROM lines JOIN parts ON l_partkey = p_partkey WHERE l_partkey % 3 = 0 GROUP BY 1 HAVING count(DISTINCT l_returnflag) = 1)
+      two AS (SELECT title, max(l_returnflag) AS v FROM lines JOIN parts ON l_partkey = p_partkey GROUP BY 1 HAVING count(DISTINCT l_returnflag) = 1)
       SELECT p_partkey, coalesce(one.v, two.v) AS decision FROM parts LEFT JOIN one USING (p_partkey) LEFT JOIN two USING (title)"""),
     "restore_decisions": (_restored, """WITH fresh AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderstatus END AS a FROM orders WHERE o_orderdate >= '1999-01-01'),
       prev AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN lower(o_orderstatus) END AS b FROM orders WHERE o_orderkey % 3 <> 0)
@@ -134,8 +134,8 @@ QUERIES = {
       SELECT o_orderkey, CASE WHEN count(*) OVER (PARTITION BY base) > 1 THEN base || '-' || row_number() OVER (PARTITION BY base ORDER BY o_orderkey) ELSE base END AS id FROM b"""),
     "running_number": (_numbers, """SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderstatus, row_number() OVER (PARTITION BY o_orderdate, o_orderstatus ORDER BY o_orderkey) AS number FROM orders"""),
     "fill_down": (_fill, """SELECT event_id, user_id, last_value(CASE WHEN event_type = 'error' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS last_error FROM events"""),
-    "failure_streak": (_streak, """WITH r AS (SELECT user_id, sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC ROWS UNBOUNDED PRECEDING) AS ended
-        FROM events WHERE event_type IN ('error', 'click', 'view')) SELECT user_id, count(*) FILTER (ended = 0) AS streak, count(*) AS measured FROM r GROUP BY 1"""),
+    "failure_streak": (_streak, """WITH r AS (SELECT user_id, sum(CASE WHEN event_type IN ('error', 'click') THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC ROWS UNBOUNDED PRECEDING) AS ended
+        FROM events) SELECT user_id, count(*) FILTER (ended = 0) AS streak, count(*) AS measured FROM r GROUP BY 1"""),
     "zero_days": (_spine, f"WITH {SPINE} SELECT strftime(day, '%Y-%m-%d') AS day, errors FROM spine LEFT JOIN daily USING (day)"),
     "activity_state": (_state, f"""WITH {SPINE}, c AS (SELECT count(errors) AS measured, count(*) FILTER (errors = 0) AS zero_days, count(*) AS days FROM spine LEFT JOIN daily USING (day))
       SELECT *, CASE WHEN measured = 0 THEN 'not_measured' WHEN measured = zero_days THEN 'silent' ELSE 'active' END AS state FROM c"""),

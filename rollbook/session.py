@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,5 +42,15 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written once to the folder that driver and executors share, for loops; local mode gets a folder of its own."""
+    context = df.sparkSession.sparkContext
+    if not context.getConf().get("spark.checkpoint.dir") and not context._jsc.sc().getCheckpointDir().isDefined():
+        if not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint(eager=True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

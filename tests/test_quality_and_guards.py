@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from rollbook.operators import incremental, ordering, quality, readapi, timeline
+from rollbook.operators import incremental, ordering, quality, readapi, records, timeline
 
 
 def test_recount_states(spark):
@@ -82,3 +82,10 @@ def test_reading(spark):
     assert {tuple(r) for r in readapi.unshared(rows, ["m", "n", "o"], column="who", record="rec").collect()} == {("m", 1), ("n", 0), ("o", 1)}
     assert readapi.known_value(rows, "who", "m") == "m" and readapi.known_value(rows, "who", "q") is None
     assert {r.letter for r in readapi.distinct_letters(rows, ["who", "v"]).collect()} == set("mnoy")
+
+
+def test_reachable_pages_however_far(spark):
+    chain = [(i, i + 1) for i in range(70)] + [(3, 1), (1, 3), (5, 5), (None, 4), (9, None), (200, 201)]
+    found = records.reachable(spark.createDataFrame(chain, "a long, b long"), spark.createDataFrame([(0,), (0,)], "p long"), src="a", dst="b")
+    steps = {i: i if i < 3 else i - 1 for i in range(71)} | {3: 2}
+    assert {r.page: r.steps for r in found.collect()} == steps and found.count() == 71

@@ -1,6 +1,5 @@
 import gzip
 import json
-import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -30,7 +29,8 @@ def test_access_log(spark, tmp_path):
     days = spark.createDataFrame([("2026-08-22",), ("2026-08-23",)], "day string")
     assert {tuple(r) for r in loganalytics.summary(counts, days).collect()} == {("2026-08-22", 5, 2, 2.5), ("2026-08-23", 0, 0, 0.0)}
     loganalytics.write_report(counts, str(tmp_path / "tsv"))
-    assert spark.read.option("sep", "\t").csv(str(tmp_path / "tsv")).count() == 5
+    assert spark.read.options(sep="\t", header=True).csv(str(tmp_path / "tsv")).columns == ["day", "page", "referrer", "pv"]
+    assert spark.read.options(sep="\t", header=True).csv(str(tmp_path / "tsv")).count() == 5
     with pytest.raises(FileNotFoundError):
         files.log_lines(spark, [])
 
@@ -69,14 +69,12 @@ def test_files_and_sinks(spark, tmp_path):
     row = '13101,"100  ","1000001","ﾄｳｷﾖｳﾄ","ﾁﾖﾀﾞｸ","ﾁﾖﾀﾞ","東京都","千代田区","千代田",0,0,0,0,0,0\n'
     (tmp_path / "ken.csv").write_bytes(row.encode("shift_jis"))
     assert [tuple(r) for r in files.postal_codes(spark, str(tmp_path / "ken.csv")).collect()] == [("13101", "1000001", "東京都", "千代田区", "千代田")]
-    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
-        z.writestr("ken.csv", "x")
-        z.writestr("note.txt", "y")
-    assert [(r.name, bytes(r.content)) for r in files.unzip(spark, str(tmp_path / "a.zip"), r"\.csv$").collect()] == [("ken.csv", b"x")]
-    rules = files.robots_rules("User-agent: other\nDisallow: /a\n\nUser-agent: *\nUser-agent: x # c\nDisallow: /b*.pdf\nDisallow: /c$\nDisallow:\n", "me")
-    assert rules == ["/b*.pdf", "/c$"]
-    urls = spark.createDataFrame([("https://h/a",), ("https://h/b1.pdf",), ("https://h/c",), ("https://h/cd",), ("nothing",), (None,)], "url string")
-    assert [r.allowed for r in files.allowed(urls, rules).collect()] == [True, False, False, True, False, False]
+    robots = "Disallow: /z\nUser-agent: other\nDisallow: /a\n\nUser-agent: *\nUser-agent: x # c\nDisallow: /b*.pdf\nDisallow: /c$\nDisallow:\nDisallow: /100%"
+    rules = files.robots_rules(spark.createDataFrame([("h", i, x) for i, x in enumerate(robots.split("\n"))], "site string, at int, value string"))
+    assert {tuple(r)[1:] for r in rules.collect()} == {("other", "/a"), *((a, r) for a in ("*", "x") for r in ("/b*.pdf", "/c$", "/100%"))}
+    urls = spark.createDataFrame([(i, "h", u) for i, u in enumerate(["https://h/a", "https://h/b1.pdf", "https://h/c", "https://h/cd", "nothing", None, "https://h/100", "https://h/100%x"])] + [(8, "other", "https://other/c")], "i int, site string, url string")
+    assert [r.allowed for r in files.allowed(urls, rules, "me").orderBy("i").collect()] == [True, False, False, True, False, False, True, False, True]
+    assert not files.allowed(urls, rules, "Other/2.0").where("i = 0").first().allowed
     nested = spark.createDataFrame([(1, (2, None))], "b int, a struct<d:int,c:int>")
     assert sinks.stable_json(nested, "b").first().json == '{"a":{"d":2},"b":1}'
     sinks.write_shards(spark.createDataFrame([("1000001", 1), ("9999999", 2)], "zip string, n int"), str(tmp_path / "shards"), "zip")
