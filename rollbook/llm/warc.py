@@ -23,11 +23,10 @@ from pyspark.sql import functions as F
 
 HIDDEN = regex.compile(r"<!--.*?-->|<(script|style|noscript|template)\b[^>]*>.*?</\1\s*>|<!--.*|<(script|style|noscript|template)\b.*", regex.S | regex.I)
 # Elements that begin a new line of text.
-BLOCK = regex.compile(r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|option|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul)\b[^>]*>", regex.I)
-TAG = regex.compile(r"<[/!?a-zA-Z][^>]*>")
-TITLE = regex.compile(r"<title\b[^>]*>(.*?)</title\s*>", regex.S | regex.I)
-LANG = regex.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([\w-]+)", regex.I)
-LINK = regex.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", regex.I)
+BLOCK = frozenset("address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol option p pre section table tbody td tfoot th thead title tr ul".split())
+NAME = regex.compile(r"/?[a-zA-Z][a-zA-Z0-9]*")
+LANG = regex.compile(r"\blang\s*=\s*[\"']?([\w-]+)", regex.I)
+HREF = regex.compile(r"\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", regex.I)
 
 SCHEMA = """warc_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string,
 content_length long, block_digest string, source_payload_digest string, source_block_digest string, header string, block string"""
@@ -45,22 +44,54 @@ def one_line(text: str) -> str:
     return " ".join(text.split())
 
 
+def pieces(page: str) -> Iterator[tuple[str, str, str]]:
+    """A page's parts in one pass: a tag's name (with ``/`` for an end tag; empty for other markup), its inside, and the text that follows it.
+
+    The text before the first tag comes under an empty name. A ``<`` that no
+    ``>`` follows is text, and so is one that begins no tag.
+    """
+    name, inside, begin, at = "", "", 0, page.find("<")
+    while at >= 0:
+        if page[at + 1 : at + 2].isascii() and (page[at + 1 : at + 2].isalpha() or page[at + 1 : at + 2] in ("/", "!", "?")):
+            end = page.find(">", at)
+            if end < 0:
+                break
+            yield name, inside, page[begin:at]
+            found = NAME.match(page, at + 1, end)
+            name, inside, begin = found[0].lower() if found else "", page[at + 1 : end], end + 1
+            at = page.find("<", begin)
+        else:
+            at = page.find("<", at + 1)
+    yield name, inside, page[begin:]
+
+
 def plain_text(page: str) -> str:
     """Text of a page: hidden elements gone, a line for each block element, entities decoded, white space runs as one space."""
-    bare = TAG.sub("", BLOCK.sub("\n", HIDDEN.sub(" ", page)))
+    bare = "".join(["\n" * (name.removeprefix("/") in BLOCK) + text for name, _, text in pieces(HIDDEN.sub(" ", page))])
     lines = (one_line(line) for line in entities.unescape(bare).split("\n"))
     return "\n".join(line for line in lines if line)
 
 
 def metadata_fields(uri: str, http_header: str, page: str) -> list[tuple[str, str]]:
     """Fields of the metadata record: the source's header lines, then what the page says of itself."""
-    visible = HIDDEN.sub(" ", page)
+    title, parts, language, hrefs = "", None, "", []
+    for name, inside, text in pieces(HIDDEN.sub(" ", page)):
+        if name == "title" and not title and parts is None:
+            parts = []
+        elif name == "/title" and parts is not None:
+            title, parts = title or one_line(entities.unescape("".join(parts))), None
+        if parts is not None:
+            parts.append(text)
+        if name == "html" and not language and (m := LANG.search(inside)):
+            language = m[1]
+        elif name == "a" and (m := HREF.search(inside)):
+            hrefs.append(one_line(entities.unescape(next((x for x in m.groups() if x), ""))))
     out = [("source-" + name.strip().lower(), one_line(value)) for name, colon, value in (line.partition(":") for line in http_header.splitlines()[1:]) if colon]
-    if m := TITLE.search(visible):
-        out.append(("title", one_line(entities.unescape(TAG.sub("", m[1])))))
-    if m := LANG.search(visible):
-        out.append(("language", m[1]))
-    for href in dict.fromkeys(one_line(entities.unescape(next(x for x in m if x) if any(m) else "")) for m in LINK.findall(visible)):
+    if title:
+        out.append(("title", title))
+    if language:
+        out.append(("language", language))
+    for href in dict.fromkeys(hrefs):
         if href:
             try:
                 out.append(("outlink", urljoin(uri, href)))

@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import time
 
 from rollbook.llm import warc
 
@@ -36,3 +37,11 @@ def test_records(spark):
     assert [r.content_length for r in got if r.id == 5 and r.warc_type == "conversion"] == [299_999]
     assert sorted(map(str, got)) == sorted(map(str, warc.derivatives(found).collect()))
     assert warc.derivatives(found.limit(0)).count() == 0
+
+
+def test_hostile_pages_take_one_pass():
+    for page in ("<a" * 1_000_000, "<title>" * 300_000, "<html lang" * 200_000, "<p <a href=" * 200_000, "<script" * 300_000, "<!--" * 500_000, "< " * 1_000_000):
+        began = time.process_time()
+        warc.derive("<urn:uuid:0>", "http://h/", "", "", page)
+        assert time.process_time() - began < 60
+    assert warc.plain_text("a <b>bold</b> < c <a <p>next") == "a bold < c next"
