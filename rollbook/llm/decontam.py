@@ -19,10 +19,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EDITS = 0.08  # edits allowed for each character of an item
-LEAST_CHARS = 24  # shorter items would stand in clean texts by chance; they are not sought
 INDEX_CHARS = 40_000_000  # characters of items in one automaton; more items take more passes
 
-HITS = "array<struct<item:int,distance:int,start:int,end:int>>"
+HITS = "array<struct<item:{},distance:int,start:int,end:int>>"
 
 
 def normal(text: str) -> str:
@@ -90,6 +89,11 @@ class Finder:
 
     def _verify(self, at: int, begins: list[int], text: str) -> tuple[int, int, int] | None:
         item, k = self.items[at], self.allowed[at]
+        if not k:
+            # an item too brief for an edit is sought as words of its own
+            alone = (b for b in begins if not (text[b - 1 : b].isalnum() and item[0].isalnum()) and not (text[b + len(item) : b + len(item) + 1].isalnum() and item[-1].isalnum()))
+            first = next(alone, None)
+            return None if first is None else (0, first, first + len(item))
         best = None
         i = 0
         while i < len(begins):
@@ -111,18 +115,18 @@ class Finder:
 _LOADED: dict[int, Finder] = {}
 
 
-def _hits(text_col: str, sent: Broadcast) -> Column:
+def _hits(text: Column, sent: Broadcast, item_type: str) -> Column:
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        items, edits = sent.value
+        ids, items, edits = sent.value
         key = hash((tuple(items), edits))
         if key not in _LOADED:
             _LOADED.clear()
             _LOADED[key] = Finder(items, edits)
         finder = _LOADED[key]
         for texts in parts:
-            yield pd.Series([[dict(zip(("item", "distance", "start", "end"), h, strict=True)) for h in finder.find(t)] for t in texts], dtype=object)
+            yield pd.Series([[dict(zip(("item", "distance", "start", "end"), (ids[h[0]], *h[1:]), strict=True)) for h in finder.find(t)] for t in texts], dtype=object)
 
-    return F.pandas_udf(run, HITS)(F.col(text_col))
+    return F.pandas_udf(run, HITS.format(item_type))(text)
 
 
 def item_groups(items: DataFrame, *, item_col: str, text_col: str, index_chars: int = INDEX_CHARS) -> Iterator[list[tuple]]:
@@ -133,7 +137,7 @@ def item_groups(items: DataFrame, *, item_col: str, text_col: str, index_chars:
     for g in range(n):
         part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("text"), F.lit(n)) == g)
         kept = [(r.id, normal(r.text)) for r in part.collect()]
-        kept = sorted((x for x in kept if len(x[1]) >= LEAST_CHARS), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+        kept = sorted((x for x in kept if x[1]), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
         if kept:
             yield kept
 
@@ -142,18 +146,20 @@ def leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col
     """Each item that stands in a whole text with at most ``edits`` of its length in edits.
 
     Rows: the document's id, the item's id, distance, start and end of the
-    best place (the first of equals). Null and empty texts have none; null,
-    empty and very short items are not sought; rows with equal or null ids
-    each have their own; an item given twice is found twice.
+    best place (the first of equals). Items too brief for an edit are found as
+    words of their own. Null and empty texts have none; null and empty items
+    are not sought; rows with equal or null ids each have their own; an item
+    given twice is found twice. Ids and texts of a bounded number of
+    characters of items at a time pass through the driver to the tasks.
     """
     spark, out = docs.sparkSession, None
     source = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"))
     item_type = items.schema[item_col].dataType
+    kind = item_type.simpleString()
     for group in item_groups(items, item_col=item_col, text_col=item_text, index_chars=index_chars):
-        sent = spark.sparkContext.broadcast(([t for _, t in group], edits))
-        ids = F.array(*[F.lit(i) for i, _ in group]).cast("array<" + item_type.simpleString() + ">")
-        hit = source.select("_doc", F.explode(_hits("_text", sent)).alias("h"))
-        part = hit.select(F.col("_doc").alias(id_col), F.element_at(ids, F.col("h.item") + 1).alias(item_col), "h.distance", "h.start", "h.end")
+        sent = spark.sparkContext.broadcast(([i for i, _ in group], [t for _, t in group], edits))
+        hit = source.select("_doc", F.explode(_hits(F.col("_text"), sent, kind)).alias("h"))
+        part = hit.select(F.col("_doc").alias(id_col), F.col("h.item").alias(item_col), "h.distance", "h.start", "h.end")
         out = part if out is None else out.unionAll(part)
     if out is None:
         return source.where("false").select(F.col("_doc").alias(id_col), F.lit(None).cast(item_type).alias(item_col), *[F.lit(0).alias(c) for c in ("distance", "start", "end")])
@@ -163,6 +169,6 @@ def leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col
 def clean_documents(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", edits: float = EDITS, index_chars: int = INDEX_CHARS) -> DataFrame:
     """Rows in which no item stands; all columns are kept as they are."""
     for group in item_groups(items, item_col=item_col, text_col=item_text, index_chars=index_chars):
-        sent = docs.sparkSession.sparkContext.broadcast(([t for _, t in group], edits))
-        docs = docs.where(F.size(_hits(text_col, sent)) == 0)
+        sent = docs.sparkSession.sparkContext.broadcast(([0] * len(group), [t for _, t in group], edits))
+        docs = docs.where(F.size(_hits(F.col(text_col), sent, "int")) == 0)
     return docs

@@ -66,8 +66,14 @@ def test_whole_table_against_brute_force(spark):
     want = {}
     for d, t in docs:
         for i, x in items:
-            if len(x) >= decontam.LEAST_CHARS and t:
+            if t:
                 least = min(decontam.myers(x, t))
                 if least <= int(len(x) * decontam.EDITS):
                     want[d, i] = least
     assert got == want
+
+
+def test_brief_items_are_words_of_their_own(spark):
+    docs = spark.createDataFrame([(1, "The answer is x42y."), (2, "It is  X42, they say"), (3, "q"), (4, "a brief item here")], "doc_id long, text string")
+    items = spark.createDataFrame([("p", "x42"), ("r", "Q"), ("s", "brief itam here")], "item_id string, text string")
+    assert sorted((r.doc_id, r.item_id, r.distance, r.start) for r in decontam.leaks(docs, items).collect()) == [(2, "p", 0, 6), (3, "r", 0, 0), (4, "s", 1, 2)]
