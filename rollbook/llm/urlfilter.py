@@ -31,7 +31,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id",
     have), which meet the rules by the first ``prefix_hex`` digits of
     their SHA-256; the full digest then confirms. The longest rule wins; of
     equally long ones the longer host, and of one rule given twice, block.
-    Distinct URLs are judged once, so a hot URL costs no more than a rare one.
+    Distinct URLs are judged once; the join back to a hot URL's rows is left to
+    the skew join of adaptive execution, as one judgement meets many rows.
 
     Rows: the id, host, path, rule (host and path as written, else null) and
     verdict (``default`` without a rule). Null, empty and relative URLs have
@@ -61,8 +62,10 @@ def filter_urls(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id",
     )
     hit = spread.join(rule, (F.substring("_digest", 1, prefix_hex) == F.col("r_prefix")) & (F.col("_digest") == F.col("r_digest")))
     best = hit.groupBy("_url").agg(F.max(F.struct(F.col("r_host") + F.col("r_path"), "r_host", "r_rule", "r_verdict")).alias("_best"))
-    judged = pages.select(F.col(id_col), F.col(url_col).alias("_url"))
-    return judged.join(best.withColumnRenamed("_url", "_of"), F.col("_url") == F.col("_of"), "left").select(
+    # rows without a host have no rule: they are dealt out by their id
+    ruled = F.when(F.col(url_col).contains("://"), F.col(url_col)).otherwise(F.sha2(F.col(id_col).cast("string"), 256))
+    judged = pages.select(F.col(id_col), F.col(url_col).alias("_url"), ruled.alias("_key"))
+    return judged.join(best.withColumnRenamed("_url", "_of"), F.col("_key") == F.col("_of"), "left").select(
         id_col, host.alias("host"), path.alias("path"), F.col("_best.r_rule").alias("rule"),
         F.coalesce("_best.r_verdict", F.lit(default)).alias("verdict"),
     )
