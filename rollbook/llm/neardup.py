@@ -171,7 +171,7 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, width=width, percent=percent)
     kept = found.where("first").select(F.col("h1").alias("_k1"), F.col("h2").alias("_k2"))
-    keyed = docs.select("*", *[k.alias("_" + n) for k, n in zip(row_key(id_col, text_col), ("h1", "h2"), strict=True)])
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[k.alias("_" + n) for k, n in zip(row_key(id_col, text_col), ("h1", "h2"), strict=True)])
     held = merge_join(keyed, kept, (F.col("_h1") == F.col("_k1")) & (F.col("_h2") == F.col("_k2")), "left_semi")
     once = held.withColumn("_nth", F.row_number().over(Window.partitionBy("_h1", "_h2").orderBy("_h1")))
-    return once.where("_nth = 1").select(*docs.columns)
+    return once.where("_nth = 1").select(*[F.col("row")[c].alias(c) for c in docs.columns])
