@@ -16,19 +16,25 @@ def merge_join(left: DataFrame, right: DataFrame, on: Column | str, how: str = "
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node`` and ``comp`` (the smallest node reachable) of each node that has a link.
 
-    Each round takes the least label of the neighbours, summed map-side, and
-    then the label of that label, so long chains halve; it ends when no label
-    moves. Every round is written to the shared folder, so a lost executor
-    costs one round at most. No links: no rows.
+    In each round every node hangs on the least of its neighbours, trees are
+    flattened by halving the way to their roots, and links become those
+    between roots: a round leaves half of the nodes at most, and of many links
+    within a group hardly any. Every round is written to the shared folder, so
+    a lost executor costs one round at most. No links: no rows.
     """
-    ways = F.array(F.struct(F.col(a).alias("x"), F.col(b).alias("y")), F.struct(F.col(b).alias("x"), F.col(a).alias("y")))
-    both = cut(links.where(F.col(a) != F.col(b)).select(F.inline(ways)).distinct())
-    labels = cut(both.groupBy("x").agg(F.min("y").alias("least")).select(F.col("x").alias("node"), F.least("x", "least").alias("comp")))
+    ways = F.array(F.struct(F.col("x").alias("node"), F.col("y").alias("near")), F.struct(F.col("y").alias("node"), F.col("x").alias("near")))
+    left, labels = cut(links.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y")).distinct()), None
     while True:
-        heard = merge_join(both, labels, F.col("y") == F.col("node")).groupBy("x").agg(F.min("comp").alias("heard"))
-        lower = merge_join(labels, heard, F.col("node") == F.col("x"), "left").select("node", F.col("comp").alias("old"), F.least("comp", "heard").alias("comp"))
-        root = lower.select(F.col("node").alias("root"), F.col("comp").alias("above"))
-        moved = cut(merge_join(lower, root, F.col("comp") == F.col("root"), "left").select("node", "old", F.least("comp", "above").alias("comp")))
-        labels = moved.select("node", "comp")
-        if moved.where("comp <> old").isEmpty():
+        hung = cut(left.select(F.inline(ways)).groupBy("node").agg(F.min("near").alias("near")).select("node", F.least("node", "near").alias("root")))
+        while True:
+            above = hung.select(F.col("node").alias("_root"), F.col("root").alias("above"))
+            hung = cut(merge_join(hung.select("node", "root"), above, F.col("root") == F.col("_root")).select("node", F.col("above").alias("root"), (F.col("above") != F.col("root")).alias("moved")))
+            if hung.where("moved").isEmpty():
+                break
+        roots = hung.select(F.col("node").alias("_node"), "root")
+        labels = roots.select(F.col("_node").alias("node"), F.col("root").alias("comp")) if labels is None else cut(merge_join(labels, roots, F.col("comp") == F.col("_node"), "left").select("node", F.coalesce("root", "comp").alias("comp")))
+        one = merge_join(left, roots, F.col("x") == F.col("_node")).select(F.col("root").alias("rx"), "y")
+        two = merge_join(one, roots, F.col("y") == F.col("_node")).select("rx", F.col("root").alias("ry")).where("rx <> ry")
+        left = cut(two.select(F.least("rx", "ry").alias("x"), F.greatest("rx", "ry").alias("y")).distinct())
+        if left.isEmpty():
             return labels

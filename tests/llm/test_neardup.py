@@ -80,6 +80,18 @@ def test_components(spark):
     got = {r.node: r.comp for r in components.components(links).collect()}
     assert got == {**{i: 0 for i in range(31)}, **{i: 31 for i in range(31, 61)}, 70: 70, 71: 70}
     assert components.components(links.limit(0)).count() == 0
+    rng = random.Random(8)
+    pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(330)] + [(500 + i, 500 + j) for i in range(20) for j in range(i)]
+    least = {}
+    for x in sorted({v for p in pairs for v in p if p[0] != p[1]}):
+        seen, open_ = set(), [x]
+        while open_:
+            at = open_.pop()
+            if at not in seen:
+                seen.add(at)
+                open_ += [q if p == at else p for p, q in pairs if at in (p, q)]
+        least[x] = min(seen)
+    assert {r.node: r.comp for r in components.components(spark.createDataFrame(pairs, "a long, b long")).collect()} == least
 
 
 def test_long_lists_lose_no_link(spark):
