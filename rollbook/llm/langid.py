@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 ORDER = 3
 UNIT = 1 / 512  # code lengths are held in these parts of a bit
+BLOCK = 500  # contexts whose probabilities are worked out at once
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -70,46 +71,54 @@ class Model:
         if not self.labels:
             return
         self.blank = int(self.symbol[32])
-        parts = [counts[counts["label"] == x] for x in self.labels]
-        levels: list[dict[int, np.ndarray]] = []  # for each context length: context -> counts by language and byte
+        label = np.searchsorted(self.labels, counts["label"].to_numpy(str))
+        number = counts["n"].to_numpy(float)
+        size, kinds = 1, len(self.labels)
+        levels = []  # for each context length: its contexts, and where each count of (context, language, byte) goes
         for k in range(order + 1):
-            level: dict[int, np.ndarray] = {}
-            for at, part in enumerate(parts):
-                g, n = part["gram"].to_numpy(np.int64), part["n"].to_numpy(np.int64)
-                context = np.zeros(len(g), np.int64)
-                for i in range(k, 0, -1):
-                    context = context * a + self.symbol[(g >> 8 * i) & 255]
-                last = self.symbol[g & 255]
-                both, where = np.unique(context * a + last, return_inverse=True)
-                total = np.bincount(where, n)
-                for c, s, v in zip(both // a, both % a, total, strict=True):
-                    level.setdefault(int(c), np.zeros((len(parts), a)))[at, s] = v
-            levels.append({c: v for c, v in level.items() if k == 0 or v.sum() >= least})
-        flat = np.full((len(parts), a), 1 / a)
-        rows, node = [], np.zeros(a**order, np.int32)
-        below: dict[int, np.ndarray] = {}
-        for k, level in enumerate(levels):
-            here: dict[int, np.ndarray] = {}
-            for c, n in level.items():
+            contexts, cells, n = self._level(grams, label, number, k, least)
+            levels.append((contexts, cells, n))
+            size += len(contexts)
+        self.node = np.zeros(a**order, np.int32)
+        self.table = np.zeros((size - 1) * a * kinds, np.uint16).reshape(-1, a, kinds)
+        shorter, below, done = np.zeros(0, np.int64), np.full((1, kinds, a), 1 / a), 0
+        for k, (contexts, cells, n) in enumerate(levels):
+            held = []
+            for at in range(0, len(contexts), BLOCK):
+                some = contexts[at : at + BLOCK]
+                first, last = np.searchsorted(cells, [at * kinds * a, (at + len(some)) * kinds * a])
+                full = np.zeros(len(some) * kinds * a)
+                full[cells[first:last] - at * kinds * a] = n[first:last]
                 # the shorter context drops the oldest byte; it was counted at least as often, so it is in the tree
-                p = self._mixed(n, below[c % a ** (k - 1)] if k else flat)
-                here[c] = p
-                rows.append(p)
-                if k == order:
-                    node[c] = len(rows) - 1
-                else:
-                    node.reshape(a ** (order - k), a**k)[:, c] = len(rows) - 1
-            below = here
-        probability = np.stack(rows).transpose(0, 2, 1)  # node, byte, language
-        self.node = node
-        self.table = np.minimum(np.round(-np.log2(probability) / UNIT), 65535).astype(np.uint16).reshape(-1, len(parts))
+                above = below[np.searchsorted(shorter, some % a ** (k - 1))] if k else below
+                p = self._mixed(full.reshape(-1, kinds, a), above)
+                self.table[done : done + len(some)] = np.minimum(np.round(-np.log2(p) / UNIT), 65535).transpose(0, 2, 1)
+                nodes = np.arange(done, done + len(some), dtype=np.int32)
+                self.node.reshape(a ** (order - k), a**k)[:, some] = nodes
+                done += len(some)
+                if k < order:
+                    held.append(p)
+            shorter, below = contexts, np.concatenate(held) if held else np.zeros((0, kinds, a))
+        self.table = self.table.reshape(-1, kinds)
+
+    def _level(self, grams: np.ndarray, label: np.ndarray, number: np.ndarray, k: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Contexts of ``k`` bytes counted ``least`` times or more, in order, and the counts of their bytes: places in (context, language, byte), ascending, and numbers."""
+        a, kinds = self.width, len(self.labels)
+        context = np.zeros(len(grams), np.int64)
+        for i in range(k, 0, -1):
+            context = context * a + self.symbol[(grams >> 8 * i) & 255]
+        contexts, where = np.unique(context, return_inverse=True)
+        kept = (np.bincount(where, number) >= least) | (k == 0)
+        cell = (((np.cumsum(kept) - 1)[where] * kinds + label) * a + self.symbol[grams & 255])[kept[where]]
+        cells, place = np.unique(cell, return_inverse=True)
+        return contexts[kept], cells, np.bincount(place, number[kept[where]], len(cells))
 
     @staticmethod
     def _mixed(n: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-        """Probabilities of a context from its counts and the shorter context's probabilities, for each language."""
-        total, kinds = n.sum(1, keepdims=True), (n > 0).sum(1, keepdims=True)
+        """Probabilities of contexts (context, language, byte) from their counts and the shorter contexts' probabilities."""
+        total, kinds = n.sum(-1, keepdims=True), (n > 0).sum(-1, keepdims=True)
         left = np.where(n > 0, 0, shorter)
-        rest = left.sum(1, keepdims=True)
+        rest = left.sum(-1, keepdims=True)
         whole = total + np.where(rest > 0, kinds, 0)
         known = np.where(total > 0, n / np.maximum(whole, 1), 0)
         escape = np.where(total > 0, kinds / np.maximum(whole, 1), 1)
