@@ -5,9 +5,9 @@ A query module offers ``QUERIES``: name -> (function of (spark, sf_dir), SQL or
 
 from __future__ import annotations
 
-from rollbook.plans import coverage, members, records, texts, timelines, votes
+from rollbook.plans import coverage, listed, members, records, texts, timelines, votes
 
-MODULES = (votes, members, timelines, coverage, records, texts)
+MODULES = (votes, members, listed, timelines, coverage, records, texts)
 
 
 def queries() -> dict:
