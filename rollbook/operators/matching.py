@@ -69,3 +69,24 @@ def unmatched(found: DataFrame, *, unless: Column | None = None) -> DataFrame:
 def undated(records: DataFrame, *, record: str, names: Column, date: str) -> DataFrame:
     """Records with names but without the date that would place them: entity and detail, to be refused before any match."""
     return records.where((F.size(names) > 0) & (F.col(date).isNull() | (F.col(date) == ""))).select(F.col(record).cast("string").alias("entity"), F.lit("names without a date").alias("detail"))
+
+
+def unattested(records: DataFrame, found: DataFrame, *, record: str, ids: str, at: str, covered: DataFrame) -> DataFrame:
+    """Records that hold ids which none of their own names resolves to: left over from an earlier run.
+
+    Rows: ``record``, how many ``names`` it lists and ``ids`` it holds, how many
+    members the names ``attested``, and the ids that are ``unattested``. Records
+    of sessions outside ``covered`` are not judged (see ``attestation``).
+    """
+    held = records.where(F.size(ids) > 0).join(covered.select(F.col("session").alias("_session")), F.col(at) == F.col("_session"), "left_semi").select(F.col(record).alias("_of"), F.col(ids).alias("_ids"))
+    named = found.groupBy("record").agg(F.count("*").alias("_names"), F.collect_set("member").alias("_known"))
+    both = held.join(named, F.col("_of") == F.col("record"), "left")
+    known = F.coalesce("_known", F.array().cast(found.select(F.array("member")).schema[0].dataType))
+    rest = F.filter("_ids", lambda x: ~F.array_contains(known, x))
+    return both.select(F.col("_of").alias("record"), F.coalesce("_names", F.lit(0)).alias("names"), F.size("_ids").alias("ids"), F.size(known).alias("attested"), rest.alias("unattested")).where(F.size("unattested") > 0)
+
+
+def attestation(records: DataFrame, *, ids: str, at: str, covered: DataFrame) -> DataFrame:
+    """One row: records with ids that can be ``checked`` against their names, and those ``skipped`` as no roster covers their session. None found means nothing where none was checked."""
+    both = records.where(F.size(ids) > 0).join(covered.select(F.col("session").alias("_session")).distinct(), F.col(at) == F.col("_session"), "left")
+    return both.agg(F.count_if(F.col("_session").isNotNull()).alias("checked"), F.count_if(F.col("_session").isNull()).alias("skipped"))

@@ -104,6 +104,35 @@ def broken_condition(df: DataFrame, entity: str, holds: Column, detail: Column)
     return df.where(~F.coalesce(holds, F.lit(False))).select(F.col(entity).alias("entity"), detail.alias("detail"))
 
 
+def not_quarantined(rows: DataFrame, entity: str, member: str, by: Sequence[str], listed: DataFrame) -> DataFrame:
+    """Rows without a member that the list of unmatched names lacks; null keys are equal."""
+    keys = listed.select(*[F.col(c).alias(f"_l_{c}") for c in by]).distinct()
+    open_ = rows.where(F.col(member).isNull() | (F.col(member).cast("string") == ""))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_l_{c}")) for c in by])
+    return open_.join(keys, same, "left_anti").select(F.col(entity).alias("entity"), F.concat_ws("/", *[F.col(c).cast("string") for c in by]).alias("detail"))
+
+
+def orphans(files: DataFrame, path: str, index: DataFrame, index_path: str) -> DataFrame:
+    """Files that are there but in no index."""
+    return files.join(index.select(F.col(index_path).alias("_p")).distinct(), F.col(path) == F.col("_p"), "left_anti").select(F.col(path).alias("entity"), F.lit("not in the index").alias("detail"))
+
+
+def bad_source(rows: DataFrame, entity: str, url: str, hosts: DataFrame, *, by: str | None = None) -> DataFrame:
+    """Rows without a source by https, from a host that ``hosts`` (``host``) lacks, or, with ``by`` in both, from a host of another house."""
+    host = F.lower(F.regexp_extract(F.col(url), "^https://([^/?#:]+)", 1))
+    own = rows.select(F.col(entity).alias("entity"), F.col(url).alias("_url"), host.alias("_host"), (F.col(by) if by else F.lit(None).cast("string")).alias("_by"))
+    allowed = hosts.groupBy(F.lower("host").alias("_allowed")).agg((F.collect_set(by) if by else F.collect_set(F.lit(""))).alias("_houses"))
+    both = own.join(allowed, F.col("_host") == F.col("_allowed"), "left")
+    other = F.coalesce(~F.array_contains("_houses", F.col("_by")), F.lit(True)) if by else F.lit(False)
+    detail = F.when(F.coalesce("_host", F.lit("")) == "", "no https source").when(F.col("_allowed").isNull(), F.concat(F.lit("host "), "_host")).when(other, F.concat(F.lit("other house "), "_host"))
+    return both.select("entity", detail.alias("detail")).where("detail IS NOT NULL")
+
+
+def best_covered(rows: DataFrame, *, session: str, n: str) -> DataFrame:
+    """One row: the session with the greatest count, the later of equals; nulls if there is none."""
+    return rows.agg(F.max(F.struct(F.col(n).alias("n"), F.col(session).alias("session"))).alias("_most")).select("_most.session", "_most.n")
+
+
 class Violated(ValueError):
     """A guard or a rule failed; nothing was written."""
 

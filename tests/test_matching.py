@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from rollbook.operators import matching, resolve, terms, timeline
+from rollbook.operators import matching, quality, resolve, terms, timeline
 
 TERM = "member string, key string, since int, until int, grp string, ends string, pos int, house string"
 T = resolve.Terms(ends="ends", pos="pos")
@@ -47,3 +47,28 @@ def test_roles_fold_over_sittings(spark):
     roles = timeline.fold_roles(found.where("member IS NOT NULL"), ["member", "role", "session"], order=["day"], carry=["day"])
     assert sorted((r.member, r.session, r.times, r.first_day, r.last_day) for r in roles.collect()) == [("c", 218, 2, "2024-01-01", "2024-02-01"), ("c", 219, 1, "2024-05-01", "2024-05-01")]
     assert matching.mentions(sat.limit(0), roster, record="id", names=F.col("names"), at="session", t=T).count() == 0
+
+
+def test_ids_that_no_name_attests(spark):
+    roster, bills = spark.createDataFrame(ROSTER, TERM), spark.createDataFrame(BILLS, BILL)
+    covered = terms.covered_sessions(roster, since="since", until="until")
+    found = matching.mentions(bills, roster, record="id", names=F.col("names"), at="session", date="day", house="house", t=T, covered=covered)
+    rows = matching.unattested(bills, found, record="id", ids="ids", at="session", covered=covered)
+    assert sorted((r.record, r.names, r.ids, r.attested, r.unattested) for r in rows.collect()) == [("b1", 3, 1, 1, ["old"]), ("b5", 0, 1, 0, ["old"])]
+    assert tuple(matching.attestation(bills, ids="ids", at="session", covered=covered).first()) == (2, 1)
+
+
+def test_quarantine_files_and_sources(spark):
+    rows = spark.createDataFrame([(1, "a", "Ito", None), (2, None, "Ono", "g"), (3, "", "Ono", None), (4, None, "Mori", None)], "id int, member string, name string, grp string")
+    listed = spark.createDataFrame([("Ono", "g"), ("Mori", None)], "name string, grp string")
+    assert [r.entity for r in quality.not_quarantined(rows, "id", "member", ["name", "grp"], listed).collect()] == [3]
+    files, index = spark.createDataFrame([("a",), ("b",)], "f string"), spark.createDataFrame([("a",), ("c",)], "p string")
+    assert [r.entity for r in quality.orphans(files, "f", index, "p").collect()] == ["b"]
+    urls = spark.createDataFrame([(1, "https://up.example/x", "up"), (2, "http://up.example/x", "up"), (3, None, "up"), (4, "https://else.example", "up"), (5, "https://Low.example:80/", "up"), (6, "https://low.example?q", "low"), (7, "https://low.example", None)], "id int, url string, house string")
+    hosts = spark.createDataFrame([("up.example", "up"), ("low.example", "low")], "host string, house string")
+    got = {r.entity: r.detail for r in quality.bad_source(urls, "id", "url", hosts, by="house").collect()}
+    assert got == {2: "no https source", 3: "no https source", 4: "host else.example", 5: "other house low.example", 7: "other house low.example"}
+    assert sorted(r.entity for r in quality.bad_source(urls, "id", "url", hosts).collect()) == [2, 3, 4]
+    counts = spark.createDataFrame([(1, 5), (3, 5), (2, 4)], "session int, n int")
+    assert tuple(quality.best_covered(counts, session="session", n="n").first()) == (3, 5)
+    assert tuple(quality.best_covered(counts.limit(0), session="session", n="n").first()) == (None, None)
