@@ -155,7 +155,9 @@ def match_names(records: DataFrame, roster: DataFrame, *, key: str, roster_key:
     ``how``: exact, prefix (the roster's name begins with the key) or
     subsequence (an exact hit pre-empts it). Distinct keys are matched once;
     ``block`` names a column of both sides that must agree, which keeps the
-    non-equi join within it.
+    non-equi join within it; without one, keys meet the names that begin with
+    their first letter (prefix) or hold it (subsequence). An empty key is no
+    prefix of any name.
     """
     keys = [key] + ([block] if block else [])
     wanted = records.select(*[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)]).where(F.col("_0").isNotNull()).distinct()
@@ -167,8 +169,12 @@ def match_names(records: DataFrame, roster: DataFrame, *, key: str, roster_key:
     else:
         fits = F.col("_name").startswith(F.col("_0")) if how == "prefix" else is_subsequence(F.col("_0"), F.col("_name"))
         rest = wanted if how == "prefix" else wanted.join(exact.select(*wanted.columns).distinct(), wanted.columns, "left_anti")
-        hits = rest.join(side, within & fits)
-        hits = hits if how == "prefix" else hits.unionByName(exact)
+        if block is None:
+            letters = F.array(F.substring("_name", 1, 1)) if how == "prefix" else F.array_distinct(F.split("_name", ""))
+            side = side.withColumn("_letter", F.explode(letters))
+            within = F.substring("_0", 1, 1) == F.col("_letter")
+        hits = rest.where("_0 <> ''").join(side, within & fits).select(*wanted.columns, "_name", "_member")
+        hits = hits if how == "prefix" else hits.unionByName(exact.select(*hits.columns))
     found = hits.groupBy(*wanted.columns).agg(F.array_sort(F.collect_set("_member")).alias("candidates"))
     on = F.lit(True)
     for i, k in enumerate(keys):
