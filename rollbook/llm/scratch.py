@@ -29,7 +29,7 @@ def new_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
-GC_SECONDS = 5.0  # least time between two collections of the driver's garbage
+GC_SECONDS = 2.0  # least time between two collections of the driver's garbage
 _last = 0.0
 
 
