@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from rollbook.llm import workers
 from rollbook.llm.wordcode import WORD_END, PieceCoder, Vocabulary, read_vocabulary
 
 _NONE = 1 << 62
@@ -101,16 +102,9 @@ class Bpe:
         return " ".join([strings[i] for i in ids])
 
 
-_LOADED: dict[int, Bpe] = {}
-
-
 def loaded(text: str) -> Bpe:
     """One coder in a worker, kept from task to task with what it remembers."""
-    key = hash(text)
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = Bpe(text)
-    return _LOADED[key]
+    return workers.kept(("bpe", hash(text)), lambda: Bpe(text))
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:

@@ -18,6 +18,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rollbook.llm import workers
+
 EDITS = 0.08  # edits allowed for each character of an item
 INDEX_CHARS = 40_000_000  # characters of items in one automaton; more items take more passes
 
@@ -112,17 +114,10 @@ class Finder:
         return best
 
 
-_LOADED: dict[int, Finder] = {}
-
-
 def _hits(text: Column, sent: Broadcast, item_type: str) -> Column:
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         ids, items, edits = sent.value
-        key = hash((tuple(items), edits))
-        if key not in _LOADED:
-            _LOADED.clear()
-            _LOADED[key] = Finder(items, edits)
-        finder = _LOADED[key]
+        finder = workers.kept(("decontamination", hash((tuple(items), edits))), lambda: Finder(items, edits))
         for texts in parts:
             yield pd.Series([[dict(zip(("item", "distance", "start", "end"), (ids[h[0]], *h[1:]), strict=True)) for h in finder.find(t)] for t in texts], dtype=object)
 

@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rollbook.llm import workers
+
 ORDER = 3
 UNIT = 1 / 512  # code lengths are held in these parts of a bit
 BLOCK = 500  # contexts whose probabilities are worked out at once
@@ -130,7 +132,7 @@ class Model:
         at = 0
         while at < len(texts):
             upto, size = at, 0
-            while upto < len(texts) and (size == 0 or size + len(texts[upto]) < 1 << 20):
+            while upto < len(texts) and (size == 0 or size + len(texts[upto]) < 1 << 18):
                 size += len(texts[upto]) + self.order
                 upto += 1
             self._block(texts[at:upto], out[at:upto])
@@ -171,17 +173,19 @@ def language(text_col: str, model: Model, spark: SparkSession) -> Column:
 
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = sent.value
+        workers.free()
         for texts in parts:
             n = len(texts)
             label, score = np.full(n, "und", object), np.zeros(n)
             good = [i for i, t in enumerate(texts) if t and LETTER.search(t)]
-            if good and model.labels:
-                data = [texts.iat[i].encode("utf-8", "replace") for i in good]
+            for at in range(0, len(good) if model.labels else 0, 500):
+                some = good[at : at + 500]
+                data = [texts.iat[i].encode("utf-8", "replace") for i in some]
                 bits = model.lengths(data)
                 best = bits.argmin(1)
                 heat = np.sqrt([len(d) for d in data])
-                label[good] = np.array(model.labels, object)[best]
-                score[good] = 1 / np.exp2(np.maximum(-1000, (bits[np.arange(len(good)), best][:, None] - bits) / heat[:, None])).sum(1)
+                label[some] = np.array(model.labels, object)[best]
+                score[some] = 1 / np.exp2(np.maximum(-1000, (bits[np.arange(len(some)), best][:, None] - bits) / heat[:, None])).sum(1)
             yield pd.DataFrame({"lang_pred": label, "score": score})
 
     return F.pandas_udf(run, T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))(F.col(text_col))

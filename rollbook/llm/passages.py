@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollbook.llm import scratch
+from rollbook.llm import scratch, workers
 from rollbook.llm.components import merge_join
 from rollbook.llm.linking import link
 from rollbook.llm.neardup import SEND_NODES, _confirmed as confirmed, _shared_sizes as shared_sizes
@@ -131,6 +131,7 @@ def units(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
     schema = T.StructType([source.schema["id"], T.StructField("t", T.LongType()), T.StructField("words", T.IntegerType()), T.StructField("seeds", SEEDS), T.StructField("lines", LINES)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.free()
         for whole in batches:
             for low in range(0, whole.num_rows, 500):
                 batch = whole.slice(low, 500)
@@ -172,6 +173,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, *, text_col: str) -> DataFrame:
     schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("hashes", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.free()
         for whole in batches:
             for low in range(0, whole.num_rows, 200):
                 batch = whole.slice(low, 200)
@@ -286,6 +288,7 @@ def _windows_of(docs: DataFrame, seeds: DataFrame, *, text_col: str) -> DataFram
     schema = seeds.select("t", "start", "node").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.free()
         for whole in batches:
             for low in range(0, whole.num_rows, 200):
                 batch = whole.slice(low, 200)
@@ -328,6 +331,7 @@ def _around(docs: DataFrame, runs: DataFrame, *, text_col: str) -> DataFrame:
     schema = T.StructType([T.StructField("_kt", T.LongType()), T.StructField("_place", T.IntegerType()), T.StructField("before", T.BinaryType()), T.StructField("after", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.free()
         for whole in batches:
             for low in range(0, whole.num_rows, 200):
                 batch = whole.slice(low, 200)
@@ -439,6 +443,7 @@ def _widened(docs: DataFrame, runs: DataFrame, *, id_col: str, text_col: str, pe
     schema = T.StructType([T.StructField(n, k) for n, k in zip(names, (id_type, T.LongType(), T.IntegerType(), T.IntegerType(), T.BooleanType(), id_type), strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.free()
         for whole in batches:
             for low in range(0, whole.num_rows, 50):
                 batch = whole.slice(low, 50)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
+from rollbook.llm import workers
 from rollbook.llm.wordcode import PieceCoder, Vocabulary, read_vocabulary
 
 # Parquet settings of the format; sizes in bytes.
@@ -32,17 +33,15 @@ LAYOUT = {
     "compression": "zstd",
 }
 
-_LOADED: dict[int, PieceCoder] = {}
-
 
 def library_coder(text: str) -> PieceCoder:
     """A coder whose merges are the tokenizers library's own; kept in the worker."""
-    key = hash(text)
-    if key not in _LOADED:
+
+    def make() -> PieceCoder:
         model = Tokenizer.from_str(text).model
-        _LOADED.clear()
-        _LOADED[key] = PieceCoder(Vocabulary(text), lambda word: [t.id for t in model.tokenize(word)])
-    return _LOADED[key]
+        return PieceCoder(Vocabulary(text), lambda word: [t.id for t in model.tokenize(word)])
+
+    return workers.kept(("token file", hash(text)), make)
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, *, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:

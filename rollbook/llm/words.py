@@ -8,7 +8,7 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
-BLOCK = 1 << 20  # bytes of text in one block
+BLOCK = 1 << 18  # bytes of text in one block, whose arrays take some fifty times as many
 
 
 def mix(x: np.ndarray) -> np.ndarray:
