@@ -73,3 +73,60 @@ def districts_by_zip(postal: DataFrame, resolved: DataFrame) -> DataFrame:
 def union_sets(rows: DataFrame, *, by: str, value: str, out: str) -> DataFrame:
     """The sorted set of values of each key, as text."""
     return rows.groupBy(by).agg(F.array_join(F.array_sort(F.collect_set(value)), ",").alias(out))
+
+
+TOKEN = "[（(]|[）)]|、|第[0-9０-９]+区|[^（()）、第]+|第"
+
+
+def district_tokens(texts: DataFrame, *, text: str = "text") -> DataFrame:
+    """pref, pos, token, depth, number and section of a prefecture's text.
+
+    ``depth`` counts the brackets that are open behind a token, ``number`` is
+    that of a heading (``第N区`` outside all brackets), ``section`` counts the
+    headings so far.
+    """
+    bare = F.regexp_replace(text, "\\s", "")
+    tokens = texts.select("pref", F.posexplode(F.regexp_extract_all(bare, F.lit(TOKEN), 0)).alias("pos", "token"))
+    so_far = Window.partitionBy("pref").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    turn = F.when(F.col("token").isin("（", "("), 1).when(F.col("token").isin("）", ")"), -1).otherwise(0)
+    deep = tokens.withColumn("depth", F.sum(turn).over(so_far))
+    digits = F.translate(F.regexp_extract("token", "^第([0-9０-９]+)区$", 1), "０１２３４５６７８９", "0123456789")
+    headed = deep.withColumn("number", F.when((F.col("depth") == 0) & (digits != ""), digits.cast("int")))
+    return headed.withColumn("section", F.count("number").over(so_far))
+
+
+def district_sections(texts: DataFrame, *, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Units of each district (pref, number, place, unit, area, raw) from a prefecture's text, and prefectures refused (entity, detail).
+
+    A text has the prefecture's name, then districts numbered 1, 2, ..., each
+    with units between commas outside brackets; a unit may end with an area in
+    brackets. A text is refused as a whole, for the first that holds: its
+    brackets don't close, it is headed otherwise, it has no district, its
+    numbers are not consecutive, a district has no area, or a unit can't be read.
+    """
+    tokens = district_tokens(texts, text=text)
+    within = Window.partitionBy("pref", "section").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    comma = (F.col("token") == "、") & (F.col("depth") == 0)
+    parts = tokens.withColumn("_part", F.count_if(comma).over(within)).where(F.col("number").isNull() & ~comma)
+    raw = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]), "")
+    pieces = parts.groupBy("pref", "section", "_part").agg(raw.alias("raw"))
+    numbers = tokens.where("number IS NOT NULL").select("pref", "section", "number")
+    place = F.row_number().over(Window.partitionBy("pref", "section").orderBy("_part"))
+    fields = "^([^（(]+)(?:[（(](.*)[）)])?$"
+    units = pieces.where("section > 0").withColumn("place", place).join(numbers, ["pref", "section"]).select(
+        "pref", "section", "number", "place", F.nullif(F.regexp_extract("raw", fields, 1), F.lit("")).alias("unit"), F.when(F.col("raw").rlike("[）)]$") & F.col("raw").rlike(fields), F.regexp_extract("raw", fields, 2)).alias("area"), "raw")
+    ends = tokens.groupBy("pref").agg(F.max_by("depth", "pos").alias("open"), F.max("section").alias("sections"))
+    counted = units.groupBy("pref").agg(F.countDistinct("section").alias("held"), F.count_if(F.col("unit").isNull()).alias("unread"))
+    odd = numbers.where("number <> section").groupBy("pref").agg(F.min("section").alias("first_odd"))
+    heads = pieces.where("section = 0").groupBy("pref").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_part", "raw"))), lambda x: x["raw"]), "、").alias("headed"))
+    judged = texts.select("pref").distinct()
+    for side in (ends, counted, odd, heads):
+        judged = judged.join(side, "pref", "left")
+    none = F.lit(0)
+    reason = (
+        F.when(F.coalesce("open", none) != 0, "brackets left open").when(F.coalesce("headed", F.lit("")) != F.col("pref"), "headed otherwise").when(F.coalesce("sections", none) == 0, "no district")
+        .when(F.col("first_odd").isNotNull(), "numbers not consecutive").when(F.coalesce("held", none) < F.col("sections"), "district without area").when(F.col("unread") > 0, "unit unreadable")
+    )
+    refused = judged.select(F.col("pref").alias("entity"), reason.alias("detail")).where("detail IS NOT NULL")
+    good = units.join(refused.select(F.col("entity").alias("pref")), "pref", "left_anti")
+    return good.select("pref", "number", "place", "unit", "area", "raw"), refused

@@ -55,10 +55,13 @@ def grid(vlines: DataFrame, hlines: DataFrame, eps: float = EPS) -> DataFrame:
 
 
 def merged_segments(lines: DataFrame, *, at: str, low: str, high: str, eps: float = EPS) -> DataFrame:
-    """Overlapping segments of one line as one segment."""
-    by = Window.partitionBy(*PAGE, F.round(F.col(at) / eps)).orderBy(low, high)
+    """Overlapping segments of one line as one segment: lines of a page of which each is within ``eps`` of the next are one line, at their mean."""
+    page = Window.partitionBy(*PAGE).orderBy(at)
+    apart = F.coalesce(F.col(at) - F.lag(at).over(page) > eps, F.lit(True)).cast("int")
+    told = lines.withColumn("_apart", apart).withColumn("_line", F.sum("_apart").over(page))
+    by = Window.partitionBy(*PAGE, "_line").orderBy(low, high)
     reach = F.max(high).over(by.rowsBetween(Window.unboundedPreceding, -1))
-    new = lines.withColumn("_new", F.coalesce(F.col(low) > reach + eps, F.lit(True)).cast("int")).withColumn("_run", F.sum("_new").over(by)).withColumn("_line", F.round(F.col(at) / eps))
+    new = told.withColumn("_new", F.coalesce(F.col(low) > reach + eps, F.lit(True)).cast("int")).withColumn("_run", F.sum("_new").over(by))
     return new.groupBy(*PAGE, "_line", "_run").agg(F.avg(at).alias(at), F.min(low).alias(low), F.max(high).alias(high)).drop("_line", "_run")
 
 
@@ -98,9 +101,52 @@ def vote_table(items: DataFrame, vlines: DataFrame, hlines: DataFrame, legend: D
     titles = found.where((F.col("col") == title_col) & (F.col("row") != header_row)).select(*PAGE, "row", F.col("text").alias("title"))
     marks = found.where((F.col("col") != title_col) & (F.col("row") != header_row)).select(*PAGE, "row", "col", F.col("text").alias("raw"))
     votes = marks.join(names, [*PAGE, "col"]).join(titles, [*PAGE, "row"])
-    return votes.join(F.broadcast(legend.select("raw", "mapped")), "raw", "left").select(*PAGE, "row", "title", "name", "raw", "mapped")
+    return votes.join(legend.select("raw", "mapped"), "raw", "left").select(*PAGE, "row", "title", "name", "raw", "mapped")
 
 
 def affine(a: float, b: float, c: float, d: float, e: float, f: float, x: Column, y: Column) -> tuple[Column, Column]:
     """A point under the matrix (a b c d e f)."""
     return x * a + y * c + e, x * b + y * d + f
+
+
+def matrix(*six: Column | float) -> Column:
+    """The matrix (a b c d e f) as a struct: x' = ax + cy + e, y' = bx + dy + f."""
+    return F.struct(*[(v if isinstance(v, Column) else F.lit(v)).cast("double").alias(n) for n, v in zip("abcdef", six, strict=True)])
+
+
+def product(matrices: Column) -> Column:
+    """An array of matrices as one: the first is applied first. None is the identity."""
+    def then(m: Column, n: Column) -> Column:
+        return matrix(
+            m["a"] * n["a"] + m["b"] * n["c"], m["a"] * n["b"] + m["b"] * n["d"], m["c"] * n["a"] + m["d"] * n["c"], m["c"] * n["b"] + m["d"] * n["d"],
+            m["e"] * n["a"] + m["f"] * n["c"] + n["e"], m["e"] * n["b"] + m["f"] * n["d"] + n["f"])
+
+    return F.aggregate(matrices, matrix(1, 0, 0, 1, 0, 0), then)
+
+
+def turned_box(m: Column, x: Column, y: Column, w: Column, h: Column) -> Column:
+    """The upright box around a box's four corners under a matrix: a struct of x, y, w and h."""
+    corners = [(p * m["a"] + q * m["c"] + m["e"], p * m["b"] + q * m["d"] + m["f"]) for p in (x, x + w) for q in (y, y + h)]
+    across, along = zip(*corners, strict=True)
+    left, low = F.least(*across), F.least(*along)
+    return F.struct(left.alias("x"), low.alias("y"), (F.greatest(*across) - left).alias("w"), (F.greatest(*along) - low).alias("h"))
+
+
+def page_rotation(degrees: Column, width: Column, height: Column) -> Column:
+    """What turns a page of a size, shown turned clockwise by quarters, upright with its corner at 0; null for anything but quarters."""
+    turn = F.pmod(degrees, F.lit(360))
+    return (
+        F.when(turn == 0, matrix(1, 0, 0, 1, 0, 0)).when(turn == 90, matrix(F.lit(0), F.lit(-1), F.lit(1), F.lit(0), F.lit(0), width))
+        .when(turn == 180, matrix(F.lit(-1), F.lit(0), F.lit(0), F.lit(-1), width, height)).when(turn == 270, matrix(F.lit(0), F.lit(1), F.lit(-1), F.lit(0), height, F.lit(0)))
+    )
+
+
+def turned_lines(vlines: DataFrame, hlines: DataFrame, m: Column) -> tuple[DataFrame, DataFrame]:
+    """Ruled lines under a matrix of quarter turns and shifts: upright ones and level ones anew, each with its ends in order. ``m`` may use columns of both tables."""
+    box = turned_box(m, F.col("_x"), F.col("_y"), F.col("_w"), F.col("_h"))
+    zero = F.lit(0.0)
+    up = vlines.withColumns({"_x": F.col("x"), "_y": F.least("y0", "y1"), "_w": zero, "_h": F.abs(F.col("y1") - F.col("y0"))})
+    level = hlines.withColumns({"_x": F.least("x0", "x1"), "_y": F.col("y"), "_w": F.abs(F.col("x1") - F.col("x0")), "_h": zero})
+    every = up.select(*PAGE, box.alias("b")).unionByName(level.select(*PAGE, box.alias("b"))).select(*PAGE, "b.*")
+    stands = F.col("h") >= F.col("w")
+    return every.where(stands).select(*PAGE, "x", F.col("y").alias("y0"), (F.col("y") + F.col("h")).alias("y1")), every.where(~stands).select(*PAGE, "y", F.col("x").alias("x0"), (F.col("x") + F.col("w")).alias("x1"))

@@ -44,8 +44,8 @@ def term_in_force(records: DataFrame, terms: DataFrame, *, record: str, member:
 
 
 def covered_sessions(terms: DataFrame, *, since: str, until: str) -> DataFrame:
-    """Each session that some term covers."""
-    return terms.select(F.explode(F.sequence(F.col(since), F.coalesce(F.col(until), F.col(since)))).alias("session")).distinct()
+    """Each session that some term covers; a term that ends before it begins covers none."""
+    return terms.where(F.col(since) <= F.coalesce(F.col(until), F.col(since))).select(F.explode(F.sequence(F.col(since), F.coalesce(F.col(until), F.col(since)))).alias("session")).distinct()
 
 
 def uncovered_sessions(wanted: DataFrame, terms: DataFrame, *, session: str, since: str, until: str) -> DataFrame:

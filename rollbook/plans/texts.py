@@ -85,6 +85,23 @@ def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loganalytics.summary(loganalytics.page_views(_views(spark, sf_dir)), days)
 
 
+def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = spark.createDataFrame([(f"2026-08-{d}",) for d in range(19, 30)], "day string")
+    return loganalytics.report(loganalytics.page_views(_views(spark, sf_dir)), days)
+
+
+def _referrers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where visits say they came from, each page's address as a referrer of another form: with letters that no address may hold, a port, a user, an app's scheme, no path, or the own site."""
+    rest = F.regexp_replace("url", "^[a-z]+://", "")
+    host = F.substring_index(F.substring_index(F.substring_index(rest, "/", 1), "?", 1), "#", 1)
+    kind = F.col("page_id") % 9
+    sent = (
+        F.when(kind == 0, F.concat(F.lit("https://"), rest, F.lit("?q=a|b {c}"))).when(kind == 1, F.concat(F.lit("http://"), host, F.lit(":8080/%zz"))).when(kind == 2, F.concat(F.lit("https://u:p w@"), rest))
+        .when(kind == 3, F.concat(F.lit("android-app://"), host, F.lit("/x"))).when(kind == 4, host).when(kind == 5, F.concat(F.lit("https://m.example.net#"), rest)).when(kind == 6, F.lit("-")).when(kind == 7, F.lit("https:///x")).otherwise(F.concat(F.lit("HTTPS://"), host, F.lit("?"), rest))
+    )
+    return table(spark, sf_dir, "pages").select(loganalytics.referrer_host(sent, "m.example.net").alias("site")).groupBy("site").agg(F.count("*").alias("visits"))
+
+
 def _daily_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
 
@@ -108,6 +125,12 @@ QUERIES = {
     "page_views": (_page_views, f"WITH {VIEWS} SELECT day, page, referrer, count(*) AS pv FROM views GROUP BY ALL"),
     "page_view_summary": (_summary, f"""WITH {VIEWS}, days AS (SELECT '2026-08-' || unnest(range(19, 30)) AS day)
       SELECT d.day, count(page) AS pv, count(DISTINCT page) AS pages, round(coalesce(count(page) / nullif(count(DISTINCT page), 0), 0.0), 2) AS per_page FROM days d LEFT JOIN views v ON d.day = v.day GROUP BY 1"""),
+    "page_view_report": (_report, f"""WITH {VIEWS}, days AS (SELECT '2026-08-' || unnest(range(19, 30)) AS day), c AS (SELECT day, page, referrer, count(*) AS pv FROM views GROUP BY ALL)
+      SELECT d.day, 0 AS place, printf('# %s' || chr(9) || 'pv=%d' || chr(9) || 'pages=%d' || chr(9) || 'per-page=%.2f', d.day, count(page), count(DISTINCT page), round(coalesce(count(page) / nullif(count(DISTINCT page), 0), 0.0), 2)) AS line FROM days d LEFT JOIN views v ON d.day = v.day GROUP BY 1
+      UNION ALL SELECT day, CAST(row_number() OVER (PARTITION BY day ORDER BY pv DESC, page, referrer) AS integer), concat_ws(chr(9), day, page, referrer, pv) FROM c WHERE day IN (SELECT day FROM days)"""),
+    "referrer_sites": (_referrers, """WITH p AS (SELECT page_id % 9 AS kind, regexp_replace(url, '^[a-z]+://', '') AS rest FROM pages), h AS (SELECT *, regexp_extract(rest, '^[^/?#]*') AS host FROM p)
+      SELECT CASE kind WHEN 0 THEN CASE host WHEN '' THEN '-' ELSE host END WHEN 1 THEN host || ':8080' WHEN 2 THEN 'u:p w@' || host WHEN 3 THEN CASE host WHEN '' THEN '-' ELSE 'android-app://' || host END WHEN 4 THEN CASE host WHEN '' THEN '-' ELSE host END
+        WHEN 5 THEN '-' WHEN 6 THEN '-' WHEN 7 THEN '-' ELSE CASE host WHEN '' THEN '-' ELSE 'HTTPS://' || host END END AS site, count(*) AS visits FROM h GROUP BY 1"""),
     "daily_event_types": (_daily_types, "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY ALL"),
     "html_parts": (_html, None),
 }

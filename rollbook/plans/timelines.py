@@ -61,12 +61,12 @@ def _stance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _unanimous(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A part's mark if its large lines agree, else that of its brand and size."""
-    parts = table(spark, sf_dir, "part").selectExpr("p_partkey", "concat(p_brand, '/', p_size) AS title")
-    lines = table(spark, sf_dir, "lineitem").selectExpr("l_partkey", "if(l_quantity >= 48, l_returnflag, NULL) AS l_returnflag")
-    titled = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).select("title", "l_returnflag")
-    found = resolve.match_with_fallback(parts, lines.withColumnRenamed("l_partkey", "p_partkey"), titled, id_col="p_partkey", title="title", value="l_returnflag")
-    return found.select("p_partkey", F.col("l_returnflag").alias("decision"))
+    """An order's mark if all its lines agree, else that of its customer's lines, if these do."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("title"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linestatus")
+    titled = lines.join(orders, "o_orderkey").select("title", "l_linestatus")
+    found = resolve.match_with_fallback(orders, lines, titled, id_col="o_orderkey", title="title", value="l_linestatus")
+    return found.select("o_orderkey", F.col("l_linestatus").alias("decision"))
 
 
 def _restored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,10 +122,10 @@ QUERIES = {
         FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)
       SELECT sess || '-' || n_regionkey AS bill, c_custkey AS member, CAST(nation AS varchar) AS grp, CASE WHEN f > o THEN 'yes' ELSE 'no' END AS stance, true AS estimated
       FROM tally JOIN nation ON nation = n_nationkey JOIN customer ON c_nationkey = nation AND 1993 + c_custkey % 5 <= sess AND sess <= 1996 + c_custkey % 5 WHERE f <> o"""),
-    "unanimous_decision": (_unanimous, """WITH parts AS (SELECT p_partkey, p_brand || '/' || p_size AS title FROM part), lines AS (SELECT l_partkey, CASE WHEN l_quantity >= 48 THEN l_returnflag END AS l_returnflag FROM lineitem),
-      one AS (SELECT l_partkey AS p_partkey, max(l_returnflag) AS v FROM lines GROUP BY 1 HAVING count(DISTINCT l_returnflag) = 1),
-      two AS (SELECT title, max(l_returnflag) AS v FROM lines JOIN parts ON l_partkey = p_partkey GROUP BY 1 HAVING count(DISTINCT l_returnflag) = 1)
-      SELECT p_partkey, coalesce(one.v, two.v) AS decision FROM parts LEFT JOIN one USING (p_partkey) LEFT JOIN two USING (title)"""),
+    "unanimous_decision": (_unanimous, """WITH lines AS (SELECT l_orderkey AS o_orderkey, o_custkey, l_linestatus FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+      one AS (SELECT o_orderkey, max(l_linestatus) AS v FROM lines GROUP BY 1 HAVING count(DISTINCT l_linestatus) = 1),
+      two AS (SELECT o_custkey, max(l_linestatus) AS v FROM lines GROUP BY 1 HAVING count(DISTINCT l_linestatus) = 1)
+      SELECT o_orderkey, coalesce(one.v, two.v) AS decision FROM orders LEFT JOIN one USING (o_orderkey) LEFT JOIN two USING (o_custkey)"""),
     "restore_decisions": (_restored, """WITH fresh AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderstatus END AS a FROM orders WHERE o_orderdate >= '1999-01-01'),
       prev AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN lower(o_orderstatus) END AS b FROM orders WHERE o_orderkey % 3 <> 0)
       SELECT o_orderkey, coalesce(a, b) AS status, CASE WHEN a IS NOT NULL THEN 'fresh' WHEN b IS NOT NULL THEN 'restored' ELSE 'missing' END AS state

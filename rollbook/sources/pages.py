@@ -3,63 +3,39 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollbook.functions.text import squash
+from rollbook.sources.elements import elements_of
 
 PARTS = "kind string, tbl int, line int, cell int, text string, href string"
-SILENT = {"script", "style"}
+KINDS = {"td": "cell", "th": "cell", "a": "link", "title": "title", "h1": "h1", "h2": "h2", "h3": "h3"}
 
 
-class _Parts(HTMLParser):
-    """Cells (with their table, row and place), links and headings of a page, in order."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.out: list[tuple] = []
-        self.table = self.line = self.cell = -1
-        self.open: list[list] = []
-        self.silent = 0
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
+def parts_of(page: str | None) -> list[tuple]:
+    """Cells (with their table, row and place), links and headings of a page, in the order in which they begin; left open, they end where the next may begin."""
+    rows = elements_of(page)
+    out: list[tuple] = []
+    around: list[tuple[int, list[int]]] = []  # tables around a place: where each ends; its number, row and cell
+    outer, table = [-1, -1, -1], -1
+    for at, stop, _, _, tag, _, _, link, _ in rows:
+        while around and around[-1][0] <= at:
+            around.pop()
+        place = around[-1][1] if around else outer
         if tag == "table":
-            self.table, self.line = self.table + 1, -1
+            table += 1
+            around.append((stop, [table, -1, -1]))
         elif tag == "tr":
-            self.line, self.cell = self.line + 1, -1
+            place[1:] = place[1] + 1, -1
         elif tag in ("td", "th"):
-            self.cell += 1
-            self.open.append([tag, "cell", self.table, self.line, self.cell, [], None])
-        elif tag == "a":
-            self.open.append([tag, "link", self.table, self.line, self.cell, [], dict(attrs).get("href")])
-        elif tag in ("title", "h1", "h2", "h3"):
-            self.open.append([tag, tag, None, None, None, [], None])
-        elif tag == "br":
-            self.handle_data("\n")
-        self.silent += tag in SILENT
-
-    def handle_endtag(self, tag: str) -> None:
-        self.silent -= tag in SILENT and self.silent > 0
-        for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at][0] == tag:
-                _, kind, *place, texts, href = self.open.pop(at)
-                self.out.append((kind, *place, "".join(texts), href))
-                return
-
-    def handle_data(self, data: str) -> None:
-        if not self.silent:
-            for part in self.open:
-                part[5].append(data)
-
-
-def parts_of(page: str | None) -> list[tuple]:
-    parser = _Parts()
-    parser.feed(page or "")
-    parser.close()
-    return parser.out
+            place[2] += 1
+        if tag in KINDS:
+            text = "".join("\n" if r[4] == "br" else r[8] or "" for r in rows[at + 1 : stop])
+            out.append((KINDS[tag], *(place if KINDS[tag] in ("cell", "link") else (None, None, None)), text, link if tag == "a" else None))
+    return out
 
 
 def page_parts(pages: DataFrame, *, id_col: str, html_col: str) -> DataFrame:
