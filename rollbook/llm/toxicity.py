@@ -118,19 +118,23 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     """Fit on about ``bound`` documents of each class (a documented bound on a hash-chosen sample).
 
     The lexicon and the trees learn from three quarters of the sample, the
-    calibration curve from the rest.
+    calibration curve from the rest. A sample so small that either part would
+    lack a class is not parted: all of it serves both. Where one class alone
+    was learnt, every score is that class's; where nothing was, 0.
     """
     rows = cut(learning_rows(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, bound=bound))
     fold = F.pmod(F.xxhash64("_id", F.lit(31)), F.lit(4)) == 0
     shares = {r._label: r.w for r in rows.groupBy("_label").agg(F.sum("_weight").alias("w")).collect()}
     if len(shares) < 2:
         return Toxicity({}, None, None, 1.0 if 1.0 in shares else 0.0)
-    lexicon = learn_lexicon(rows.where(~fold))
+    parted = rows.select("_label", fold.alias("_fold")).distinct().count() == 4
+    learn, hold = (~F.col("_fold"), F.col("_fold")) if parted else (F.lit(True), F.lit(True))
+    lexicon = learn_lexicon(rows.withColumn("_fold", fold).where(learn))
     dense = cut(rows.select("_label", "_weight", fold.alias("_fold"), array_to_vector(feature_array("_text", lexicon, docs.sparkSession)).alias("_features")).coalesce(8))
     trees = GBTClassifier(
         featuresCol="_features", labelCol="_label", weightCol="_weight", predictionCol="_class",
         maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=7,
-    ).fit(dense.where(~F.col("_fold")))
-    held = trees.transform(dense.where("_fold")).select("_label", "_weight", vector_to_array("probability").getItem(1).alias("_raw"))
+    ).fit(dense.where(learn))
+    held = trees.transform(dense.where(hold)).select("_label", "_weight", vector_to_array("probability").getItem(1).alias("_raw"))
     curve = IsotonicRegression(featuresCol="_raw", labelCol="_label", weightCol="_weight", predictionCol="_score").fit(held)
     return Toxicity(lexicon, trees, curve, 0.0)

@@ -21,6 +21,20 @@ def test_one_class_and_no_rows(spark):
     assert toxicity.train(docs, labels).score(docs.limit(0)).count() == 0
 
 
+def test_few_rows_of_every_split(spark):
+    """One to six labelled rows, in the calibration part or not: no table is too small or lies wrong."""
+    ids = range(200)
+    fold = {r.i: r.f for r in spark.createDataFrame([(i,) for i in ids], "i long").select("i", (F.pmod(F.xxhash64("i", F.lit(31)), F.lit(4)) == 0).alias("f")).collect()}
+    inside, outside = [i for i in ids if fold[i]], [i for i in ids if not fold[i]]
+    docs = spark.createDataFrame([(i, f"you are bad number {i}!" if i % 2 else f"fine words {i}", 7, "x") for i in ids] + [(None, None, 1, "y")], "doc_id long, text string, _label int, _features string")
+    for chosen in (outside[:2], inside[:2], inside[:6], outside[:6], inside[:1] + outside[:1], inside[:3] + outside[:3], outside[:1]):
+        labels = spark.createDataFrame([(i, n % 2) for n, i in enumerate(chosen)], "doc_id long, toxic int")
+        got = toxicity.train(docs, labels, rounds=2).score(docs).collect()
+        assert len(got) == 201 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
+        if len(chosen) > 1:
+            assert len({r.score for r in got}) >= 1
+
+
 def test_held_out_ranking_and_calibration(spark):
     got = registry.op6_toxicity(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "toxic"), "doc_id").where("held_out AND toxic IS NOT NULL")
     rows = [(r.score, r.toxic) for r in got.select("score", "toxic").collect()]
