@@ -7,7 +7,7 @@ columns one by one is left unread as a whole, never shifted.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,6 +19,11 @@ UNREAD = "不明"
 SPACE = "\\s\\u3000"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def gaps(xs: Column) -> Column:
     """Differences of neighbours; none for fewer than two values."""
     return F.transform(F.slice(xs, F.lit(2), F.greatest(F.size(xs) - 1, F.lit(0))), lambda x, i: x - F.get(xs, i))
@@ -36,16 +41,17 @@ def filled(xs: Column, *, most: int = 2, off: float = 0.25, least: int = 4) -> C
     A gap counts as k steps if it differs from them by less than ``off`` of a
     step. Fewer than ``least`` centres are left as they are: they show no step.
     """
-    def kept(x: Column, i: Column, s: Column) -> Column:
+    def kept(xs: Column, x: Column, i: Column, s: Column) -> Column:
         gap = F.get(xs, i + 1) - x
         k = F.round(gap / s).cast("int")
         lost = gap.isNotNull() & (k >= 2) & (k <= most) & (F.abs(gap / s - k) < off)
         between = F.transform(F.sequence(F.lit(1), F.greatest(k - 1, F.lit(1))), lambda j: x + gap * j / k)
         return F.concat(F.array(x), F.when(lost, between).otherwise(F.array().cast("array<double>")))
 
-    # the step is worked out once, as the one element of an array
-    mended = F.get(F.transform(F.array(step(xs)), lambda s: F.when(s > 0, F.flatten(F.transform(xs, lambda x, i: kept(x, i, s)))).otherwise(xs)), F.lit(0))
-    return F.when(F.size(xs) < least, xs).otherwise(mended)
+    def mended(xs: Column) -> Column:
+        return _let(step(xs), lambda s: F.when(s > 0, F.flatten(F.transform(xs, lambda x, i: kept(xs, x, i, s)))).otherwise(xs))
+
+    return _let(xs, lambda v: F.when(F.size(v) < least, v).otherwise(mended(v)))
 
 
 def trimmed(xs: Column, *, off: float = 0.25, least: int = 4) -> Column:
@@ -57,9 +63,9 @@ def trimmed(xs: Column, *, off: float = 0.25, least: int = 4) -> Column:
             cut = F.when(first > last, F.slice(now, F.lit(2), n - 1)).otherwise(F.slice(now, F.lit(1), n - 1))
             return F.when((n >= least) & (s > 0) & ((first > off) | (last > off)), cut).otherwise(now)
 
-        return F.get(F.transform(F.array(step(now)), ends), F.lit(0))
+        return _let(step(now), ends)
 
-    return F.when(F.size(xs) < least, xs).otherwise(F.aggregate(xs, xs, once))
+    return _let(xs, lambda v: F.when(F.size(v) < least, v).otherwise(F.aggregate(v, v, once)))
 
 
 def core(marks: Column, *, at: str = "x", apart: float = 1.9) -> Column:
@@ -67,15 +73,18 @@ def core(marks: Column, *, at: str = "x", apart: float = 1.9) -> Column:
 
     Fewer than three marks, and such as stand in one place, are one run.
     """
-    xs = F.transform(marks, lambda m: m[at])
-
-    def longest(s: Column) -> Column:
+    def longest(marks: Column, xs: Column, s: Column) -> Column:
         breaks = F.filter(F.sequence(F.lit(1), F.size(marks) - 1), lambda i: F.get(xs, i) - F.get(xs, i - 1) > s * apart)
-        starts, stops = F.concat(F.array(F.lit(0)), breaks), F.concat(breaks, F.array(F.size(marks)))
-        runs = F.zip_with(starts, stops, lambda a, b: F.struct((b - a).alias("n"), (-a).alias("before")))
-        return F.get(F.transform(F.array(F.array_max(runs)), lambda r: F.slice(marks, 1 - r["before"], r["n"])), F.lit(0))
 
-    return F.when(F.size(marks) < 3, marks).otherwise(F.get(F.transform(F.array(step(xs)), lambda s: F.when(s > 0, longest(s)).otherwise(marks)), F.lit(0)))
+        def runs(cut: Column) -> Column:
+            return F.zip_with(F.concat(F.array(F.lit(0)), cut), F.concat(cut, F.array(F.size(marks))), lambda a, b: F.struct((b - a).alias("n"), (-a).alias("before")))
+
+        return _let(F.array_max(_let(breaks, runs)), lambda r: F.slice(marks, 1 - r["before"], r["n"]))
+
+    def of(v: Column) -> Column:
+        return _let(F.transform(v, lambda m: m[at]), lambda xs: _let(step(xs), lambda s: F.when(s > 0, longest(v, xs, s)).otherwise(v)))
+
+    return _let(marks, lambda v: F.when(F.size(v) < 3, v).otherwise(of(v)))
 
 
 def letters(text: Column) -> Column:
@@ -97,9 +106,9 @@ def placed_letters(text: Column, x: Column, w: Column, *, half: float = 0.5, spa
         def middles(whole: Column) -> Column:
             return F.transform(cs, lambda c, i: F.struct((x + w * (units(F.slice(cs, F.lit(1), i)) + units(F.array(c)) / 2) / whole).alias("x"), c.alias("mark")))
 
-        return F.get(F.transform(F.array(units(cs)), middles), F.lit(0))
+        return _let(units(cs), middles)
 
-    return F.get(F.transform(F.array(every), place), F.lit(0))
+    return _let(every, place)
 
 
 def trailing_marks(text: Column, marks: str) -> Column:

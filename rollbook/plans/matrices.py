@@ -14,7 +14,7 @@ MARKS = "○×●"
 
 def _laid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page for each supplier, twelve members to a row: each line's row, column and mark."""
-    order = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber")
+    order = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
     rows = table(spark, sf_dir, "lineitem").withColumn("n", F.row_number().over(order) - 1)
     mark = F.when(F.col("l_returnflag") == "A", "○").when(F.col("l_returnflag") == "R", "×").otherwise("●")
     return rows.select(F.col("l_suppkey").alias("doc"), F.lit(1).alias("page"), F.expr("n DIV 12").alias("row"), (F.col("n") % 12).alias("col"), mark.alias("mark"), F.when(F.expr("n DIV 12 % 7 = 6 AND n % 12 = 5"), True).otherwise(False).alias("lost"))
@@ -47,9 +47,9 @@ def _matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mended(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Centres of eight columns or more at steps of eight, one of them lost, with a heading at one end or both."""
-    rows = table(spark, sf_dir, "orders").withColumn("n", F.col("o_orderkey") % 40 + 8)
-    xs = F.transform(F.filter(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda i: i != F.col("o_custkey") % 6 + 1), lambda i: 100.0 + i * 8)
+    """Centres of ten columns or more at steps of eight, one of them lost, with a heading at one end or both."""
+    rows = table(spark, sf_dir, "orders").withColumn("n", F.col("o_orderkey") % 40 + 10)
+    xs = F.transform(F.filter(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda i: i != F.col("o_custkey") % 4 + 2), lambda i: 100.0 + i * 8)
     ends = F.concat(F.when(F.col("o_orderkey") % 3 == 0, F.array(F.lit(60.0))).otherwise(F.array().cast("array<double>")), xs, F.when(F.col("o_orderkey") % 2 == 0, F.array(112.0 + F.col("n") * 8, 130.0 + F.col("n") * 8)).otherwise(F.array().cast("array<double>")))
     return rows.select("o_orderkey", F.explode(lattice.filled(lattice.trimmed(ends))).alias("x"))
 
@@ -74,13 +74,13 @@ def _turned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "vote_matrix": (_matrix, """WITH n AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) - 1 AS n FROM lineitem),
+    "vote_matrix": (_matrix, """WITH n AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS n FROM lineitem),
       p AS (SELECT l_suppkey, n // 12 AS r, n % 12 AS c, CASE l_returnflag WHEN 'A' THEN '○' WHEN 'R' THEN '×' ELSE '●' END AS mark, count(*) OVER (PARTITION BY l_suppkey, n // 12) AS held FROM n),
       m AS (SELECT l_suppkey, r, count(*) FILTER (NOT (r % 7 = 6 AND c = 5)) AS held FROM p GROUP BY ALL),
       k AS (SELECT * FROM m WHERE held + CASE WHEN r % 4 = 1 THEN 1 ELSE 0 END >= 10)
       SELECT k.l_suppkey, CAST(row_number() OVER (PARTITION BY k.l_suppkey, u.c ORDER BY k.r) - 1 AS integer) AS "row", CAST(u.c AS integer) AS col, CASE WHEN k.held = 12 THEN p.mark ELSE '不明' END AS mark
       FROM k CROSS JOIN (SELECT unnest(range(12)) AS c) u LEFT JOIN p ON p.l_suppkey = k.l_suppkey AND p.r = k.r AND p.c = u.c"""),
-    "lattice_columns": (_mended, "SELECT o_orderkey, CAST(100 + 8 * unnest(range(o_orderkey % 40 + 8)) AS double) AS x FROM orders"),
+    "lattice_columns": (_mended, "SELECT o_orderkey, CAST(100 + 8 * unnest(range(o_orderkey % 40 + 10)) AS double) AS x FROM orders"),
     "joined_marks": (_split, """WITH i AS (SELECT *, CASE WHEN l_linenumber % 3 = 0 THEN 1 WHEN l_partkey % 4 = 0 THEN 3 ELSE 2 END AS n FROM lineitem),
       j AS (SELECT *, CASE WHEN l_linenumber % 5 = 4 THEN '○議' ELSE repeat('○ ', n) END AS s, CASE WHEN l_partkey % 7 = 1 THEN 1.0 ELSE (n - 1) * 10.0 END AS width FROM i)
       SELECT l_orderkey, l_linenumber, s AS str, CAST(l_linenumber * 40 AS double) AS x, CAST(width AS double) AS w FROM j WHERE l_linenumber % 5 = 4 OR n = 1 OR l_partkey % 7 = 1

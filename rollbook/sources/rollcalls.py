@@ -71,15 +71,19 @@ def fields(nodes: DataFrame) -> DataFrame:
     around = {"matter": is_a("dl", "ankenmei"), "list": is_a("dl", "sanpilist"), "item": is_a("li", "giin"), "heading": is_a("h4", "party"), "label": is_a("th"), "table": is_a("table"), "line": is_a("tr"), "break": is_a("br")}
     held = told.withColumns({f"_{k}": last_of(c) for k, c in around.items()}).withColumn("_caption", last_of(is_a("caption", "party"), F.col("_table.stop").alias("ends")))
     matter, listed, item, line = (inside(F.col(f"_{k}")) for k in ("matter", "list", "item", "line"))
-    picked = {
-        "day": new & is_a("h2", "kaiji_nichiji"), "title": new & is_a("dd") & matter, "totals": new & is_a("h3", "tohyosousu"), "heading": new & is_a("h4", "party"), "list": new & is_a("dl", "sanpilist"), "tally": new & is_a("dt") & listed,
-        "item": new & is_a("li", "giin") & listed, **{k: new & is_a(None, k) & item for k in ("pros", "cons", "novote", "names")},
-        "page": old & (F.row_number().over(page.orderBy("at")) == 1), "label": old & is_a("th"), "value": old & (F.col("at") == F.col("_label.next")), "caption": old & is_a("caption", "party"), "cell": old & is_a("td") & line,
-        "bold": is_a("b"), "marked": is_a("p", "kiritsu"),
+    # elements that do not hold one another share a window, which tells the kind of the last
+    kinds = {
+        "day": new & is_a("h2", "kaiji_nichiji"), "title": new & is_a("dd") & matter, "totals": new & is_a("h3", "tohyosousu"), "tally": new & is_a("dt") & listed,
+        **{k: new & is_a(None, k) & item for k in ("pros", "cons", "novote", "names")}, "marked": is_a("p", "kiritsu"),
     }
-    own = held.withColumns({f"_own_{k}": last_of(c) for k, c in picked.items()})
-    whole = {"page": F.col("_own_page").isNotNull()}
-    each = F.array(*[F.when(whole.get(k, inside(F.col(f"_own_{k}"))), F.struct(F.lit(k).alias("field"), F.col(f"_own_{k}.at").alias("own"))) for k in picked])
+    kind = F.coalesce(*[F.when(c, k) for k, c in kinds.items()])
+    own = held.withColumns({
+        "_own": last_of(kind.isNotNull(), kind.alias("kind")), "_cell": last_of(old & is_a("td") & line), "_value": last_of(old & (F.col("at") == F.col("_label.next"))), "_bold": last_of(is_a("b")),
+    })
+    held_by = {"heading": new, "list": new, "item": new & listed, "label": old, "caption": old, "cell": old, "value": old, "bold": F.lit(True)}
+    each = F.array(
+        F.when(inside(F.col("_own")), F.struct(F.col("_own.kind").alias("field"), F.col("_own.at").alias("own"))), F.when(old, F.struct(F.lit("page").alias("field"), F.lit(0).alias("own"))),
+        *[F.when(c & inside(F.col(f"_{k}")), F.struct(F.lit(k).alias("field"), F.col(f"_{k}.at").alias("own"))) for k, c in held_by.items()])
     head = F.when(new & listed & (F.col("_list.at") == F.col("_heading.next")), F.col("_heading.at")).when(old & (F.col("at") < F.col("_caption.ends")), F.col("_caption.at"))
     rows = own.select(
         "id", "layout", "boxed", "at", "text", "cls", "next", head.alias("head"), F.when(line, F.col("_line.at")).alias("line"), F.when(item, F.col("_item.at")).alias("item"), F.col("_label.at").alias("label"),
