@@ -60,3 +60,20 @@ def distinct_letters(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Each code point that some column has, variation selectors aside."""
     each = F.explode(F.array_distinct(F.flatten(F.array(*[F.split(F.coalesce(c, F.lit("")), "") for c in columns]))))
     return rows.select(each.alias("letter")).where((F.col("letter") != "") & ~F.col("letter").rlike("^[\\x{FE00}-\\x{FE0F}]$")).distinct()
+
+
+def shown(rows: DataFrame, *, by: list[str], source: str) -> DataFrame:
+    """How many rows of each group may be shown, as they name a source on the web under ``https``, and how many are held back."""
+    good = F.coalesce(F.col(source).startswith("https://"), F.lit(False))
+    return rows.groupBy(*by).agg(F.count_if(good).alias("shown"), F.count_if(~good).alias("suppressed"))
+
+
+def source_scope(sources: DataFrame, *, by: list[str], name: str, pattern: str) -> DataFrame:
+    """The first and last session that each group's sources name, read from their names by a pattern whose first group is the number; null, not 0, for a group without one: nothing was measured there."""
+    number = F.regexp_extract(name, pattern, 1).try_cast("int")
+    return sources.groupBy(*by).agg(F.min(number).alias("since"), F.max(number).alias("until"), F.count(number).alias("sources"))
+
+
+def measured(counts: DataFrame, value: str) -> DataFrame:
+    """Counts that say something: a count of zero is left out, as it can't be told from one not taken."""
+    return counts.where(F.col(value) > 0)

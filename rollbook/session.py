@@ -42,13 +42,24 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written once to the folder that driver and executors share, for loops; local mode gets a folder of its own."""
-    context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and not context._jsc.sc().getCheckpointDir().isDefined():
-        if not context.master.startswith("local["):
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; local mode gets one of its own, a cluster that names none is an error."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named.rstrip("/")
+    held = context._jsc.sc().getCheckpointDir()
+    if not held.isDefined():
+        if context.master != "local" and not context.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
+        held = context._jsc.sc().getCheckpointDir()
+    return held.get().rstrip("/")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written once to the folder that driver and executors share, for loops and for what is read several times."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

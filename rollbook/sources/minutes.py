@@ -19,6 +19,25 @@ def records(pages: DataFrame, *, json_col: str = "value") -> DataFrame:
     return pages.select(page.alias("p")).select(F.inline("p.speechRecord"))
 
 
+def records_or_faults(pages: DataFrame, *, id_col: str, json_col: str = "value") -> tuple[DataFrame, DataFrame]:
+    """The records of the pages that can be read, each with its page's id, and the pages that can't (entity, detail): one bad page stops no other.
+
+    A page is at fault if it is null or empty, is no such JSON or holds a value
+    of another kind, or has no list of records though it does not say that
+    there are none.
+    """
+    kind = f"{PAGE}, _unread string"
+    page = F.from_json(json_col, kind, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_unread"})
+    read = pages.select(F.col(id_col).alias("_page"), F.col(json_col).alias("_json"), page.alias("p"))
+    fault = (
+        F.when(F.trim(F.coalesce("_json", F.lit(""))) == "", "empty").when(F.col("p._unread").isNotNull() | F.col("p").isNull(), "unreadable")
+        .when(F.col("p.speechRecord").isNull() & (F.coalesce("p.numberOfRecords", F.lit(-1)) != 0), "no list of records")
+    )
+    told = read.withColumn("_fault", fault)
+    good = told.where("_fault IS NULL").select(F.col("_page").alias(id_col), F.inline("p.speechRecord"))
+    return good, told.where("_fault IS NOT NULL").select(F.col("_page").alias("entity"), F.col("_fault").alias("detail"))
+
+
 def unfinished(pages: DataFrame, *, json_col: str = "value") -> DataFrame:
     """Next positions that no landed page begins at: the crawl stopped early."""
     page = pages.select(F.from_json(json_col, PAGE).alias("p"), "start")
