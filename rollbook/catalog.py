@@ -5,9 +5,9 @@ A query module offers ``QUERIES``: name -> (function of (spark, sf_dir), SQL or
 
 from __future__ import annotations
 
-from rollbook.plans import coverage, listed, matrices, members, publications, records, rollcalls, rosters, texts, timelines, votes
+from rollbook.plans import coverage, listed, matrices, members, places, publications, records, rollcalls, rosters, texts, timelines, votes
 
-MODULES = (votes, members, listed, timelines, coverage, records, texts, rollcalls, rosters, matrices, publications)
+MODULES = (votes, members, listed, timelines, coverage, records, texts, rollcalls, rosters, matrices, publications, places)
 
 
 def queries() -> dict:

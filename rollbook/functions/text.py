@@ -19,6 +19,9 @@ LOCAL_VARIANTS = {"髙": "高", "﨑": "崎", "𠮷": "吉", "德": "徳", "⾧"
 KANA_ROWS = {"あ": "あいうえお", "か": "かきくけこ", "さ": "さしすせそ", "た": "たちつてと", "な": "なにぬねの", "は": "はひふへほ", "ま": "まみむめも", "や": "やゆよ", "ら": "らりるれろ", "わ": "わゐゑをん"}
 SMALL_KANA, LARGE_KANA = "ぁぃぅぇぉっゃゅょゎ", "あいうえおつやゆよわ"
 OTHER_ROW = "その他"
+# How records number an agenda's items, tell where a bill came from, address a member and count those not named.
+AGENDA, ORIGINS, HONORIFIC, COMMAS, UNNAMED = "日程第", ("提出", "送付", "発議"), "君", "、，,", "^外\\d+名$"
+DIGITS = "0123456789０１２３４５６７８９"
 # Glyphs that mean one mark.
 MARKS = {"〇": "○", "✕": "×"}
 
@@ -66,9 +69,21 @@ def search_key(c: Column) -> Column:
 
 
 def bill_title(c: Column) -> Column:
-    """A title without its agenda number in front and its note of origin at the end."""
-    bare = F.regexp_replace(squash(c), "^日程第[0-9０-９]+\\s*", "")
-    return F.trim(F.regexp_replace(bare, "（[^（）]*(提出|送付|発議)[^（）]*）$", ""))
+    """A title without its agenda number in front and its note of origin at the end.
+
+    The note is what the last bracket holds, if it closes the title, holds no
+    other and names an origin.
+    """
+    whole = squash(c)
+    behind = F.substr(whole, F.lit(len(AGENDA) + 1))
+    bare = F.ltrim(behind, F.lit(DIGITS))
+    title = F.when(whole.startswith(AGENDA) & (bare != behind), F.trim(bare)).otherwise(whole)
+    note = F.substring_index(title, "（", -1)
+    told = F.lit(False)
+    for origin in ORIGINS:
+        told = told | note.contains(origin)
+    closes = title.contains("（") & (F.position(F.lit("）"), note) == F.length(note)) & told
+    return F.when(closes, F.trim(F.substr(title, F.lit(1), F.length(title) - F.length(note) - 1))).otherwise(title)
 
 
 def radicals_folded(c: Column) -> Column:
@@ -85,9 +100,14 @@ def _kept(parts: Column) -> Column:
     return F.filter(parts, lambda x: x != "")
 
 
+def _plain(name: Column) -> Column:
+    """A name without the honorific at its end."""
+    return F.when(name.endswith(HONORIFIC), F.substr(name, F.lit(1), F.length(name) - 1)).otherwise(name)
+
+
 def proposers(c: Column) -> Column:
     """Names split at white space, without the honorific and the count of others."""
-    return _kept(F.transform(F.filter(F.split(squash(c), " "), lambda x: ~x.rlike("^外\\d+名$")), lambda x: F.regexp_replace(x, "君$", "")))
+    return _kept(F.transform(F.filter(F.split(squash(c), " "), lambda x: ~x.rlike(UNNAMED)), _plain))
 
 
 def group_list(c: Column) -> Column:
@@ -99,11 +119,16 @@ def squash_ends(c: Column) -> Column:
 
 
 def name_list(c: Column) -> Column:
-    return _kept(F.transform(group_list(c), lambda x: F.regexp_replace(x, "君$", "")))
+    return _kept(F.transform(group_list(c), _plain))
 
 
 def submitters(c: Column) -> Column:
-    return F.filter(F.transform(F.split(squash(c), "君(?:\\s*[、，,]\\s*|\\s+|$)"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.rlike("^外\\d+名$"))
+    """Names that each end with the honorific before a comma, a space or the text's end, without the count of others."""
+    text = squash(c)
+    for comma in COMMAS:
+        text = F.replace(F.replace(text, F.lit(f"{HONORIFIC} {comma}"), F.lit(f"{HONORIFIC}{comma}")), F.lit(HONORIFIC + comma), F.lit(f"{HONORIFIC} "))
+    parts = F.split(F.concat(text, F.lit(" ")), f"{HONORIFIC} ")
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: (x != "") & ~x.rlike(UNNAMED))
 
 
 def committee_name(c: Column) -> Column:

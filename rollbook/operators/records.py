@@ -7,9 +7,10 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from rollbook.functions.text import KANA_ROWS, OTHER_ROW, kana_row, search_key
 from rollbook.session import written
-from pyspark.sql import types as T
 
 
 def profile_id(prefix: str, profile: Column) -> Column:
@@ -129,3 +130,22 @@ def first_by_parameter(sources: DataFrame, *, url: str, parameter: str, by: Sequ
     """The first source of each group whose URL has the query parameter."""
     found = sources.withColumn("value", F.regexp_extract(url, f"[?&]{parameter}=([^&#]*)", 1)).where("value <> ''")
     return found.withColumn("_nth", F.row_number().over(Window.partitionBy(*by).orderBy(order))).where("_nth = 1").select(*by, "value", order)
+
+
+def kana_groups(members: DataFrame, *, kana: str, tie: str, letters: int = 2) -> DataFrame:
+    """``members`` with ``row`` (of the table of fifty sounds), ``head`` (their first letters, katakana as hiragana) and ``place`` among those of one head.
+
+    Readings are in Japanese order, in which katakana stand with hiragana and
+    voiced letters after plain ones of the same reading; code points would put
+    all katakana last. Readings that are equal in it stand by ``tie``. No group
+    is larger than the names that begin alike.
+    """
+    head = search_key(F.substring(kana, 1, letters))
+    by = Window.partitionBy("row", "head").orderBy(F.collate(kana, "ja"), tie)
+    return members.withColumns({"row": kana_row(F.col(kana)), "head": head}).withColumn("place", F.row_number().over(by))
+
+
+def in_kana_order(members: DataFrame, *, kana: str, tie: str) -> DataFrame:
+    """``members`` sorted by row, then in Japanese order; readings outside the table come last. One range shuffle."""
+    rows = F.array(*[F.lit(r) for r in (*KANA_ROWS, OTHER_ROW)])
+    return members.orderBy(F.array_position(rows, kana_row(F.col(kana))), F.collate(kana, "ja"), tie)

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rollbook.functions import dates, text
+from rollbook.operators import records
 
 TABLE = [
     (text.name_key, "髙橋　 はるみ", "高橋はるみ"), (text.name_key, "﨑山 德", "崎山徳"), (text.name_key, "ＡＢ Ｃ", "ABC"), (text.name_key, None, None),
@@ -35,3 +36,12 @@ def test_lists_and_numbers(spark):
         text.session_of(F.lit(None).cast("int"), F.lit("221-3")), text.session_of(F.lit(None).cast("int"), F.lit("x-3")),
     ).first()
     assert list(got) == [["打越さく良", "山田", "太郎"], ["落合貴之", "中野洋昌"], ["緒方 林太郎", "外二名"], ["甲", "乙（丙、丁（戊、己））", "庚"], 203, None, 12, None, 2026, 2025, False, True, False, True, 221, None]
+
+
+def test_japanese_order(spark):
+    names = ["ア", "が", "か", "カ", "は", "ば", "Z", "亜", "きや", "きゃ", "あい", "アイ"]
+    df = spark.createDataFrame(list(enumerate(names)), "id int, kana string").repartition(3)
+    got = {r.kana: (r.row, r["head"], r.place) for r in records.kana_groups(df, kana="kana", tie="id").collect()}
+    assert got["アイ"] == ("あ", "あい", 2) and got["あい"] == ("あ", "あい", 1) and got["か"] == ("か", "か", 1) and got["カ"] == ("か", "か", 2) and got["が"] == ("か", "が", 1) and got["亜"][0] == "その他"
+    assert [r.kana for r in records.in_kana_order(df, kana="kana", tie="id").collect()] == ["ア", "あい", "アイ", "か", "カ", "が", "きゃ", "きや", "は", "ば", "Z", "亜"]
+    assert records.kana_groups(df.limit(0), kana="kana", tie="id").count() == 0
