@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.operators.quality import require_none
+from rollbook.sources.sinks import dealt
 
 
 def plan_sessions(requested: DataFrame, present: DataFrame, *, session: str) -> DataFrame:
@@ -64,5 +65,4 @@ def publish(snapshot: DataFrame, path: str, *, partition: str, guards: dict[str,
     """
     for what, found in guards.items():
         require_none(found, what)
-    # one file or a few for each partition, not one from every task
-    snapshot.repartition(partition).write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy(partition).parquet(path)
+    dealt(snapshot, partition).write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy(partition).parquet(path)

@@ -7,11 +7,9 @@ import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from rollbook.operators.quality import require_none
-
-ROWS_A_FILE = 5_000_000
+from rollbook.sources.sinks import ROWS_A_FILE, dealt
 
 
 @dataclass(frozen=True)
@@ -70,10 +68,7 @@ def publish(tables: dict[str, DataFrame], path: str, *, guards: dict[str, DataFr
     for name, df in tables.items():
         by = (partitions or {}).get(name)
         if by:
-            # as many parts of a value as its rows need, dealt by a hash of the row
-            sizes = df.groupBy(F.col(by).alias("_by")).agg(F.ceil(F.count("*") / rows_a_file).alias("_parts"))
-            dealt = df.join(sizes, F.col(by).eqNullSafe(F.col("_by"))).withColumn("_part", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.col("_parts")))
-            dealt.repartition(by, "_part").drop("_by", "_parts", "_part").write.partitionBy(by).parquet(f"{stage}/{name}")
+            dealt(df, by, rows_a_file).write.partitionBy(by).parquet(f"{stage}/{name}")
         else:
             df.write.parquet(f"{stage}/{name}")
         held[name] = {"path": f"{stage}/{name}", "rows": spark.read.parquet(f"{stage}/{name}").count()}

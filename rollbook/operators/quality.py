@@ -30,13 +30,19 @@ def recount_summary(recounted: DataFrame) -> DataFrame:
 
 
 def session_coverage(votes: DataFrame, roster: DataFrame, *, session: str, date: str, call: str, member: str, name: str, roster_member: str) -> DataFrame:
-    """For each session its last date, roll calls, votes, members seen and names unmatched, and how many seats may have changed hands."""
+    """For each session its last date, roll calls, votes, members seen and names unmatched, and how many seats may have changed hands.
+
+    A vote has a member or a name that is none, so both are counted from one
+    table of a session's people, and roll calls from one of its calls: what is
+    shuffled are those, not a copy of every vote for each thing counted.
+    """
     size = roster.agg(F.countDistinct(roster_member).alias("_roster"))
-    missing = F.col(member).isNull()
-    by = votes.groupBy(session).agg(
-        F.max(date).alias("date"), F.countDistinct(call).alias("roll_calls"), F.count("*").alias("votes"), F.countDistinct(member).alias("seen"),
-        F.countDistinct(F.when(missing, F.col(name))).alias("unmatched_names"), F.count_if(missing).alias("unmatched_votes"),
+    people = votes.groupBy(F.col(session).alias("_session"), F.col(member).alias("_member"), F.when(F.col(member).isNull(), F.col(name)).alias("_name")).agg(F.max(date).alias("_date"), F.count("*").alias("_votes"))
+    counted = people.groupBy("_session").agg(
+        F.max("_date").alias("date"), F.sum("_votes").alias("votes"), F.count("_member").alias("seen"), F.count("_name").alias("unmatched_names"), F.coalesce(F.sum(F.when(F.col("_member").isNull(), F.col("_votes"))), F.lit(0)).alias("unmatched_votes"),
     )
+    calls = votes.groupBy(session, call).agg(F.lit(1)).groupBy(session).agg(F.count(call).alias("roll_calls"))
+    by = calls.join(counted, F.col(session).eqNullSafe(F.col("_session"))).select(session, "date", "roll_calls", "votes", "seen", "unmatched_names", "unmatched_votes")
     absent = F.greatest(F.lit(0), F.col("_roster") - F.col("seen"))
     return by.crossJoin(F.broadcast(size)).select("*", absent.alias("absent"), F.least(absent, F.col("unmatched_names")).alias("seats_changed")).drop("_roster")
 

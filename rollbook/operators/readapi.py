@@ -51,7 +51,7 @@ def used_sources(members: DataFrame, entries: DataFrame, sources: DataFrame, *,
 
 
 def coverage(facts: DataFrame, *, by: Sequence[str], current: str) -> DataFrame:
-    """Members, current members (null counts as current) and their share of the whole, for each group and in all (null keys)."""
+    """Members and current members (null counts as current) of each group and in all (null keys)."""
     rolled = facts.rollup(*by).agg(F.count("*").alias("members"), F.count_if(~F.col(current).eqNullSafe(F.lit(False))).alias("current"), F.grouping_id().alias("_level"))
     return rolled.withColumn("level", F.col("_level").cast("int")).drop("_level")
 

@@ -14,8 +14,7 @@ def merge_terms(rosters: DataFrame, *, member: str, session: str, same: Sequence
     Consecutive means among the sessions that have a roster at all, so an
     unpublished one doesn't break a run. Rows: member, ``same``, ``since``,
     ``until``, ``nth`` (1 is the newest) and ``current`` (the run reaches the
-    newest roster). The number of sessions is small, their ranks are sent to
-    every task.
+    newest roster). The list of sessions, one row each, is ranked in one task.
     """
     published = rosters.select(session).distinct()
     ranks = published.withColumn("_rank", F.dense_rank().over(Window.orderBy(session))).withColumnRenamed(session, "_s")

@@ -25,9 +25,20 @@ def stable_json(df: DataFrame, key: str) -> DataFrame:
     return df.select(F.col(key), F.to_json(sorted_struct(df.schema, row)).alias("json"))
 
 
+ROWS_A_FILE = 5_000_000
+
+
+def dealt(df: DataFrame, partition: str, rows_a_file: int = ROWS_A_FILE) -> DataFrame:
+    """``df`` with the rows of each partition in one task, or in as many as its rows need, dealt by a hash of the row: a few files for a partition and no task that grows with one. The null partition is one like any other."""
+    sizes = df.groupBy(F.col(partition).alias("_by")).agg(F.ceil(F.count("*") / rows_a_file).alias("_parts"))
+    row = F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if not isinstance(f.dataType, T.MapType)])
+    told = df.join(sizes, F.col(partition).eqNullSafe(F.col("_by"))).withColumn("_part", F.pmod(row, F.col("_parts")))
+    return told.repartition(partition, "_part").drop("_by", "_parts", "_part")
+
+
 def write_slice(df: DataFrame, path: str, partition: str) -> None:
     """Replace the partitions that ``df`` holds and no others."""
-    df.repartition(partition).write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy(partition).parquet(path)
+    dealt(df, partition).write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy(partition).parquet(path)
 
 
 def write_shards(df: DataFrame, path: str, key: str, letters: int = 3) -> None:
