@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from rollbook.llm import workers
 
 EDITS = 0.08  # edits allowed for each character of an item
-INDEX_CHARS = 40_000_000  # characters of items in one automaton; more items take more passes
+INDEX_CHARS = 4_000_000  # characters of items in one automaton, which takes some 54 bytes for each in every worker; more items take more passes
 
 HITS = "array<struct<item:{},distance:int,start:int,end:int>>"
 
