@@ -59,6 +59,14 @@ def incomplete(resolved: DataFrame) -> DataFrame:
     return resolved.where("numbers IS NULL OR (partial AND size(numbers) < 2)").select(F.col("code").alias("entity"), F.when(F.col("numbers").isNull(), "no district").otherwise("partial in one district").alias("detail"))
 
 
+def districts_meta(postal: DataFrame, resolved: DataFrame) -> DataFrame:
+    """One row of counts: postal codes, municipalities, districts and municipalities in several districts. A district is a prefecture's number."""
+    codes = postal.agg(F.countDistinct("zip").alias("zips"))
+    split = resolved.agg(F.count("*").alias("municipalities"), F.count_if("split").alias("split_municipalities"))
+    numbers = resolved.select("pref", F.explode("numbers").alias("_n")).distinct().agg(F.count("*").alias("districts"))
+    return codes.join(split).join(numbers)
+
+
 def districts_by_zip(postal: DataFrame, resolved: DataFrame) -> DataFrame:
     """The union of districts and municipalities of each postal code; districts in natural order."""
     rows = postal.select("zip", "code").distinct().join(resolved.select("code", "pref", "city", F.explode("numbers").alias("_n")), "code")

@@ -77,3 +77,8 @@ def source_scope(sources: DataFrame, *, by: list[str], name: str, pattern: str)
 def measured(counts: DataFrame, value: str) -> DataFrame:
     """Counts that say something: a count of zero is left out, as it can't be told from one not taken."""
     return counts.where(F.col(value) > 0)
+
+
+def committee_bills(bills: DataFrame, *, kind: str, proposers: str, own: str) -> DataFrame:
+    """Bills of a house's own kind that name no proposer: those that a committee proposed."""
+    return bills.where((F.col(kind) == own) & (F.coalesce(F.size(proposers), F.lit(0)) <= 0))

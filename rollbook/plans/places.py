@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rollbook.functions import bills
 from rollbook.operators import districts, records
 from rollbook.plans.rollcalls import _put
 from rollbook.session import table
@@ -57,6 +58,32 @@ def _speeches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minutes.speeches(minutes.records(pages)).select("id", "session", "house", "speaker_text", "group", "excerpt", "chars")
 
 
+def _meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    munis, matched = _matched(spark, sf_dir)
+    postal = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("zip"), F.col("l_partkey").alias("code"))
+    return districts.districts_meta(postal, districts.municipality_districts(munis, matched))
+
+
+def _bills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as bills: categories by their number, results written and read back, dates in full-width figures."""
+    key = F.col("o_orderkey")
+    category = F.element_at(F.array(*[F.lit(x) for x in ("法律案（内閣提出）", "法律案（参法）", "法律案（衆法）（参法）", "予算（一般）", "条約", "国会の承認（甲）", "決算", "決議案（衆法")]), (key % 8 + 1).cast("int"))
+    result = records.result_text(F.when(key % 3 == 0, "可決（修正）").when(key % 3 == 1, ""), key % 300, F.col("o_custkey") % 200)
+    parts = bills.result_parts(F.when(key % 11 == 4, F.concat(result, F.lit("。"))).otherwise(result))
+    digits = lambda c: F.translate(c.cast("string"), "0123456789", "０１２３４５６７８９")
+    effective = bills.effective_date(_put("内閣は平成 ", F.when(F.year("o_orderdate") % 7 == 0, "元").otherwise(digits(F.year("o_orderdate") - 1988)), "年", digits(F.month("o_orderdate")), "月 ", digits(F.day("o_orderdate")), "日発足"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", bills.bill_kind(category).alias("kind"), parts["decision"].alias("decision"), parts["yes"].alias("yes"), parts["no"].alias("no"), effective["date"].alias("since"), effective["text"].alias("since_text"))
+
+
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' names in name cells, some with a letter that no name has, some in conflict, some with a legal name behind a line break."""
+    kanji = F.translate(F.col("c_custkey").cast("string"), "0123456789", "一二三四五六七八九十")
+    name = _put(kanji, F.when(F.col("c_custkey") % 7 == 2, "□x□").when(F.col("c_custkey") % 7 == 4, "髙　ー々").otherwise("　子"))
+    cell = bills.name_and_legal(_put(name, F.when(F.col("c_custkey") % 5 == 0, _put("\n［ ", kanji, "本名 ］")).when(F.col("c_custkey") % 5 == 1, "\n本名").otherwise("")))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", cell["name"].alias("name"), cell["legal"].alias("legal"))
+    return rows.withColumns({"broken": F.array_join(bills.broken_letters(F.col("name")), ""), "reason": bills.unmatched_reason(F.col("name"), F.col("c_custkey") % 3 == 0)})
+
+
 UNITS = """
 w AS (SELECT p_partkey AS code, p_size || '県' AS pref, string_split(p_name, ' ') AS x, replace(p_name, ' ', '') AS bare FROM part),
 m AS (SELECT code, pref, x[-1] AS last, CASE WHEN code % 2 = 0 THEN bare || code || '市' ELSE x[1] || '郡' || x[-1] || code || '町' END AS city FROM w),
@@ -73,6 +100,15 @@ QUERIES = {
       d AS (SELECT DISTINCT zip, pref, number, m.code, city FROM z JOIN good USING (code) JOIN m USING (code))
       SELECT zip, (SELECT string_agg(replace(pref, '県', '') || number, ',' ORDER BY replace(pref, '県', ''), number) FROM (SELECT DISTINCT pref, number FROM d e WHERE e.zip = d.zip)) AS districts,
         (SELECT string_agg(pref || city, ',' ORDER BY code) FROM (SELECT DISTINCT pref, city, code FROM d e WHERE e.zip = d.zip)) AS municipalities FROM d GROUP BY zip"""),
+    "districts_meta": (_meta, f"""WITH {UNITS}, good AS (SELECT DISTINCT code, number FROM matched WHERE hits = 1 OR tier = 2)
+      SELECT (SELECT count(DISTINCT l_suppkey) FROM lineitem) AS zips, (SELECT count(*) FROM m) AS municipalities, (SELECT count(*) FROM (SELECT code FROM good GROUP BY 1 HAVING count(*) > 1)) AS split_municipalities, (SELECT count(*) FROM (SELECT DISTINCT pref, number FROM good JOIN m USING (code))) AS districts"""),
+    "bill_fields": (_bills, """WITH o AS (SELECT *, o_orderkey % 11 = 4 AS odd, (['閣法', '参法', '衆法', '予算', '条約', '承認', 'その他', '決議'])[1 + o_orderkey % 8] AS kind, translate(CAST(month(o_orderdate) AS varchar), '0123456789', '０１２３４５６７８９') AS m, translate(CAST(day(o_orderdate) AS varchar), '0123456789', '０１２３４５６７８９') AS d FROM orders)
+      SELECT o_orderkey, kind, CASE WHEN NOT odd AND o_orderkey % 3 = 0 THEN '可決（修正）' END AS decision, CASE WHEN NOT odd THEN o_orderkey % 300 END AS yes, CASE WHEN NOT odd THEN o_custkey % 200 END AS no,
+        CASE WHEN year(o_orderdate) % 7 = 0 THEN '1989' ELSE CAST(year(o_orderdate) AS varchar) END || strftime(o_orderdate, '-%m-%d') AS since,
+        '平成 ' || CASE WHEN year(o_orderdate) % 7 = 0 THEN '元' ELSE translate(CAST(year(o_orderdate) - 1988 AS varchar), '0123456789', '０１２３４５６７８９') END || '年' || m || '月 ' || d || '日発足' AS since_text FROM o"""),
+    "name_cells": (_names, """WITH k AS (SELECT *, translate(CAST(c_custkey AS varchar), '0123456789', '一二三四五六七八九十') AS kanji FROM customer)
+      SELECT c_custkey, kanji || CASE c_custkey % 7 WHEN 2 THEN '□x□' WHEN 4 THEN '髙 ー々' ELSE ' 子' END AS name, CASE WHEN c_custkey % 5 = 0 THEN kanji || '本名' END AS legal, CASE WHEN c_custkey % 7 = 2 THEN '□x' ELSE '' END AS broken,
+        CASE WHEN c_custkey % 7 = 2 THEN 'brokenGlyph' WHEN c_custkey % 3 = 0 THEN 'sourceConflict' END AS reason FROM k"""),
     "kana_groups": (_kana, f"""WITH n AS (SELECT p_partkey, replace(p_name, ' ', '') AS bare FROM part)
       SELECT p_partkey, CASE WHEN bare[1] BETWEEN 'a' AND 'e' THEN 'あ' WHEN bare[1] BETWEEN 'f' AND 'j' THEN 'か' WHEN bare[1] BETWEEN 'k' AND 'o' THEN 'さ' WHEN bare[1] BETWEEN 'p' AND 't' THEN 'た' WHEN bare[1] BETWEEN 'u' AND 'y' THEN 'な' ELSE 'は' END AS row,
         translate(substr(bare, 1, 2), '{LATIN}', '{KANA}') AS head, CAST(row_number() OVER (PARTITION BY substr(bare, 1, 2) ORDER BY bare, p_partkey) AS integer) AS place FROM n"""),
