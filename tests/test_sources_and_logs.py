@@ -37,11 +37,13 @@ def test_access_log(spark, tmp_path):
 
 def test_pages(spark):
     html = "<title>A &amp; B</title><table><tr><th>件名<td>予算<br>案</tr><tr><td>年<td>令和</table><a href='/x?a=1&amp;b=2'>go</a><script>var a='<td>no</td>'</script>"
-    docs = spark.createDataFrame([(1, html), (2, None), (3, "<td>loose")], "id int, html string")
+    docs = spark.createDataFrame([(1, html), (2, None), (3, "<td>loose"), (4, "<p>no part")], "id int, html string")
     parts = pages.page_parts(docs, id_col="id", html_col="html")
     got = {(r.kind, r.text, r.href) for r in parts.where("id = 1").collect()}
     assert {("title", "A & B", None), ("link", "go", "/x?a=1&b=2")} <= got
-    assert {r.entity for r in pages.require_rows(parts, docs, id_col="id").collect()} == {2, 3}
+    assert {("cell", "件名", None), ("cell", "予算 案", None), ("cell", "年", None), ("cell", "令和", None)} <= got
+    assert [(r.kind, r.text) for r in parts.where("id = 3").collect()] == [("cell", "loose")]  # left open, and a cell all the same
+    assert {r.entity for r in pages.require_rows(parts, docs, id_col="id").collect()} == {2, 4}
     closed = spark.createDataFrame([(1, "<table><tr><td>a</td><td>b</td></tr><tr><td>c</td><td>d</td></tr></table>")], "id int, html string")
     cells = pages.page_parts(closed, id_col="id", html_col="html")
     assert {(r.label, r.value) for r in pages.labelled_values(cells).collect()} == {("a", "b"), ("c", "d")}
