@@ -50,7 +50,9 @@ def _years(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _zip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    written = F.concat(F.lit("〒"), F.translate(F.lpad((F.col("c_custkey") % 1000).cast("string"), 3, "0"), "0123456789", "０１２３４５６７８９"), F.lit("－"), F.lpad(F.col("c_custkey").cast("string"), 4, "0"), F.when(F.col("c_custkey") % 9 == 0, "9").otherwise(""))
+    """Customers' numbers written as postal codes, with four digits or more behind the hyphen: longer numbers are none."""
+    number = F.col("c_custkey").cast("string")
+    written = F.concat(F.lit("〒"), F.translate(F.lpad((F.col("c_custkey") % 1000).cast("string"), 3, "0"), "0123456789", "０１２３４５６７８９"), F.lit("－"), F.lpad(number, F.greatest(F.length(number), F.lit(4)), "0"), F.when(F.col("c_custkey") % 9 == 0, "9").otherwise(""))
     return table(spark, sf_dir, "customer").select("c_custkey", text.zip_code(written).alias("zip"))
 
 
