@@ -61,12 +61,18 @@ def _stance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _unanimous(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An order's mark if all its lines agree, else that of its customer's lines, if these do."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("title"))
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linestatus")
-    titled = lines.join(orders, "o_orderkey").select("title", "l_linestatus")
-    found = resolve.match_with_fallback(orders, lines, titled, id_col="o_orderkey", title="title", value="l_linestatus")
-    return found.select("o_orderkey", F.col("l_linestatus").alias("decision"))
+    """An order's status if all its lines agree, else that of its customer's lines, if these do; and a part's mark likewise, else that of its brand and size."""
+    lines = table(spark, sf_dir, "lineitem")
+
+    def decided(kind: str, records: DataFrame, of: str, value: str) -> DataFrame:
+        own = lines.select(F.col(of).alias("key"), F.col(value).alias("decision"))
+        titled = own.join(records, "key").select("title", "decision")
+        found = resolve.match_with_fallback(records, own, titled, id_col="key", title="title", value="decision")
+        return found.select(F.lit(kind).alias("kind"), "key", "decision")
+
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_custkey").cast("string").alias("title"))
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.concat_ws("/", "p_brand", "p_size").alias("title"))
+    return decided("order", orders, "l_orderkey", "l_linestatus").unionByName(decided("part", parts, "l_partkey", "l_returnflag"))
 
 
 def _restored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,10 +128,11 @@ QUERIES = {
         FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)
       SELECT sess || '-' || n_regionkey AS bill, c_custkey AS member, CAST(nation AS varchar) AS grp, CASE WHEN f > o THEN 'yes' ELSE 'no' END AS stance, true AS estimated
       FROM tally JOIN nation ON nation = n_nationkey JOIN customer ON c_nationkey = nation AND 1993 + c_custkey % 5 <= sess AND sess <= 1996 + c_custkey % 5 WHERE f <> o"""),
-    "unanimous_decision": (_unanimous, """WITH lines AS (SELECT l_orderkey AS o_orderkey, o_custkey, l_linestatus FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
-      one AS (SELECT o_orderkey, max(l_linestatus) AS v FROM lines GROUP BY 1 HAVING count(DISTINCT l_linestatus) = 1),
-      two AS (SELECT o_custkey, max(l_linestatus) AS v FROM lines GROUP BY 1 HAVING count(DISTINCT l_linestatus) = 1)
-      SELECT o_orderkey, coalesce(one.v, two.v) AS decision FROM orders LEFT JOIN one USING (o_orderkey) LEFT JOIN two USING (o_custkey)"""),
+    "unanimous_decision": (_unanimous, """WITH records AS (SELECT 'order' AS kind, o_orderkey AS key, CAST(o_custkey AS varchar) AS title FROM orders UNION ALL SELECT 'part', p_partkey, p_brand || '/' || p_size FROM part),
+      marks AS (SELECT 'order' AS kind, l_orderkey AS key, l_linestatus AS v FROM lineitem UNION ALL SELECT 'part', l_partkey, l_returnflag FROM lineitem),
+      one AS (SELECT kind, key, max(v) AS a FROM marks GROUP BY ALL HAVING count(DISTINCT v) = 1),
+      two AS (SELECT kind, title, max(v) AS b FROM marks JOIN records USING (kind, key) GROUP BY ALL HAVING count(DISTINCT v) = 1)
+      SELECT kind, key, coalesce(a, b) AS decision FROM records LEFT JOIN one USING (kind, key) LEFT JOIN two USING (kind, title)"""),
     "restore_decisions": (_restored, """WITH fresh AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderstatus END AS a FROM orders WHERE o_orderdate >= '1999-01-01'),
       prev AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN lower(o_orderstatus) END AS b FROM orders WHERE o_orderkey % 3 <> 0)
       SELECT o_orderkey, coalesce(a, b) AS status, CASE WHEN a IS NOT NULL THEN 'fresh' WHEN b IS NOT NULL THEN 'restored' ELSE 'missing' END AS state
