@@ -31,8 +31,7 @@ def gaps(xs: Column) -> Column:
 
 def step(xs: Column) -> Column:
     """The median difference of neighbours, of two in the middle the greater; null for fewer than two values."""
-    g = F.array_sort(gaps(xs))
-    return F.get(g, F.floor(F.size(g) / 2).cast("int"))
+    return _let(F.sort_array(gaps(xs)), lambda g: F.get(g, F.floor(F.size(g) / 2).cast("int")))
 
 
 def filled(xs: Column, *, most: int = 2, off: float = 0.25, least: int = 4) -> Column:
@@ -56,16 +55,23 @@ def filled(xs: Column, *, most: int = 2, off: float = 0.25, least: int = 4) -> C
 
 def trimmed(xs: Column, *, off: float = 0.25, least: int = 4) -> Column:
     """Ascending centres without those at either end whose gap is more than ``off`` of a step away from it, the worse end first; inner gaps are left alone."""
-    def once(now: Column, _: Column) -> Column:
+    def state(xs: Column, done: bool) -> Column:
+        return F.struct(xs.alias("xs"), F.lit(done).alias("done"))
+
+    def once(now: Column) -> Column:
         def ends(s: Column) -> Column:
             n = F.size(now)
             first, last = (F.abs(F.get(now, a) - F.get(now, b) - s) / s for a, b in ((F.lit(1), F.lit(0)), (n - 1, n - 2)))
             cut = F.when(first > last, F.slice(now, F.lit(2), n - 1)).otherwise(F.slice(now, F.lit(1), n - 1))
-            return F.when((n >= least) & (s > 0) & ((first > off) | (last > off)), cut).otherwise(now)
+            return F.when((n >= least) & (s > 0) & ((first > off) | (last > off)), state(cut, False)).otherwise(state(now, True))
 
         return _let(step(now), ends)
 
-    return _let(xs, lambda v: F.when(F.size(v) < least, v).otherwise(F.aggregate(v, v, once)))
+    # where nothing was cut, nothing more will be: the rest of the turns are not worked out
+    def turn(s: Column, _: Column) -> Column:
+        return F.when(s["done"], s).otherwise(once(s["xs"]))
+
+    return _let(xs, lambda v: F.when(F.size(v) < least, v).otherwise(F.aggregate(v, state(v, False), turn, lambda s: s["xs"])))
 
 
 def core(marks: Column, *, at: str = "x", apart: float = 1.9) -> Column:
