@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -38,33 +38,83 @@ def until_of(t: Terms) -> Column:
     return F.coalesce(F.col(t.until), F.col(t.since))
 
 
-def candidates(records: DataFrame, terms: DataFrame, *, record: str, key: str, at: str, group: str | None, date: str | None, t: Terms, same_group: DataFrame | None = None) -> DataFrame:
-    """One row for each record and member of the record's key: whether a term covers the session, whether one carries over, and whether the term in force is of the record's group.
+ASK = ("_key", "_at", "_group", "_date")
 
-    The term in force is the first that covers the session, else the one with
-    the latest end before it; later terms never count. ``same_group``
-    (``roster_group``, ``record_group``) lists groups that are one.
+
+def _asks(records: DataFrame, *, key: str, at: str, group: str | None, date: str | None) -> list[Column]:
+    column = lambda name: F.col(name) if name else F.lit(None).cast("string")
+    return [c.alias(n) for c, n in zip((F.col(key), F.col(at), column(group), column(date)), ASK, strict=True)]
+
+
+def in_tenure(sessions: DataFrame, terms: DataFrame, *, t: Terms = Terms()) -> DataFrame:
+    """One row for each key and session (``_key``, ``_at``) and member of the key that may be in office then: ``direct``, ``over`` and ``group_then``.
+
+    ``direct``: a term covers the session. ``over``: the latest end date of
+    the terms whose sessions are past, up to which the member is in office all
+    the same; null for those in office directly. ``group_then`` is the group of
+    the term in force: the first that covers the session, else the one with the
+    latest end before it; later terms never count.
     """
     side = terms.select(
-        F.col(t.key).alias("_key"), F.col(t.member).alias("_member"), F.col(t.since).alias("_since"), until_of(t).alias("_until"),
+        F.col(t.key).alias("_term_key"), F.col(t.member).alias("member"), F.col(t.since).alias("_since"), until_of(t).alias("_until"),
         (F.col(t.group) if t.group else F.lit(None).cast("string")).alias("_group"), (F.col(t.ends) if t.ends else F.lit(None).cast("string")).alias("_ends"),
         (F.col(t.pos) if t.pos else F.lit(0)).alias("_pos"),
     )
-    own = records.select(
-        F.col(record).alias("_record"), F.col(key).alias("_own_key"), F.col(at).alias("_at"),
-        (F.col(group) if group else F.lit(None).cast("string")).alias("_own_group"), (F.col(date) if date else F.lit(None).cast("string")).alias("_date"),
-    )
-    pairs = own.join(side, (F.col("_own_key") == F.col("_key")) & (F.col("_since") <= F.col("_at")))
-    covers = (F.col("_since") <= F.col("_at")) & (F.col("_at") <= F.col("_until"))
-    carried = (F.col("_until") < F.col("_at")) & F.col("_date").isNotNull() & (F.col("_ends") != "") & (F.col("_ends") >= F.col("_date"))
+    met = sessions.join(side, (F.col("_key") == F.col("_term_key")) & (F.col("_since") <= F.col("_at")))
+    covers = F.col("_at") <= F.col("_until")
     in_force = F.max_by("_group", F.struct(covers.alias("c"), F.when(covers, 0).otherwise(F.col("_until")).alias("u"), (-F.col("_pos")).alias("p")))
-    found = pairs.groupBy("_record", "_own_group", "_member").agg(F.bool_or(covers).alias("direct"), F.bool_or(covers | F.coalesce(carried, F.lit(False))).alias("tenure"), in_force.alias("group_then"))
-    same = F.coalesce(F.col("group_then") == F.col("_own_group"), F.lit(False))
+    over = F.max(F.when((F.col("_until") < F.col("_at")) & (F.col("_ends") != ""), F.col("_ends")))
+    found = met.groupBy("_key", "_at", "member").agg(F.coalesce(F.bool_or(covers), F.lit(False)).alias("direct"), over.alias("over"), in_force.alias("group_then"))
+    return found.withColumn("over", F.when(~F.col("direct"), F.col("over"))).where("direct OR over IS NOT NULL")
+
+
+def _running(asks: DataFrame, people: DataFrame, by: Sequence[str], sums: dict[str, Column]) -> DataFrame:
+    """``asks`` with sums over the people of the same ``by`` who are in office directly, or over at least up to the asked date.
+
+    People come before the asks that count them: who is direct before all, then
+    by date from the latest. An ask without a date counts the direct alone.
+    """
+    held = people.withColumnsRenamed({"over": "_date"}).withColumns({"_rank": F.when(F.col("direct"), 0).otherwise(2), "_asks": F.lit(0)})
+    asked = asks.withColumns({"_rank": F.when(F.col("_date").isNull(), 1).otherwise(2), "_asks": F.lit(1)})
+    so_far = Window.partitionBy(*by).orderBy("_rank", F.desc("_date"), "_asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = held.unionByName(asked, allowMissingColumns=True).withColumns({n: c.over(so_far) for n, c in sums.items()})
+    return both.where("_asks = 1").select(*asks.columns, *sums)
+
+
+def tallies(records: DataFrame, terms: DataFrame, *, key: str, at: str, group: str | None, date: str | None, t: Terms, same_group: DataFrame | None = None) -> DataFrame:
+    """For each distinct key, session, group and date that records ask about: how many members of the key are in office then, of the group, and of the group directly, and the greatest of each.
+
+    ``same_group`` (``roster_group``, ``record_group``) lists groups that are
+    one. Records and members never meet in pairs: members are counted for each
+    session that their key is asked about, and asks take running sums.
+    """
+    asks = records.select(*_asks(records, key=key, at=at, group=group, date=date)).where("_key IS NOT NULL AND _at IS NOT NULL").distinct()
+    found = in_tenure(asks.select("_key", "_at").distinct(), terms, t=t)
+    kinds = ["_key", "_at", "direct", "over"]
+    held = found.groupBy(*kinds, *(["group_then"] if group else [])).agg(F.count("*").alias("_c"), F.max("member").alias("_m"))
+    everyone = held.groupBy(*kinds).agg(F.sum("_c").alias("_c"), F.max("_m").alias("_m")) if group else held
+    counted = _running(asks, everyone, ["_key", "_at"], {"_n": F.sum("_c"), "_one": F.max("_m")})
+    if not group:
+        return counted.withColumns({"_g": F.lit(0), "_d": F.lit(0), "_of_group": F.lit(None).cast(found.schema["member"].dataType), "_direct": F.lit(None).cast(found.schema["member"].dataType)})
+    as_one = F.array("group_then")
     if same_group is not None:
-        alias = same_group.select(F.col("roster_group").alias("_rg"), F.col("record_group").alias("_vg"), F.lit(True).alias("_alias")).distinct()
-        found = found.join(alias, (F.col("group_then") == F.col("_rg")) & (F.col("_own_group") == F.col("_vg")), "left")
-        same = same | F.coalesce("_alias", F.lit(False))
-    return found.select("_record", F.col("_member").alias("member"), "direct", "tenure", same.alias("same_group"), "group_then")
+        alias = same_group.groupBy(F.col("roster_group").alias("_rg")).agg(F.collect_set("record_group").alias("_also"))
+        held = held.join(alias, F.col("group_then") == F.col("_rg"), "left")
+        as_one = F.array_distinct(F.concat(as_one, F.coalesce("_also", F.array().cast("array<string>"))))
+    mine = held.withColumn("_group", F.explode(as_one)).where("_group IS NOT NULL").groupBy(*kinds, "_group").agg(F.sum("_c").alias("_c"), F.max("_m").alias("_m"))
+    direct = F.col("direct")
+    return _running(counted, mine, ["_key", "_at", "_group"], {
+        "_g": F.sum("_c"), "_d": F.sum(F.when(direct, F.col("_c"))), "_of_group": F.max("_m"), "_direct": F.max(F.when(direct, F.col("_m"))),
+    })
+
+
+def _told(records: DataFrame, counts: DataFrame, *, key: str, at: str, group: str | None, date: str | None) -> DataFrame:
+    """``records``, each with what was counted for what it asks."""
+    met = counts.withColumnsRenamed({n: f"_ask{n}" for n in ASK})
+    on = (F.col(key) == F.col("_ask_key")) & (F.col(at) == F.col("_ask_at"))
+    for name, asked in ((group, "_ask_group"), (date, "_ask_date")):
+        on = on & F.col(name).eqNullSafe(F.col(asked)) if name else on
+    return records.join(met, on, "left").drop(*[f"_ask{n}" for n in ASK])
 
 
 def resolve(records: DataFrame, terms: DataFrame, *, record: str, key: str, at: str, group: str | None = None, date: str | None = None, t: Terms = Terms(), same_group: DataFrame | None = None) -> DataFrame:
@@ -73,18 +123,14 @@ def resolve(records: DataFrame, terms: DataFrame, *, record: str, key: str, at:
     Among members of the key in office then: a single one wins; else the
     single one of the record's group; else, among several of the group, the
     single one that a term covers directly; else none. ``branch``: none,
-    single, group, direct or ambiguous. ``record`` must be unique; one shuffle
-    on the key, one on the record.
+    single, group, direct or ambiguous. Dates are ISO texts. What several
+    records (each known by ``record``) ask alike is decided once.
     """
-    found = candidates(records, terms, record=record, key=key, at=at, group=group, date=date, t=t, same_group=same_group).where("tenure")
-    grouped, direct = F.col("same_group"), F.col("same_group") & F.col("direct")
-    counts = found.groupBy("_record").agg(
-        F.count("*").alias("_n"), F.count_if(grouped).alias("_g"), F.count_if(direct).alias("_d"),
-        F.max("member").alias("_one"), F.max(F.when(grouped, F.col("member"))).alias("_of_group"), F.max(F.when(direct, F.col("member"))).alias("_direct"),
-    )
-    branch = F.when(F.col("_n").isNull(), "none").when(F.col("_n") == 1, "single").when(F.col("_g") == 1, "group").when((F.col("_g") > 1) & (F.col("_d") == 1), "direct").otherwise("ambiguous")
+    ask = dict(key=key, at=at, group=group, date=date)
+    counts = tallies(records, terms, **ask, t=t, same_group=same_group)
+    branch = F.when(F.coalesce("_n", F.lit(0)) == 0, "none").when(F.col("_n") == 1, "single").when(F.col("_g") == 1, "group").when((F.col("_g") > 1) & (F.col("_d") == 1), "direct").otherwise("ambiguous")
     member = F.when(F.col("_branch") == "single", F.col("_one")).when(F.col("_branch") == "group", F.col("_of_group")).when(F.col("_branch") == "direct", F.col("_direct"))
-    return records.join(counts, F.col(record) == F.col("_record"), "left").withColumn("_branch", branch).select(*records.columns, member.alias("member"), F.col("_branch").alias("branch"))
+    return _told(records, counts, **ask).withColumn("_branch", branch).select(*records.columns, member.alias("member"), F.col("_branch").alias("branch"))
 
 
 def resolve_two_tier(records: DataFrame, terms: DataFrame, fallback: DataFrame, *, record: str, key: str, second_key: str, at: str, date: str | None = None, t: Terms = Terms()) -> DataFrame:
@@ -96,15 +142,14 @@ def resolve_two_tier(records: DataFrame, terms: DataFrame, fallback: DataFrame,
     first = resolve(records, terms, record=record, key=key, at=at, date=date, t=t)
     known = terms.select(F.col(t.key).alias("_known")).distinct()
     first = first.join(known, F.col(key) == F.col("_known"), "left")
-    open_ = first.where(F.col("member").isNull() & F.col("_known").isNull())
-    hits = candidates(open_.select(*records.columns), fallback, record=record, key=second_key, at=at, group=None, date=date, t=t).where("tenure")
-    counts = hits.groupBy(F.col("_record").alias("_second")).agg(F.count("*").alias("_hits"), F.max("member").alias("_by_second"))
-    both = first.join(counts, F.col(record) == F.col("_second"), "left")
-    by_second = F.when(F.col("_hits") == 1, F.col("_by_second"))
+    ask = dict(key=second_key, at=at, group=None, date=date)
+    both = _told(first, tallies(records, fallback, **ask, t=t), **ask)
+    hits = F.when(F.col("member").isNull() & F.col("_known").isNull(), F.col("_n"))
+    by_second = F.when(hits == 1, F.col("_one"))
     return both.select(
         *records.columns, F.coalesce("member", by_second).alias("member"),
-        F.when(F.col("member").isNotNull(), "name").when(F.col("_hits") == 1, "second").alias("matched_by"),
-        F.when(F.col("member").isNotNull() | (F.coalesce("_hits", F.lit(0)) == 1), F.lit(None)).when(F.col("_hits") > 1, "ambiguous").otherwise("no-candidate").alias("reason"),
+        F.when(F.col("member").isNotNull(), "name").when(hits == 1, "second").alias("matched_by"),
+        F.when(F.col("member").isNotNull() | (F.coalesce(hits, F.lit(0)) == 1), F.lit(None)).when(hits > 1, "ambiguous").otherwise("no-candidate").alias("reason"),
     )
 
 
