@@ -27,9 +27,9 @@ def match_again(carried: DataFrame, before: DataFrame, now: DataFrame, *, record
     of those are blanked first, and one that no longer resolves stays without.
     """
     changed = changed_keys(before, now, t=t)
-    touched = (F.col(key) == F.col("_key")) & (F.col("_from") <= F.col(at))
-    stale = carried.join(changed, touched, "left_semi").drop("member", "branch")
-    kept = carried.join(changed, touched, "left_anti").withColumn("state", F.lit("kept"))
+    told = carried.join(changed, F.col(key) == F.col("_key"), "left").withColumn("_stale", F.coalesce(F.col("_from") <= F.col(at), F.lit(False)))
+    stale = told.where("_stale").select(*[c for c in carried.columns if c not in ("member", "branch")])
+    kept = told.where("NOT _stale").select(*carried.columns, F.lit("kept").alias("state"))
     again = resolve(stale, now, record=record, key=key, at=at, group=group, date=date, t=t, same_group=same_group).withColumn("state", F.lit("again"))
     return kept.unionByName(again)
 
