@@ -35,14 +35,10 @@ def mentions(
     each = records.select(F.col(record).alias("record"), F.col(at).alias("_at"), column(date).alias("_date"), column(group).alias("_group"), column(house).alias("_house"), *keep, F.posexplode(names).alias("place", "name")).where("name IS NOT NULL")
     if covered is not None:
         each = each.join(covered.select(F.col("session").alias("_session")), F.col("_at") == F.col("_session"), "left_semi")
-    asked = ["name", "_at", "_date", "_group", "_house"]
-    each = each.withColumn("_ask", F.to_json(F.struct(*asked)))
-    key = F.concat_ws("\t", F.coalesce("_house", F.lit("")), "name")
-    asks = each.select("_ask", key.alias("_name"), "_at", "_date", "_group").distinct()
+    each = each.withColumn("_name", F.concat_ws("\t", F.coalesce("_house", F.lit("")), "name"))
     side = terms.withColumn("_term_key", F.concat_ws("\t", F.coalesce(column(house), F.lit("")), F.col(t.key)))
-    found = resolve(asks, side, record="_ask", key="_name", at="_at", group="_group", date="_date", t=replace(t, key="_term_key"), same_group=same_group)
-    found = found.select(F.col("_ask").alias("_asked"), "member", "branch")
-    return each.join(found, F.col("_ask") == F.col("_asked")).select("record", "place", "name", "member", "branch", *keep)
+    found = resolve(each, side, record="record", key="_name", at="_at", group="_group" if group else None, date="_date" if date else None, t=replace(t, key="_term_key"), same_group=same_group)
+    return found.select("record", "place", "name", "member", "branch", *keep)
 
 
 def with_members(records: DataFrame, found: DataFrame, *, record: str, out: str, at: str | None = None, covered: DataFrame | None = None) -> DataFrame:
