@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollbook.functions.text import place_key, plain_prefecture, without_county
 
 UNKNOWN = "〓"  # a letter that could not be read; fits any one letter
+SIGNS = r"[%\\]"  # in a pattern, what does not stand for one letter
 
 
 def municipalities(postal: DataFrame) -> DataFrame:
@@ -20,25 +21,57 @@ def conflicting_codes(postal: DataFrame) -> DataFrame:
     return municipalities(postal).groupBy("code").agg(F.count("*").alias("names")).where("names > 1")
 
 
+def _fitting(units: DataFrame, munis: DataFrame, name: str, *, whole: bool) -> DataFrame:
+    """Units with the municipalities of their prefecture whose ``name`` fits, from its first letter on (``whole``) or at its end.
+
+    A pattern's form is the pattern with a dot for every known letter. Names
+    are written in the forms that their prefecture has, of their own length or
+    for the end of any, so units and names meet where all known letters agree.
+    """
+    plain = units.where(~F.col("_like").rlike(SIGNS)).withColumn("_form", F.regexp_replace("_like", "(?s)[^_]", "."))
+    forms = plain.select(F.col("pref").alias("_of"), "_form", F.length("_form").alias("_n")).distinct()
+    blanks = F.filter(F.sequence(F.lit(1), F.greatest("_n", F.lit(1))), lambda i: F.substr("_form", i, F.lit(1)) == "_")
+    held = forms.groupBy("_of", *(["_n"] if whole else [])).agg(F.collect_list(F.struct(F.col("_form").alias("form"), F.col("_n").alias("n"), blanks.alias("blanks"))).alias("_forms"))
+    long = F.length(name)
+    on = (F.col("_pref") == F.col("_of")) & (long == F.col("_n")) if whole else F.col("_pref") == F.col("_of")
+    each = munis.join(held, on).select("_pref", "code", "city", name, F.explode(F.filter("_forms", lambda f: f["n"] <= long)).alias("_f"))
+    end = F.when(F.col("_f.n") > 0, F.substr(F.col(name), long - F.col("_f.n") + 1)).otherwise("")
+    written = each.select("_pref", "code", "city", F.col("_f.form").alias("_own"), F.aggregate("_f.blanks", end, lambda t, i: F.overlay(t, F.lit("_"), i, F.lit(1))).alias("_end"))
+    return plain.join(written, (F.col("pref") == F.col("_pref")) & (F.col("_form") == F.col("_own")) & (F.col("_like") == F.col("_end")))
+
+
 def match_units(units: DataFrame, munis: DataFrame, renames: DataFrame) -> DataFrame:
     """Units (pref, number, unit, partial) with the municipality each names, its tier, and how many fit.
 
     Tiers, of which the first with a hit counts: 1 the whole name, 2 the
     rename table, 3 a town or village without its county, 4 the name's end.
-    Units and municipalities of one prefecture are compared with each other
-    alone. ``hits`` other than 1 (but in tier 2, where a unit may have become
-    several) means that the unit can't be placed.
+    The end is sought only for units without any hit before. Units with signs
+    that stand for any number of letters are compared with every municipality
+    of their prefecture. ``hits`` other than 1 (but in tier 2, where a unit may
+    have become several) means that the unit can't be placed.
     """
     pattern = F.replace(place_key(F.col("unit")), F.lit(UNKNOWN), F.lit("_"))
     left = units.withColumn("_like", pattern)
-    right = munis.select(F.col("pref").alias("_pref"), "code", "city", place_key(F.col("city")).alias("_city"))
+    right = munis.select(F.col("pref").alias("_pref"), "code", "city", place_key(F.col("city")).alias("_city")).withColumn("_town", without_county(F.col("_city")))
     now = renames.select(F.col("pref").alias("_rpref"), F.col("former").alias("_former"), place_key(F.col("name")).alias("_now"), F.col("partial").alias("_rpartial"))
-    fits = F.when(F.like("_city", F.col("_like")), 1).when(F.col("_like").rlike("[町村]$") & F.like(without_county(F.col("_city")), F.col("_like")), 3).when(F.like("_city", F.concat(F.lit("%"), F.col("_like"))), 4)
-    direct = left.join(right, F.col("pref") == F.col("_pref")).withColumn("tier", fits).where("tier IS NOT NULL").select("pref", "number", "unit", "partial", "code", "city", "tier")
+    town = F.col("_like").rlike("[町村]$")
+    own = ["pref", "number", "unit"]
+
+    def of_tier(found: DataFrame, tier: Column, partial: str | Column = "partial") -> DataFrame:
+        return found.select(*own, partial, "code", "city", tier.alias("tier")).where("tier IS NOT NULL")
+
     renamed = left.join(now, (F.col("pref") == F.col("_rpref")) & (F.col("unit") == F.col("_former"))).join(right, (F.col("pref") == F.col("_pref")) & (F.col("_now") == F.col("_city")))
-    renamed = renamed.select("pref", "number", "unit", (F.col("partial") | F.coalesce("_rpartial", F.lit(False))).alias("partial"), "code", "city", F.lit(2).alias("tier"))
-    unit = Window.partitionBy("pref", "number", "unit")
-    best = direct.unionByName(renamed).withColumn("_best", F.min("tier").over(unit)).where("tier = _best").drop("_best")
+    fits = F.when(F.like("_city", F.col("_like")), 1).when(town & F.like("_town", F.col("_like")), 3).when(F.like("_city", F.concat(F.lit("%"), F.col("_like"))), 4)
+    sure = (
+        of_tier(_fitting(left, right, "_city", whole=True), F.lit(1))
+        .unionByName(of_tier(renamed, F.lit(2), (F.col("partial") | F.coalesce("_rpartial", F.lit(False))).alias("partial")))
+        .unionByName(of_tier(_fitting(left.where(town), right, "_town", whole=True), F.lit(3)))
+        .unionByName(of_tier(left.where(F.col("_like").rlike(SIGNS)).join(right, F.col("pref") == F.col("_pref")), fits))
+    )
+    rest = left.join(sure.select(*own).distinct(), own, "left_anti")
+    every = sure.unionByName(of_tier(_fitting(rest, right, "_city", whole=False), F.lit(4)))
+    unit = Window.partitionBy(*own)
+    best = every.withColumn("_best", F.min("tier").over(unit)).where("tier = _best").drop("_best")
     return best.withColumn("hits", F.count("*").over(unit))
 
 

@@ -1,11 +1,12 @@
 """Groups so large that what makes pairs of them does not end in time."""
 
 import random
+import re
 import time
 
 from pyspark.sql import functions as F
 
-from rollbook.operators import matching, resolve
+from rollbook.operators import districts, matching, resolve
 
 T = resolve.Terms(ends="ends", pos="pos")
 MANY = 30_000
@@ -79,3 +80,38 @@ def test_running_sums_give_what_pairs_give(spark):
         same = spark.createDataFrame([("A", "D"), ("B", "D")], "roster_group string, record_group string")
         got = resolve.resolve(records, side, record="id", key="name", at="at", group="grp", date="day", t=T, same_group=same)
         assert {r.id: (r.member, r.branch) for r in got.collect()} == {r[0]: plainly(r, few, {("A", "D"), ("B", "D")}) for r in asked}
+
+
+def test_many_units_of_one_prefecture(spark):
+    many = 6_000
+    munis = spark.range(many).select(F.col("id").alias("code"), F.lit("県").alias("pref"), F.concat(F.lit("郡"), F.format_string("%05d", "id"), F.lit("町村あいうえおかきくけこさしすせそたちつてと市")).alias("city"))
+    units = munis.select("pref", F.lit(1).alias("number"), F.when(F.col("code") % 3 == 0, F.col("city")).when(F.col("code") % 3 == 1, F.concat(F.lit("〓"), F.substr("city", F.lit(2)))).otherwise(F.substr("city", F.lit(3))).alias("unit"), F.lit(False).alias("partial"))
+    renames = spark.createDataFrame([], "pref string, former string, name string, partial boolean")
+    began = time.perf_counter()
+    got = {(r.tier, r.hits): r["count"] for r in districts.match_units(units, munis, renames).groupBy("tier", "hits").count().collect()}
+    assert got == {(1, 1): 2 * many // 3, (4, 1): many // 3}
+    assert time.perf_counter() - began < 45
+
+
+def test_units_fit_as_patterns_do(spark):
+    """Held against every pattern tried on every name."""
+    draw = random.Random(3)
+    word = lambda n, letters: "".join(draw.choice(letters) for _ in range(n))
+    munis = spark.createDataFrame([(i, draw.choice("pq"), word(draw.randint(0, 5), "郡a𠮷町")) for i in range(150)], "code int, pref string, city string")
+    units = spark.createDataFrame([(draw.choice("pq"), draw.randint(1, 2), word(draw.randint(0, 4), "郡a𠮷町〓_%"), draw.random() < 0.3) for _ in range(200)] + [("p", 1, None, False)], "pref string, number int, unit string, partial boolean")
+    renames = spark.createDataFrame([("p", "a町", "a", True), ("q", "〓", "町町", None)], "pref string, former string, name string, partial boolean")
+    got = sorted((r.pref, r.number, r.unit, r.partial, r.code, r.tier, r.hits) for r in districts.match_units(units, munis, renames).collect())
+    names, former, best = munis.collect(), renames.collect(), {}
+    for u in [u for u in units.collect() if u.unit is not None]:
+        like = re.compile("".join("." if c in "_〓" else ".*" if c == "%" else re.escape(c) for c in u.unit), re.S)
+        tail = re.compile(".*" + like.pattern, re.S)
+        found = best.setdefault((u.pref, u.number, u.unit), [])
+        for m in [m for m in names if m.pref == u.pref]:
+            tier = 1 if like.fullmatch(m.city) else 3 if u.unit[-1:] in ("町", "村") and like.fullmatch(re.sub("^.*?郡", "", m.city)) else 4 if tail.fullmatch(m.city) else None
+            found += [(u.partial, m.code, tier)] if tier else []
+            found += [(u.partial or bool(r.partial), m.code, 2) for r in former if (r.pref, r.former, r.name) == (u.pref, u.unit, m.city)]
+    want = []
+    for own, found in best.items():
+        kept = [f for f in found if f[2] == min(x[2] for x in found)]
+        want += [(*own, *f, len(kept)) for f in kept]
+    assert got == sorted(want)
