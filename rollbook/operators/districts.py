@@ -75,6 +75,16 @@ def match_units(units: DataFrame, munis: DataFrame, renames: DataFrame) -> DataF
     return best.withColumn("hits", F.count("*").over(unit))
 
 
+def fitting_ends(asked: DataFrame, names: DataFrame, *, pattern: str, name: str, within: str) -> DataFrame:
+    """``asked`` with each ``name`` of the same ``within`` whose end its ``pattern`` fits (``_`` for any one letter), and whether it fits the ``whole`` name."""
+    left = asked.withColumnsRenamed({within: "pref", pattern: "_like"})
+    right = names.select(F.col(within).alias("_pref"), F.col(name).alias("code"), F.col(name).alias("city"), F.col(name).alias("_name"))
+    signs = left.where(F.col("_like").rlike(SIGNS)).join(right, F.col("pref") == F.col("_pref")).where(F.like("city", F.concat(F.lit("%"), F.col("_like"))))
+    columns = [*left.columns, "city"]
+    met = _fitting(left, right, "_name", whole=False).select(*columns).unionByName(signs.select(*columns))
+    return met.select(*[F.col({within: "pref", pattern: "_like"}.get(c, c)).alias(c) for c in asked.columns], F.col("city").alias(name), F.like("city", F.col("_like")).alias("whole"))
+
+
 def unplaced_units(units: DataFrame, matched: DataFrame) -> DataFrame:
     """Units that fit no municipality, or several where one was meant."""
     good = matched.where("hits = 1 OR tier = 2").select("pref", "number", "unit").distinct()

@@ -139,9 +139,8 @@ def _wildcards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     parts = table(spark, sf_dir, "part")
     asked = parts.selectExpr("p_partkey", "p_brand", "if(p_partkey % 2 = 0, concat(substring(p_name, 1, 2), '_', substring(p_name, 4)), concat('_', substring_index(p_name, ' ', -1))) AS pattern")
-    names = parts.select(F.col("p_brand").alias("_b"), F.col("p_name").alias("name")).distinct()
-    tier = F.when(F.like("name", F.col("pattern")), 1).when(F.like("name", F.concat(F.lit("%"), F.col("pattern"))), 2)
-    hits = asked.join(names, F.col("p_brand") == F.col("_b")).withColumn("tier", tier).where("tier IS NOT NULL")
+    names = parts.select("p_brand", "p_name").distinct()
+    hits = districts.fitting_ends(asked, names, pattern="pattern", name="p_name", within="p_brand").select("p_partkey", F.col("p_name").alias("name"), F.when(F.col("whole"), 1).otherwise(2).alias("tier"))
     best = hits.withColumn("best", F.min("tier").over(Window.partitionBy("p_partkey"))).where("tier = best")
     return best.groupBy("p_partkey").agg(F.min("tier").alias("tier"), F.count("*").alias("hits"), F.when(F.count("*") == 1, F.min("name")).alias("match"))
 

@@ -115,3 +115,16 @@ def test_units_fit_as_patterns_do(spark):
         kept = [f for f in found if f[2] == min(x[2] for x in found)]
         want += [(*own, *f, len(kept)) for f in kept]
     assert got == sorted(want)
+
+
+def test_many_patterns_of_one_brand(spark):
+    many = 12_000
+    names = spark.range(many).select(F.lit("B").alias("brand"), F.format_string("%05d lemon", "id").alias("name"))
+    asked = names.select("brand", F.col("name").alias("own"), F.when(F.crc32("name") % 2 == 0, F.concat(F.lit("_"), F.substr("name", F.lit(2)))).otherwise(F.substr("name", F.lit(3))).alias("pattern")).where("own < '00300 '")
+    every = asked.unionByName(spark.range(many).select(F.lit("B").alias("brand"), F.format_string("x%05d", "id").alias("own"), F.format_string("x%05d_", "id").alias("pattern")))
+    began = time.perf_counter()
+    got = {(r.own, r.name, r.whole) for r in districts.fitting_ends(every, names, pattern="pattern", name="name", within="brand").collect()}
+    assert time.perf_counter() - began < 40
+    pool = [f"{i:05d} lemon" for i in range(many)]
+    want = {(r.own, n, len(n) == len(r.pattern)) for r in asked.collect() for n in pool if re.fullmatch(".*" + r.pattern.replace("_", "."), n)}
+    assert got == want and len(got) > 300
