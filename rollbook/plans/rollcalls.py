@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rollbook.session import table, written
+from rollbook.operators.lattice import _let as let
+from rollbook.session import table
 from rollbook.sources import pages as html
 from rollbook.sources import rollcalls
-from rollbook.sources.elements import elements
 
 
 def _put(*parts: Column | str) -> Column:
@@ -31,29 +31,34 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     Even orders have the old layout. Pages of low priority tell of a standing
     vote; some have a wrong size, no title or a vote that can't be read.
     """
-    key = F.col("l_orderkey")
-    lines = _grouped(spark, sf_dir).withColumn("name", _put("S", F.col("l_suppkey").cast("string"), "　 \n", "P", F.col("l_partkey").cast("string")))
-    bad = (key % 19 == 7) & (F.col("n") == 1)
-    is_ = lambda x: F.col("l_returnflag") == x
-    lines = lines.withColumns({
-        "new": _put(
+    key = F.col("o_orderkey")
+    picked = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag")
+    orders = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list(picked)).alias("lines"))
+    many = lambda xs, flag: F.size(F.filter(xs, lambda x: x["l_returnflag"] == flag))
+    old_layout = key % 2 == 0
+
+    def member(x: Column, bad: Column) -> Column:
+        name = _put("S", x["l_suppkey"].cast("string"), "　 \n", "P", x["l_partkey"].cast("string"))
+        is_ = lambda flag: x["l_returnflag"] == flag
+        new = _put(
             "\n<li class='giin x'><SPAN class=pros>", F.when(is_("A") | bad, "賛成").otherwise(""), "</SPAN><span class=cons>", F.when(is_("R") | bad, "反対").otherwise(""), "</span>",
-            F.when(is_("N") & ~bad, "<span class=novote><span>投票</span> <span>なし</span></span>").otherwise(""), "<span class=names>", F.col("name"), "</span>",
-        ),
-        "old": _put(
-            "<TD class=pro>", F.when(is_("A") | bad, "<IMG src=/img/sansei.jpg>").otherwise("　"), "<TD class=con>", F.when(is_("R") | bad, "<IMG src=/img/hantai.jpg>").otherwise(""), "</TD><TD class='nam'>", F.col("name"),
-        ),
-    })
-    size = (F.count("*") + F.when(key % 13 == 5, 1).otherwise(0)).cast("string")
-    yes, no = (F.count_if(is_(x)).cast("string") for x in "AR")
-    blocks = lines.groupBy("l_orderkey", "party").agg(
-        _put("<h4 class=party>", F.col("party"), "( ", size, "名)</h4>\n<dl class=sanpilist><dt>賛成票　", yes, "　反対票 ", no, "<dd><ul>", F.array_join(_rows("new"), ""), "</ul></dl>").alias("new"),
-        _put("<TABLE><CAPTION class=party>", F.col("party"), "（", size, "名）<BR>賛成票 ", yes, " <BR>反対票　", no, "</CAPTION><TR><TH>賛成<TH>反対<TH>氏名",
-             F.array_join(F.transform(_rows("old"), lambda x, i: F.concat(F.when(i % 3 == 0, "<TR>").otherwise(""), x)), ""), "<TD class=pro><TD class=con><TD class=nam></TABLE>").alias("old"),
-        F.count_if(is_("A")).alias("yes"), F.count_if(is_("R")).alias("no"),
-    )
-    bodies = blocks.groupBy(key.alias("o_orderkey")).agg(
-        *[F.array_join(_rows(n, "party"), "").alias(n) for n in ("new", "old")], F.sum("yes").alias("yes"), F.sum("no").alias("no"))
+            F.when(is_("N") & ~bad, "<span class=novote><span>投票</span> <span>なし</span></span>").otherwise(""), "<span class=names>", name, "</span>",
+        )
+        old = _put("<TD class=pro>", F.when(is_("A") | bad, "<IMG src=/img/sansei.jpg>").otherwise("　"), "<TD class=con>", F.when(is_("R") | bad, "<IMG src=/img/hantai.jpg>").otherwise(""), "</TD><TD class='nam'>", name)
+        return F.when(old_layout, old).otherwise(new)
+
+    def block(party: Column, own: Column) -> Column:
+        size = (F.size(own) + F.when(key % 13 == 5, 1).otherwise(0)).cast("string")
+        yes, no = (many(own, flag).cast("string") for flag in "AR")
+        bodies = F.transform(own, lambda x: x["html"])
+        new = _put("<h4 class=party>", party, "( ", size, "名)</h4>\n<dl class=sanpilist><dt>賛成票　", yes, "　反対票 ", no, "<dd><ul>", F.array_join(bodies, ""), "</ul></dl>")
+        rows = F.array_join(F.transform(bodies, lambda x, i: F.concat(F.when(i % 3 == 0, "<TR>").otherwise(""), x)), "")
+        old = _put("<TABLE><CAPTION class=party>", party, "（", size, "名）<BR>賛成票 ", yes, " <BR>反対票　", no, "</CAPTION><TR><TH>賛成<TH>反対<TH>氏名", rows, "<TD class=pro><TD class=con><TD class=nam></TABLE>")
+        return F.when(old_layout, old).otherwise(new)
+
+    told = orders.withColumn("lines", F.transform("lines", lambda x, i: F.struct(_put("会", (x["l_suppkey"] % 4).cast("string")).alias("party"), x["l_returnflag"].alias("l_returnflag"), member(x, (key % 19 == 7) & (i == 0)).alias("html"))))
+    parties = F.array_sort(F.array_distinct(F.transform("lines", lambda x: x["party"])))
+    bodies = told.select("o_orderkey", F.array_join(F.transform(parties, lambda p: let(F.filter("lines", lambda x: x["party"] == p), lambda own: block(p, own))), "").alias("body"), many("lines", "A").alias("yes"), many("lines", "R").alias("no"))
     pages = table(spark, sf_dir, "orders").join(bodies, "o_orderkey")
     day = F.date_format("o_orderdate", "yyyy年 M月 d日")
     title = F.when(F.col("o_orderkey") % 17 == 3, "").otherwise(_put("日程第１　 ", F.col("o_custkey").cast("string")))
@@ -61,13 +66,13 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     standing = F.col("o_orderpriority") == "5-LOW"
     page = F.when(standing & (F.col("o_orderkey") % 2 == 1), _put("<div id=ContentsBox><h2 class=kaiji_nichiji>", day, "</h2><p class=kiritsu>起立採決により<br>可決されました<p>以上</div>")).when(standing, _put("<b>投票結果</b><div id='ContentsBox'><TT>", day, "</TT><B>議題</B><B> 起立採決により 否決されました</div>")).when(
         F.col("o_orderkey") % 2 == 1,
-        _put("<b>起立採決</b><div id=ContentsBox><!-- <h2> --><h2 class='kaiji_nichiji'>第1回国会<br>", day, "<br>投票結果</h2><dl class=ankenmei><dt>案件名：<dd>", title, "</dl><h3 class=tohyosousu>", totals, "</h3>", F.col("new"), "</div><h4 class=party>外</h4>"),
-    ).otherwise(_put("<style >b{}</STYLE><div id=ContentsBox><TT>第1回国会<BR>", day, "<BR>投票結果</TT><TABLE><TR><TH>案件名：<TD>", title, "</TABLE><B>", totals, "</B>", F.col("old"), "</div>"))
+        _put("<b>起立採決</b><div id=ContentsBox><!-- <h2> --><h2 class='kaiji_nichiji'>第1回国会<br>", day, "<br>投票結果</h2><dl class=ankenmei><dt>案件名：<dd>", title, "</dl><h3 class=tohyosousu>", totals, "</h3>", F.col("body"), "</div><h4 class=party>外</h4>"),
+    ).otherwise(_put("<style >b{}</STYLE><div id=ContentsBox><TT>第1回国会<BR>", day, "<BR>投票結果</TT><TABLE><TR><TH>案件名：<TD>", title, "</TABLE><B>", totals, "</B>", F.col("body"), "</div>"))
     return pages.select("o_orderkey", page.alias("html"))
 
 
 def _read(spark: SparkSession, sf_dir: str) -> rollcalls.RollCalls:
-    return rollcalls.roll_calls(written(elements(_pages(spark, sf_dir), id_col="o_orderkey", html_col="html")))
+    return rollcalls.roll_calls_of_pages(_pages(spark, sf_dir), id_col="o_orderkey", html_col="html")
 
 
 def _votes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,14 +80,11 @@ def _votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _read(spark, sf_dir)
-    calls = found.calls.select("id", "date", "title", F.col("total").alias("voted"))
-    return found.groups.join(calls, "id").select(F.col("id").alias("o_orderkey"), "date", "title", "voted", "group", "size", "yes", "no")
+    return _read(spark, sf_dir).groups.select(F.col("id").alias("o_orderkey"), "date", "title", "voted", "group", "size", "yes", "no")
 
 
 def _refused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _read(spark, sf_dir)
-    return found.refused.join(found.standing, "id", "left").select(F.col("id").alias("o_orderkey"), "reason", "note")
+    return _read(spark, sf_dir).refused.select(F.col("id").alias("o_orderkey"), "reason", "note")
 
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:

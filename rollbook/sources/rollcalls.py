@@ -6,20 +6,26 @@ part of a page whose numbers do not agree passes for its votes.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from rollbook.functions.text import no_space, squash
-from rollbook.session import written
-from rollbook.sources.elements import inside, is_a, last_of, text_in_order
+from rollbook.sources.elements import elements_of
 
 # The words that the pages use.
 YES, NO, ABSENT = "賛成", "反対", "投票なし"
 TOTAL, YES_COUNT, NO_COUNT = "投票総数", "賛成票", "反対票"
 TITLE, STANDING = "案件名", "起立採決"
 BOX = "ContentsBox"
+MARKED = ("pros", "cons", "novote", "names")  # classes of a member's parts
+PAGE_FIELDS = """layout string, boxed boolean, day string, title string, totals string, marked string, labels array<struct<text: string, value: string>>, bolds array<string>,
+  groups array<struct<head: int, text: string, listed: boolean, tally: string, members: array<struct<at: int, pros: string, cons: string, novote: string, names: string, pro: string, con: string, in_order: boolean>>>>"""
 
 # In the order in which a page is refused for them.
 REASONS = ("no date", "no title", "no totals", "heading unreadable", "no list of votes", "tally unreadable", "cells out of order", "vote unreadable", "size differs", "no groups")
@@ -27,7 +33,7 @@ REASONS = ("no date", "no title", "no totals", "heading unreadable", "no list of
 
 @dataclass
 class RollCalls:
-    """``calls``: id, layout, date, title, total, yes, no. ``groups``: id, at, group, size, yes, no. ``votes``: id, at, group, name, value. ``refused``: id, reason. ``standing``: id, note."""
+    """``calls``: id, layout, date, title, total, yes, no. ``groups``: id, at, group, size, yes, no, and the call's date, title and total (``voted``). ``votes``: id, at, group, name, value. ``refused``: id, reason, and the note of ``standing``. ``standing``: id, note."""
 
     calls: DataFrame
     groups: DataFrame
@@ -52,102 +58,208 @@ def _heading(text: Column) -> tuple[Column, Column]:
     return F.trim(part(1)), part(2).cast("int")
 
 
-def fields(nodes: DataFrame) -> DataFrame:
-    """The fields of roll-call pages with their texts: one row for each element that means something in the page's layout.
+class _Page:
+    """The fields of one page: the texts of the elements that mean something in its layout.
 
-    Columns: id, layout (``old`` for tables with captions and no dated heading,
-    else ``new``), boxed (the page has an element for its contents, outside
-    which nothing counts), field, at, text, past (the text behind the first
-    line break), cls, image (of the first image inside), and the places of the
-    group's heading, of the row and member it stands in, and of what comes next.
-    One pass: every question is asked by windows over a page's elements.
+    Of each kind the last element so far counts, until it ends; elements of
+    several kinds collect the same text. ``old`` pages have tables with
+    captions and no dated heading. Where a page has an element for its
+    contents, nothing outside it counts.
     """
-    page = Window.partitionBy("id")
-    boxed = nodes.withColumn("_box", last_of(F.col("key") == BOX)).withColumn("boxed", F.max(F.col("_box").isNotNull()).over(page))
-    kept = boxed.where(~F.col("boxed") | inside(F.col("_box"))).drop("_box")
-    has = lambda c: F.coalesce(F.max(c).over(page), F.lit(False))
-    told = kept.withColumn("layout", F.when(~has(is_a("h2", "kaiji_nichiji")) & has(is_a("caption", "party")), "old").otherwise("new"))
-    new, old = F.col("layout") == "new", F.col("layout") == "old"
-    around = {"matter": is_a("dl", "ankenmei"), "list": is_a("dl", "sanpilist"), "item": is_a("li", "giin"), "heading": is_a("h4", "party"), "label": is_a("th"), "table": is_a("table"), "line": is_a("tr"), "break": is_a("br")}
-    held = told.withColumns({f"_{k}": last_of(c) for k, c in around.items()}).withColumn("_caption", last_of(is_a("caption", "party"), F.col("_table.stop").alias("ends")))
-    matter, listed, item, line = (inside(F.col(f"_{k}")) for k in ("matter", "list", "item", "line"))
-    # elements that do not hold one another share a window, which tells the kind of the last
-    kinds = {
-        "day": new & is_a("h2", "kaiji_nichiji"), "title": new & is_a("dd") & matter, "totals": new & is_a("h3", "tohyosousu"), "tally": new & is_a("dt") & listed,
-        **{k: new & is_a(None, k) & item for k in ("pros", "cons", "novote", "names")}, "marked": is_a("p", "kiritsu"),
-    }
-    kind = F.coalesce(*[F.when(c, k) for k, c in kinds.items()])
-    own = held.withColumns({
-        "_own": last_of(kind.isNotNull(), kind.alias("kind")), "_cell": last_of(old & is_a("td") & line), "_value": last_of(old & (F.col("at") == F.col("_label.next"))), "_bold": last_of(is_a("b")),
-    })
-    held_by = {"heading": new, "list": new, "item": new & listed, "label": old, "caption": old, "cell": old, "value": old, "bold": F.lit(True)}
-    each = F.array(
-        F.when(inside(F.col("_own")), F.struct(F.col("_own.kind").alias("field"), F.col("_own.at").alias("own"))), F.when(old, F.struct(F.lit("page").alias("field"), F.lit(0).alias("own"))),
-        *[F.when(c & inside(F.col(f"_{k}")), F.struct(F.lit(k).alias("field"), F.col(f"_{k}.at").alias("own"))) for k, c in held_by.items()])
-    head = F.when(new & listed & (F.col("_list.at") == F.col("_heading.next")), F.col("_heading.at")).when(old & (F.col("at") < F.col("_caption.ends")), F.col("_caption.at"))
-    rows = own.select(
-        "id", "layout", "boxed", "at", "text", "cls", "next", head.alias("head"), F.when(line, F.col("_line.at")).alias("line"), F.when(item, F.col("_item.at")).alias("item"), F.col("_label.at").alias("label"),
-        F.coalesce(F.col("_break.at") > F.col("_caption.at"), F.lit(False)).alias("behind"), F.when(is_a("img"), F.coalesce("link", F.lit(""))).alias("image"), F.explode(F.array_compact(each)).alias("f"))
-    first = lambda c: F.max(F.when(F.col("at") == F.col("f.own"), F.col(c))).alias(c)
-    return rows.groupBy("id", "layout", "boxed", F.col("f.field").alias("field"), F.col("f.own").alias("own")).agg(
-        text_in_order(~F.col("behind") | (F.col("f.field") != "caption")).alias("text"), text_in_order(F.col("behind")).alias("past"), F.min_by("image", F.when(F.col("image").isNotNull(), F.col("at"))).alias("image"),
-        *[first(c) for c in ("cls", "next", "head", "line", "item", "label")]).withColumnRenamed("own", "at")
-
-
-def _first(field: str) -> Column:
-    return F.min_by(F.when(F.col("field") == field, F.col("text")), F.when(F.col("field") == field, F.col("at")))
-
-
-def _heads(parts: DataFrame) -> DataFrame:
-    """id, day, title and totals. Old pages name no place of the date, which is the first in the text; their title stands in the element after its label, their totals in bold."""
-    new = parts.where("layout = 'new'").groupBy("id").agg(*[_first(f).alias(f) for f in ("day", "title", "totals")])
-    old = parts.where("layout = 'old'")
-    label = old.where((F.col("field") == "label") & no_space(F.col("text")).startswith(TITLE)).groupBy("id").agg(F.min("at").alias("label"))
-    title = old.where("field = 'value'").select("id", "label", F.col("text").alias("title")).join(label, ["id", "label"]).select("id", "title")
-    rest = old.groupBy("id").agg(_first("page").alias("day"), F.min_by(*[F.when((F.col("field") == "bold") & F.col("text").contains(TOTAL), F.col(c)) for c in ("text", "at")]).alias("totals"))
-    return new.unionByName(rest.join(title, "id", "left").select("id", "day", "title", "totals"))
-
-
-def _groups_new(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Headings, each with the list right after it, and the members in that list."""
-    named = parts.where("field = 'heading'").select("id", F.col("at").alias("head"), *[c.alias(n) for c, n in zip(_heading(F.col("text")), ("group", "size"), strict=True)])
-    rows = parts.where("layout = 'new' AND head IS NOT NULL AND field <> 'heading'")
-    lists = rows.groupBy("id", "head").agg(F.lit(True).alias("listed"), _first("tally").alias("tally"))
-    groups = named.join(lists, ["id", "head"], "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
-    members = rows.where("field IN ('item', 'pros', 'cons', 'novote', 'names')").groupBy("id", "head", F.col("item").alias("at")).agg(*[_first(f).alias(f) for f in ("pros", "cons", "novote", "names")])
-    said = lambda c, word, fold: F.when(fold(F.coalesce(F.col(c), F.lit(""))) == word, word)
-    marks = F.array_compact(F.array(said("pros", YES, squash), said("cons", NO, squash), said("novote", ABSENT, no_space)))
-    return groups, members.select("id", "head", "at", squash(F.coalesce("names", F.lit(""))).alias("name"), F.when(F.size(marks) == 1, F.get(marks, F.lit(0))).alias("value"), F.lit(True).alias("in_order"))
-
-
-def _groups_old(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Tables with a caption: a group's heading up to its first line break, its tally after it; members three cells each, images for marks."""
-    group, size = _heading(F.col("text"))
-    groups = parts.where("field = 'caption'").select("id", F.col("at").alias("head"), group.alias("group"), size.alias("size"), F.lit(True).alias("listed"), F.col("past").alias("tally"))
-    line = Window.partitionBy("id", "line")
-    cells = parts.where("field = 'cell' AND head IS NOT NULL")
-    placed = cells.withColumns({"n": F.row_number().over(line.orderBy("at")) - 1, "_named": F.max(_has("nam")).over(line)}).where("_named")
-    at = lambda i, c: F.max(F.when(F.col("n") % 3 == i, F.col(c)))
-    three = placed.groupBy("id", "head", "line", F.floor(F.col("n") / 3).alias("k")).agg(
-        F.count("*").alias("cells"), F.min("at").alias("at"), F.bool_and((F.col("n") % 3 == 0) & _has("pro") | (F.col("n") % 3 == 1) & _has("con") | (F.col("n") % 3 == 2) & _has("nam")).alias("in_order"),
-        at(2, "text").alias("name"), at(0, "image").alias("pro"), at(1, "image").alias("con"), at(0, "text").alias("pro_text"), at(1, "text").alias("con_text"),
-    ).where("cells = 3")
-    yes, no = F.coalesce(F.lower("pro").contains("sansei"), F.lit(False)), F.coalesce(F.lower("con").contains("hantai"), F.lit(False))
-    blank = F.col("pro").isNull() & F.col("con").isNull() & (no_space(F.col("pro_text")) == "") & (no_space(F.col("con_text")) == "")
-    value = F.when(yes & no, F.lit(None)).when(yes, YES).when(no, NO).when(blank, ABSENT)
-    members = three.select("id", "head", "at", squash(F.col("name")).alias("name"), value.alias("value"), "in_order").where("name <> '' OR NOT in_order")
-    return groups, members
-
-
-def _has(cls: str) -> Column:
-    return F.concat(F.lit(" "), F.col("cls"), F.lit(" ")).contains(f" {cls} ")
-
-
-def _standing(parts: DataFrame) -> DataFrame:
-    """The line of pages that tell of a standing vote, which has no votes of members: the first marked paragraph, else the first bold text that says so."""
-    found = parts.where("boxed AND field IN ('marked', 'bold')").select("id", "field", "at", squash(F.col("text")).alias("text"), F.row_number().over(Window.partitionBy("id", "field").orderBy("at")).alias("n"))
-    tried = found.where(((F.col("field") == "bold") | (F.col("n") == 1)) & F.col("text").contains(STANDING))
-    return tried.groupBy("id").agg(F.min_by("text", F.struct((F.col("field") == "bold").alias("later"), "at")).alias("note"))
+
+    def __init__(self, rows: Iterable[Sequence]) -> None:
+        kept, box, self.boxed = [], 0, False
+        for row in rows:
+            if row[6] == BOX:
+                box, self.boxed = row[1], True
+            kept.append((row, row[0] < box))
+        self.rows = [r for r, inside in kept if inside or not self.boxed]
+        self.old = not any(r[4] == "h2" and "kaiji_nichiji" in r[5].split() for r in self.rows) and any(r[4] == "caption" and "party" in r[5].split() for r in self.rows)
+        self.last: dict[str, tuple[int, int, dict]] = {}  # by kind: where the element begins and ends, and its field
+        self.first: dict[str, list[str]] = {}  # texts of the first element of a kind
+        self.labels: list[dict] = []
+        self.bolds: list[list[str]] = []
+        self.groups: dict[int, dict] = {}
+        self.cells: dict[int, list[dict]] = {}
+        self.page: list[str] = []
+
+    def inside(self, kind: str, at: int) -> bool:
+        return kind in self.last and at < self.last[kind][1]
+
+    def open(self, kind: str, row: Sequence, **has) -> dict:
+        field = {"at": row[0], "next": row[3], "text": [], **has}
+        self.last[kind] = row[0], row[1], field
+        return field
+
+    def read(self) -> dict | None:
+        if not self.rows:
+            return None
+        for row in self.rows:
+            if row[4]:
+                self.element(row, row[5].split())
+            elif row[8]:
+                self.text(row[0], row[8])
+        self.three()
+        join, told = "".join, self.first
+        for g in self.groups.values():
+            g |= {"text": join(g["text"]), "tally": None if g["tally"] is None else join(g["tally"]), "members": [{k: join(v) if isinstance(v, list) else v for k, v in m.items()} for m in g["members"]]}
+        return {
+            "layout": "old" if self.old else "new", "boxed": self.boxed, "day": join(self.page) if self.old else join(told["day"]) if "day" in told else None,
+            **{k: join(told[k]) if k in told else None for k in ("title", "totals", "marked")},
+            "labels": [{"text": join(f["text"]), "value": join(f["value"]) if f["value"] is not None else None} for f in self.labels], "bolds": [join(b) for b in self.bolds], "groups": list(self.groups.values()),
+        }
+
+    def element(self, row: Sequence, cls: list[str]) -> None:
+        at, tag, new = row[0], row[4], not self.old
+        if tag == "dl":
+            for name, kind in (("ankenmei", "matter"), ("sanpilist", "list")):
+                if name in cls:
+                    self.open(kind, row)
+        elif tag == "li" and "giin" in cls:
+            self.open("item", row)
+        elif tag in ("table", "tr", "br"):
+            self.open(tag, row)
+        elif tag == "th":
+            field = self.open("label", row, value=None)
+            if self.old:
+                self.labels.append(field)
+        elif tag == "b":
+            self.bolds.append(self.open("bold", row)["text"])
+        if tag == "h4" and "party" in cls:
+            field = self.open("heading", row)
+            if new:
+                self.groups[at] = {"head": at, "text": field["text"], "listed": False, "tally": None, "members": []}
+        elif tag == "caption" and "party" in cls:
+            field = self.open("caption", row, ends=self.last["table"][1] if "table" in self.last else at)
+            if self.old:
+                field["past"] = []
+                self.groups[at] = {"head": at, "text": field["text"], "listed": True, "tally": field["past"], "members": []}
+        if new:
+            self.of_new(row, tag, cls)
+        else:
+            self.of_old(row, tag, cls)
+
+    def of_new(self, row: Sequence, tag: str, cls: list[str]) -> None:
+        at = row[0]
+        listed, item = self.inside("list", at), self.inside("item", at)
+        group = self.groups[self.last["heading"][0]] if listed and "heading" in self.last and self.last["list"][0] == self.last["heading"][2]["next"] else None
+        if group:
+            group["listed"] = True
+        if tag == "li" and "giin" in cls and group:
+            self.member(group, at)
+        mark = next((k for k in MARKED if k in cls), None) if item else None
+        for kind, holds in (("day", tag == "h2" and "kaiji_nichiji" in cls), ("title", tag == "dd" and self.inside("matter", at)), ("totals", tag == "h3" and "tohyosousu" in cls), ("tally", tag == "dt" and listed), ("mark", mark), ("marked", tag == "p" and "kiritsu" in cls)):
+            if holds:
+                text = self.open("own", row)["text"]
+                if kind == "tally":
+                    if group and group["tally"] is None:
+                        group["tally"] = text
+                elif kind == "mark":
+                    if group:
+                        member = self.member(group, self.last["item"][0])
+                        if member[mark] is None:
+                            member[mark] = text
+                else:
+                    self.first.setdefault(kind, text)
+                return
+
+    def member(self, group: dict, at: int) -> dict:
+        if not group["members"] or group["members"][-1]["at"] != at:
+            group["members"].append({"at": at, **dict.fromkeys(MARKED), "pro": None, "con": None, "in_order": True})
+        return group["members"][-1]
+
+    def of_old(self, row: Sequence, tag: str, cls: list[str]) -> None:
+        at = row[0]
+        if tag == "p" and "kiritsu" in cls:
+            self.first.setdefault("marked", self.open("own", row)["text"])
+        if tag == "td" and self.inside("tr", at):
+            caption = self.last.get("caption")
+            head = caption[0] if caption and at < caption[2]["ends"] else None
+            field = self.open("cell", row, cls=cls, head=head, image=None)
+            if head is not None:
+                self.cells.setdefault(self.last["tr"][0], []).append(field)
+        if "label" in self.last and at == self.last["label"][2]["next"]:
+            self.last["label"][2]["value"] = self.open("value", row)["text"]
+        if tag == "img" and self.inside("cell", at) and self.last["cell"][2]["image"] is None:
+            self.last["cell"][2]["image"] = row[7] or ""
+
+    def text(self, at: int, text: str) -> None:
+        if self.old:
+            self.page.append(text)
+        for kind in ("own", "bold", "label", "cell", "value") if self.old else ("own", "bold", "heading"):
+            if self.inside(kind, at):
+                self.last[kind][2]["text"].append(text)
+        if self.old and self.inside("caption", at):
+            at_break = self.last["br"][0] if "br" in self.last else -1
+            self.last["caption"][2]["past" if at_break > self.last["caption"][0] else "text"].append(text)
+
+    def three(self) -> None:
+        """Members of old pages: three cells each, in rows that name one."""
+        for cells in self.cells.values():
+            if any("nam" in c["cls"] for c in cells):
+                for i in range(0, len(cells) - 2, 3):
+                    pro, con, nam = cells[i : i + 3]
+                    if pro["head"] == con["head"] == nam["head"]:
+                        in_order = all(k in c["cls"] for k, c in (("pro", pro), ("con", con), ("nam", nam)))
+                        self.groups[nam["head"]]["members"].append({"at": pro["at"], "pros": pro["text"], "cons": con["text"], "novote": None, "names": nam["text"], "pro": pro["image"], "con": con["image"], "in_order": in_order})
+
+
+def _judged(read: DataFrame) -> DataFrame:
+    """Pages as read with what they say and the first reason to refuse them: one row for each, all within the row."""
+    said = lambda x, word, fold: fold(F.coalesce(x, F.lit(""))) == word
+
+    def member(m: Column, old: Column) -> Column:
+        yes_new, no_new, absent = said(m["pros"], YES, squash), said(m["cons"], NO, squash), said(m["novote"], ABSENT, no_space)
+        new = F.when(yes_new & ~no_new & ~absent, YES).when(no_new & ~yes_new & ~absent, NO).when(absent & ~yes_new & ~no_new, ABSENT)
+        yes, no = F.coalesce(F.lower(m["pro"]).contains("sansei"), F.lit(False)), F.coalesce(F.lower(m["con"]).contains("hantai"), F.lit(False))
+        blank = m["pro"].isNull() & m["con"].isNull() & said(m["pros"], "", no_space) & said(m["cons"], "", no_space)
+        tables = F.when(yes & no, F.lit(None)).when(yes, YES).when(no, NO).when(blank, ABSENT)
+        return F.struct(m["at"].alias("at"), squash(F.coalesce(m["names"], F.lit(""))).alias("name"), F.when(old, tables).otherwise(new).alias("value"), m["in_order"].alias("in_order"))
+
+    def group(g: Column, old: Column) -> Column:
+        name, size = _heading(g["text"])
+        members = F.filter(F.transform(g["members"], lambda m: member(m, old)), lambda m: ~old | (m["name"] != "") | ~m["in_order"])
+        return F.struct(g["head"].alias("at"), name.alias("group"), size.alias("size"), g["listed"].alias("listed"), number_after(g["tally"], YES_COUNT).alias("yes"), number_after(g["tally"], NO_COUNT).alias("no"), members.alias("members"))
+
+    old = F.col("layout") == "old"
+    label = F.get(F.filter("labels", lambda x: no_space(x["text"]).startswith(TITLE)), F.lit(0))
+    totals = F.when(old, F.get(F.filter("bolds", lambda x: x.contains(TOTAL)), F.lit(0))).otherwise(F.col("totals"))
+    marked, bold = squash(F.col("marked")), F.get(F.filter(F.transform("bolds", squash), lambda x: x.contains(STANDING)), F.lit(0))
+    # one row each: a generator, past which no filter moves, so that groups are worked out once
+    told = read.select(
+        "id", "layout", date_in(F.col("day")).alias("date"), F.when(old, label["value"]).otherwise(F.col("title")).alias("title"), totals.alias("totals"),
+        F.when(F.col("boxed"), F.coalesce(F.when(marked.contains(STANDING), marked), bold)).alias("note"), F.explode(F.array(F.transform("groups", lambda g: group(g, old)))).alias("groups"))
+    numbers = told.select(
+        "id", "layout", "date", F.nullif(F.regexp_replace(squash(F.col("title")), " ", "　"), F.lit("")).alias("title"),
+        *[number_after(F.col("totals"), word).alias(n) for n, word in (("total", TOTAL), ("yes", YES_COUNT), ("no", NO_COUNT))], "note", "groups")
+    some = lambda holds: F.exists("groups", holds)
+    holds = dict(zip(REASONS, (
+        F.col("date").isNull(), F.col("title").isNull(), F.col("total").isNull() | F.col("yes").isNull() | F.col("no").isNull(),
+        some(lambda g: g["size"].isNull()), some(lambda g: ~g["listed"]), some(lambda g: g["yes"].isNull() | g["no"].isNull()),
+        some(lambda g: F.exists(g["members"], lambda m: ~m["in_order"])), some(lambda g: F.exists(g["members"], lambda m: m["value"].isNull())),
+        some(lambda g: g["size"] != F.size(g["members"])), F.size("groups") == 0,
+    ), strict=True))
+    return numbers.withColumn("reason", F.coalesce(*[F.when(c, what) for what, c in holds.items()]))
+
+
+def _read(pages: DataFrame, rows_of: Callable[[object], Iterable[Sequence]]) -> DataFrame:
+    """Fields of each page (id, page); ``rows_of`` gives a page's elements in order. A page without any is left out."""
+    schema = T.StructType([T.StructField("id", pages.schema["id"].dataType), *T.StructType.fromDDL(PAGE_FIELDS).fields])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                found = [(i, _Page(rows_of(page)).read()) for i, page in zip(part["id"].to_pylist(), part["page"].to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_pylist([{"id": i, **f} for i, f in found if f], schema=arrow)
+
+    return pages.mapInArrow(run, schema)
+
+
+def roll_calls_of_pages(pages: DataFrame, *, id_col: str, html_col: str) -> RollCalls:
+    """``roll_calls`` of landed pages: each is cut and read where it is, without its elements being written or shuffled."""
+    return _told(_read(pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{html_col}`").alias("page")), elements_of))
 
 
 def roll_calls(nodes: DataFrame) -> RollCalls:
@@ -158,36 +270,18 @@ def roll_calls(nodes: DataFrame) -> RollCalls:
     is not the next element; a vote is none of the three, or two; a group's
     size is not the number of its votes; or there are no groups. Pages with a
     standing vote are told apart in ``standing`` and refused too. A page
-    without elements is in no table. The fields are written once.
+    without elements is in no table. Everything is told within a page's row.
     """
-    pages = nodes.select("id").distinct()
-    parts = written(fields(nodes))
-    layouts = pages.join(parts.groupBy("id").agg(F.max("layout").alias("layout")), "id", "left").withColumn("layout", F.coalesce("layout", F.lit("new")))
-    calls = layouts.join(_heads(parts), "id", "left").select(
-        "id", "layout", date_in(F.col("day")).alias("date"), F.nullif(F.regexp_replace(squash(F.col("title")), " ", "　"), F.lit("")).alias("title"),
-        number_after(F.col("totals"), TOTAL).alias("total"), number_after(F.col("totals"), YES_COUNT).alias("yes"), number_after(F.col("totals"), NO_COUNT).alias("no"),
-    )
-    (groups_a, votes_a), (groups_b, votes_b) = _groups_new(parts), _groups_old(parts)
-    columns = ["id", "head", "group", "size", "listed", "tally"]
-    groups = groups_a.select(*columns).unionByName(groups_b.select(*columns)).withColumns({"yes": number_after(F.col("tally"), YES_COUNT), "no": number_after(F.col("tally"), NO_COUNT)}).drop("tally")
-    votes = votes_a.unionByName(votes_b)
-    counted = votes.groupBy("id", "head").agg(F.count("*").alias("n"), F.count_if(F.col("value").isNull()).alias("unread"), F.count_if(~F.col("in_order")).alias("odd"))
-    checked = groups.join(counted, ["id", "head"], "left")
-    faults = checked.groupBy("id").agg(
-        F.count_if(F.col("size").isNull()).alias("heads"), F.count_if(~F.col("listed")).alias("unlisted"), F.count_if(F.col("yes").isNull() | F.col("no").isNull()).alias("tallies"),
-        F.coalesce(F.sum("odd"), F.lit(0)).alias("odd"), F.coalesce(F.sum("unread"), F.lit(0)).alias("unread"), F.count_if(F.col("size") != F.coalesce("n", F.lit(0))).alias("sizes"),
-    )
-    holds = dict(zip(REASONS, (
-        F.col("date").isNull(), F.col("title").isNull(), F.col("total").isNull() | F.col("yes").isNull() | F.col("no").isNull(),
-        F.col("heads") > 0, F.col("unlisted") > 0, F.col("tallies") > 0, F.col("odd") > 0, F.col("unread") > 0, F.col("sizes") > 0, F.col("heads").isNull(),
-    ), strict=True))
-    reason = F.coalesce(*[F.when(c, what) for what, c in holds.items()])
-    judged = calls.join(faults, "id", "left").withColumn("reason", reason).select("id", "layout", "date", "title", "total", "yes", "no", "reason")
-    taken = judged.where("reason IS NULL").drop("reason")
-    ids = taken.select("id")
-    named = groups.select("id", "head", "group")
+    whole = F.sort_array(F.collect_list(F.struct("at", "stop", "parent", "next", "tag", "cls", "key", "link", "text")))
+    return _told(_read(nodes.groupBy("id").agg(whole.alias("page")), lambda page: [tuple(row.values()) for row in page]))
+
+
+def _told(read: DataFrame) -> RollCalls:
+    judged = _judged(read)
+    taken = judged.where("reason IS NULL")
+    head = ["id", "layout", "date", "title", "total", "yes", "no"]
+    groups = taken.select(*head[:5], F.explode("groups").alias("g")).select("id", "date", "title", F.col("total").alias("voted"), "g.at", "g.group", "g.size", "g.yes", "g.no", "g.members")
     return RollCalls(
-        taken, groups.join(ids, "id").select("id", F.col("head").alias("at"), "group", "size", "yes", "no"),
-        votes.join(named, ["id", "head"]).join(ids, "id").select("id", "at", "group", "name", "value"),
-        judged.where("reason IS NOT NULL").select("id", "reason"), _standing(parts),
+        taken.select(*head), groups.drop("members"), groups.select("id", "group", F.explode("members").alias("m")).select("id", "m.at", "group", "m.name", "m.value"),
+        judged.where("reason IS NOT NULL").select("id", "reason", "note"), judged.where("note IS NOT NULL").select("id", "note"),
     )

@@ -1,10 +1,11 @@
+import random
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from rollbook.sources import pages, rollcalls
-from rollbook.sources.elements import elements, elements_of, is_a, texts
+from rollbook.sources.elements import _Scan, elements, elements_of, is_a, pieces_of, texts
 
 BOX = "<html><body><div id=\"ContentsBox\">{}</div></body></html>"
 HEAD = '<h2 class="kaiji_nichiji">第221回国会<br>2026年 6月 5日<br>投票結果</h2>'
@@ -109,3 +110,31 @@ def test_lists_in_lists_and_void_elements(spark):
     outer = nodes.where(is_a("li")).orderBy("at").select("at", "stop").collect()
     assert outer[0].stop > outer[1].stop and outer[2].at == outer[0].stop
     assert nodes.where(F.col("link") == "z").count() == 1
+
+
+def by_library(page):
+    scan = _Scan()
+    scan.feed(page)
+    scan.close()
+    scan.close_to(0)
+    return scan.rows
+
+
+def test_pages_cut_by_pattern_read_as_by_the_library():
+    draw = random.Random(3)
+    bits = ["<td class='a  b'>", "</td >", "<TR>", "<table>", "</table>", "<p>", "<li>", "<ul>", "</ul>", "a", "x & y", "&lt", "<a href='q?a=1&amp;b=2'>", "<img src=x/>", "<br/>", "<style>", "</style>", "<script>", "</script>", "<title>", "</title>",
+            "<!-- <b> -->", "<!-->", "<!doctype html>", "<", "<a b=\"c>d\">", "<h2>", "<a b c=1 C=2>", "<x-y>", "&#65;"]
+    made = ["".join(draw.choices(bits, k=draw.randint(1, 9))) for _ in range(5000)]
+    assert all(elements_of(p) == by_library(p) for p in made)
+    assert 500 < sum(pieces_of(p) is not None for p in made) < 5000
+
+
+def test_pages_are_read_in_place(spark):
+    """Neither elements nor fields are shuffled or written: a page's answers come from its own row."""
+    made = spark.createDataFrame([(k, BOX.format(v)) for k, v in PAGES.items()], "page string, html string")
+    got = rollcalls.roll_calls_of_pages(made, id_col="page", html_col="html")
+    for df in (got.calls, got.groups, got.votes, got.refused, got.standing):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    by_nodes = rollcalls.roll_calls(elements(made, id_col="page", html_col="html"))
+    for one, other in ((got.votes, by_nodes.votes), (got.groups, by_nodes.groups), (got.refused, by_nodes.refused)):
+        assert sorted(map(str, one.collect())) == sorted(map(str, other.collect()))
