@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rollbook.operators.lattice import _let
+
 DITTO = "〃"
 COLON = "(.)：(.+?)(?=.：|$)"
 QUOTED = "「([^」]+)」([^「]*)"
@@ -14,8 +16,8 @@ def _items(text: Column, pattern: str) -> Column:
     """Keys and meanings if the pattern's items make up the whole text, else none."""
     keys, meanings = (F.regexp_extract_all(text, F.lit(pattern), i) for i in (1, 2))
     whole = (text != "") & (F.regexp_replace(text, pattern, "") == "")
-    pairs = F.zip_with(keys, meanings, lambda k, m: F.struct(k.alias("key"), m.alias("meaning")))
-    return F.when(whole, pairs).otherwise(F.array().cast("array<struct<key: string, meaning: string>>"))
+    none = F.array().cast("array<struct<key: string, meaning: string>>")
+    return F.when(whole, F.zip_with(keys, meanings, lambda k, m: F.struct(k.alias("key"), m.alias("meaning")))).otherwise(none)
 
 
 def colon_items(text: Column) -> Column:
@@ -46,17 +48,25 @@ def legend(lines: DataFrame, items: Column, *, doc: str = "doc", at: str = "at",
     such lines are passed over), a key has no meaning, a ditto mark points
     nowhere, or a key appears twice: which of two meanings holds is not guessed.
     """
-    read = lines.select(F.col(doc).alias("doc"), F.col(at).alias("at"), items.alias("_items"))
-    pairs = read.select("doc", "at", F.posexplode("_items").alias("place", "p")).select("doc", "at", "place", "p.key", "p.meaning")
-    order = Window.partitionBy("doc").orderBy("at", "place")
-    first = F.first(F.when(~F.col("meaning").startswith(DITTO), F.nullif("meaning", F.lit(""))), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    told = pairs.withColumn("_first", first)
-    ditto = told.withColumns({"_empty": F.col("meaning") == "", "meaning": expand_ditto(F.col("meaning"), F.col("_first"))})
-    no_line = read.where(F.size("_items") == 0).select(F.col("doc").alias("entity"), F.lit(1).alias("n"), F.lit("a line is no legend").alias("detail"))
-    empty = ditto.where("_empty").select(F.col("doc").alias("entity"), F.lit(2).alias("n"), F.concat(F.lit("no meaning of "), F.col("key")).alias("detail"))
-    lost = ditto.where("meaning IS NULL").select(F.col("doc").alias("entity"), F.lit(3).alias("n"), F.concat(F.lit("nothing for the ditto mark of "), F.col("key")).alias("detail"))
-    twice = ditto.groupBy("doc", "key").agg(F.count("*").alias("times")).where("times > 1").select(F.col("doc").alias("entity"), F.lit(4).alias("n"), F.concat(F.lit("twice "), F.col("key")).alias("detail"))
-    faults = empty.unionByName(lost).unionByName(twice)
-    faults = faults.unionByName(no_line) if strict else faults
-    refused = faults.groupBy("entity").agg(F.min(F.struct("n", "detail")).alias("f")).select("entity", F.col("f.detail").alias("detail"))
-    return ditto.join(refused, F.col("doc") == F.col("entity"), "left_anti").select("doc", "key", "meaning"), refused
+    # items are worked out once, in a generator; all that is asked of a document is then told within its row
+    read = lines.select(F.col(doc).alias("doc"), F.col(at).alias("at"), F.explode(F.array(items)).alias("items"))
+    docs = read.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("at", "items"))).alias("_lines"))
+    pairs = F.flatten(F.transform("_lines", lambda x: x["items"]))
+
+    def told(of: Column) -> Column:
+        """Each pair with its meaning spelt out: a ditto mark looks to the first meaning before it."""
+        plain = F.transform(of, lambda p: (p["meaning"] != "") & ~p["meaning"].startswith(DITTO))
+        at_first = F.array_position(plain, True)
+        first = F.when(at_first > 0, F.get(of, (at_first - 1).cast("int"))["meaning"])
+        return _let(F.struct(at_first.alias("at"), first.alias("meaning")), lambda f: F.transform(of, lambda p, i: F.struct(
+            p["key"].alias("key"), F.when(~p["meaning"].startswith(DITTO), p["meaning"]).when(f["at"] - 1 < i, expand_ditto(p["meaning"], f["meaning"])).alias("meaning"))))
+
+    read_through = docs.select("doc", "_lines", F.explode(F.array(_let(pairs, told))).alias("pairs"))
+    keys = F.transform("pairs", lambda p: p["key"])
+    twice = F.array_min(_let(F.sort_array(keys), lambda ks: F.filter(ks, lambda k, i: F.get(ks, i + 1) == k)))
+    least = lambda holds: F.array_min(F.transform(F.filter("pairs", holds), lambda p: p["key"]))
+    faults = [F.when(F.exists("_lines", lambda x: F.size(x["items"]) == 0), "a line is no legend")] if strict else []
+    faults += [F.concat(F.lit(what), c) for what, c in (("no meaning of ", least(lambda p: p["meaning"] == "")), ("nothing for the ditto mark of ", least(lambda p: p["meaning"].isNull())), ("twice ", twice))]
+    judged = read_through.select("doc", "pairs", F.explode(F.array(F.coalesce(*faults))).alias("detail"))
+    good = judged.where("detail IS NULL").select("doc", F.explode("pairs").alias("p")).select("doc", "p.key", "p.meaning")
+    return good, judged.where("detail IS NOT NULL").select(F.col("doc").alias("entity"), "detail")

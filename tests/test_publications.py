@@ -105,3 +105,11 @@ def test_report_lines(spark):
         ("2026-08-22", 0, "# 2026-08-22\tpv=7\tpages=2\tper-page=3.50"), ("2026-08-22", 1, "2026-08-22\t/a/\tx\t3"), ("2026-08-22", 2, "2026-08-22\t/a/\t-\t2"), ("2026-08-22", 3, "2026-08-22\t/b/\t-\t2"),
         ("2026-08-23", 0, "# 2026-08-23\tpv=0\tpages=0\tper-page=0.00"),
     ]
+
+
+def test_a_legend_is_told_within_its_document(spark):
+    df = spark.createDataFrame([(1, 0, "○：賛成×：反対"), (1, 1, "●：〃成"), (2, 0, "○：甲○：乙"), (3, 0, "凡例")], "doc int, at int, text string")
+    pairs, refused = legends.legend(df, legends.colon_items(F.col("text")))
+    for found in (pairs, refused):
+        assert found._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    assert {(r.entity, r.detail) for r in refused.collect()} >= {(2, "twice ○"), (3, "a line is no legend")}
