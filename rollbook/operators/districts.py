@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from rollbook.functions.text import place_key, plain_prefecture, without_county
 
@@ -126,24 +132,26 @@ def union_sets(rows: DataFrame, *, by: str, value: str, out: str) -> DataFrame:
     return rows.groupBy(by).agg(F.array_join(F.array_sort(F.collect_set(value)), ",").alias(out))
 
 
-TOKEN = "[（(]|[）)]|、|第[0-9０-９]+区|[^（()）、第]+|第"
-
+TOKEN = re.compile("[（(]|[）)]|、|第[0-9０-９]+区|[^（()）、第]+|第")
+HEADING = re.compile("第([0-9０-９]+)区")
 
-def district_tokens(texts: DataFrame, *, text: str = "text") -> DataFrame:
-    """pref, pos, token, depth, number and section of a prefecture's text.
 
-    ``depth`` counts the brackets that are open behind a token, ``number`` is
-    that of a heading (``第N区`` outside all brackets), ``section`` counts the
-    headings so far.
-    """
-    bare = F.regexp_replace(text, "\\s", "")
-    tokens = texts.select("pref", F.posexplode(F.regexp_extract_all(bare, F.lit(TOKEN), 0)).alias("pos", "token"))
-    so_far = Window.partitionBy("pref").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    turn = F.when(F.col("token").isin("（", "("), 1).when(F.col("token").isin("）", ")"), -1).otherwise(0)
-    deep = tokens.withColumn("depth", F.sum(turn).over(so_far))
-    digits = F.translate(F.regexp_extract("token", "^第([0-9０-９]+)区$", 1), "０１２３４５６７８９", "0123456789")
-    headed = deep.withColumn("number", F.when((F.col("depth") == 0) & (digits != ""), digits.cast("int")))
-    return headed.withColumn("section", F.count("number").over(so_far))
+def _cut(text: str | None) -> dict:
+    """A text cut at headings (``第N区`` outside all brackets) and at commas outside brackets: what stands before the first heading, each section's number and parts, and how many brackets stay open."""
+    depth, parts, sections = 0, [[]], []
+    head = parts
+    for token in TOKEN.findall(re.sub(r"\s", "", text or "", flags=re.ASCII)):
+        depth += (token in "（(") - (token in "）)")
+        heading = HEADING.fullmatch(token) if depth == 0 else None
+        if heading and int(heading[1]) < 2**31:
+            parts = [[]]
+            sections.append((int(heading[1]), parts))
+        elif token == "、" and depth == 0:
+            parts.append([])
+        else:
+            parts[-1].append(token)
+    put = lambda parts: ["".join(p) for p in parts if p]
+    return {"open": depth, "headed": "、".join(put(head)), "sections": [{"number": n, "parts": put(p)} for n, p in sections]}
 
 
 def district_sections(texts: DataFrame, *, text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -154,30 +162,30 @@ def district_sections(texts: DataFrame, *, text: str = "text") -> tuple[DataFram
     brackets. A text is refused as a whole, for the first that holds: its
     brackets don't close, it is headed otherwise, it has no district, its
     numbers are not consecutive, a district has no area, or a unit can't be read.
+    Each text is read where it is; nothing is shuffled.
     """
-    tokens = district_tokens(texts, text=text)
-    within = Window.partitionBy("pref", "section").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    comma = (F.col("token") == "、") & (F.col("depth") == 0)
-    parts = tokens.withColumn("_part", F.count_if(comma).over(within)).where(F.col("number").isNull() & ~comma)
-    raw = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]), "")
-    pieces = parts.groupBy("pref", "section", "_part").agg(raw.alias("raw"))
-    numbers = tokens.where("number IS NOT NULL").select("pref", "section", "number")
-    place = F.row_number().over(Window.partitionBy("pref", "section").orderBy("_part"))
+    told = T.StructType([texts.schema["pref"], *T.StructType.fromDDL("open int, headed string, sections array<struct<number: int, parts: array<string>>>").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            yield pa.RecordBatch.from_pylist([{"pref": pref, **_cut(t)} for pref, t in rows], schema=to_arrow_schema(told))
+
     fields = "^([^（(]+)(?:[（(](.*)[）)])?$"
-    units = pieces.where("section > 0").withColumn("place", place).join(numbers, ["pref", "section"]).select(
-        "pref", "section", "number", "place", F.nullif(F.regexp_extract("raw", fields, 1), F.lit("")).alias("unit"), F.when(F.col("raw").rlike("[）)]$") & F.col("raw").rlike(fields), F.regexp_extract("raw", fields, 2)).alias("area"), "raw")
-    ends = tokens.groupBy("pref").agg(F.max_by("depth", "pos").alias("open"), F.max("section").alias("sections"))
-    counted = units.groupBy("pref").agg(F.countDistinct("section").alias("held"), F.count_if(F.col("unit").isNull()).alias("unread"))
-    odd = numbers.where("number <> section").groupBy("pref").agg(F.min("section").alias("first_odd"))
-    heads = pieces.where("section = 0").groupBy("pref").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_part", "raw"))), lambda x: x["raw"]), "、").alias("headed"))
-    judged = texts.select("pref").distinct()
-    for side in (ends, counted, odd, heads):
-        judged = judged.join(side, "pref", "left")
-    none = F.lit(0)
+
+    def unit(raw: Column, i: Column) -> Column:
+        area = F.when(raw.rlike("[）)]$") & raw.rlike(fields), F.regexp_extract(raw, fields, 2))
+        return F.struct((i + 1).alias("place"), F.nullif(F.regexp_extract(raw, fields, 1), F.lit("")).alias("unit"), area.alias("area"), raw.alias("raw"))
+
+    # a generator, past which no filter moves, so that units are worked out once
+    read = texts.select("pref", F.col(text).alias("text")).mapInArrow(run, told).select(
+        "pref", "open", "headed", F.explode(F.array(F.transform("sections", lambda s: F.struct(s["number"].alias("number"), F.transform(s["parts"], unit).alias("units"))))).alias("sections"))
+    some = lambda holds: F.exists("sections", holds)
     reason = (
-        F.when(F.coalesce("open", none) != 0, "brackets left open").when(F.coalesce("headed", F.lit("")) != F.col("pref"), "headed otherwise").when(F.coalesce("sections", none) == 0, "no district")
-        .when(F.col("first_odd").isNotNull(), "numbers not consecutive").when(F.coalesce("held", none) < F.col("sections"), "district without area").when(F.col("unread") > 0, "unit unreadable")
+        F.when(F.col("open") != 0, "brackets left open").when(F.col("headed") != F.col("pref"), "headed otherwise").when(F.size("sections") == 0, "no district")
+        .when(F.exists(F.transform("sections", lambda s, i: s["number"] != i + 1), lambda odd: odd), "numbers not consecutive").when(some(lambda s: F.size(s["units"]) == 0), "district without area")
+        .when(some(lambda s: F.exists(s["units"], lambda u: u["unit"].isNull())), "unit unreadable")
     )
-    refused = judged.select(F.col("pref").alias("entity"), reason.alias("detail")).where("detail IS NOT NULL")
-    good = units.join(refused.select(F.col("entity").alias("pref")), "pref", "left_anti")
-    return good.select("pref", "number", "place", "unit", "area", "raw"), refused
+    judged = read.withColumn("detail", reason)
+    good = judged.where("detail IS NULL").select("pref", F.explode("sections").alias("s")).select("pref", "s.number", F.inline("s.units"))
+    return good.select("pref", "number", "place", "unit", "area", "raw"), judged.where("detail IS NOT NULL").select(F.col("pref").alias("entity"), "detail")
