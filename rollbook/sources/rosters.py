@@ -94,21 +94,32 @@ def misread(members: DataFrame) -> DataFrame:
     return members.where("name = ''").groupBy(F.col("id").alias("entity")).agg(F.concat(F.lit("no name in line "), F.min("line").cast("string")).alias("detail"))
 
 
-def proposers_and_bills(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Proposers among those attending, and members' bills on the agenda: (id, line, name) and (id, line, number, title).
+def agendas(lines: DataFrame) -> DataFrame:
+    """Proposers and bills of each header that has both: id, people (array of line and name) and bills (array of line, number and title).
 
     A header is before the list, in it, or at the agenda, which it never
     leaves. A proposer counts before any heading of the list and under that of
-    members outside the committee. Headers that lack either have no rows.
+    members outside the committee. Only lines that bear on this are shuffled,
+    once; a header's state and both its lists come from there.
     """
     text = F.regexp_replace("text", f"{SPACE}+$", "")
-    cut = lines.withColumn("text", text).withColumn("_in", _ever(F.col("text").contains(ATTENDING), _before()))
-    told = cut.withColumn("_agenda", _ever(F.col("_in") & F.col("text").contains(AGENDA), _so_far())).where(F.col("_in") & ~F.col("text").contains(AGENDA))
-    heading = F.nullif(F.regexp_extract("text", f"^{WIDE}{{3}}([^{WIDE}\\s].*?)\\s*$", 1), F.lit(""))
-    attending = told.where("NOT _agenda").withColumn("_section", F.last(heading, ignorenulls=True).over(_so_far()))
-    name = F.regexp_extract("text", f"^{WIDE}+{PROPOSER}{WIDE}+(.+?)君\\s*$", 1)
-    people = attending.where((name != "") & heading.isNull() & (F.coalesce("_section", F.lit(OTHERS)) == OTHERS)).select("id", "line", no_space(name).alias("name"))
     bill = "^○(.+?)（参第([〇一二三四五六七八九十百]+)号）"
-    bills = told.where(F.col("_agenda") & F.col("text").rlike(bill)).select("id", "line", kanji_number(F.regexp_extract("text", bill, 2)).alias("number"), F.trim(F.regexp_extract("text", bill, 1)).alias("title"))
-    both = people.select("id").distinct().join(bills.select("id").distinct(), "id")
-    return people.join(both, "id"), bills.join(both, "id")
+    heading = F.nullif(F.regexp_extract("text", f"^{WIDE}{{3}}([^{WIDE}\\s].*?)\\s*$", 1), F.lit(""))
+    name = F.nullif(F.regexp_extract("text", f"^{WIDE}+{PROPOSER}{WIDE}+(.+?)君\\s*$", 1), F.lit(""))
+    cut = lines.select("id", "line", text.alias("text")).select(
+        "id", "line", F.col("text").contains(ATTENDING).alias("_begins"), F.col("text").contains(AGENDA).alias("_turns"), heading.alias("_heading"), no_space(name).alias("name"),
+        F.when(F.col("text").rlike(bill), F.struct("line", kanji_number(F.regexp_extract("text", bill, 2)).alias("number"), F.trim(F.regexp_extract("text", bill, 1)).alias("title"))).alias("bill"))
+    kept = cut.where(F.col("_begins") | F.col("_turns") | F.col("_heading").isNotNull() | F.col("name").isNotNull() | F.col("bill").isNotNull())
+    told = kept.withColumn("_in", _ever(F.col("_begins"), _before())).withColumn("_agenda", _ever(F.col("_in") & F.col("_turns"), _so_far()))
+    listed = F.col("_in") & ~F.col("_turns") & ~F.col("_agenda")
+    held = told.withColumn("_section", F.last(F.when(listed, F.col("_heading")), ignorenulls=True).over(_so_far()))
+    person = listed & F.col("name").isNotNull() & F.col("_heading").isNull() & (F.coalesce("_section", F.lit(OTHERS)) == OTHERS)
+    both = held.groupBy("id").agg(
+        F.sort_array(F.collect_list(F.when(person, F.struct("line", "name")))).alias("people"), F.sort_array(F.collect_list(F.when(F.col("_in") & ~F.col("_turns") & F.col("_agenda"), F.col("bill")))).alias("bills"))
+    return both.where("size(people) > 0 AND size(bills) > 0")
+
+
+def proposers_and_bills(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Proposers among those attending, and members' bills on the agenda: (id, line, name) and (id, line, number, title). Headers that lack either have no rows (see ``agendas``)."""
+    both = agendas(lines)
+    return both.select("id", F.inline("people")), both.select("id", F.inline("bills"))

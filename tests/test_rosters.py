@@ -70,3 +70,22 @@ def test_terms_that_end_before_they_begin_cover_nothing(spark):
     t = spark.createDataFrame([(5, 3), (7, None), (1, 2)], "since int, until int")
     assert sorted(r.session for r in terms.covered_sessions(t, since="since", until="until").collect()) == [1, 2, 7]
     assert terms.covered_sessions(t.where(F.lit(False)), since="since", until="until").count() == 0
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+def test_texts_are_cut_where_they_are(spark):
+    texts = spark.createDataFrame([("県", "県第１区甲（乙、第１区）、丙第２区丁"), ("府", "府第１区"), ("道", "道（第１区甲"), ("都", None)], "pref string, text string")
+    units, refused = districts.district_sections(texts)
+    assert exchanges(units) == exchanges(refused) == 0
+    assert [(r.number, r.place, r.unit, r.area) for r in units.orderBy("number", "place").collect()] == [(1, 1, "甲", "乙、第１区"), (1, 2, "丙", None), (2, 1, "丁", None)]
+    assert {(r.entity, r.detail) for r in refused.collect()} == {("府", "district without area"), ("道", "brackets left open"), ("都", "headed otherwise")}
+
+
+def test_people_and_bills_come_from_one_shuffle(spark):
+    rows = spark.createDataFrame([("a", 1, "出席者は左のとおり"), ("a", 2, "　発議者　甲　君"), ("a", 3, "委員"), ("a", 4, "　　本日の会議に付した案件"), ("a", 5, "○案（参第二号）")], "id string, line int, text string")
+    both = rosters.agendas(rows)
+    assert exchanges(both) <= 1
+    assert [(r.id, [p.name for p in r.people], [(b.number, b.title) for b in r.bills]) for r in both.collect()] == [("a", ["甲"], [(2, "案")])]
