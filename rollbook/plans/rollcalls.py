@@ -15,14 +15,15 @@ def _put(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
-def _rows(column: str, order: str = "n") -> Column:
-    return F.transform(F.sort_array(F.collect_list(F.struct(order, column))), lambda x: x[column])
+def _orders(spark: SparkSession, sf_dir: str, key: str = "l_orderkey") -> DataFrame:
+    """A row for each order with its lines in their places: an array, as short as the lines are, of which texts are made without a shuffle of texts."""
+    picked = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag")
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias(key)).agg(F.sort_array(F.collect_list(picked)).alias("lines"))
 
 
-def _grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines with the group of their supplier and their place in their order, as several may bear one number."""
-    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
-    return table(spark, sf_dir, "lineitem").withColumns({"party": _put("会", (F.col("l_suppkey") % 4).cast("string")), "n": place})
+def _party(line: Column) -> Column:
+    """The group of a line's supplier."""
+    return _put("会", (line["l_suppkey"] % 4).cast("string"))
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,8 +33,7 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     vote; some have a wrong size, no title or a vote that can't be read.
     """
     key = F.col("o_orderkey")
-    picked = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag")
-    orders = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list(picked)).alias("lines"))
+    orders = _orders(spark, sf_dir, "o_orderkey")
     many = lambda xs, flag: F.size(F.filter(xs, lambda x: x["l_returnflag"] == flag))
     old_layout = key % 2 == 0
 
@@ -56,7 +56,7 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         old = _put("<TABLE><CAPTION class=party>", party, "（", size, "名）<BR>賛成票 ", yes, " <BR>反対票　", no, "</CAPTION><TR><TH>賛成<TH>反対<TH>氏名", rows, "<TD class=pro><TD class=con><TD class=nam></TABLE>")
         return F.when(old_layout, old).otherwise(new)
 
-    told = orders.withColumn("lines", F.transform("lines", lambda x, i: F.struct(_put("会", (x["l_suppkey"] % 4).cast("string")).alias("party"), x["l_returnflag"].alias("l_returnflag"), member(x, (key % 19 == 7) & (i == 0)).alias("html"))))
+    told = orders.withColumn("lines", F.transform("lines", lambda x, i: F.struct(_party(x).alias("party"), x["l_returnflag"].alias("l_returnflag"), member(x, (key % 19 == 7) & (i == 0)).alias("html"))))
     parties = F.array_sort(F.array_distinct(F.transform("lines", lambda x: x["party"])))
     bodies = told.select("o_orderkey", F.array_join(F.transform(parties, lambda p: let(F.filter("lines", lambda x: x["party"] == p), lambda own: block(p, own))), "").alias("body"), many("lines", "A").alias("yes"), many("lines", "R").alias("no"))
     pages = table(spark, sf_dir, "orders").join(bodies, "o_orderkey")
@@ -89,8 +89,8 @@ def _refused(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table for each order, its cells left open; the last cell of each row holds a table of its own, with a link left open."""
-    line = _put("<tr><td>", F.col("l_partkey").cast("string"), "<td> ", F.col("party"), " <td><table><tr><th>", F.col("l_returnflag"), "<td><a href='/s/", F.col("l_suppkey").cast("string"), "'>s ", F.col("l_suppkey").cast("string"), "</table>")
-    pages = _grouped(spark, sf_dir).withColumn("row", line).groupBy("l_orderkey").agg(_put("<table>", F.array_join(_rows("row"), ""), "</table>").alias("html"))
+    line = lambda x: _put("<tr><td>", x["l_partkey"].cast("string"), "<td> ", _party(x), " <td><table><tr><th>", x["l_returnflag"], "<td><a href='/s/", x["l_suppkey"].cast("string"), "'>s ", x["l_suppkey"].cast("string"), "</table>")
+    pages = _orders(spark, sf_dir).select("l_orderkey", _put("<table>", F.array_join(F.transform("lines", line), ""), "</table>").alias("html"))
     parts = html.page_parts(pages, id_col="l_orderkey", html_col="html")
     return parts.select(F.col("id").alias("l_orderkey"), "kind", "tbl", "line", "cell", "text", "href")
 

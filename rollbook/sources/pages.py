@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from rollbook.functions.text import squash
 from rollbook.sources.elements import elements_of
@@ -40,15 +42,19 @@ def parts_of(page: str | None) -> list[tuple]:
 
 def page_parts(pages: DataFrame, *, id_col: str, html_col: str) -> DataFrame:
     """One row for each cell, link and heading of each page; ``pos`` is their order. A page without any has no rows."""
-    id_type = pages.schema[id_col].dataType.simpleString()
-    names = ["kind", "tbl", "line", "cell", "text", "href"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(i, n, *p) for i, page in zip(pdf["id"], pdf["page"], strict=True) for n, p in enumerate(parts_of(page))]
-            yield pd.DataFrame(rows, columns=["id", "pos", *names]).astype({c: "Int32" for c in ("pos", "tbl", "line", "cell")})
-
-    found = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("page")).mapInPandas(run, f"id {id_type}, pos int, {PARTS}")
+    schema = T.StructType([T.StructField("id", pages.schema[id_col].dataType), *T.StructType.fromDDL(f"pos int, {PARTS}").fields])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                ids, texts = (batch.column(i).slice(start, 512) for i in (0, 1))
+                found = [(i, n, *p) for i, page in enumerate(texts.to_pylist()) for n, p in enumerate(parts_of(page))]
+                if found:
+                    at, *columns = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)).cast(arrow.field(0).type), *[pa.array(c, f.type) for c, f in zip(columns, list(arrow)[1:], strict=True)]], schema=arrow)
+
+    found = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("page")).mapInArrow(run, schema)
     return found.withColumn("text", squash(F.col("text")))
 
 

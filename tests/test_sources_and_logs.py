@@ -94,3 +94,10 @@ def test_streamed_counts_equal_the_batch(spark, tmp_path):
     got = {(r.start.isoformat()[:10], r.event_type): r.n for r in spark.sql("SELECT * FROM counts").collect()}
     want = {(r.d, r.event_type): r["count"] for r in rows.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("d"), "event_type").count().collect()}
     assert got == want
+
+
+def test_a_page_of_the_engine_is_made_without_a_shuffle_of_texts(spark):
+    from rollbook.plans import rollcalls
+
+    plan = rollcalls._cells(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Window" not in plan
