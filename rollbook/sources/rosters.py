@@ -106,7 +106,10 @@ def agendas(lines: DataFrame) -> DataFrame:
     bill = "^○(.+?)（参第([〇一二三四五六七八九十百]+)号）"
     heading = F.nullif(F.regexp_extract("text", f"^{WIDE}{{3}}([^{WIDE}\\s].*?)\\s*$", 1), F.lit(""))
     name = F.nullif(F.regexp_extract("text", f"^{WIDE}+{PROPOSER}{WIDE}+(.+?)君\\s*$", 1), F.lit(""))
-    cut = lines.select("id", "line", text.alias("text")).select(
+    # what none of the patterns can fit is left out before any is tried
+    c = F.col("text")
+    likely = c.contains(ATTENDING) | c.contains(AGENDA) | c.contains(PROPOSER) | c.startswith("○") | (c.startswith(WIDE * 3) & ~c.startswith(WIDE * 4))
+    cut = lines.where(likely).select("id", "line", text.alias("text")).select(
         "id", "line", F.col("text").contains(ATTENDING).alias("_begins"), F.col("text").contains(AGENDA).alias("_turns"), heading.alias("_heading"), no_space(name).alias("name"),
         F.when(F.col("text").rlike(bill), F.struct("line", kanji_number(F.regexp_extract("text", bill, 2)).alias("number"), F.trim(F.regexp_extract("text", bill, 1)).alias("title"))).alias("bill"))
     kept = cut.where(F.col("_begins") | F.col("_turns") | F.col("_heading").isNotNull() | F.col("name").isNotNull() | F.col("bill").isNotNull())
