@@ -196,12 +196,13 @@ def split_over(items: DataFrame, columns: DataFrame, marks: Sequence[str], *, re
     """Items that are several ``marks`` and nothing else, dealt to the columns (doc, page, x) they span, one each; if the numbers differ, an item stays whole.
 
     The item's columns are kept; ``str``, ``x`` and ``w`` change in what is dealt.
+    Where ``columns`` have a page's places in one array already (doc, page,
+    xs; ascending), they are taken as they are.
     """
     bare = F.regexp_replace("str", f"[{SPACE}]+", "")
     several = (F.length(bare) >= 2) & bare.rlike(f"^[{''.join(marks)}]+$")
-    told = items.withColumn("_item", F.monotonically_increasing_id())
-    centres = columns.groupBy(*PAGE).agg(F.sort_array(F.collect_list("x")).alias("_xs"))
-    met = told.join(centres, list(PAGE), "left").withColumn("_in", F.filter(F.coalesce("_xs", F.array().cast("array<double>")), lambda c: (c >= F.col("x") - reach) & (c <= F.col("x") + F.col("w") + reach)))
+    centres = columns.withColumnRenamed("xs", "_xs") if "xs" in columns.columns else columns.groupBy(*PAGE).agg(F.sort_array(F.collect_list("x")).alias("_xs"))
+    met = items.join(centres, list(PAGE), "left").withColumn("_in", F.filter(F.coalesce("_xs", F.array().cast("array<double>")), lambda c: (c >= F.col("x") - reach) & (c <= F.col("x") + F.col("w") + reach)))
     deal = several & (F.size("_in") == F.length(bare))
     parts = F.when(deal, F.zip_with("_in", letters(bare), lambda c, m: F.struct(m.alias("str"), c.cast("double").alias("x"), (F.col("w") / F.size("_in")).cast("double").alias("w")))).otherwise(F.array(F.struct("str", F.col("x").cast("double").alias("x"), F.col("w").cast("double").alias("w"))))
-    return met.withColumn("_part", F.explode(parts)).withColumns({c: F.col(f"_part.{c}") for c in ("str", "x", "w")}).drop("_item", "_xs", "_in", "_part")
+    return met.withColumn("_part", F.explode(parts)).withColumns({c: F.col(f"_part.{c}") for c in ("str", "x", "w")}).drop("_xs", "_in", "_part")

@@ -86,3 +86,12 @@ def test_segments_of_near_lines_are_one(spark):
     lines = spark.createDataFrame([("d", 1, 10.4, 0.0, 5.0), ("d", 1, 11.4, 4.0, 9.0), ("d", 1, 30.0, 0.0, 5.0), ("d", 1, 10.5, 20.0, 30.0)], "doc string, page int, x double, y0 double, y1 double")
     got = sorted(tuple(r)[2:] for r in geometry.merged_segments(lines, at="x", low="y0", high="y1").collect())
     assert got == [(10.5, 20.0, 30.0), (pytest.approx(10.9), 0.0, 9.0), (30.0, 0.0, 5.0)]
+
+
+def test_columns_given_by_page_are_not_dealt_out_and_gathered_again(spark):
+    items = spark.createDataFrame([(1, 1, "○●", 10.0, 10.0), (1, 1, "○○", 40.0, 0.0), (2, 1, "○○", 10.0, 10.0)], "doc int, page int, str string, x double, w double")
+    xs = spark.createDataFrame([(1, 1, [10.0, 20.0, 40.0])], "doc int, page int, xs array<double>")
+    one = lattice.split_over(items, xs, ["○", "●"])
+    other = lattice.split_over(items, xs.select("doc", "page", F.explode("xs").alias("x")), ["○", "●"])
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, other.collect())) and one.count() == 4
+    assert "collect_list" not in one._jdf.queryExecution().executedPlan().toString()
