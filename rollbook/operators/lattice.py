@@ -31,7 +31,11 @@ def gaps(xs: Column) -> Column:
 
 def step(xs: Column) -> Column:
     """The median difference of neighbours, of two in the middle the greater; null for fewer than two values."""
-    return _let(F.sort_array(gaps(xs)), lambda g: F.get(g, F.floor(F.size(g) / 2).cast("int")))
+    return _median(gaps(xs))
+
+
+def _median(gaps: Column) -> Column:
+    return _let(F.sort_array(gaps), lambda g: F.get(g, F.floor(F.size(g) / 2).cast("int")))
 
 
 def filled(xs: Column, *, most: int = 2, off: float = 0.25, least: int = 4) -> Column:
@@ -88,14 +92,15 @@ def core(marks: Column, *, at: str = "x", apart: float = 1.9) -> Column:
         return _let(F.array_max(_let(breaks, runs)), lambda r: F.slice(marks, 1 - r["before"], r["n"]))
 
     def of(v: Column) -> Column:
-        return _let(F.transform(v, lambda m: m[at]), lambda xs: _let(step(xs), lambda s: F.when(s > 0, longest(v, xs, s)).otherwise(v)))
+        # most rows have no break at all
+        return _let(F.transform(v, lambda m: m[at]), lambda xs: _let(gaps(xs), lambda g: _let(_median(g), lambda s: F.when((s > 0) & (F.array_max(g) > s * apart), longest(v, xs, s)).otherwise(v))))
 
     return _let(marks, lambda v: F.when(F.size(v) < 3, v).otherwise(of(v)))
 
 
 def letters(text: Column) -> Column:
     """The letters of a text, by code points; none for an empty one."""
-    return F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.substr(text, i, F.lit(1))), lambda c: c != "")
+    return F.coalesce(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), F.array().cast("array<string>"))
 
 
 def placed_letters(text: Column, x: Column, w: Column, *, half: float = 0.5, spaced: bool = True) -> Column:
@@ -106,15 +111,22 @@ def placed_letters(text: Column, x: Column, w: Column, *, half: float = 0.5, spa
     has its middle where the item has.
     """
     every = letters(text) if spaced else F.filter(letters(text), lambda c: ~c.rlike(f"^[{SPACE}]$"))
-    units = lambda cs: F.aggregate(cs, F.lit(0.0), lambda s, c: s + F.when(c.rlike("^[\\x00-\\x7f]$"), half).otherwise(1.0))
 
-    def place(cs: Column) -> Column:
-        def middles(whole: Column) -> Column:
-            return F.transform(cs, lambda c, i: F.struct((x + w * (units(F.slice(cs, F.lit(1), i)) + units(F.array(c)) / 2) / whole).alias("x"), c.alias("mark")))
+    none = F.array().cast("array<struct<x: double, mark: string>>")
+
+    def place(cs: Column, widths: Column) -> Column:
+        def middles(before: Column) -> Column:
+            whole = F.element_at(before, -1)
+            return F.transform(cs, lambda c, i: F.struct((x + w * (F.get(before, i) + F.get(widths, i) / 2) / whole).alias("x"), c.alias("mark")))
+
+        return _let(F.aggregate(widths, F.array(F.lit(0.0)), lambda s, u: F.array_append(s, F.element_at(s, -1) + u)), middles)
 
-        return _let(units(cs), middles)
+    def of(cs: Column) -> Column:
+        # what takes one byte is ASCII
+        return F.when(F.size(cs) > 0, _let(F.transform(cs, lambda c: F.when(F.octet_length(c) == 1, half).otherwise(1.0)), lambda widths: place(cs, widths))).otherwise(none)
 
-    return _let(every, place)
+    one = F.array(F.struct((x + w / 2).alias("x"), text.alias("mark")))
+    return F.when(F.length(text) == 1, one if spaced else F.filter(one, lambda m: ~m["mark"].rlike(f"^[{SPACE}]$"))).otherwise(_let(every, of))
 
 
 def trailing_marks(text: Column, marks: str) -> Column:
@@ -124,26 +136,26 @@ def trailing_marks(text: Column, marks: str) -> Column:
 
 
 def marks_of(items: DataFrame, marks: str, *, half: float = 0.5) -> DataFrame:
-    """One row for each mark at the end of an item: doc, page, x, cy, h and mark.
+    """The marks at the end of each item that has any: doc, page, cy, h and marks (x, mark).
 
     Only letters behind the last that is neither mark, white space nor digit
     count, so a word that holds a mark's letter gives none.
     """
-    tail = F.regexp_extract("str", f"([{SPACE}{marks}]*)[0-9{SPACE}]*$", 0)
-    found = items.withColumn("_head", F.length("str") - F.length(tail)).where(F.size(trailing_marks(F.col("str"), marks)) > 0)
+    tail = f"([{SPACE}{marks}]*)[0-9{SPACE}]*$"
+    found = items.where(F.regexp_extract("str", tail, 1).rlike(f"[^{SPACE}]")).withColumn("_head", F.length("str") - F.length(F.regexp_extract("str", tail, 0)))
     every = found.select(*PAGE, (F.col("y") + F.col("h") / 2).alias("cy"), "h", F.slice(placed_letters(F.col("str"), F.col("x"), F.col("w"), half=half), F.col("_head") + 1, F.length("str")).alias("_l"))
-    return every.select(*PAGE, "cy", "h", F.inline(F.filter("_l", lambda m: m["mark"].rlike(f"^[{marks}]$")))).select(*PAGE, "x", "cy", "h", "mark")
+    return every.select(*PAGE, "cy", "h", F.filter("_l", lambda m: m["mark"].rlike(f"^[{marks}]$")).alias("marks"))
 
 
 def rows_of(marks: DataFrame, *, least: int = 10, near: float = 0.5) -> DataFrame:
-    """Marks of one height put together: doc, page, row (0 is the topmost), cy and marks (x, mark; left to right).
+    """Marks of one height put together: doc, page and its rows (topmost first), each an array of marks (x, mark; left to right).
 
     From the top down, a mark joins the row above while it is no farther from
     the row's first mark than ``near`` of the taller one's height. Rows of
     fewer than ``least`` marks are none.
     """
     # marks of one height are gathered first, so that the fold over a page goes by heights
-    heights = marks.groupBy(*PAGE, "cy").agg(F.max("h").alias("h"), F.sort_array(F.collect_list(F.struct("x", "mark"))).alias("marks"))
+    heights = marks.groupBy(*PAGE, "cy").agg(F.max("h").alias("h"), F.sort_array(F.flatten(F.collect_list("marks"))).alias("marks"))
     order = F.sort_array(F.collect_list(F.struct((-F.col("cy")).alias("down"), "h", "marks")))
 
     def band(rows: Column, b: Column) -> Column:
@@ -153,33 +165,43 @@ def rows_of(marks: DataFrame, *, least: int = 10, near: float = 0.5) -> DataFram
         return F.when(same, F.array_append(F.slice(rows, F.lit(1), n - 1), grown)).otherwise(F.array_append(rows, b))
 
     bands = heights.groupBy(*PAGE).agg(order.alias("_b")).withColumn("_b", F.aggregate("_b", F.slice("_b", F.lit(1), F.lit(0)), band))
-    kept = bands.select(*PAGE, F.filter("_b", lambda b: F.size(b["marks"]) >= least).alias("_b"))
-    return kept.select(*PAGE, F.posexplode("_b").alias("row", "b")).select(*PAGE, "row", (-F.col("b.down")).alias("cy"), F.sort_array("b.marks").alias("marks"))
+    return bands.select(*PAGE, F.transform(F.filter("_b", lambda b: F.size(b["marks"]) >= least), lambda b: F.sort_array(b["marks"])).alias("rows"))
 
 
-def columns_of(rows: DataFrame) -> DataFrame:
-    """Each page's columns: doc, page, n and centres, from the rows that most agree on how many marks they hold (of two counts the greater); a centre is the mean of its marks."""
-    counted = rows.groupBy(*PAGE, F.size("marks").alias("n")).agg(F.count("*").alias("_rows"))
-    best = counted.groupBy(*PAGE).agg(F.max(F.struct("_rows", "n")).alias("b")).select(*PAGE, F.col("b.n").alias("n"))
-    agreed = rows.join(best, list(PAGE)).where(F.size("marks") == F.col("n"))
-    centres = agreed.select(*PAGE, "n", F.posexplode("marks").alias("col", "m")).groupBy(*PAGE, "n", "col").agg(F.avg("m.x").alias("x"))
-    return centres.groupBy(*PAGE, "n").agg(F.transform(F.sort_array(F.collect_list(F.struct("col", "x"))), lambda c: c["x"]).alias("centres"))
+def centres_of(rows: Column) -> Column:
+    """The columns of a page's rows, from those that most agree on how many marks they hold (of two counts the greater); a centre is the mean of its marks."""
+    def centres(agreed: Column, n: Column) -> Column:
+        def over(value: Callable[[Column], Column]) -> Column:
+            return F.aggregate(agreed, F.array_repeat(F.lit(0.0), n), lambda sums, r: F.zip_with(sums, r, lambda s, m: s + value(m["x"])))
 
+        # a mark without a place counts for no mean
+        placeless = F.exists(agreed, lambda r: F.exists(r, lambda m: m["x"].isNull()))
+        counts = F.when(placeless, over(lambda x: x.isNotNull().cast("double"))).otherwise(F.array_repeat(F.size(agreed).cast("double"), n))
+        return F.zip_with(over(lambda x: F.coalesce(x, F.lit(0.0))), counts, lambda s, k: F.when(k > 0, s / k))
 
-def cells_of(rows: DataFrame, columns: DataFrame) -> DataFrame:
-    """doc, page, row, col and mark: the k-th mark of a row in the k-th column, if the row has as many as there are columns and each stands in its own; else the whole row is unread."""
-    met = rows.join(columns, list(PAGE))
-    own = F.transform("marks", lambda m, i: (m["x"] >= _edge(F.col("centres"), i)) & (m["x"] < _edge(F.col("centres"), i + 1)))
-    fits = (F.size("marks") == F.col("n")) & F.forall(own, lambda ok: ok)
-    marks = F.transform("centres", lambda _, i: F.when(fits, F.get(F.transform("marks", lambda m: m["mark"]), i)).otherwise(UNREAD))
-    return met.select(*PAGE, "row", F.posexplode(marks).alias("col", "mark"))
+    def most(sizes: Column) -> Column:
+        counts = F.transform(F.array_distinct(sizes), lambda n: F.struct(F.size(F.filter(sizes, lambda s: s == n)).alias("rows"), n.alias("n")))
+        return F.coalesce(F.array_max(counts)["n"], F.lit(0))
 
+    count = _let(F.transform(rows, lambda r: F.size(r)), most)
+    return _let(count, lambda n: centres(F.filter(rows, lambda r: F.size(r) == n), n))
 
-def _edge(centres: Column, i: Column) -> Column:
-    """The left border of column i: halfway between neighbours, half a mean step outside at both ends."""
+
+def borders_of(centres: Column) -> Column:
+    """Left borders of columns, and the right one of the last: halfway between neighbours, half a mean step outside at both ends."""
     n = F.size(centres)
-    half = F.when(n > 1, (F.get(centres, n - 1) - F.get(centres, F.lit(0))) / (n - 1) / 2).otherwise(float("inf"))
-    return F.when(i <= 0, F.get(centres, F.lit(0)) - half).when(i >= n, F.get(centres, n - 1) + half).otherwise((F.get(centres, i - 1) + F.get(centres, i)) / 2)
+    first, last = F.get(centres, F.lit(0)), F.get(centres, n - 1)
+    half = F.when(n > 1, (last - first) / F.greatest(n - 1, F.lit(1)) / 2).otherwise(float("inf"))
+    inner = F.transform(F.slice(centres, F.lit(2), F.greatest(n - 1, F.lit(0))), lambda x, i: (F.get(centres, i) + x) / 2)
+    return F.when(n > 0, F.concat(F.array(first - half), inner, F.array(last + half)))
+
+
+def cells_of(marks: Column, borders: Column) -> Column:
+    """The k-th mark of a row for the k-th column, if the row has as many as there are columns and each stands in its own; else the whole row is unread."""
+    n = F.size(borders) - 1
+    own = F.transform(marks, lambda m, i: (m["x"] >= F.get(borders, i)) & (m["x"] < F.get(borders, i + 1)))
+    fits = (F.size(marks) == n) & F.forall(own, lambda ok: ok)
+    return F.when(fits, F.transform(marks, lambda m: m["mark"])).otherwise(F.array_repeat(F.lit(UNREAD), n))
 
 
 def vote_cells(items: DataFrame, marks: str, *, least: int = 10, half: float = 0.5, apart: float = 1.9) -> DataFrame:
@@ -188,8 +210,13 @@ def vote_cells(items: DataFrame, marks: str, *, least: int = 10, half: float = 0
     ``marks`` are the letters that count as one, as they stand in a class of a
     pattern. A page without a row of at least ``least`` marks gives nothing.
     """
-    rows = rows_of(marks_of(items, marks, half=half), least=least).withColumn("marks", core(F.col("marks"), apart=apart))
-    return cells_of(rows, columns_of(rows))
+    pages = rows_of(marks_of(items.dropna(subset=list(PAGE)), marks, half=half), least=least)
+    # a page is read within its row: what its columns are, and its rows by them
+    def read(rows: Column) -> Column:
+        return _let(borders_of(centres_of(rows)), lambda borders: F.transform(rows, lambda r: cells_of(r, borders)))
+
+    rows = pages.select(*PAGE, F.posexplode(_let(F.transform("rows", lambda r: core(r, apart=apart)), read)).alias("row", "_cells"))
+    return rows.select(*PAGE, "row", F.posexplode("_cells").alias("col", "mark"))
 
 
 def split_over(items: DataFrame, columns: DataFrame, marks: Sequence[str], *, reach: float = 4.0) -> DataFrame:

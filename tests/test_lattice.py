@@ -95,3 +95,20 @@ def test_columns_given_by_page_are_not_dealt_out_and_gathered_again(spark):
     other = lattice.split_over(items, xs.select("doc", "page", F.explode("xs").alias("x")), ["○", "●"])
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, other.collect())) and one.count() == 4
     assert "collect_list" not in one._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_page_is_read_after_one_shuffle(spark):
+    from rollbook.plans import matrices
+
+    plan = matrices._matrix(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("FileScan") == 1 and "Join" not in plan
+
+
+def test_a_mark_without_a_place_leaves_the_others_their_columns(spark):
+    items = [("d", 1, "○", 100.0 + 12 * i, y, 8.0, 8.0) for y in (700.0, 680.0) for i in range(10)]
+    items += [("d", 1, "○", x, 660.0, 8.0, 8.0) for x in [None, *[112.0 + 12 * i for i in range(9)]]]
+    df = spark.createDataFrame([*items, (None, 1, "○○○○○○○○○○", 100.0, 10.0, 120.0, 8.0)], "doc string, page int, str string, x double, y double, w double, h double")
+    got = {}
+    for r in lattice.vote_cells(df, "○×").collect():
+        got.setdefault((r.doc, r.row), []).append(r.mark)
+    assert got == {("d", 0): ["○"] * 10, ("d", 1): ["○"] * 10, ("d", 2): ["不明"] * 10}
