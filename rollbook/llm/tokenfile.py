@@ -39,7 +39,7 @@ def library_coder(text: str) -> PieceCoder:
 
     def make() -> PieceCoder:
         model = Tokenizer.from_str(text).model
-        return PieceCoder(Vocabulary(text), lambda word: [t.id for t in model.tokenize(word)])
+        return PieceCoder(Vocabulary(text), lambda word: [t.id for t in model.tokenize(word)], room=96 << 20)
 
     return workers.kept(("token file", hash(text)), make)
 

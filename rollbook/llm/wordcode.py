@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import re
 from array import array
+from codecs import charmap_decode
 from collections.abc import Callable
 from unicodedata import is_normalized, normalize
 
@@ -59,17 +60,19 @@ class Vocabulary:
 class PieceCoder:
     """Ids of whole texts from a function that codes one word, given in the byte alphabet.
 
-    Remembers pieces and words in two generations of about ``room`` bytes
-    each: when the young one is full it becomes the old one, and what is met
-    again moves to the young. Frequent words stay, and memory is bounded
-    whatever the vocabulary of the corpus.
+    Remembers pieces, and words as pieces, as they have the same ids wherever
+    they stand, in two generations of about ``room`` bytes each: when the
+    young one is full it becomes the old one, and what is met again moves to
+    the young. Words that might look like a special token are kept apart, in an
+    eighth of that. Frequent words stay, and memory is bounded whatever the
+    vocabulary of the corpus.
     """
 
-    def __init__(self, vocabulary: Vocabulary, code_word: Callable[[str], list[int]], room: int = 32 << 20):
+    def __init__(self, vocabulary: Vocabulary, code_word: Callable[[str], list[int]], room: int = 64 << 20):
         self.special = vocabulary.special
         self.code_word, self.room = code_word, room
-        self.words_left = self.pieces_left = room
-        self.letters = byte_alphabet()
+        self.words_left, self.pieces_left = room // 8, room
+        self.letters = "".join(byte_alphabet())
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         self.old_words: dict[str, bytes] = {}
@@ -79,31 +82,54 @@ class PieceCoder:
         self.space = regex.compile(SPACE)
         self.cut_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
+    def _coded(self, word: str) -> bytes:
+        if not (word.isascii() and word.isalnum()):
+            word = charmap_decode(word.encode("utf-8", "replace"), "strict", self.letters)[0]
+        return array("I", self.code_word(word)).tobytes()
+
     def _word(self, word: str) -> bytes:
+        if "<" in word:
+            return self._apart(word)
+        got = self.pieces.get(word)
+        if got is None:
+            got = self.old_pieces.get(word)
+            if got is None:
+                got = self._coded(word)
+            if len(word) < 64:
+                self.pieces_left -= ENTRY + len(word) + len(got)
+                if self.pieces_left < 0:
+                    self.old_pieces, self.pieces, self.pieces_left = self.pieces, {}, self.room
+                self.pieces[word] = got
+        return got
+
+    def _apart(self, word: str) -> bytes:
         got = self.words.get(word)
         if got is None:
             got = self.old_words.get(word)
             if got is None:
-                letters = self.letters
-                spelt = word if word.isascii() and word.isalnum() else "".join([letters[b] for b in word.encode("utf-8", "replace")])
-                got = array("I", self.code_word(spelt)).tobytes()
+                got = self._coded(word)
             if len(word) < 64:
                 self.words_left -= ENTRY + len(word) + len(got)
                 if self.words_left < 0:
-                    self.old_words, self.words, self.words_left = self.words, {}, self.room
+                    self.old_words, self.words, self.words_left = self.words, {}, self.room // 8
                 self.words[word] = got
         return got
 
     def _plain(self, piece: str) -> bytes:
         if piece.isascii():
             low = piece.lower()
-            if low.isalpha():
-                return self._word(low)
-            return b"".join(map(self._word, (self.word_pattern if _CONTROL.search(low) else self.ascii_words).findall(low)))
+            if not low.isalpha():
+                return b"".join(map(self._word, (self.word_pattern if _CONTROL.search(low) else self.ascii_words).findall(low)))
+            if low == piece:
+                return array("I", self.code_word(piece)).tobytes()
+            return self._word(low)
         if not is_normalized("NFC", piece):
             piece = normalize("NFC", piece)
         # each letter is lower-cased on its own: no final sigma
-        return b"".join(map(self._word, self.word_pattern.findall(piece.replace("Σ", "σ").lower())))
+        low = piece.replace("Σ", "σ").lower()
+        if low.isalpha():
+            return self._coded(low) if low == piece else self._word(low)
+        return b"".join(map(self._word, self.word_pattern.findall(low)))
 
     def _piece(self, piece: str) -> bytes:
         got = self.old_pieces.get(piece)

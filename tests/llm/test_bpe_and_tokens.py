@@ -114,3 +114,13 @@ def test_caches_stay_within_their_room():
         assert np.frombuffer(coder.encode(text), np.uint32).tolist() == expected(text)
         held = [*coder.words, *coder.old_words, *coder.pieces, *coder.old_pieces]
         assert len(held) * 190 < 4 * 21_000
+
+
+def test_words_are_remembered_once_and_never_taken_for_special_tokens():
+    coder, asked = bpe.Bpe(TEXT).coder, []
+    inner = coder.code_word
+    coder.code_word = lambda word: asked.append(word) or inner(word)
+    for text in ("river", "river, (River) RIVER.", "a<b <b a<", "été Été, été.", "<<", "x<<y"):
+        assert np.frombuffer(coder.encode(text), np.uint32).tolist() == expected(text)
+    # a word's ids serve the piece that is that word, and the other way round
+    assert asked.count("river") == 1 and "river" in coder.pieces and "river" not in coder.words
