@@ -6,6 +6,8 @@ import gc
 import tempfile
 import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,19 +32,38 @@ def new_path(spark: SparkSession, kind: str) -> str:
 
 
 GC_SECONDS = 2.0  # least time between two collections of the driver's garbage
+# shuffle files go when their query ends, and nothing is inferred from what earlier rounds ask of their rows
+ROUND = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.constraintPropagation.enabled": "false"}
 _last = 0.0
 
 
+@contextmanager
+def _set(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """``settings`` hold within, and those before after it."""
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder, so that later jobs read it and lost executors cost no rerun.
 
-    What earlier rounds hold (plans in the driver, shuffle files on the
-    executors' disks) goes when the driver collects its garbage, so that is
-    done here every few seconds: in a loop it would otherwise pile up.
+    Its shuffle files go with the job. A checkpoint keeps what is known of its
+    rows (equal columns, columns that aren't null); over rounds of self-joins
+    that doubles again and again until planning a round takes the driver
+    minutes and all its memory, so it is left out. What else earlier rounds
+    hold (plans in the driver, tables in the shared folder) goes when the
+    driver collects its garbage, so that is done here every few seconds.
     """
     global _last
     shared_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
+    with _set(df.sparkSession, ROUND):
+        out = df.select("*").checkpoint(eager=True)
     if time.monotonic() - _last > GC_SECONDS:
         gc.collect()
         df.sparkSession.sparkContext._jvm.System.gc()
