@@ -38,3 +38,15 @@ def test_a_long_path_is_one_component(spark):
     n = 300
     links = spark.range(n - 1).select((F.col("id") * 7 % n).alias("a"), ((F.col("id") + 1) * 7 % n).alias("b"))
     assert {(r.node, r.comp) for r in components(links).collect()} == {(i, 0) for i in range(n)}
+
+
+def test_rounds_take_tasks_by_their_links(spark):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = components(spark.range(10).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
+        assert found.rdd.getNumPartitions() == 1 and found.where("comp = 0").count() == 11
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
