@@ -53,10 +53,9 @@ def _set(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder, so that later jobs read it and lost executors cost no rerun.
 
-    Its shuffle files go with the job. A checkpoint keeps what is known of its
-    rows (equal columns, columns that aren't null); over rounds of self-joins
-    that doubles again and again until planning a round takes the driver
-    minutes and all its memory, so it is left out. What else earlier rounds
+    Its shuffle files go with the job. A checkpoint would keep what is known of
+    its rows (equal columns, columns that aren't null), which piles up over
+    rounds of self-joins, so it is left out. What else earlier rounds
     hold (plans in the driver, tables in the shared folder) goes when the
     driver collects its garbage, so that is done here every few seconds.
     """
