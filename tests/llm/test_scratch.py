@@ -4,7 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from rollbook.llm.components import components
+from rollbook.llm.components import _round, components
 from rollbook.llm.scratch import ROUND, cut
 
 
@@ -50,3 +50,12 @@ def test_rounds_take_tasks_by_their_links(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_rounds_do_not_square_the_estimated_size(spark):
+    rows = _round(spark.range(9).select("id", (F.col("id") % 3).alias("up")))
+    for _ in range(3):
+        above = rows.select(F.col("id").alias("_id")).hint("merge")
+        rows = _round(rows.join(above, F.col("up") == F.col("_id")).select("id", "up"))
+    assert rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() <= 64
+    assert sorted(map(tuple, rows.collect())) == [(i, i % 3) for i in range(9)]
