@@ -6,8 +6,12 @@ part of a page whose numbers do not agree passes for its votes.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import accumulate
+from operator import add
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -15,8 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from rollbook.functions.text import no_space, squash
-from rollbook.sources.elements import elements_of
+from rollbook.sources.elements import RAW, built, cut, elements_of, pieces_of, tag_of
+from rollbook.sources.shapes import KEPT, LONG, MARK, Places, marks, picked, values_of
 
 # The words that the pages use.
 YES, NO, ABSENT = "賛成", "反対", "投票なし"
@@ -42,20 +46,30 @@ class RollCalls:
     standing: DataFrame
 
 
-def number_after(text: Column, word: str) -> Column:
-    return F.nullif(F.regexp_extract(squash(text), f"{word}\\s*(\\d+)", 1), F.lit("")).cast("int")
+SPACES = re.compile("[ \t-\r\u00a0\u3000\ufeff]+")  # as ``squash`` has them
 
 
-def date_in(text: Column) -> Column:
+@lru_cache(maxsize=16384)
+def _squashed(text: str | None) -> str | None:
+    """``squash`` of a text when it is read: pages have few different ones, and rules ask for them several times."""
+    return None if text is None else SPACES.sub(" ", text).strip(" ")
+
+
+def _number_after(text: Column, word: str) -> Column:
+    """The number behind a word; null for none, and for one too long to be a count."""
+    return F.regexp_extract(text, f"{word}\\s*(\\d+)", 1).try_cast("int")
+
+
+def _date_in(text: Column) -> Column:
     """The first day written in numerals as an ISO date; null for none."""
-    part = lambda i: F.regexp_extract(squash(text), "(\\d{4})年\\s*(\\d{1,2})月\\s*(\\d{1,2})日", i)
+    part = lambda i: F.regexp_extract(text, "(\\d{4})年\\s*(\\d{1,2})月\\s*(\\d{1,2})日", i)
     return F.when(part(1) != "", F.concat_ws("-", part(1), F.lpad(part(2), 2, "0"), F.lpad(part(3), 2, "0")))
 
 
 def _heading(text: Column) -> tuple[Column, Column]:
-    """A group's name and size from its heading, both null where it is none."""
-    part = lambda i: F.nullif(F.regexp_extract(squash(text), "^(.+?)\\s*[(（]\\s*(\\d+)\\s*名\\s*[)）]$", i), F.lit(""))
-    return F.trim(part(1)), part(2).cast("int")
+    """A group's name and size from its heading; where it is none, the size is null."""
+    part = lambda i: F.regexp_extract(text, "^(.+?)\\s*[(（]\\s*(\\d+)\\s*名\\s*[)）]$", i)
+    return F.trim(part(1)), part(2).try_cast("int")
 
 
 class _Page:
@@ -206,32 +220,32 @@ class _Page:
 
 def _judged(read: DataFrame) -> DataFrame:
     """Pages as read with what they say and the first reason to refuse them: one row for each, all within the row."""
-    said = lambda x, word, fold: fold(F.coalesce(x, F.lit(""))) == word
+    said = lambda x, word: F.coalesce(x, F.lit("")) == word
+    packed = lambda x: F.replace(F.coalesce(x, F.lit("")), F.lit(" "), F.lit(""))
 
     def member(m: Column, old: Column) -> Column:
-        yes_new, no_new, absent = said(m["pros"], YES, squash), said(m["cons"], NO, squash), said(m["novote"], ABSENT, no_space)
+        yes_new, no_new, absent = said(m["pros"], YES), said(m["cons"], NO), packed(m["novote"]) == ABSENT
         new = F.when(yes_new & ~no_new & ~absent, YES).when(no_new & ~yes_new & ~absent, NO).when(absent & ~yes_new & ~no_new, ABSENT)
         yes, no = F.coalesce(F.lower(m["pro"]).contains("sansei"), F.lit(False)), F.coalesce(F.lower(m["con"]).contains("hantai"), F.lit(False))
-        blank = m["pro"].isNull() & m["con"].isNull() & said(m["pros"], "", no_space) & said(m["cons"], "", no_space)
+        blank = m["pro"].isNull() & m["con"].isNull() & said(m["pros"], "") & said(m["cons"], "")
         tables = F.when(yes & no, F.lit(None)).when(yes, YES).when(no, NO).when(blank, ABSENT)
-        return F.struct(m["at"].alias("at"), squash(F.coalesce(m["names"], F.lit(""))).alias("name"), F.when(old, tables).otherwise(new).alias("value"), m["in_order"].alias("in_order"))
+        return F.struct(m["at"].alias("at"), F.coalesce(m["names"], F.lit("")).alias("name"), F.when(old, tables).otherwise(new).alias("value"), m["in_order"].alias("in_order"))
 
     def group(g: Column, old: Column) -> Column:
         name, size = _heading(g["text"])
         members = F.filter(F.transform(g["members"], lambda m: member(m, old)), lambda m: ~old | (m["name"] != "") | ~m["in_order"])
-        return F.struct(g["head"].alias("at"), name.alias("group"), size.alias("size"), g["listed"].alias("listed"), number_after(g["tally"], YES_COUNT).alias("yes"), number_after(g["tally"], NO_COUNT).alias("no"), members.alias("members"))
+        return F.struct(g["head"].alias("at"), name.alias("group"), size.alias("size"), g["listed"].alias("listed"), _number_after(g["tally"], YES_COUNT).alias("yes"), _number_after(g["tally"], NO_COUNT).alias("no"), members.alias("members"))
 
     old = F.col("layout") == "old"
-    label = F.get(F.filter("labels", lambda x: no_space(x["text"]).startswith(TITLE)), F.lit(0))
+    label = F.get(F.filter("labels", lambda x: packed(x["text"]).startswith(TITLE)), F.lit(0))
     totals = F.when(old, F.get(F.filter("bolds", lambda x: x.contains(TOTAL)), F.lit(0))).otherwise(F.col("totals"))
-    marked, bold = squash(F.col("marked")), F.get(F.filter(F.transform("bolds", squash), lambda x: x.contains(STANDING)), F.lit(0))
-    # one row each: a generator, past which no filter moves, so that groups are worked out once
-    told = read.select(
-        "id", "layout", date_in(F.col("day")).alias("date"), F.when(old, label["value"]).otherwise(F.col("title")).alias("title"), totals.alias("totals"),
-        F.when(F.col("boxed"), F.coalesce(F.when(marked.contains(STANDING), marked), bold)).alias("note"), F.explode(F.array(F.transform("groups", lambda g: group(g, old)))).alias("groups"))
-    numbers = told.select(
-        "id", "layout", "date", F.nullif(F.regexp_replace(squash(F.col("title")), " ", "　"), F.lit("")).alias("title"),
-        *[number_after(F.col("totals"), word).alias(n) for n, word in (("total", TOTAL), ("yes", YES_COUNT), ("no", NO_COUNT))], "note", "groups")
+    bold = F.get(F.filter("bolds", lambda x: x.contains(STANDING)), F.lit(0))
+    title = F.when(old, label["value"]).otherwise(F.col("title"))
+    # one row each: a generator, past which no filter moves, so that all is worked out once
+    told = F.struct(
+        _date_in(F.col("day")).alias("date"), F.nullif(F.replace(title, F.lit(" "), F.lit("　")), F.lit("")).alias("title"), *[_number_after(totals, word).alias(n) for n, word in (("total", TOTAL), ("yes", YES_COUNT), ("no", NO_COUNT))],
+        F.when(F.col("boxed"), F.coalesce(F.when(F.col("marked").contains(STANDING), F.col("marked")), bold)).alias("note"), F.transform("groups", lambda g: group(g, old)).alias("groups"))
+    numbers = read.select("id", "layout", F.explode(F.array(told)).alias("told")).select("id", "layout", "told.*")
     some = lambda holds: F.exists("groups", holds)
     holds = dict(zip(REASONS, (
         F.col("date").isNull(), F.col("title").isNull(), F.col("total").isNull() | F.col("yes").isNull() | F.col("no").isNull(),
@@ -242,6 +256,172 @@ def _judged(read: DataFrame) -> DataFrame:
     return numbers.withColumn("reason", F.coalesce(*[F.when(c, what) for what, c in holds.items()]))
 
 
+TEXTS = ("day", "title", "totals", "marked", "label", "value", "bold", "heading", "tally", *MARKED, "pro", "con")
+LINKS = ("pro", "con")  # the other texts are squashed
+REST = ("layout", "boxed", "labels", "bolds", "groups", "listed", "members", "in_order")  # lists by their lengths
+PICTURE = ("img", "IMG")
+
+
+def _texts(f: dict) -> list[list[str | None]]:
+    """What a page's fields have for each of ``TEXTS``."""
+    labels, groups = f["labels"], f["groups"]
+    members = [m for g in groups for m in g["members"]]
+    return [
+        *[[f[k]] for k in TEXTS[:4]], [x["text"] for x in labels], [x["value"] for x in labels], f["bolds"], [g["text"] for g in groups], [g["tally"] for g in groups],
+        *[[m[k] for m in members] for k in TEXTS[9:]],
+    ]
+
+
+def _rest(f: dict) -> list[list]:
+    """What a page's fields have for each of ``REST``."""
+    groups = f["groups"]
+    return [[f["layout"]], [f["boxed"]], [len(f["labels"])], [len(f["bolds"])], [len(groups)], [g["listed"] for g in groups], [len(g["members"]) for g in groups], [m["in_order"] for g in groups for m in g["members"]]]
+
+
+@dataclass
+class _Plan:
+    """How to read pages of one shape: which texts make each of ``TEXTS``, what each of ``REST`` is, and after how many elements and which text its groups and members stand."""
+
+    raw: list[int]  # texts that may hold no reference, and those that count for nothing
+    silent: list[int]
+    cells: dict[int, int]  # pieces that begin a cell, and the value that is its picture
+    joins: list[Callable]
+    texts: list[Callable]
+    rest: list[list]
+    heads: tuple[list[int], Callable]
+    ats: tuple[list[int], Callable]
+
+
+@lru_cache(maxsize=KEPT)
+def _plan(shape: str) -> _Plan | None:
+    """A plan for pages with these tags, if any can be told; a picture may stand at the beginning of each cell, as old votes differ in nothing else."""
+    found = pieces_of(shape)
+    if not found:
+        return None
+    tags, n = found[1], len(found[1]) + 1
+    cells = {k: n + i for i, k in enumerate([k for k, t in enumerate(tags) if t[0] == "td"])}
+    mark = marks(n + len(cells))
+    pieces, behind = [], []
+    for k, t in enumerate(tags):
+        pieces.append(t)
+        if k in cells:
+            pieces.append(("img", "img", "", None, mark[cells[k]]))
+            behind.append("")
+        behind.append(mark[k + 1])
+    try:
+        rows = built(mark[0], pieces, behind)
+    except OverflowError:
+        return None
+    pictures = set(mark[n:])
+    page = _Page(rows)
+    if not any(r[4] for r in page.rows) or (page.old and any(r[4] == "img" and r[7] not in pictures for r in page.rows)):
+        return None
+    fields = page.read()
+    places = Places(len(mark))
+    texts = [[places.of(t) for t in column] for column in _texts(fields)]
+    spots, there, elements = {}, [], 0
+    for row in rows:
+        if row[8]:
+            there.append(ord(row[8]) - MARK)
+        elif row[7] not in pictures:
+            spots[row[0]] = elements, there[-1]
+            elements += 1
+
+    def spotted(ats: list[int]) -> tuple[list[int], Callable]:
+        return [spots[at][0] for at in ats], picked([spots[at][1] for at in ats])
+
+    groups = fields["groups"]
+    return _Plan(
+        [k + 1 for k, t in enumerate(tags) if t[0] in RAW], sorted({*range(n)} - {*there}), cells, places.joins(), [picked(t) for t in texts], _rest(fields),
+        spotted([g["head"] for g in groups]), spotted([m["at"] for g in groups for m in g["members"]]))
+
+
+def _pictures(pieces: list[str], texts: list[str]) -> list[tuple[int, str]]:
+    """Takes the pictures at the beginning of cells out of a page's pieces; each with the place of its cell."""
+    out, found = [], []
+    for p in {*pieces}:
+        if p[:3] in PICTURE and (told := tag_of(p)) and told[:4] == ("img", "img", "", None):
+            i = -1
+            for _ in range(pieces.count(p)):
+                i = pieces.index(p, i + 1)
+                found.append((i, told[4] or ""))
+    for i, link in sorted(found, reverse=True):
+        if i and not texts[i - 1] and (cell := tag_of(pieces[i - 1])) and cell[0] == "td":
+            out.append((i - 1, link))
+            texts[i - 1] = texts[i]
+            del pieces[i], texts[i]
+    return [(at - before, link) for before, (at, link) in enumerate(reversed(out))]
+
+
+class _Fields:
+    """The fields of many pages, one column for each part of ``PAGE_FIELDS``."""
+
+    def __init__(self) -> None:
+        self.texts: list[list[str | None]] = [[] for _ in TEXTS]
+        self.rest: list[list] = [[] for _ in REST]
+        self.heads: list[int] = []
+        self.ats: list[int] = []
+
+    def add(self, page: str | None, rows_of: Callable[[object], Iterable[Sequence]]) -> bool:
+        """Takes a page; whether it has any element or text."""
+        found = cut(page or "") if rows_of is elements_of else None
+        if found and 0 < len(found[1]) <= LONG and self.planned(page, *found):
+            return True
+        f = _Page(rows_of(page)).read()
+        if f is None:
+            return False
+        for column, part in zip(self.texts + self.rest, _texts(f) + _rest(f), strict=True):
+            column += part
+        self.heads += [g["head"] for g in f["groups"]]
+        self.ats += [m["at"] for g in f["groups"] for m in g["members"]]
+        return True
+
+    def planned(self, page: str, lead: str, pieces: list[str], texts: list[str]) -> bool:
+        pictures = _pictures(pieces, texts) if "<img" in page or "<IMG" in page else []
+        plan = _plan(f"<{'><'.join(pieces)}>")
+        escaped = "&" in page
+        if not plan or (escaped and any("&" in texts[i - 1] for i in plan.raw)):
+            return False
+        values = values_of((lead, *texts), escaped)
+        for i in plan.silent:
+            values[i] = ""
+        weights = [*map(bool, values)]
+        values += [None] * len(plan.cells)
+        for at, link in pictures:
+            weights[at + 1] += 1
+            values[plan.cells[at]] = link
+        values += ["".join(join(values)) for join in plan.joins]
+        values.append(None)
+        for column, pick in zip(self.texts, plan.texts, strict=True):
+            column += pick(values)
+        for column, part in zip(self.rest, plan.rest, strict=True):
+            column += part
+        before = [*accumulate(weights)]
+        for column, (elements, pick) in ((self.heads, plan.heads), (self.ats, plan.ats)):
+            column += map(add, elements, pick(before))
+        return True
+
+    def batch(self, ids: pa.Array, schema: pa.Schema) -> pa.RecordBatch:
+        texts = {k: c if k in LINKS else [*map(_squashed, c)] for k, c in zip(TEXTS, self.texts, strict=True)}
+        rest = dict(zip(REST, self.rest, strict=True))
+        type_of = {f.name: f.type for f in schema}
+
+        def struct(kind: pa.StructType, columns: list) -> pa.Array:
+            return pa.StructArray.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, kind, strict=True)], fields=[*kind])
+
+        def lists(kind: pa.ListType, sizes: list[int], columns: list) -> pa.Array:
+            values = struct(kind.value_type, columns) if pa.types.is_struct(kind.value_type) else pa.array(*columns, kind.value_type)
+            return pa.ListArray.from_arrays(pa.array([0, *accumulate(sizes)], pa.int32()), values, type=kind)
+
+        group = type_of["groups"].value_type
+        members = lists(group.field("members").type, rest["members"], [self.ats, *[texts[k] for k in TEXTS[9:]], rest["in_order"]])
+        columns = {
+            "id": ids, "layout": rest["layout"], "boxed": rest["boxed"], **{k: texts[k] for k in TEXTS[:4]}, "labels": lists(type_of["labels"], rest["labels"], [texts["label"], texts["value"]]),
+            "bolds": lists(type_of["bolds"], rest["bolds"], [texts["bold"]]), "groups": lists(type_of["groups"], rest["groups"], [self.heads, texts["heading"], rest["listed"], texts["tally"], members]),
+        }
+        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in ((columns[f.name], f) for f in schema)], schema=schema)
+
+
 def _read(pages: DataFrame, rows_of: Callable[[object], Iterable[Sequence]]) -> DataFrame:
     """Fields of each page (id, page); ``rows_of`` gives a page's elements in order. A page without any is left out."""
     schema = T.StructType([T.StructField("id", pages.schema["id"].dataType), *T.StructType.fromDDL(PAGE_FIELDS).fields])
@@ -251,8 +431,9 @@ def _read(pages: DataFrame, rows_of: Callable[[object], Iterable[Sequence]]) ->
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                found = [(i, _Page(rows_of(page)).read()) for i, page in zip(part["id"].to_pylist(), part["page"].to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_pylist([{"id": i, **f} for i, f in found if f], schema=arrow)
+                fields = _Fields()
+                there = [fields.add(page, rows_of) for page in part["page"].to_pylist()]
+                yield fields.batch(part["id"].filter(pa.array(there)).cast(arrow.field(0).type), arrow)
 
     return pages.mapInArrow(run, schema)
 

@@ -1,11 +1,12 @@
 import random
+import re
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from rollbook.sources import pages, rollcalls
-from rollbook.sources.elements import _Scan, elements, elements_of, is_a, pieces_of, texts
+from rollbook.sources.elements import MANY, _Open, _Scan, elements, elements_of, is_a, pieces_of, texts
 
 BOX = "<html><body><div id=\"ContentsBox\">{}</div></body></html>"
 HEAD = '<h2 class="kaiji_nichiji">第221回国会<br>2026年 6月 5日<br>投票結果</h2>'
@@ -138,3 +139,53 @@ def test_pages_are_read_in_place(spark):
     by_nodes = rollcalls.roll_calls(elements(made, id_col="page", html_col="html"))
     for one, other in ((got.votes, by_nodes.votes), (got.groups, by_nodes.groups), (got.refused, by_nodes.refused)):
         assert sorted(map(str, one.collect())) == sorted(map(str, other.collect()))
+
+
+def fields(page, one_by_one):
+    read = rollcalls._Fields()
+    there = read.add(page, (lambda p: elements_of(p)) if one_by_one else elements_of)
+    return there, read.texts, read.rest, read.heads, read.ats
+
+
+def cut_at_tags(page):
+    return re.findall(r"<[^<>]*>|[^<]+", page)
+
+
+def test_pages_of_one_shape_are_read_by_one_plan():
+    draw = random.Random(5)
+    cell = lambda: draw.choice([cells(YES, "", "a"), cells("", NO, f"b{draw.random()}"), cells("　", "", "&amp;"), cells("", "", "")])
+    made = [BOX.format(OLD_HEAD + old(f"甲{i}", 4, "<TR>" + "".join(cell() for _ in range(4)))) for i in range(300)]
+    made += [BOX.format(HEAD + MATTER + TOTALS + group("乙", i, i, i, "".join(li(draw.choice(["賛成", "反対", ""]), str(i)) for _ in range(3)))) for i in range(300)]
+    rollcalls._plan.cache_clear()
+    got = [fields(p, False) for p in made]
+    assert rollcalls._plan.cache_info().misses == 2
+    assert got == [fields(p, True) for p in made]
+
+
+def test_plans_tell_the_same_as_pages_read_one_by_one():
+    draw = random.Random(11)
+    whole = [BOX.format(v) for v in PAGES.values()] + [*PAGES.values()]
+    bits = sorted({b for p in whole for b in cut_at_tags(p)}) + ["<IMG src=a>", "<img src=b>", "<img class=pros src=c>", "<td><img src=q>", "<td><img>", "x&amp;y", "<style>&</style>", "<!-- <b> -->", "<Img src=z>", "<img src=z id=ContentsBox>", "<div id=ContentsBox>", "<", ">"]
+    made = [None, "", "a", "<!-- x -->"]
+    for _ in range(4000):
+        page = cut_at_tags(draw.choice(whole)) if draw.random() < 0.7 else draw.choices(bits, k=draw.randint(1, 30))
+        for _ in range(draw.randint(0, 4)):
+            i = draw.randrange(len(page) + 1)
+            page[i : i + draw.randint(0, 1)] = draw.choices(bits, k=draw.randint(0, 2))
+        made.append("".join(page))
+    assert all(fields(p, False) == fields(p, True) for p in made)
+
+
+def test_counts_too_long_for_a_number_are_refused(spark):
+    made = [("tally", HEAD + MATTER + TOTALS + group("甲", 2, "9" * 12, 1, TWO)), ("size", HEAD + MATTER + TOTALS + group("甲", "9" * 12, 1, 1, TWO))]
+    got = rollcalls.roll_calls_of_pages(spark.createDataFrame(made, "page string, html string"), id_col="page", html_col="html")
+    assert {(r.id, r.reason) for r in got.refused.collect()} == {("tally", "tally unreadable"), ("size", "heading unreadable")}
+
+
+def test_rules_are_remembered_within_bounds():
+    page = "".join(f"<x{i}>" for i in range(60)) + "t"
+    assert elements_of(page) == by_library(page)
+    assert elements_of("<b>" * 3000) == by_library("<b>" * 3000)
+    for i in range(30):
+        elements_of("".join(f"<y{i}z{j}></y{i}z{j}>" for j in range(800)))
+    assert _Open.told <= MANY + 2000 and len(_Open.known) <= MANY + 2000
