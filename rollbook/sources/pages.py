@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,15 +13,14 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from rollbook.functions.text import squash
-from rollbook.sources.elements import elements_of
+from rollbook.sources.elements import built, elements_of, pieces_of
+from rollbook.sources.shapes import KEPT, LONG, Places, marks, picked, values_of
 
 PARTS = "kind string, tbl int, line int, cell int, text string, href string"
 KINDS = {"td": "cell", "th": "cell", "a": "link", "title": "title", "h1": "h1", "h2": "h2", "h3": "h3"}
 
 
-def parts_of(page: str | None) -> list[tuple]:
-    """Cells (with their table, row and place), links and headings of a page, in the order in which they begin; left open, they end where the next may begin."""
-    rows = elements_of(page)
+def _parts(rows: list[list]) -> list[tuple]:
     out: list[tuple] = []
     around: list[tuple[int, list[int]]] = []  # tables around a place: where each ends; its number, row and cell
     outer, table = [-1, -1, -1], -1
@@ -40,6 +41,54 @@ def parts_of(page: str | None) -> list[tuple]:
     return out
 
 
+@lru_cache(maxsize=KEPT)
+def _plan(shape: str) -> tuple | None:
+    """Of pages whose tags do this: how many parts they have, their kinds, tables, rows and cells, the texts to put together, and which values are the parts' texts and links; None if elements stand too deep."""
+    does = shape.split("<")
+    n = len(does) + 1  # values: the texts, and the links of its a
+    links = iter(marks(n + shape.count("a"))[n:])
+    tags = [(d, d.lstrip("/"), None, None, next(links) if d == "a" else None) if d else (None,) * 5 for d in does]
+    lead, *texts = marks(n)
+    try:
+        kinds, tables, lines, cells, text, href = zip(*_parts(built(lead, tags, texts)), strict=True)
+    except OverflowError:
+        return None
+    except ValueError:
+        return 0, (), (), (), (), [], None, None
+    places = Places(n + does.count("a"))
+    text, href = [places.of(t) for t in text], [places.of(t) for t in href]
+    return len(kinds), kinds, tables, lines, cells, places.joins(), picked(text), picked(href)
+
+
+def _told(page: str | None, columns: list[list]) -> int:
+    """Parts of a page, added to the columns; their number."""
+    found = pieces_of(page or "")
+    if found and 0 < len(found[1]) <= LONG:
+        lead, tags, texts = found
+        plan = _plan("<".join([t[0] or "" for t in tags]))
+        if plan:
+            n, kinds, tables, lines, cells, joins, text, href = plan
+            if n:
+                values = values_of((lead, *texts), "&" in page)
+                values += [t[4] for t in tags if t[0] == "a"]
+                values += ["".join(join(values)) for join in joins]
+                values.append(None)
+                for column, part in zip(columns, (kinds, tables, lines, cells, text(values), href(values)), strict=True):
+                    column += part
+            return n
+    parts = _parts(elements_of(page))
+    for column, part in zip(columns, zip(*parts, strict=True), strict=False):
+        column += part
+    return len(parts)
+
+
+def parts_of(page: str | None) -> list[tuple]:
+    """Cells (with their table, row and place), links and headings of a page, in the order in which they begin; left open, they end where the next may begin."""
+    columns: list[list] = [[] for _ in range(6)]
+    _told(page, columns)
+    return [*zip(*columns, strict=True)]
+
+
 def page_parts(pages: DataFrame, *, id_col: str, html_col: str) -> DataFrame:
     """One row for each cell, link and heading of each page; ``pos`` is their order. A page without any has no rows."""
     schema = T.StructType([T.StructField("id", pages.schema[id_col].dataType), *T.StructType.fromDDL(f"pos int, {PARTS}").fields])
@@ -49,10 +98,12 @@ def page_parts(pages: DataFrame, *, id_col: str, html_col: str) -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 ids, texts = (batch.column(i).slice(start, 512) for i in (0, 1))
-                found = [(i, n, *p) for i, page in enumerate(texts.to_pylist()) for n, p in enumerate(parts_of(page))]
-                if found:
-                    at, *columns = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)).cast(arrow.field(0).type), *[pa.array(c, f.type) for c, f in zip(columns, list(arrow)[1:], strict=True)]], schema=arrow)
+                columns: list[list] = [[] for _ in range(6)]
+                counts = np.array([_told(page, columns) for page in texts.to_pylist()])
+                if counts.any():
+                    pos = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+                    found = [ids.take(pa.array(np.repeat(np.arange(len(counts)), counts))).cast(arrow.field(0).type), pa.array(pos, pa.int32())]
+                    yield pa.RecordBatch.from_arrays([*found, *[pa.array(c, f.type) for c, f in zip(columns, list(arrow)[2:], strict=True)]], schema=arrow)
 
     found = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("page")).mapInArrow(run, schema)
     return found.withColumn("text", squash(F.col("text")))

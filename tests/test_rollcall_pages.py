@@ -189,3 +189,15 @@ def test_rules_are_remembered_within_bounds():
     for i in range(30):
         elements_of("".join(f"<y{i}z{j}></y{i}z{j}>" for j in range(800)))
     assert _Open.told <= MANY + 2000 and len(_Open.known) <= MANY + 2000
+
+
+def test_parts_are_told_by_shape():
+    lines = lambda *xs: "<table>" + "".join(f"<tr><td>{x}<td> <a href='/s/{x}'>s{x}&amp;</a><br>x" for x in xs) + "</table>"
+    pages._plan.cache_clear()
+    got = [pages.parts_of(lines(i, i + 1)) for i in range(200)]
+    assert pages._plan.cache_info().misses == 1
+    assert got == [pages._parts(elements_of(lines(i, i + 1))) for i in range(200)]
+    draw = random.Random(7)
+    bits = ["<td>", "</td>", "<tr>", "<table>", "</table>", "<a href=q>", "<a>", "</a>", "<br>", "<h1>", "<h2>", "<title>t</title>", "<title>&amp;</title>", "a", "&lt;b", "<!-- <td> -->", "<", ">", "<th>", "<script>x<td></script>"]
+    made = ["".join(draw.choices(bits, k=draw.randint(0, 12))) for _ in range(4000)]
+    assert all(pages.parts_of(p) == pages._parts(elements_of(p)) for p in made)
